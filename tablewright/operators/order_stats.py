@@ -91,40 +91,38 @@ def _narrowed(
     wide: DataFrame, names: list[str], ranks_of: Callable[[int], set[int]]
 ) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
     """Non-null count per column, and the value at every wanted 0-based rank."""
-    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    aggs = []
-    for i, c in enumerate(names):
-        aggs += [F.count(q(c)).alias(f"n{i}"), F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}")]
-    head = wide.agg(*aggs).first()
+    wide = wide.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    head = wide.agg(
+        *[F.expr(f"{fn}({x}) AS {fn}_{x}") for x in at.values() for fn in ("count", "min", "max")]
+    ).first()
     wanted: dict[tuple[str, int], _Range] = {}
     found: dict[tuple[str, int], float] = {}
     sizes: dict[str, int] = {}
-    for i, c in enumerate(names):
-        sizes[c] = head[f"n{i}"]
+    for c, x in at.items():
+        sizes[c] = head[f"count_{x}"]
         for rank in ranks_of(sizes[c]) if sizes[c] else ():
-            wanted[(c, rank)] = _Range(c, head[f"lo{i}"], head[f"hi{i}"], 0, sizes[c])
+            wanted[(c, rank)] = _Range(x, head[f"min_{x}"], head[f"max_{x}"], 0, sizes[c])
     while wanted:
         for key, r in list(wanted.items()):
             if r.low == r.high:
                 found[key] = r.low
                 del wanted[key]
-        ranges = {(r.name, r.low, r.high): r for r in wanted.values()}
-        ids = {bounds: i for i, bounds in enumerate(ranges)}
-        few = [b for b, r in ranges.items() if r.rows <= FETCH_ROWS]
+        ranges = {(r.name, r.low, r.high): r.rows for r in wanted.values()}
+        few = [bounds for bounds, rows in ranges.items() if rows <= FETCH_ROWS]
         if few:
-            values = _fetch(wide, few, q)
+            values = _fetch(wide, few)
             for key, r in list(wanted.items()):
                 bounds = (r.name, r.low, r.high)
                 if bounds in values:
                     found[key] = values[bounds][key[1] - r.below]
                     del wanted[key]
-        open_ranges = [b for b in ranges if b not in few]
-        if not open_ranges:
-            continue
-        slices = _slice_counts(wide, open_ranges, ids, q)
+        if not wanted:
+            break
+        slices = _slice_counts(wide, [bounds for bounds in ranges if bounds not in few])
         for key, r in list(wanted.items()):
             below = r.below
-            for rows, low, high in slices.get(ids[(r.name, r.low, r.high)], ()):
+            for rows, low, high in slices[(r.name, r.low, r.high)]:
                 if key[1] < below + rows:
                     wanted[key] = _Range(r.name, low, high, below, rows)
                     break
@@ -132,36 +130,32 @@ def _narrowed(
     return sizes, found
 
 
-def _slice_counts(wide, ranges, ids, q) -> dict[int, list[tuple[int, float, float]]]:
+def _slice_counts(wide: DataFrame, ranges: list[tuple]) -> dict[tuple, list[tuple[int, float, float]]]:
+    """Rows, smallest and largest value of every slice of the ranges, in value order."""
     tagged = []
-    for name, low, high in ranges:
-        x = q(name)
-        share = (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-        slot = F.least(F.floor(share * SLICES).cast("int"), F.lit(SLICES - 1))
-        tagged.append(
-            F.when(
-                (x >= F.lit(low)) & (x <= F.lit(high)),
-                F.struct(F.lit(ids[(name, low, high)]).alias("id"), slot.alias("slot"), x.alias("x")),
-            )
-        )
+    for i, (x, low, high) in enumerate(ranges):
+        # Halves keep the width finite for any two doubles.
+        share = f"({x} / 2 - {low / 2!r}D) / {high / 2 - low / 2!r}D"
+        slot = f"least(cast(floor({share} * {SLICES}) AS int), {SLICES - 1})"
+        tagged.append(f"CASE WHEN {x} BETWEEN {low!r}D AND {high!r}D THEN struct({i} AS id, {slot} AS slot, {x} AS x) END")
     counted = (
-        wide.select(F.explode(F.array(*tagged)).alias("t"))
+        wide.select(F.explode(F.expr(f"array({', '.join(tagged)})")).alias("t"))
         .where("t IS NOT NULL")
         .groupBy("t.id", "t.slot")
         .agg(F.count("*").alias("rows"), F.min("t.x").alias("low"), F.max("t.x").alias("high"))
     )
-    out: dict[int, list[tuple[int, float, float]]] = {}
+    out: dict[tuple, list[tuple[int, float, float]]] = {}
     for r in sorted(counted.collect(), key=lambda r: (r["id"], r["slot"])):
-        out.setdefault(r["id"], []).append((r["rows"], r["low"], r["high"]))
+        out.setdefault(ranges[r["id"]], []).append((r["rows"], r["low"], r["high"]))
     return out
 
 
-def _fetch(wide, ranges, q) -> dict[tuple[str, float, float], list[float]]:
+def _fetch(wide: DataFrame, ranges: list[tuple]) -> dict[tuple, list[float]]:
     """Sorted values of ranges that are known to hold at most ``FETCH_ROWS`` rows each."""
     row = wide.agg(
         *[
-            F.sort_array(F.collect_list(F.when((q(c) >= F.lit(lo)) & (q(c) <= F.lit(hi)), q(c)))).alias(f"v{i}")
-            for i, (c, lo, hi) in enumerate(ranges)
+            F.expr(f"sort_array(collect_list(CASE WHEN {x} BETWEEN {low!r}D AND {high!r}D THEN {x} END)) AS v{i}")
+            for i, (x, low, high) in enumerate(ranges)
         ]
     ).first()
     return {bounds: list(row[i]) for i, bounds in enumerate(ranges)}

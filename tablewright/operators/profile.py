@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from tablewright.functions.numeric import (
     quoted,
 )
 from tablewright.operators.order_stats import exact_quantiles
-from tablewright.runtime import SMALL_CELLS, is_small
+from tablewright.runtime import SMALL_CELLS, is_small, reread
 
 # Fixed values.
 IQR_MULTIPLIER = 1.5
@@ -55,32 +55,51 @@ def column_statistics(df: DataFrame, small_cells: int = SMALL_CELLS) -> list[dic
     Each scan reads every column once with map-side aggregation; only one scalar per statistic and column
     comes back, and goes into the next scan as a literal.
     """
-    numeric = numeric_columns(df)
     rows = df.count()
+    with reread(df.select(*[_prepared(df, f) for f in df.schema.fields]), rows) as kept:
+        return _column_statistics(kept, rows, small_cells)
+
+
+def _prepared(df: DataFrame, field: T.StructField) -> Column:
+    c = quoted(field.name)
+    if is_numeric(field.dataType):
+        return as_number(df, field.name).alias(field.name)
+    # Other columns are only tested for being constant.
+    return (F.to_json(c) if isinstance(field.dataType, T.MapType) else c).alias(field.name)
+
+
+def _column_statistics(df: DataFrame, rows: int, small_cells: int) -> list[dict]:
+    numeric = numeric_columns(df)
     small = is_small(rows, len(numeric), small_cells)
-    aggs = [F.count("*").alias("rows")]
-    for i, field in enumerate(df.schema.fields):
-        if field.name in numeric:
-            x = as_number(df, field.name)
-            aggs += [
-                F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}"),
-            ]
-            if small:
-                aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"))
-        else:
-            c = quoted(field.name)
-            c = F.to_json(c) if isinstance(field.dataType, T.MapType) else c
+    # Rows of (column number, value): the moments stay one short code path however wide the table is.
+    x = F.col("x")
+    moments = [
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+        F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+    ]
+    if small:
+        moments.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    first = {}
+    if numeric:
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), as_number(df, c).alias("x")) for c in numeric])
+        first = {r["c"]: r for r in df.select(F.inline(cells)).groupBy("c").agg(*moments).collect()}
+    others = [f for f in df.schema.fields if f.name not in numeric]
+    flat = {}
+    if others:
+        aggs = []
+        for i, f in enumerate(others):
+            c = quoted(f.name)
             aggs += [F.count(c).alias(f"n{i}"), F.min(c).eqNullSafe(F.max(c)).alias(f"flat{i}")]
-    first = df.agg(*aggs).first()
+        row = df.agg(*aggs).first()
+        flat = {f.name: (row[f"n{i}"], row[f"flat{i}"]) for i, f in enumerate(others)}
     quantiles = {}
     if not small:
         quantiles = exact_quantiles(df, {c: as_number(df, c) for c in numeric}, [0.25, 0.5, 0.75], rows, small_cells)
 
     records = []
-    for i, field in enumerate(df.schema.fields):
-        n = first[f"n{i}"]
+    for field in df.schema.fields:
+        stats = first.get(field.name)
+        n = flat[field.name][0] if field.name in flat else stats["n"] if stats else 0
         record = {name: None for name in PROFILE_SCHEMA.fieldNames()}
         record.update(
             column_name=field.name, is_numeric=field.name in numeric, num_rows=rows,
@@ -88,18 +107,17 @@ def column_statistics(df: DataFrame, small_cells: int = SMALL_CELLS) -> list[dic
         )
         for rule in _OUTLIERS:
             record[f"{rule}_outliers_count"], record[f"{rule}_outliers_pct"] = 0, 0.0
-        if field.name not in numeric:
-            record["zero_variance"] = bool(first[f"flat{i}"])
+        if field.name in flat:
+            record["zero_variance"] = bool(flat[field.name][1])
         else:
-            record["zero_variance"] = first[f"std{i}"] == 0.0 if n > 1 else True
+            record["zero_variance"] = stats["std"] == 0.0 if n > 1 else True
             if n:
-                p25, median, p75 = first[f"q{i}"] if small else quantiles[field.name]
+                p25, median, p75 = stats["q"] if small else quantiles[field.name]
                 span = IQR_MULTIPLIER * (p75 - p25)
                 record.update(
-                    mean=first[f"mean{i}"], std=first[f"std{i}"] if n > 1 else None,
-                    min=first[f"min{i}"], max=first[f"max{i}"], skewness=adjusted_skewness(n, first[f"g1_{i}"]),
-                    kurtosis=adjusted_kurtosis(n, first[f"g2_{i}"]),
-                    normality_p_value=normality_p(n, first[f"g1_{i}"], first[f"g2_{i}"]),
+                    mean=stats["mean"], std=stats["std"] if n > 1 else None, min=stats["min"], max=stats["max"],
+                    skewness=adjusted_skewness(n, stats["g1"]), kurtosis=adjusted_kurtosis(n, stats["g2"]),
+                    normality_p_value=normality_p(n, stats["g1"], stats["g2"]),
                     p25=p25, median=median, p75=p75, iqr_lower=p25 - span, iqr_upper=p75 + span,
                 )
         records.append(record)
@@ -107,17 +125,20 @@ def column_statistics(df: DataFrame, small_cells: int = SMALL_CELLS) -> list[dic
     filled = [r for r in records if r["median"] is not None]
     if not filled:
         return records
-    distance = {r["column_name"]: F.abs(as_number(df, r["column_name"]) - F.lit(r["median"])) for r in filled}
+    x = {r["column_name"]: "`" + r["column_name"].replace("`", "``") + "`" for r in filled}
+    distance = {r["column_name"]: f"abs({x[r['column_name']]} - {r['median']!r}D)" for r in filled}
     aggs = []
     for i, r in enumerate(filled):
-        x = as_number(df, r["column_name"])
-        aggs.append(F.count_if((x < F.lit(r["iqr_lower"])) | (x > F.lit(r["iqr_upper"]))).alias(f"iqr{i}"))
+        c = x[r["column_name"]]
+        aggs.append(f"count_if({c} < {r['iqr_lower']!r}D OR {c} > {r['iqr_upper']!r}D) AS iqr{i}")
         if r["std"] and r["num_rows"] - r["missing_count"] > 5:
-            aggs.append(F.count_if(F.abs((x - F.lit(r["mean"])) / F.lit(r["std"])) > ZSCORE_LIMIT).alias(f"z{i}"))
+            aggs.append(f"count_if(abs(({c} - {r['mean']!r}D) / {r['std']!r}D) > {ZSCORE_LIMIT!r}D) AS z{i}")
         if small:
-            aggs.append(F.percentile(distance[r["column_name"]], F.lit(0.5)).alias(f"mad{i}"))
-    second = df.agg(*aggs).first().asDict()
-    mads = {} if small else exact_quantiles(df, distance, [0.5], rows, small_cells)
+            aggs.append(f"percentile({distance[r['column_name']]}, 0.5) AS mad{i}")
+    second = df.selectExpr(*aggs).first().asDict()
+    mads = {}
+    if not small:
+        mads = exact_quantiles(df, {c: F.expr(e) for c, e in distance.items()}, [0.5], rows, small_cells)
     robust = []
     for i, r in enumerate(filled):
         n = r["num_rows"] - r["missing_count"]
@@ -125,10 +146,10 @@ def column_statistics(df: DataFrame, small_cells: int = SMALL_CELLS) -> list[dic
         for rule, count in (("iqr", second[f"iqr{i}"]), ("zscore", second.get(f"z{i}", 0))):
             r[f"{rule}_outliers_count"], r[f"{rule}_outliers_pct"] = count, 100.0 * count / n
         if r["mad"] and n > 5:
-            score = F.lit(MODIFIED_ZSCORE_FACTOR) * distance[r["column_name"]] / F.lit(r["mad"])
-            robust.append((r, n, F.count_if(score > MODIFIED_ZSCORE_LIMIT)))
+            score = f"{MODIFIED_ZSCORE_FACTOR!r}D * {distance[r['column_name']]} / {r['mad']!r}D"
+            robust.append((r, n, f"count_if({score} > {MODIFIED_ZSCORE_LIMIT!r}D) AS m{len(robust)}"))
     if robust:
-        third = df.agg(*[expr.alias(f"m{i}") for i, (_, _, expr) in enumerate(robust)]).first()
+        third = df.selectExpr(*[expr for _, _, expr in robust]).first()
         for i, (r, n, _) in enumerate(robust):
             r["modified_zscore_outliers_count"] = third[f"m{i}"]
             r["modified_zscore_outliers_pct"] = 100.0 * third[f"m{i}"] / n

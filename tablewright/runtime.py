@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 # Row counts below which a small side may be broadcast or a set of values may be
 # ordered inside one task. Both are compared with measured counts before use.
 BROADCAST_ROWS = 100_000
-SMALL_CELLS = 6_000_000
+SMALL_CELLS = 1_000_000
+KEPT_CELLS = 50_000_000
 
 _local_roots: dict[str, str] = {}
 
@@ -92,10 +94,23 @@ def attach_lookup(
     return hot_rows.unionByName(cold_rows)
 
 
+@contextmanager
+def reread(df: DataFrame, rows: int):
+    """``df`` for work that passes over it several times.
+
+    A table of few cells (by its counted rows) is spread over the cores and kept; a larger one is scanned
+    again, column-pruned, on every pass.
+    """
+    if rows * max(len(df.columns), 1) > KEPT_CELLS:
+        yield df
+        return
+    kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def is_small(rows: int, columns: int = 1, cells: int = SMALL_CELLS) -> bool:
     """Whether ``rows`` x ``columns`` values are few enough to be held by a single task."""
     return rows * max(columns, 1) <= cells
-
-
-def boolean_sum(condition: Column) -> Column:
-    return F.count_if(condition)
