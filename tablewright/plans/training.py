@@ -205,11 +205,15 @@ def ensemble_weights(scores: list[tuple[str, float]], is_classification: bool) -
 
 def soft_vote(probabilities: list[Column], weights: list[float]) -> tuple[Column, Column]:
     """Weighted mean of probability arrays, and the class with the largest (the first wins a tie)."""
-    scaled = [F.transform(p, lambda v, w=w: v * F.lit(w)) for p, w in zip(probabilities, weights)]
+    scaled = [_times(p, w) for p, w in zip(probabilities, weights)]
     mean = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), scaled)
     return mean, (F.array_position(mean, F.array_max(mean)) - 1).cast("double")
 
 
+def _times(values: Column, weight: float) -> Column:
+    return F.transform(values, lambda v: v * F.lit(weight))
+
+
 def hard_vote(predictions: list[Column], weights: list[float]) -> Column:
     """Class with the largest total weight; the smaller class wins a tie."""
     votes = F.array(*[F.struct(p.cast("double").alias("c"), F.lit(w).alias("w")) for p, w in zip(predictions, weights)])

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scans", "profiling", "association", "quality", "features")
+AREAS = ("scans", "profiling", "association", "quality", "features", "ranking", "modelling")
 
 
 def load() -> None:

@@ -16,7 +16,7 @@ from tablewright.functions.text import (
 from tablewright.operators import profile as P
 from tablewright.operators.association import variance_inflation
 from tablewright.operators.schema import column_counts, infer_schema
-from tablewright.workloads.registry import SQL, Tables, long_sql, query
+from tablewright.workloads.registry import Tables, long_sql, query
 
 
 def schema_sql(source: str, key: str, columns: list[tuple[str, str]]) -> str:
@@ -143,19 +143,19 @@ o AS (SELECT l.column_name,
       count(*) FILTER (std > 0 AND abs((l.v - mean) / std) > 3) AS z,
       count(*) FILTER (mad > 0 AND 0.6745 * abs(l.v - med) / mad > 3.5) AS mz
       FROM long l JOIN s USING (column_name) GROUP BY l.column_name)
-SELECT column_name, num_rows - n AS missing_count, round(100.0 * (num_rows - n) / num_rows, 4) AS missing_pct,
-       std = 0 AS zero_variance, round(skew, 4) + 0.0 AS skewness, round(kurt, 4) + 0.0 AS kurtosis, round(mean, 4) AS mean,
-       round(std, 4) AS std, round(mad, 4) AS mad, round(lo, 4) AS min_value, round(hi, 4) AS max_value, round(p25, 4) AS p25,
-       round(p75, 4) AS p75, round(p25 - 1.5 * (p75 - p25), 4) + 0.0 AS iqr_lower, round(p75 + 1.5 * (p75 - p25), 4) AS iqr_upper,
-       iqr AS iqr_count, round(100.0 * iqr / n, 4) AS iqr_pct, z AS zscore_count, round(100.0 * z / n, 4) AS zscore_pct,
-       mz AS modified_count, round(100.0 * mz / n, 4) AS modified_pct
+SELECT column_name, num_rows - n AS missing_count, round(100.0 * (num_rows - n) / num_rows, 6) AS missing_pct,
+       std = 0 AS zero_variance, round(skew, 6) + 0.0 AS skewness, round(kurt, 6) + 0.0 AS kurtosis, round(mean, 7) AS mean,
+       round(std, 6) AS std, round(mad, 6) AS mad, round(lo, 6) AS min_value, round(hi, 6) AS max_value, round(p25, 6) AS p25,
+       round(p75, 6) AS p75, round(p25 - 1.5 * (p75 - p25), 6) + 0.0 AS iqr_lower, round(p75 + 1.5 * (p75 - p25), 6) AS iqr_upper,
+       iqr AS iqr_count, round(100.0 * iqr / n, 6) AS iqr_pct, z AS zscore_count, round(100.0 * z / n, 6) AS zscore_pct,
+       mz AS modified_count, round(100.0 * mz / n, 6) AS modified_pct
 FROM s JOIN o USING (column_name)"""
 
 
 def profile_report(df: DataFrame) -> DataFrame:
-    r = lambda c, name=None: (F.round(c, 4) + 0.0).alias(name or c)
+    r = lambda c, name=None: (F.round(c, 6) + 0.0).alias(name or c)
     return P.profile_columns(df).where("is_numeric").select(
-        "column_name", "missing_count", r("missing_pct"), "zero_variance", r("skewness"), r("kurtosis"), r("mean"), r("std"),
+        "column_name", "missing_count", r("missing_pct"), "zero_variance", r("skewness"), r("kurtosis"), (F.round("mean", 7) + 0.0).alias("mean"), r("std"),
         r("mad"), r("min", "min_value"), r("max", "max_value"), r("p25"), r("p75"), r("iqr_lower"), r("iqr_upper"),
         F.col("iqr_outliers_count").alias("iqr_count"), r("iqr_outliers_pct", "iqr_pct"),
         F.col("zscore_outliers_count").alias("zscore_count"), r("zscore_outliers_pct", "zscore_pct"),
@@ -281,5 +281,3 @@ def quality_score(t: Tables) -> DataFrame:
         F.col("columns").alias("columns_seen"), F.col("gappy").alias("gappy_columns"), "quality_score"
     )
 
-
-__all__ = ["SQL"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,24 +210,24 @@ def clean_collinear(t: Tables) -> DataFrame:
 
 
 @query("clean_outliers", f"""
-SELECT column_name, iqr_count AS outliers, round(iqr_pct, 4) AS pct, round(p25 - 1.5 * (p75 - p25), 4) AS low, round(p75 + 1.5 * (p75 - p25), 4) AS high
+SELECT column_name, iqr_count AS outliers, round(iqr_pct, 6) AS pct, round(p25 - 1.5 * (p75 - p25), 6) AS low, round(p75 + 1.5 * (p75 - p25), 6) AS high
 FROM {_STATS} WHERE n >= 10 AND p75 <> p25 AND iqr_pct > 0.5 AND column_name <> 'outcome'""")
 def clean_outliers(t: Tables) -> DataFrame:
     found = C.outlier_columns(P.column_statistics(_events(t)), "outcome")
     rows = [(r["column_name"], r["iqr_outliers_count"], r["iqr_outliers_pct"], r["iqr_lower"], r["iqr_upper"]) for r in found]
     table = t.spark.createDataFrame(rows, "column_name string, outliers bigint, pct double, low double, high double")
-    return table.select("column_name", "outliers", *[F.round(c, 4).alias(c) for c in ("pct", "low", "high")])
+    return table.select("column_name", "outliers", *[F.round(c, 6).alias(c) for c in ("pct", "low", "high")])
 
 
 @query("winsorize", """
 WITH f AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v FROM events),
 b AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM f)
-SELECT event_id, round(CASE WHEN v IS NULL THEN NULL ELSE greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), v)) END, 4) AS value
+SELECT event_id, round(CASE WHEN v IS NULL THEN NULL ELSE greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), v)) END, 6) AS value
 FROM f, b""")
 def winsorize(t: Tables) -> DataFrame:
     df = t("events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
     capped = C.winsorize(df, C.outlier_columns(P.column_statistics(df), "event_id"))
-    return capped.select("event_id", F.round("value", 4).alias("value"))
+    return capped.select("event_id", F.round("value", 6).alias("value"))
 
 
 @query("clean_summary")
@@ -244,5 +242,3 @@ def cleaned_rows(t: Tables) -> DataFrame:
     out, _ = C.clean_dataset(t("supplier"), "s_suppkey", None, ["s_name"], "cap", False, "flag")
     return out
 
-
-__all__ = ["cache"]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import text_digest
-from tablewright.functions.numeric import plain_round
 from tablewright.operators.catalogue import search_runs
 from tablewright.operators.clean import drop_incomplete, drop_zero_variance
 from tablewright.operators.profile import preview
@@ -215,5 +214,3 @@ WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR con
 def search_records(t: Tables) -> DataFrame:
     return search_runs(t("part"), " RING ", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name", "p_brand")
 
-
-__all__ = ["plain_round"]
