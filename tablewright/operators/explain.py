@@ -86,13 +86,16 @@ def sampled_shapley(
         base, draws = shared.value
         for pdf in batches:
             for k, x in zip(pdf["key"], pdf["v"]):
-                for n, (b, order) in enumerate(draws):
+                mixes = []
+                for b, order in draws:
                     mix = np.tile(base[b], (d + 1, 1))
                     for step, f in enumerate(order, 1):
                         mix[step:, f] = x[f]
-                    yield pd.DataFrame(
-                        {"key": k, "draw": n, "step": range(d + 1), "f": [-1, *order], "v": list(mix)}
-                    )
+                    mixes.append(mix)
+                yield pd.DataFrame({
+                    "key": k, "draw": np.repeat(np.arange(len(draws)), d + 1), "step": np.tile(np.arange(d + 1), len(draws)),
+                    "f": np.concatenate([[-1, *order] for _, order in draws]), "v": list(np.concatenate(mixes)),
+                })
 
     mixed = rows.select(F.col(key).alias("key"), vector_to_array(features).alias("v")).mapInPandas(
         switch, f"key {key_type}, draw int, step int, f int, v array<double>"

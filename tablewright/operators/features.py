@@ -332,19 +332,21 @@ class CategoryEncoder(Estimator, _Stage):
 
     def _fit(self, df: DataFrame) -> "CategoryEncoderModel":
         kind = self.getOrDefault("kind")
+        names = self.getInputCols()
+        known = df.agg(F.count("*"), *[F.count_if(present(df, c)) for c in names]).first()
         tables = {}
         for c, _ in self._pairs():
             value = F.when(present(df, c), quoted(c).cast("string")).alias("value")
             counts = df.select(value).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
             if kind == "frequency":
-                total = df.where(present(df, c)).count()
+                total = known[1 + names.index(c)]
                 tables[c] = cut_lineage(counts.withColumn("code", F.col("n") / F.lit(float(max(total, 1)))))
             else:
                 tables[c] = sorted_codes(counts)
         model = CategoryEncoderModel(tables)
         model._set(
             inputCols=self.getInputCols(), outputCols=[o for _, o in self._pairs()],
-            unknown=0.0 if kind == "frequency" else -1.0,
+            unknown=0.0 if kind == "frequency" else -1.0, fittedRows=known[0],
         )
         return model
 
@@ -368,18 +370,19 @@ def sorted_codes(counts: DataFrame) -> DataFrame:
 
 class CategoryEncoderModel(Model, HasInputCols, HasOutputCols, MLReadable, MLWritable):
     unknown = Param(Params._dummy(), "unknown", "code of unseen categories", TypeConverters.toFloat)
+    fittedRows = Param(Params._dummy(), "fittedRows", "rows seen in fit", TypeConverters.toInt)
 
     def __init__(self, tables: dict[str, DataFrame] | None = None):
         super().__init__()
         self.tables = tables or {}
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        unknown = self.getOrDefault("unknown")
-        total = df.count()
+        # Shares of the fitted rows tell which categories are heavy, so the rows need no count of their own.
+        unknown, total = self.getOrDefault("unknown"), max(self.getOrDefault("fittedRows"), 1)
         for c, o in zip(self.getInputCols(), self.getOutputCols()):
             table = self.tables[c].select(F.col("value").alias("__value"), "n", F.col("code").alias("__code"))
             df = df.withColumn("__value", quoted(c).cast("string"))
-            df = attach_lookup(df, table, ["__value"], max(total, 1), "n")
+            df = attach_lookup(df, table, ["__value"], total, "n")
             df = df.withColumn(o, F.coalesce("__code", F.lit(unknown))).drop("__value", "__code")
         return df
 
@@ -518,7 +521,8 @@ def encode_label(df: DataFrame, target: str, table: DataFrame, output: str = "la
     value = as_number(df, target) if numeric else quoted(target).cast("string")
     rows = df.withColumn("__class", value)
     lookup = table.select(F.col("class").alias("__class"), "n", F.col("label").alias(output))
-    return attach_lookup(rows, lookup, ["__class"], df.count(), "n").drop("__class")
+    total = lookup.agg(F.sum("n")).first()[0] or 1
+    return attach_lookup(rows, lookup, ["__class"], total, "n").drop("__class")
 
 
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:

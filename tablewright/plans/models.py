@@ -18,7 +18,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.plans.spec import Candidate
@@ -60,12 +60,15 @@ def supported_models() -> list[str]:
     return sorted({n for names in FAMILIES.values() for n in names})
 
 
-def balanced_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
-    """Adds n / (classes x class size) to each row. The class table is broadcast: one row per class."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__c"))
+def balanced_weights(df: DataFrame, label: str, output: str = "weight", counted: Column | None = None) -> DataFrame:
+    """Adds n / (classes x class size) to each row, counted over all rows or some of them.
+
+    The class table is broadcast: one row per class.
+    """
+    counts = (df if counted is None else df.where(counted)).groupBy(label).agg(F.count("*").alias("__c"))
     total, classes = counts.agg(F.sum("__c"), F.count("*")).first()
     weights = counts.select(label, (F.lit(float(total)) / (F.lit(classes) * F.col("__c"))).alias(output))
-    return df.join(F.broadcast(weights), label)
+    return df.join(F.broadcast(weights), label, "left")
 
 
 def build_estimator(

@@ -40,6 +40,8 @@ class Experiment:
     importances: list[tuple[str, float]] = field(default_factory=list)
     duration_seconds: float = 0.0
     model: PipelineModel | None = None
+    estimator: PipelineModel | None = None  # works on vectors; ``model`` takes raw rows
+    fold_models: list[PipelineModel] = field(default_factory=list)
     error: str | None = None
     hyperparams: dict = field(default_factory=dict)
 
@@ -123,41 +125,65 @@ def _fold_scores(scored: DataFrame, plan: ModelPlan) -> dict[str, float]:
     return {"accuracy": r["accuracy"], "f1_macro": r["f1_macro"]}
 
 
-def _fit(rows: DataFrame, plan: ModelPlan, types: dict[str, str], candidate: Candidate, classes: int, seed: int) -> PipelineModel:
+@dataclass
+class FeatureSet:
+    """Rows as vectors, made by transforms fitted on some of them, and what estimators need to know of those."""
+
+    transforms: PipelineModel
+    rows: DataFrame
+    names: list[str]
+    fitted_on: Column
+    count: int
+    label_std: float
+    weight: str | None
+
+    def training(self) -> DataFrame:
+        return self.rows.where(self.fitted_on)
+
+
+def make_features(folded: DataFrame, fitted_on: Column, plan: ModelPlan, types: dict[str, str]) -> FeatureSet:
+    """Fits the transforms on the given rows only and writes the vectors of all rows once, for all candidates."""
+    train = folded.where(fitted_on)
+    transforms = Pipeline(stages=feature_stages(train, types, plan)).fit(train)
+    vectors = transforms.transform(folded)
+    names = feature_names(vectors)
+    rows = vectors.select("label", "split", "fold", "features")
     weight = None
     if plan.evaluation.handle_imbalance and plan.is_classification:
-        rows, weight = balanced_weights(rows, "label"), "weight"
-    facts = rows.agg(F.count("*"), F.stddev_pop("label")).first()
-    stages = feature_stages(rows, types, plan) + build_estimator(
-        candidate, plan.task_type, facts[0], classes, facts[1] or 1.0, weight, seed
-    )
-    return Pipeline(stages=stages).fit(rows)
+        weight = "weight"
+        rows = balanced_weights(rows, "label", weight, fitted_on)
+    rows = cut_lineage(rows)
+    count, std = rows.where(fitted_on).agg(F.count("*"), F.stddev_pop("label")).first()
+    return FeatureSet(transforms, rows, names, fitted_on, count, std or 1.0, weight)
 
 
-def cross_validate(
-    rows: DataFrame, plan: ModelPlan, types: dict[str, str], candidate: Candidate, classes: int, seed: int = 42
-) -> list[dict[str, float]]:
-    """Scores per fold. ``rows`` carries ``fold``; every transform is fitted again without the held-out fold."""
-    out = []
-    for i in range(plan.evaluation.n_folds):
-        model = _fit(rows.where(F.col("fold") != i), plan, types, candidate, classes, seed)
-        out.append(_fold_scores(model.transform(rows.where(F.col("fold") == i)), plan))
-    return out
+def _fit(features: FeatureSet, plan: ModelPlan, candidate: Candidate, classes: int, seed: int) -> PipelineModel:
+    stages = build_estimator(
+        candidate, plan.task_type, features.count, classes, features.label_std, features.weight, seed
+    )
+    return Pipeline(stages=stages).fit(features.training())
 
 
 def train_candidate(
-    data: DataFrame, plan: ModelPlan, types: dict[str, str], candidate: Candidate, classes: int, seed: int = 42
+    folds: list[FeatureSet], final: FeatureSet, plan: ModelPlan, candidate: Candidate, classes: int, seed: int = 42
 ) -> Experiment:
-    """Cross-validation on train and validation rows, a fit on train rows, and metrics of both splits."""
+    """Cross-validation on train and validation rows, a fit on train rows, and metrics of both splits.
+
+    ``folds[i]`` has its transforms fitted without fold i, so nothing of a held-out fold is seen before it is scored.
+    """
     result = Experiment(candidate.name, candidate.library, hyperparams=dict(candidate.params))
     start = time.perf_counter()
     try:
-        result.fold_metrics = cross_validate(data.where("split <> 'test'"), plan, types, candidate, classes, seed)
-        train = data.where("split = 'train'")
-        result.model = _fit(train, plan, types, candidate, classes, seed)
+        for i, features in enumerate(folds):
+            model = _fit(features, plan, candidate, classes, seed)
+            result.fold_metrics.append(_fold_scores(model.transform(held_out(features, i)), plan))
+            result.fold_models.append(model)
+        result.estimator = _fit(final, plan, candidate, classes, seed)
+        result.model = PipelineModel(stages=[*final.transforms.stages, *result.estimator.stages])
         for split in ("val", "train"):
-            result.metrics[split] = evaluate(result.model.transform(data.where(F.col("split") == split)), plan, classes)
-        result.importances = importances(result.model, feature_names(result.model.transform(train.limit(1))))
+            scored = result.estimator.transform(final.rows.where(F.col("split") == split))
+            result.metrics[split] = evaluate(scored, plan, classes)
+        result.importances = importances(result.estimator, final.names)
         result.status = "success"
     except Exception as problem:  # a candidate must not stop the others
         result.status, result.error = "failed", f"{type(problem).__name__}: {problem}"[:500]
@@ -165,6 +191,10 @@ def train_candidate(
     return result
 
 
+def held_out(features: FeatureSet, fold: int) -> DataFrame:
+    return features.rows.where((F.col("split") != "test") & (F.col("fold") == fold))
+
+
 def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
     """Tree importances or mean absolute coefficients by feature, largest first."""
     last = model.stages[-1]
@@ -180,15 +210,19 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
     return sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda t: (-t[1], t[0]))
 
 
+def with_folds(data: DataFrame, plan: ModelPlan, features: list[str], seed: int = 42) -> DataFrame:
+    """Adds ``fold``, written once, so that all candidates are judged on the same folds."""
+    label = "label" if plan.is_classification else None
+    return cut_lineage(assign_folds(data, features, plan.evaluation.n_folds, label, seed))
+
+
 def train_all(
-    data: DataFrame, plan: ModelPlan, types: dict[str, str], features: list[str], classes: int, workers: int = WORKERS, seed: int = 42
+    folds: list[FeatureSet], final: FeatureSet, plan: ModelPlan, classes: int, workers: int = WORKERS, seed: int = 42
 ) -> list[Experiment]:
-    """All candidates as concurrent Spark jobs over the same rows, each fold table written once."""
-    label = "label" if plan.is_classification else None
-    folded = cut_lineage(assign_folds(data, features, plan.evaluation.n_folds, label, seed))
+    """All candidates as concurrent Spark jobs over the same vectors."""
     order = sorted(plan.candidates, key=lambda c: c.priority)
     with ThreadPoolExecutor(max_workers=min(workers, len(order))) as pool:
-        return list(pool.map(lambda c: train_candidate(folded, plan, types, c, classes, seed), order))
+        return list(pool.map(lambda c: train_candidate(folds, final, plan, c, classes, seed), order))
 
 
 # --- voting ---------------------------------------------------------------------------------------------------
@@ -260,48 +294,48 @@ def best_of(array: str) -> Column:
 
 
 def add_ensemble(
-    results: list[Experiment], data: DataFrame, plan: ModelPlan, types: dict[str, str], features: list[str],
-    classes: int, seed: int = 42,
+    results: list[Experiment], folds: list[FeatureSet], final: FeatureSet, plan: ModelPlan, classes: int
 ) -> Experiment | None:
-    """The weighted ensemble as one more experiment, judged on the same folds; None below two models."""
+    """The weighted ensemble as one more experiment; None below two models.
+
+    It is judged on the folds of its members, with the models those folds already have.
+    """
     good = [r for r in results if r.status == "success"]
     if len(good) < 2:
         return None
     metric = "f1_macro" if plan.is_classification else "rmse"
     weights = ensemble_weights([(r.model_name, r.cv(metric)[0]) for r in good], plan.is_classification)
     by_name = {r.model_name: r for r in good}
-    candidates = {c.name: c for c in plan.candidates}
     start = time.perf_counter()
-    label = "label" if plan.is_classification else None
-    folded = cut_lineage(assign_folds(data, features, plan.evaluation.n_folds, label, seed)).where("split <> 'test'")
     w = [x for _, x in weights]
     result = Experiment(ENSEMBLE_NAME, "ensemble", "success", hyperparams={"weights": dict(weights)})
-    for i in range(plan.evaluation.n_folds):
-        members = [_fit(folded.where(F.col("fold") != i), plan, types, candidates[n], classes, seed) for n, _ in weights]
-        scored = vote(folded.where(F.col("fold") == i), members, w, plan.is_classification)
+    for i, features in enumerate(folds):
+        members = [by_name[n].fold_models[i] for n, _ in weights]
+        scored = vote(held_out(features, i), members, w, plan.is_classification)
         result.fold_metrics.append(_fold_scores(scored, plan))
-    members = [by_name[n].model for n, _ in weights]
+    members = [by_name[n].estimator for n, _ in weights]
     for split in ("val", "train"):
-        scored = vote(data.where(F.col("split") == split), members, w, plan.is_classification)
+        scored = vote(final.rows.where(F.col("split") == split), members, w, plan.is_classification)
         result.metrics[split] = evaluate(scored, plan, classes)
     result.importances = weights
     result.duration_seconds = time.perf_counter() - start
     return result
 
 
-def evaluate_on_test(results: list[Experiment], data: DataFrame, plan: ModelPlan, classes: int) -> None:
-    """Test metrics of every model; called after the winner is fixed, so they cannot steer the choice."""
-    test = data.where("split = 'test'")
+def evaluate_on_test(results: list[Experiment], final: FeatureSet, plan: ModelPlan, classes: int) -> None:
+    """Test metrics of every model; they come after cross-validation and have no part in choosing the winner."""
+    test = final.rows.where("split = 'test'")
     by_name = {r.model_name: r for r in results}
     for r in results:
         if r.status != "success":
             continue
-        if r.model is not None:
-            r.metrics["test"] = evaluate(r.model.transform(test), plan, classes)
+        if r.estimator is not None:
+            scored = r.estimator.transform(test)
         else:
             weights = r.hyperparams["weights"]
-            members = [by_name[n].model for n in weights]
-            r.metrics["test"] = evaluate(vote(test, members, list(weights.values()), plan.is_classification), plan, classes)
+            members = [by_name[n].estimator for n in weights]
+            scored = vote(test, members, list(weights.values()), plan.is_classification)
+        r.metrics["test"] = evaluate(scored, plan, classes)
 
 
 def run_experiments(
@@ -311,11 +345,15 @@ def run_experiments(
     """Split, train, ensemble, and test evaluation; the winner is chosen from the result tables."""
     data, table = prepare(df, plan, features, order_col)
     classes = table.count() if table is not None else 0
-    results = train_all(data, plan, types, features, classes, workers, seed)
+    folded = with_folds(data, plan, features, seed)
+    kept = F.col("split") != "test"
+    folds = [make_features(folded, kept & (F.col("fold") != i), plan, types) for i in range(plan.evaluation.n_folds)]
+    final = make_features(folded, F.col("split") == "train", plan, types)
+    results = train_all(folds, final, plan, classes, workers, seed)
     if with_ensemble:
-        extra = add_ensemble(results, data, plan, types, features, classes, seed)
+        extra = add_ensemble(results, folds, final, plan, classes)
         results += [extra] if extra else []
-    evaluate_on_test(results, data, plan, classes)
+    evaluate_on_test(results, final, plan, classes)
     return results, data
 
 
@@ -373,8 +411,8 @@ def model_size_kb(spark: SparkSession, path: str) -> float:
 
 
 __all__ = [
-    "ENSEMBLE_NAME", "Experiment", "add_ensemble", "batch_score", "cross_validate", "cv_summary", "ensemble_weights",
+    "ENSEMBLE_NAME", "Experiment", "FeatureSet", "add_ensemble", "batch_score", "cv_summary", "ensemble_weights",
     "evaluate", "evaluate_on_test", "experiment_tables", "family_of", "fold_strategy", "hard_vote", "importances",
-    "inference_latency_ms", "model_size_kb", "prepare", "run_experiments", "soft_vote", "train_all", "train_candidate",
+    "inference_latency_ms", "make_features", "model_size_kb", "prepare", "run_experiments", "soft_vote", "train_all", "train_candidate",
     "vote",
 ]
