@@ -27,9 +27,9 @@ FLAG_COLUMN = "_anomaly_flag"
 EULER = 0.5772156649015329
 
 
-def usable_columns(df: DataFrame, target: str | None = None) -> list[str]:
-    """Numeric columns that vary, without the target."""
-    columns = numeric_columns(df, (target,) if target else ())
+def usable_columns(df: DataFrame, skip: tuple[str | None, ...] = ()) -> list[str]:
+    """Numeric columns that vary, without the skipped ones (key and target)."""
+    columns = numeric_columns(df, skip)
     if not columns:
         return []
     spread = df.agg(*[F.stddev_samp(as_number(df, c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
@@ -135,7 +135,7 @@ def isolation_forest(df: DataFrame, key: str, vec: Column, **options) -> DataFra
 
 def detect_anomalies(df: DataFrame, key: str, target: str | None = None, min_rows: int = 20) -> DataFrame | None:
     """``(key, score, lof, by_forest, by_lof, consensus)``; None for fewer than two varying columns or too few rows."""
-    columns = usable_columns(df, target)
+    columns = usable_columns(df, (key, target))
     if len(columns) < 2 or df.limit(min_rows).count() < min_rows:
         return None
     points = median_filled(df, key, columns)

@@ -102,8 +102,8 @@ def clean_dataset(
     report = CleanReport(original_rows=rows, original_cols=len(df.columns), anomaly_action=anomaly_action)
 
     constant = [r["column_name"] for r in records if r["zero_variance"]]
-    report.cols_dropped = planned_drops(df.columns, ignored or [], constant, target)
-    out = df.drop(*[c for c, _ in report.cols_dropped if c != key])
+    report.cols_dropped = planned_drops([c for c in df.columns if c != key], ignored or [], constant, target)
+    out = df.drop(*[c for c, _ in report.cols_dropped])
 
     collinear = variance_inflation(df, shown_from=VIF_LIMIT).collect()
     report.vif_diagnostics = [(r["column_name"], r["vif"]) for r in collinear if r["column_name"] != target]

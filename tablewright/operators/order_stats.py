@@ -64,8 +64,10 @@ def exact_quantiles(
                     out[c].append(None)
                     continue
                 pos = p * (sizes[c] - 1)
-                low, high = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
-                out[c].append(low + (high - low) * (pos - math.floor(pos)))
+                below, above = math.floor(pos), math.ceil(pos)
+                low, high = found[(c, below)], found[(c, above)]
+                # The weights of the built-in percentile, so both ways give the same bits.
+                out[c].append(low if below == above or low == high else (above - pos) * low + (pos - below) * high)
     return out
 
 
@@ -134,8 +136,9 @@ def _slice_counts(wide: DataFrame, ranges: list[tuple]) -> dict[tuple, list[tupl
     """Rows, smallest and largest value of every slice of the ranges, in value order."""
     tagged = []
     for i, (x, low, high) in enumerate(ranges):
-        # Halves keep the width finite for any two doubles.
-        share = f"({x} / 2 - {low / 2!r}D) / {high / 2 - low / 2!r}D"
+        # Halves keep the width finite for any two doubles; the narrowest ranges have no half.
+        width = high / 2 - low / 2
+        share = f"({x} / 2 - {low / 2!r}D) / {width!r}D" if width > 0 else f"CAST({x} > {low!r}D AS double)"
         slot = f"least(cast(floor({share} * {SLICES}) AS int), {SLICES - 1})"
         tagged.append(f"CASE WHEN {x} BETWEEN {low!r}D AND {high!r}D THEN struct({i} AS id, {slot} AS slot, {x} AS x) END")
     counted = (

@@ -57,8 +57,8 @@ def quota_split(
     """Split with row quotas per class: groups whole, test and validation filled in hash order.
 
     Groups of a class are counted in 4096 slices of their hash; only a slice that
-    straddles a quota is ordered row by row, so no class is sorted as a whole. A group larger than both quotas
-    of its class trains.
+    straddles a quota is ordered group by group, so no class is sorted as a whole. A group larger than the validation
+    quota trains, unless its class has no smaller one.
     """
     grouped = with_groups(df, features)
     total = df.count()
@@ -66,28 +66,42 @@ def quota_split(
     groups = cut_lineage(groups.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")))
     validation = (1.0 - test_size) * VALIDATION_SHARE
     quota = lambda share: F.greatest(F.lit(1), F.round(F.sum("n") * F.lit(share)).cast("bigint"))
-    quotas = groups.groupBy("class").agg(quota(test_size).alias("for_test"), quota(validation).alias("for_val"))
+    quotas = groups.groupBy("class").agg(
+        quota(test_size).alias("for_test"), quota(validation).alias("for_val"), F.min("n").alias("least")
+    )
     sized = groups.join(quotas, groups["class"].eqNullSafe(quotas["class"])).drop(quotas["class"])
-    fits = F.col("n") <= F.col("for_test") + F.col("for_val")
-    slices = sized.where(fits).groupBy("class", "slice").agg(F.sum("n").alias("slice_rows"))
+    fits = F.col("n") <= F.greatest("for_val", "least")
     before = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        F.col("class").alias("s_class"), F.col("slice").alias("s_slice"), "slice_rows",
-        F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("slice_start"),
+    slices = (
+        sized.where(fits)
+        .groupBy("class", "slice")
+        .agg(F.sum("n").alias("slice_rows"))
+        .select(
+            F.col("class").alias("s_class"), F.col("slice").alias("s_slice"), "slice_rows",
+            F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("slice_start"),
+        )
     )
     placed = sized.where(fits).join(
         slices, F.col("class").eqNullSafe(F.col("s_class")) & (F.col("slice") == F.col("s_slice"))
     )
-    test_end, val_end = F.col("for_test"), F.col("for_test") + F.col("for_val")
-    slice_end = F.col("slice_start") + F.col("slice_rows")
-    straddles = lambda end: (F.col("slice_start") < end) & (slice_end > end)
-    name = lambda start: F.when(start < test_end, "test").when(start < val_end, "val").otherwise("train")
-    edge = straddles(test_end) | straddles(val_end)
     inside = Window.partitionBy("class", "slice").orderBy("u", GROUP).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("slice_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    slice_end = F.col("slice_start") + F.col("slice_rows")
+    straddles = lambda end: (F.col("slice_start") < end) & (slice_end > end)
+
+    # The last test group may reach past its quota; validation starts where it ends.
+    whole = placed.where(slice_end <= F.col("for_test")).select("class", slice_end.alias("end"))
+    partly = placed.where(straddles(F.col("for_test"))).withColumn("start", start).where("start < for_test").select(
+        "class", (F.col("start") + F.col("n")).alias("end")
+    )
+    ends = whole.unionByName(partly).groupBy(F.col("class").alias("e_class")).agg(F.max("end").alias("test_end"))
+    placed = placed.join(ends, F.col("class").eqNullSafe(F.col("e_class")))
+    val_end = F.col("test_end") + F.col("for_val")
+    name = lambda at: F.when(at < F.col("for_test"), "test").when(at < val_end, "val").otherwise("train")
+    edge = straddles(F.col("for_test")) | straddles(val_end)
     assigned = (
         placed.where(~edge).select(GROUP, "n", name(F.col("slice_start")).alias("split"))
-        .unionByName(placed.where(edge).select(GROUP, "n", name(start).alias("split")))
+        .unionByName(placed.where(edge).withColumn("start", start).select(GROUP, "n", name(F.col("start")).alias("split")))
         .unionByName(sized.where(~fits).select(GROUP, "n", F.lit("train").alias("split")))
     )
     return attach_lookup(grouped, assigned, [GROUP], total, "n").drop(GROUP)
