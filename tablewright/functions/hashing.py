@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tablewright.functions.numeric import quoted
 
 TWO_32 = 4294967296.0
+SHORT_TEXT = 64
 
 
 def _stable(df: DataFrame, name: str) -> Column:
@@ -27,6 +28,11 @@ def row_digest(df: DataFrame, columns: list[str], salt: int = 0) -> Column:
     return F.xxhash64(*parts)
 
 
+def text_key(c: Column) -> Column:
+    """A grouping key for strings: short ones as they are, long ones by their SHA-256, so texts are not shuffled."""
+    return F.when(F.length(c) > SHORT_TEXT, F.concat(F.lit("sha256:"), F.sha2(c, 256))).otherwise(c)
+
+
 def text_digest(parts: list[Column], seed: str = "") -> Column:
     """32-bit number from the md5 of the joined parts; any SQL engine can recompute it."""
     shown = [F.coalesce(p.cast("string"), F.lit("<null>")) for p in parts]

@@ -14,6 +14,7 @@ from tablewright.functions.hashing import uniform_from_key
 from tablewright.functions.numeric import as_number, numeric_columns, quoted
 from tablewright.operators.neighbours import local_outlier_factor
 from tablewright.operators.order_stats import exact_quantiles
+from tablewright.runtime import spread
 
 # Fixed values.
 TREES = 50
@@ -129,7 +130,7 @@ def isolation_scores(points: DataFrame, key: str, forest: DataFrame) -> DataFram
 
 
 def isolation_forest(df: DataFrame, key: str, vec: Column, **options) -> DataFrame:
-    points = df.select(quoted(key).alias(key), vec.cast("array<double>").alias("vec"))
+    points = spread(df.select(quoted(key).alias(key), vec.cast("array<double>").alias("vec")))
     return isolation_scores(points, key, grow_forest(points, key, **options))
 
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.numeric import as_number, is_numeric, numeric_columns, present, quoted
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ranking_values import tie_ranks
-from tablewright.runtime import SMALL_CELLS, attach_lookup
+from tablewright.runtime import ORDERED_ROWS, SMALL_CELLS, attach_lookup
 
 # Fixed values.
 HIGH_CORRELATION = 0.95
@@ -52,16 +53,26 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return _pairwise_corr(df.select(*[as_number(df, c).alias(c) for c in columns]), columns)
 
 
-def _ranked(df: DataFrame, columns: list[str], rows: int, small_cells: int) -> DataFrame:
+def _ranked(df: DataFrame, columns: list[str], rows: int, ordered_rows: int) -> DataFrame:
+    """Tie-averaged ranks of complete columns.
+
+    A counted few rows are ranked in one window per column: the mean of the first and last place of a tie. Otherwise
+    ranks are computed per distinct value and joined back.
+    """
+    if rows <= ordered_rows:
+        one = lambda c: Window.partitionBy(F.lit(0)).orderBy(quoted(c))
+        return df.select(
+            *[((F.rank().over(one(c)) + F.cume_dist().over(one(c)) * rows) / 2).alias(c) for c in columns]
+        )
     for i, c in enumerate(columns):
-        ranks = tie_ranks(df.select(quoted(c).alias("__v")), "__v", rows, small_cells)
+        ranks = tie_ranks(df.select(quoted(c).alias("__v")), "__v", rows, ordered_rows)
         ranks = ranks.select(F.col("__v").alias(c), "n", F.col("rank").alias(f"__rank{i}"))
         df = attach_lookup(df, ranks, [c], rows, "n")
     return df.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def spearman_matrix(
-    df: DataFrame, columns: list[str] | None = None, small_cells: int = SMALL_CELLS
+    df: DataFrame, columns: list[str] | None = None, ordered_rows: int = ORDERED_ROWS
 ) -> DataFrame:
     """Rank correlation of all pairs: Pearson r of tie-averaged ranks.
 
@@ -74,14 +85,13 @@ def spearman_matrix(
     counts = counts.first()
     rows = counts["rows"]
     full = [c for i, c in enumerate(columns) if counts[f"n{i}"] == rows]
-    out = _pairwise_corr(_ranked(numbers.select(*full), full, rows, small_cells), full) if len(full) > 1 else None
+    parts = [_pairwise_corr(_ranked(numbers.select(*full), full, rows, ordered_rows), full)] if len(full) > 1 else []
     for a, b in combinations(columns, 2):
-        if a in full and b in full:
-            continue
-        both = numbers.select(a, b).dropna()
-        table = _pairwise_corr(_ranked(both, [a, b], both.count(), small_cells), [a, b])
-        out = table if out is None else out.unionAll(table)
-    return out if out is not None else df.sparkSession.createDataFrame([], _PAIRS)
+        if a not in full or b not in full:
+            both = numbers.select(a, b).dropna()
+            gap_rows = counts[f"n{columns.index(a)}"] if b in full else counts[f"n{columns.index(b)}"] if a in full else both.count()
+            parts.append(_pairwise_corr(_ranked(both, [a, b], gap_rows, ordered_rows), [a, b]))
+    return reduce(DataFrame.unionAll, parts) if parts else df.sparkSession.createDataFrame([], _PAIRS)
 
 
 def high_pairs(matrix: DataFrame, limit: float = HIGH_CORRELATION) -> DataFrame:
@@ -202,7 +212,7 @@ def mutual_information(
         to_bin.append(target)
     binned = with_bins(known, to_bin, bins, small_cells) if to_bin else known
     scores = discrete_mutual_information(binned, features, target)
-    ranks = target_rank_correlation(known, target, numeric, small_cells)
+    ranks = target_rank_correlation(known, target, numeric)
     return scores.join(ranks, "column_name", "left").orderBy(F.desc("mi_score"), "column_name")
 
 
@@ -216,7 +226,7 @@ def coerced_target(df: DataFrame, target: str) -> Column:
 
 
 def target_rank_correlation(
-    df: DataFrame, target: str, features: list[str], small_cells: int = SMALL_CELLS
+    df: DataFrame, target: str, features: list[str], ordered_rows: int = ORDERED_ROWS
 ) -> DataFrame:
     """Absolute Spearman correlation of numeric features with the target read as a number."""
     schema = "column_name string, spearman_corr double"
@@ -230,7 +240,7 @@ def target_rank_correlation(
     ).first()
     whole = [c for i, c in enumerate(features) if full[f"n{i}"] == full["rows"] == full["y"]]
     if whole:
-        ranked = _ranked(numbers.select("__y", *whole), ["__y", *whole], full["rows"], small_cells)
+        ranked = _ranked(numbers.select("__y", *whole), ["__y", *whole], full["rows"], ordered_rows)
         cells = F.array(
             *[F.struct(F.lit(c).alias("column_name"), F.abs(F.col(f"r{i}")).alias("spearman_corr"))
               for i, c in enumerate(whole)]
@@ -240,7 +250,7 @@ def target_rank_correlation(
         if c in whole:
             continue
         both = numbers.select("__y", c).dropna()
-        ranked = _ranked(both, ["__y", c], both.count(), small_cells)
+        ranked = _ranked(both, ["__y", c], both.count(), ordered_rows)
         one = ranked.agg(F.corr("__y", quoted(c)).alias("r")).select(
             F.lit(c).alias("column_name"), F.abs("r").alias("spearman_corr")
         )

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.runtime import scratch_path
+from tablewright.runtime import scratch_path, spread
 
 # Rows used by the sampling explainer and sizes of the reports.
 BACKGROUND_ROWS = 100
@@ -97,7 +97,7 @@ def sampled_shapley(
                     "f": np.concatenate([[-1, *order] for _, order in draws]), "v": list(np.concatenate(mixes)),
                 })
 
-    mixed = rows.select(F.col(key).alias("key"), vector_to_array(features).alias("v")).mapInPandas(
+    mixed = spread(rows.select(F.col(key).alias("key"), vector_to_array(features).alias("v"))).mapInPandas(
         switch, f"key {key_type}, draw int, step int, f int, v array<double>"
     )
     scored = model.transform(mixed.select("key", "draw", "step", "f", array_to_vector("v").alias(features)))
@@ -172,7 +172,8 @@ def tree_shapley(
                 "key": np.repeat(pdf["key"].to_numpy(), d), "feature": names * len(x), "phi": phi.ravel(),
             })
 
-    return rows.select(F.col(key).alias("key"), vector_to_array(features).alias("v")).mapInPandas(
+    vectors = spread(rows.select(F.col(key).alias("key"), vector_to_array(features).alias("v")))
+    return vectors.mapInPandas(
         explain, f"key {key_type}, feature string, phi double"
     ).withColumnRenamed("key", key)
 

@@ -19,7 +19,7 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.dates import DATE_PARTS, as_timestamp, date_part
@@ -27,13 +27,14 @@ from tablewright.functions.numeric import as_number, is_numeric, present, quoted
 from tablewright.functions.text import text_features
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ranking_values import running_totals
-from tablewright.runtime import attach_lookup, cut_lineage
+from tablewright.runtime import ORDERED_ROWS, attach_lookup, cut_lineage, spread
 
 # Fixed values.
 IQR_MULTIPLIER = 1.5
 VOCABULARY = 100
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 INTERACTION_COLUMNS = 4
+CODE_RUNS = 512
 
 
 class _Stage(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -351,19 +352,26 @@ class CategoryEncoder(Estimator, _Stage):
         return model
 
 
-def sorted_codes(counts: DataFrame) -> DataFrame:
+def sorted_codes(counts: DataFrame, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
     """``(value, n, code)``: the 0-based place of every distinct string in sorted order.
 
-    Strings are cut into runs by their first characters; runs are ordered by their prefix and sorted inside.
+    A counted few strings are ordered in one window. More are cut into runs between strings drawn by hash, so
+    runs are even even when all strings begin alike; each run is ordered on its own and starts where the one before ends.
     """
-    from pyspark.sql import Window
-
-    runs = cut_lineage(counts.withColumn("__run", F.substring("value", 1, 4)))
-    heads = runs.groupBy("__run").agg(F.count("*").alias("__size"))
+    counts = cut_lineage(counts)
+    if counts.count() <= ordered_rows:
+        w = Window.partitionBy(F.lit(0)).orderBy("value")
+        return counts.select("value", "n", (F.row_number().over(w) - 1).cast("double").alias("code"))
+    drawn = counts.select("value").orderBy(F.xxhash64("value"), "value").limit(CODE_RUNS).collect()
+    cuts = F.lit(sorted(r["value"] for r in drawn))
+    runs = counts.withColumn("__run", F.size(F.filter(cuts, lambda cut: cut <= F.col("value"))))
     before = Window.partitionBy(F.lit(0)).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = heads.select("__run", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    # One row per run: at most CODE_RUNS + 1.
+    starts = runs.groupBy("__run").agg(F.count("*").alias("__size")).select(
+        "__run", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
+    )
     inside = F.row_number().over(Window.partitionBy("__run").orderBy("value")) - 1
-    return runs.join(starts, "__run").select(
+    return runs.join(F.broadcast(starts), "__run").select(
         "value", "n", (F.col("__start") + inside).cast("double").alias("code")
     )
 
@@ -429,17 +437,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
 
 
-def _term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(quoted(key).alias("key"), F.explode(tokens(quoted(text))).alias("term")).groupBy("key", "term").agg(
-        F.count("*").alias("tf")
-    )
+def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(quoted(key).alias("key"), F.explode(tokens(quoted(text))).alias("term"))
+
+
+def _top_terms(words: DataFrame, size: int) -> DataFrame:
+    return words.groupBy("term").agg(F.count("*").alias("corpus_count")).orderBy(F.desc("corpus_count"), "term").limit(size)
+
+
+def _kept_counts(words: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The most frequent terms, and how often each document has them.
+
+    Terms are counted over the corpus first; words outside the vocabulary never reach the shuffle by document. Only the
+    vocabulary, ``size`` terms, is broadcast; every document is counted whole.
+    """
+    top = cut_lineage(_top_terms(words, size))
+    return top, words.join(F.broadcast(top), "term").groupBy("key", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(df: DataFrame, key: str, text: str, size: int = VOCABULARY) -> DataFrame:
     """``(term, corpus_count, docs)`` of the most frequent terms; ties in alphabetical order."""
-    return _term_counts(df, key, text).groupBy("term").agg(
-        F.sum("tf").alias("corpus_count"), F.count("*").alias("docs")
-    ).orderBy(F.desc("corpus_count"), "term").limit(size)
+    top, counts = _kept_counts(_tokens(spread(df.select(key, text)), key, text), size)
+    return top.join(counts.groupBy("term").agg(F.count("*").alias("docs")), "term").select("term", "corpus_count", "docs")
 
 
 def smooth_idf(docs: Column, total: int) -> Column:
@@ -447,13 +466,11 @@ def smooth_idf(docs: Column, total: int) -> Column:
 
 
 def tfidf(df: DataFrame, key: str, text: str, size: int = VOCABULARY) -> DataFrame:
-    """``(key, term, weight)``: smoothed tf-idf with unit length per document.
-
-    Only the vocabulary, ``size`` terms, is broadcast; every document is counted whole.
-    """
+    """``(key, term, weight)``: smoothed tf-idf with unit length per document."""
     total = df.count()
-    counts = _term_counts(df, key, text)
-    terms = vocabulary(df, key, text, size).select("term", smooth_idf(F.col("docs"), total).alias("idf"))
+    _, counts = _kept_counts(_tokens(spread(df.select(key, text), total), key, text), size)
+    counts = cut_lineage(counts)
+    terms = counts.groupBy("term").agg(smooth_idf(F.count("*"), total).alias("idf"))
     raw = counts.join(F.broadcast(terms), "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, "key").select(F.col("key").alias(key), "term", (F.col("raw") / F.col("norm")).alias("weight"))

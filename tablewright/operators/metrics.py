@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.ranking_values import running_totals
-from tablewright.runtime import SMALL_CELLS
+from tablewright.runtime import ORDERED_ROWS
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -65,7 +65,7 @@ def multiclass_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return per.agg(*aggs)
 
 
-def roc_auc(df: DataFrame, positive: Column, score: str, rows: int | None = None, small_cells: int = SMALL_CELLS) -> DataFrame:
+def roc_auc(df: DataFrame, positive: Column, score: str, rows: int | None = None, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
     """Exact area under the ROC curve with ties averaged.
 
     Rows are counted per distinct score first, so a score shared by many rows is one record; the negatives below each
@@ -75,13 +75,13 @@ def roc_auc(df: DataFrame, positive: Column, score: str, rows: int | None = None
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     rows = df.count() if rows is None else rows
-    totals = running_totals(counts, "score", ["neg"], rows, small_cells)
+    totals = running_totals(counts, "score", ["neg"], rows, ordered_rows)
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return totals.agg(F.try_divide(wins, pairs).alias("roc_auc"))
 
 
-def roc_auc_ovr(df: DataFrame, label: str, scores: str, classes: int, small_cells: int = SMALL_CELLS) -> DataFrame:
+def roc_auc_ovr(df: DataFrame, label: str, scores: str, classes: int, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
     """One-vs-rest area under the curve, weighted by class size; ``scores`` is an array by class number."""
     rows = df.count()
     support = {r["label"]: r["n"] for r in df.groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
@@ -90,7 +90,7 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: str, classes: int, small_cell
         if not support.get(c):
             continue
         one = df.select((F.col(label).cast("int") == c).alias("yes"), F.col(scores)[c].alias("score"))
-        parts.append(roc_auc(one, F.col("yes"), "score", rows, small_cells).select(
+        parts.append(roc_auc(one, F.col("yes"), "score", rows, ordered_rows).select(
             (F.col("roc_auc") * F.lit(support[c] / total)).alias("part")
         ))
     out = parts[0]
@@ -99,14 +99,14 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: str, classes: int, small_cell
     return out.agg(F.sum("part").alias("roc_auc"))
 
 
-def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """RMSE, MAE and R2. The spread of the label comes from its variance, in the same pass."""
+def regression_metrics(df: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """RMSE, MAE and R2, for all rows or per group. The spread of the label comes from its variance, in the same pass."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    sums = df.agg(
+    sums = df.groupBy(*by).agg(
         F.avg((y - p) * (y - p)).alias("mse"), F.avg(F.abs(y - p)).alias("mae"), F.var_pop(y).alias("spread")
     )
     return sums.select(
-        F.sqrt("mse").alias("rmse"), "mae", (1 - F.try_divide(F.col("mse"), F.col("spread"))).alias("r2")
+        *by, F.sqrt("mse").alias("rmse"), "mae", (1 - F.try_divide(F.col("mse"), F.col("spread"))).alias("r2")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.hashing import text_key
 from tablewright.functions.numeric import (
     adjusted_kurtosis,
     adjusted_skewness,
@@ -204,7 +205,11 @@ def quality_score(df: DataFrame, vif_items: int) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row; NULLs and NaNs compare equal to themselves."""
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("__n"))
+    keys = [
+        (text_key(quoted(f.name)) if isinstance(f.dataType, T.StringType) else quoted(f.name)).alias(f"c{i}")
+        for i, f in enumerate(df.schema.fields)
+    ]
+    groups = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     return groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("num_rows"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.ml.feature import Bucketizer
 
-from tablewright.runtime import BROADCAST_ROWS, SMALL_CELLS, cut_lineage, is_small
+from tablewright.runtime import ORDERED_ROWS, cut_lineage
 
 SLICES = 1024
 
 
 def running_totals(
-    counts: DataFrame, value: str, sums: list[str], rows: int, small_cells: int = SMALL_CELLS
+    counts: DataFrame, value: str, sums: list[str], rows: int, ordered_rows: int = ORDERED_ROWS
 ) -> DataFrame:
     """For one row per distinct ``value``, add ``<sum>_before``: the total over all smaller values.
 
@@ -20,7 +20,7 @@ def running_totals(
     approximate quantiles of the distinct values (so a heavy value cannot fill a slice); each slice is ordered
     on its own and shifted by the totals of the slices before it.
     """
-    if is_small(rows, 1, small_cells):
+    if rows <= ordered_rows:
         w = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.select("*", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"{s}_before") for s in sums])
     counts = cut_lineage(counts)
@@ -45,11 +45,9 @@ def running_totals(
     )
 
 
-def tie_ranks(df: DataFrame, value: str, rows: int, small_cells: int = SMALL_CELLS) -> DataFrame:
+def tie_ranks(df: DataFrame, value: str, rows: int, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
     """``(value, n, rank)``: the average rank shared by all rows that carry the value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    totals = running_totals(counts, value, ["n"], rows, small_cells)
+    totals = running_totals(counts, value, ["n"], rows, ordered_rows)
     return totals.select(value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).cast("double").alias("rank"))
 
-
-__all__ = ["running_totals", "tie_ranks", "BROADCAST_ROWS"]

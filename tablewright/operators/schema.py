@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.hashing import text_key
 from tablewright.functions.numeric import is_numeric, is_whole, present, quoted
 from tablewright.functions.text import (
     LATITUDE_NAMES,
@@ -40,10 +41,13 @@ def _as_text(df: DataFrame, name: str) -> Column:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, value, n)`` over all columns: one shuffle of values already counted per task."""
+    """``(column_name, value, n)`` over all columns: one shuffle of values already counted per task.
+
+    Long strings stand as their digest.
+    """
     columns = columns or df.columns
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column_name"), text_key(_as_text(df, c)).alias("value")) for c in columns]
     )
     return df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
 

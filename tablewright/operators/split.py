@@ -63,7 +63,7 @@ def quota_split(
     grouped = with_groups(df, features)
     total = df.count()
     groups = _group_table(grouped, label).withColumn("u", uniform_from_key(F.lit(seed), F.col(GROUP)))
-    groups = cut_lineage(groups.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")))
+    groups = cut_lineage(groups).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
     validation = (1.0 - test_size) * VALIDATION_SHARE
     quota = lambda share: F.greatest(F.lit(1), F.round(F.sum("n") * F.lit(share)).cast("bigint"))
     quotas = groups.groupBy("class").agg(
@@ -143,7 +143,7 @@ def assign_folds(
         return df.withColumn("fold", F.pmod(digest, F.lit(folds)).cast("int"))
     grouped = with_groups(df, features)
     groups = _group_table(grouped, label).withColumn("u", uniform_from_key(F.lit(seed + 1), F.col(GROUP)))
-    groups = cut_lineage(groups.withColumn("slice", F.floor(F.col("u") * SLICES).cast("int")))
+    groups = cut_lineage(groups).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
     slices = groups.groupBy("class", "slice").agg(F.count("*").alias("size"))
     before = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(

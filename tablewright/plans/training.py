@@ -18,7 +18,7 @@ from tablewright.operators.split import assign_folds, fold_strategy, quota_split
 from tablewright.plans.models import balanced_weights, build_estimator, family_of
 from tablewright.plans.routing import feature_stages
 from tablewright.plans.spec import Candidate, ModelPlan
-from tablewright.runtime import cut_lineage
+from tablewright.runtime import cut_lineage, spread
 from tablewright.sources.writers import EXPERIMENT_SCHEMA, METRIC_SCHEMA
 
 # Fixed values.
@@ -68,7 +68,7 @@ def prepare(df: DataFrame, plan: ModelPlan, features: list[str], order_col: str
     else:
         label = "label" if plan.is_classification else None
         split = quota_split(known, features, label, plan.evaluation.test_size)
-    return cut_lineage(split), table
+    return cut_lineage(spread(split)), table
 
 
 def evaluate(scored: DataFrame, plan: ModelPlan, classes: int) -> dict[str, float]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 SMALL_CELLS = 1_000_000
 KEPT_CELLS = 50_000_000
+ORDERED_ROWS = 4_000_000
 
 _local_roots: dict[str, str] = {}
 
@@ -111,6 +112,17 @@ def reread(df: DataFrame, rows: int):
         kept.unpersist()
 
 
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A small table over all cores, for heavy work per row; a large one keeps the partitions of its scan.
+
+    A small file is often one row group and would otherwise be worked on by one core.
+    """
+    rows = df.count() if rows is None else rows
+    if rows * max(len(df.columns), 1) > KEPT_CELLS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def is_small(rows: int, columns: int = 1, cells: int = SMALL_CELLS) -> bool:
     """Whether ``rows`` x ``columns`` values are few enough to be held by a single task."""
     return rows * max(columns, 1) <= cells

@@ -22,7 +22,7 @@ from tablewright.operators.features import feature_names
 from tablewright.plans import training as TR
 from tablewright.plans.models import build_estimator, family_of
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
-from tablewright.runtime import cut_lineage, scratch_path
+from tablewright.runtime import cut_lineage, scratch_path, spread
 from tablewright.sources.readers import scoring_contract
 from tablewright.streaming.scoring import score_stream, start_scoring
 from tablewright.workloads.registry import Tables, query
@@ -81,16 +81,12 @@ def _line_vectors(t: Tables) -> DataFrame:
 
 
 def _fit_regression(t: Tables, library: str, **params) -> DataFrame:
-    split = cut_lineage(S.hash_split(_line_vectors(t), ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month"]))
+    split = cut_lineage(S.hash_split(spread(_line_vectors(t)), ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month"]))
     train = split.where("split = 'train'")
     rows, std = train.agg(F.count("*"), F.stddev_pop("label")).first()
     stages = build_estimator(Candidate(library, library, params=params), "regression", rows, label_std=std)
     scored = Pipeline(stages=stages).fit(train).transform(split)
-    out = None
-    for name in ("train", "val", "test"):
-        part = M.regression_metrics(scored.where(F.col("split") == name), "label", "prediction").withColumn("split", F.lit(name))
-        out = part if out is None else out.unionAll(part)
-    return out
+    return M.regression_metrics(scored, "label", "prediction", ("split",))
 
 
 @query("model_ridge")

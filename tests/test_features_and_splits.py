@@ -55,6 +55,14 @@ def test_encoders_on_unseen_values(spark):
             assert [got[k] for k in ("a", "z", None)] == pytest.approx(expected)
 
 
+def test_sorted_codes_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(X, "CODE_RUNS", 16)
+    counts = spark.range(3000).select(F.format_string("Customer#%06d", F.col("id") * 7).alias("value"), F.lit(1).alias("n"))
+    few = {r["value"]: r["code"] for r in X.sorted_codes(counts).collect()}
+    assert few == {r["value"]: r["code"] for r in X.sorted_codes(counts, 0).collect()}
+    assert sorted(few.values()) == [float(i) for i in range(3000)]
+
+
 def test_scaler_of_constant_column(spark):
     df = spark.createDataFrame([(5.0,), (5.0,)], "x double")
     for kind in ("standard", "minmax", "robust"):

@@ -157,7 +157,7 @@ def test_spearman_both_ways_with_gaps(spark, values):
     df = spark.createDataFrame(frame)
     expected = frame.corr(method="spearman")
     for cells in (10**9, 0):
-        for r in A.spearman_matrix(df, small_cells=cells).collect():
+        for r in A.spearman_matrix(df, ordered_rows=cells).collect():
             assert r["correlation"] == pytest.approx(expected.loc[r["col_a"], r["col_b"]], abs=1e-12)
 
 
@@ -189,7 +189,7 @@ def test_auc_with_ties_both_ways(spark):
     expected = (ranks[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
     df = spark.createDataFrame(pd.DataFrame({"y": y, "s": s}))
     for cells in (10**6, 0):
-        assert M.roc_auc(df, F.col("y") == 1, "s", small_cells=cells).first()[0] == pytest.approx(expected)
+        assert M.roc_auc(df, F.col("y") == 1, "s", ordered_rows=cells).first()[0] == pytest.approx(expected)
     assert M.roc_auc(df.where("y = 1"), F.col("y") == 1, "s").first()[0] is None
 
 
