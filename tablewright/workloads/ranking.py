@@ -1,7 +1,7 @@
 """Metrics, winner choice, ranking, diagnosis and run tables.
 
 Results of many runs are derived from all events: a user is a run, an event type is a model and
-the values of a user's events of that type give its scores.
+the values of a user's events of that type, by part of the day, give its scores.
 """
 
 from __future__ import annotations
@@ -121,26 +121,26 @@ def class_weights(t: Tables) -> DataFrame:
 # --- result tables ---------------------------------------------------------------------------------------------
 
 _LOG = """(SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name,
- CASE event_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'cv' END AS split_type,
+ CASE hour(ts) // 6 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'cv' END AS split_type,
  'f1_macro' AS metric_name, ln(1 + avg(value)) / 5 AS metric_value FROM events GROUP BY 1, 2, 3)"""
 
 
 def _metric_log(t: Tables) -> DataFrame:
-    part = F.pmod("event_id", F.lit(4))
+    part = F.floor(F.hour("ts") / 6)
     split = F.when(part == 0, "train").when(part == 1, "val").when(part == 2, "test").otherwise("cv")
     return t("events").groupBy(
         F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("model_name"), split.alias("split_type")
     ).agg((F.log(1 + F.avg("value")) / 5).alias("metric_value")).withColumn("metric_name", F.lit("f1_macro"))
 
 
-_FOLDS = """(SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name, event_id % 3 AS fold,
+_FOLDS = """(SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name, hour(ts) // 8 AS fold,
  ln(1 + avg(value)) / 5 AS metric_value FROM events GROUP BY 1, 2, 3)"""
 
 
 def _fold_log(t: Tables) -> DataFrame:
     return t("events").groupBy(
         F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("model_name"),
-        F.pmod("event_id", F.lit(3)).cast("int").alias("fold"),
+        F.floor(F.hour("ts") / 8).cast("int").alias("fold"),
     ).agg((F.log(1 + F.avg("value")) / 5).alias("metric_value")).withColumns(
         {"metric_name": F.lit("f1_macro"), "split_type": F.lit("cv")}
     )
@@ -256,14 +256,14 @@ def trade_offs(t: Tables) -> DataFrame:
     return _rounded(R.trade_offs(ranked))
 
 
-_IMPORTANCE = """(SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name, concat('f', event_id % 7) AS feature,
+_IMPORTANCE = """(SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name, concat('f', isodow(ts)) AS feature,
  ln(1 + avg(value)) AS importance FROM events GROUP BY 1, 2, 3)"""
 
 
 def _importances(t: Tables) -> DataFrame:
     return t("events").groupBy(
         F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("model_name"),
-        F.concat(F.lit("f"), F.pmod("event_id", F.lit(7))).alias("feature"),
+        F.concat(F.lit("f"), F.weekday("ts") + 1).alias("feature"),
     ).agg(F.log(1 + F.avg("value")).alias("importance"))
 
 
@@ -306,11 +306,11 @@ def model_health(t: Tables) -> DataFrame:
 
 
 @query("diagnosis_regression", """
-WITH p AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name, avg(value) FILTER (event_id % 4 = 0) AS tr, avg(value) FILTER (event_id % 4 = 1) AS va
+WITH p AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name, avg(value) FILTER (hour(ts) // 6 = 0) AS tr, avg(value) FILTER (hour(ts) // 6 = 1) AS va
  FROM events GROUP BY 1, 2)
 SELECT run_id, model_name, 'overfitting' AS category, 'high' AS severity FROM p WHERE coalesce(va, 0) / (coalesce(tr, va, 0) + 1e-6) >= 1.4""")
 def diagnosis_regression(t: Tables) -> DataFrame:
-    part = F.pmod("event_id", F.lit(4))
+    part = F.floor(F.hour("ts") / 6)
     split = F.when(part == 0, "train").when(part == 1, "val").otherwise("test")
     log = t("events").groupBy(
         F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("model_name"), split.alias("split_type")
@@ -322,12 +322,12 @@ _SIX = ("train_0", "val_0", "test_0", "train_1", "val_1", "test_1")
 
 
 @query("refinement_verdicts", "WITH p AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS model_name, " + ", ".join(
-    f"coalesce(ln(1 + avg(value) FILTER (event_id % 6 = {i})), 0) AS {c}" for i, c in enumerate(_SIX)) + """ FROM events GROUP BY 1, 2),
+    f"coalesce(ln(1 + avg(value) FILTER (hour(ts) // 4 = {i})), 0) AS {c}" for i, c in enumerate(_SIX)) + """ FROM events GROUP BY 1, 2),
 v AS (SELECT *, (train_0 - val_0) - (train_1 - val_1) AS red, test_1 - test_0 >= 0 AS kept, val_1 - val_0 > 0 AS better FROM p)
 SELECT run_id, model_name, round(red, 4) + 0.0 AS gap_reduced, kept AS test_kept, CASE WHEN red > 0.02 AND kept THEN 'success' WHEN kept THEN 'stable' ELSE 'neutral' END AS verdict,
  better AND kept AS promote FROM v""")
 def refinement_verdicts(t: Tables) -> DataFrame:
-    part = F.pmod("event_id", F.lit(6))
+    part = F.floor(F.hour("ts") / 4)
     wide = t("events").groupBy(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("model_name")).agg(
         *[F.coalesce(F.log(1 + F.avg(F.when(part == i, F.col("value")))), F.lit(0.0)).alias(c) for i, c in enumerate(_SIX)]
     )

@@ -24,7 +24,7 @@ FROM orders GROUP BY o_orderpriority"""
 def _orders_report(df: DataFrame) -> DataFrame:
     return df.groupBy("o_orderpriority").agg(
         F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("customers"),
-        F.min("o_orderkey").alias("first_key"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"),
+        F.min("o_orderkey").cast("bigint").alias("first_key"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"),
     )
 
 
