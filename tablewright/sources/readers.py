@@ -56,24 +56,29 @@ def read_table(
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """One row per dataset: files, bytes, MD5 and SHA-256.
 
-    One file gives the digest of its bytes. Several give the digest of their digests in path order: file
-    contents never leave their task, only digests are brought together.
+    One file gives the digest of its bytes. Several give the digest of their sorted digests, wherever they lie: file
+    contents never leave their task, and digests are brought together in 4096 groups by their first digits.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     largest = files.agg(F.max("length")).first()[0]
     if largest and largest > MAX_FILE_BYTES:
         raise ValueError("files over 2 GiB have no byte digest here; use content_fingerprint")
-    each = files.select(
-        "path", "length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256")
+    each = files.select("length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    joined = lambda name: F.array_join(F.sort_array(F.collect_list(name)), "")
+    groups = each.groupBy(F.substring("md5", 1, 3).alias("head")).agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("md5").alias("one_md5"),
+        F.max("sha256").alias("one_sha256"), F.md5(joined("md5")).alias("md5"), F.sha2(joined("sha256"), 256).alias("sha256"),
     )
-    joined = lambda name: F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("path", name))), lambda s: s[name]), ""
+    in_order = lambda name: F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("head", name))), lambda s: s[name]), ""
     )
-    one = lambda name, fn: F.when(F.count("*") == 1, F.max(name)).otherwise(fn(joined(name)))
-    return each.agg(
-        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
-        F.round(F.coalesce(F.sum("length"), F.lit(0)) / (1024 * 1024), 4).alias("size_mb"),
-        one("md5", F.md5).alias("md5"), one("sha256", lambda c: F.sha2(c, 256)).alias("sha256"),
+    total = F.coalesce(F.sum("bytes"), F.lit(0))
+    single = F.sum("files") == 1
+    return groups.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).alias("files"), total.alias("bytes"),
+        F.round(total / (1024 * 1024), 4).alias("size_mb"),
+        F.when(single, F.max("one_md5")).otherwise(F.md5(in_order("md5"))).alias("md5"),
+        F.when(single, F.max("one_sha256")).otherwise(F.sha2(in_order("sha256"), 256)).alias("sha256"),
     )
 
 

@@ -190,7 +190,7 @@ a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
       6 * (n*n - 5*n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM g),
 b AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS aa FROM a),
 c AS (SELECT *, 1 + x * sqrt(2 / (aa - 4)) AS d FROM b)
-SELECT column_name, round(exp(-(z1 * z1 + pow((1 - 2 / (9 * aa) - sign(d) * cbrt((1 - 2 / aa) / abs(d))) / sqrt(2 / (9 * aa)), 2)) / 2), 6)
+SELECT column_name, CASE WHEN n >= 20 THEN round(exp(-(z1 * z1 + pow((1 - 2 / (9 * aa) - sign(d) * cbrt((1 - 2 / aa) / abs(d))) / sqrt(2 / (9 * aa)), 2)) / 2), 6) END
        AS normality_p_value FROM c"""
 
 

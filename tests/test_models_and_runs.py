@@ -228,7 +228,10 @@ def test_fingerprints(spark, tmp_path):
     one = readers.file_fingerprint(spark, str(tmp_path / "a.csv")).first()
     assert one["md5"] == hashlib.md5(b"x\n1\n").hexdigest() and one["sha256"] == hashlib.sha256(b"x\n1\n").hexdigest()
     (tmp_path / "b.csv").write_text("x\n2\n")
-    assert readers.file_fingerprint(spark, str(tmp_path)).first()["files"] == 2
+    both = readers.file_fingerprint(spark, str(tmp_path)).first()
+    (tmp_path / "b.csv").write_text("x\n3\n")
+    changed = readers.file_fingerprint(spark, str(tmp_path)).first()
+    assert both["files"] == 2 and both["md5"] != changed["md5"] and both["sha256"] != changed["sha256"]
     df = spark.range(100).withColumn("v", F.when(F.col("id") > 3, F.rand(1)))
     a, b = readers.content_fingerprint(df).first(), readers.content_fingerprint(df.repartition(7).orderBy("v")).first()
     assert a == b and a != readers.content_fingerprint(df.where("id > 0")).first()
