@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.numeric import as_number, is_numeric, is_whole, quoted
+from tablewright.functions.numeric import as_number, is_numeric, quoted
 from tablewright.functions.text import is_id_name
 from tablewright.operators.anomaly import apply_anomaly_action, detect_anomalies
 from tablewright.operators.association import variance_inflation
@@ -145,6 +145,6 @@ def clean_summary(df: DataFrame, report: CleanReport) -> DataFrame:
 
 
 __all__ = [
-    "CleanReport", "clean_dataset", "clean_summary", "clip", "drop_incomplete", "drop_zero_variance", "is_whole",
+    "CleanReport", "clean_dataset", "clean_summary", "clip", "drop_incomplete", "drop_zero_variance",
     "outlier_columns", "planned_drops", "winsorize",
 ]

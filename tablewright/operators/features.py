@@ -71,9 +71,8 @@ class NumericImputer(Estimator, _Stage):
             found = most_frequent(df, names)
             fills = [None if found[c] is None else float(found[c]) for c in names]
         elif strategy == "median":
-            fills = [exact_quantiles(df, exprs, [0.5])[c][0] for c in names] if len(names) == 1 else [
-                v[0] for v in exact_quantiles(df, exprs, [0.5]).values()
-            ]
+            found = exact_quantiles(df, exprs, [0.5])
+            fills = [found[c][0] for c in names]
         else:
             raise ValueError(f"unknown imputing strategy: {strategy}")
         model = NumericImputerModel()

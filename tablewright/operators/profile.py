@@ -260,7 +260,7 @@ def preview(df: DataFrame, rows: int = 200) -> DataFrame:
 
 
 __all__ = [
-    "class_distribution", "column_statistics", "duplicate_rows", "first_missing", "is_numeric",
+    "class_distribution", "column_statistics", "duplicate_rows", "first_missing",
     "mean_missing_ratio", "missing_summary", "preview", "profile_columns", "profile_table", "quality_score",
     "target_imbalance",
 ]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import metrics as M
 from tablewright.operators.features import encode_label, feature_names, label_table
-from tablewright.operators.split import assign_folds, fold_strategy, quota_split, sequential_split
-from tablewright.plans.models import balanced_weights, build_estimator, family_of
+from tablewright.operators.split import assign_folds, quota_split, sequential_split
+from tablewright.plans.models import balanced_weights, build_estimator
 from tablewright.plans.routing import feature_stages
 from tablewright.plans.spec import Candidate, ModelPlan
 from tablewright.runtime import cut_lineage, spread
@@ -412,7 +412,7 @@ def model_size_kb(spark: SparkSession, path: str) -> float:
 
 __all__ = [
     "ENSEMBLE_NAME", "Experiment", "FeatureSet", "add_ensemble", "batch_score", "cv_summary", "ensemble_weights",
-    "evaluate", "evaluate_on_test", "experiment_tables", "family_of", "fold_strategy", "hard_vote", "importances",
+    "evaluate", "evaluate_on_test", "experiment_tables", "hard_vote", "importances",
     "inference_latency_ms", "make_features", "model_size_kb", "prepare", "run_experiments", "soft_vote", "train_all", "train_candidate",
     "vote",
 ]

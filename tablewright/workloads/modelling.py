@@ -23,7 +23,6 @@ from tablewright.plans import training as TR
 from tablewright.plans.models import build_estimator, family_of
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
 from tablewright.runtime import cut_lineage, scratch_path, spread
-from tablewright.sources.readers import scoring_contract
 from tablewright.streaming.scoring import score_stream, start_scoring
 from tablewright.workloads.registry import Tables, query
 
@@ -61,7 +60,7 @@ def experiment_metrics(t: Tables) -> DataFrame:
 
 @query("experiment_winner")
 def experiment_winner(t: Tables) -> DataFrame:
-    """The winner of a multi-class experiment by its folds, on all order lines' parts."""
+    """The winner of a multi-class experiment by its folds, over all customers."""
     types = {"c_nationkey": "numeric", "c_acctbal": "numeric"}
     plan = _plan(*_TWO, target="c_mktsegment", task="multiclass_classification")
     results, _ = TR.run_experiments(t("customer"), plan, types, list(types), with_ensemble=False)

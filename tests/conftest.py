@@ -12,7 +12,7 @@ DATA = Path("/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", cores="8")
+    session = build_session("tests", cores="8", shuffle_partitions=4)
     yield session
     session.stop()
 
