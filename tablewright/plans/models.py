@@ -111,7 +111,7 @@ def build_estimator(
         model = NaiveBayes(**common, modelType="gaussian")
     elif family == "linear_svc":
         base = LinearSVC(**common, regParam=1.0 / (float(p.get("C", 1.0)) * rows), maxIter=int(p.get("max_iter", 100)))
-        model = base if classes <= 2 else OneVsRest(classifier=base, featuresCol=column, labelCol=label)
+        model = base if classes <= 2 else OneVsRest(classifier=base, **common)
     elif family == "decision_tree":
         cls = DecisionTreeRegressor if regression else DecisionTreeClassifier
         model = cls(**common, maxDepth=int(p.get("max_depth") or 10), minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed)
@@ -130,7 +130,7 @@ def build_estimator(
         )
         if p.get("validation_col"):
             base = base.setValidationIndicatorCol(p["validation_col"])
-        model = base if regression or classes <= 2 else OneVsRest(classifier=base, featuresCol=column, labelCol=label)
+        model = base if regression or classes <= 2 else OneVsRest(classifier=base, **common)
     else:
         raise ValueError(f"the {family} family is a join, not an estimator; use knn_classify or knn_regress")
     return [*stages, model]

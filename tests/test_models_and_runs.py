@@ -80,6 +80,18 @@ def test_regression_experiment(spark, separable):
     assert by_name[TR.ENSEMBLE_NAME].metrics["test"]["r2"] > 0.8
 
 
+def test_boosting_handles_several_classes(spark, separable):
+    three = separable.withColumn("k", F.floor(F.least(F.greatest(F.col("x1"), F.lit(-1.4)), F.lit(1.4)) + 1.5).cast("int"))
+    plan = ModelPlan(
+        "multiclass_classification", "k", (Candidate("Boost", "XGBClassifier", params={"n_estimators": 3}), Candidate("Bayes", "GaussianNB")),
+        features=Features(categorical_strategy="freq_enc"), evaluation=Evaluation(n_folds=2, handle_imbalance=True),
+    )
+    results, _ = TR.run_experiments(three, plan, TYPES, ["x1", "x2", "s"])
+    assert [r.error for r in results] == [None] * 3
+    assert results[0].metrics["test"]["accuracy"] > 0.8 and "roc_auc" not in results[0].metrics["test"]
+    assert TR.ENSEMBLE_NAME == results[-1].model_name
+
+
 def test_class_scores():
     counts = {(0.0, 0.0): 5, (0.0, 1.0): 1, (1.0, 1.0): 3, (1.0, 0.0): 1}
     out = TR.class_scores(counts, binary=True)
