@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.mixing import mix_documents
 from tablewright.llm.sharding import shard_documents
+from tablewright.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,4 +49,11 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN upto <= budget OR (upto - inside < budget AND upto - budget <= budget - (upto - inside)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c""")(mix_documents)
 
+_query("op3_archive_pages", "pages", """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to, url
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest""")(archive_pages)
+
 _query("op10_shard_documents", "documents")(shard_documents)
