@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.mixing import mix_documents
+from tablewright.llm.quality_rules import filter_documents
+from tablewright.llm.rule_ensemble import score_documents
 from tablewright.llm.sharding import shard_documents
 from tablewright.llm.warc import archive_pages
 
@@ -14,11 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _query(name: str, table: str, sql: str | None = None):
-    """Registers a function of one table."""
+def _query(name: str, tables: str, sql: str | None = None):
+    """Registers a function of one or more tables."""
 
-    def add(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+    def add(fn: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, folder: fn(*[spark.read.parquet(f"{folder.rstrip('/')}/{t}.parquet") for t in tables.split()])
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -49,6 +51,8 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN upto <= budget OR (upto - inside < budget AND upto - budget <= budget - (upto - inside)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c""")(mix_documents)
 
+_query("op2_quality_rules", "documents labels")(filter_documents)
+
 _query("op3_archive_pages", "pages", """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
@@ -56,4 +60,6 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first_id <> page_id T
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to, url
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest""")(archive_pages)
 
+_query("op7_quality_classifier", "documents labels")(score_documents)
+
 _query("op10_shard_documents", "documents")(shard_documents)
