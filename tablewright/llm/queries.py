@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.mixing import mix_documents
+from tablewright.llm.near_duplicates import deduplicated
 from tablewright.llm.quality_rules import filter_documents
 from tablewright.llm.rule_ensemble import score_documents
 from tablewright.llm.sharding import shard_documents
@@ -62,4 +63,15 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest""")(archive_pages)
 
 _query("op7_quality_classifier", "documents labels")(score_documents)
 
+_query("op8_near_duplicates", "documents", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS shingles FROM w),
+x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 85 * (len(p.shingles) + len(q.shingles) - n)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON m.node = s.doc_id""")(deduplicated)
+
 _query("op10_shard_documents", "documents")(shard_documents)
