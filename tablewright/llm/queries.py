@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.decontamination import matches
 from tablewright.llm.mixing import mix_documents
 from tablewright.llm.near_duplicates import deduplicated
 from tablewright.llm.quality_rules import filter_documents
@@ -74,4 +75,6 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, l.b FROM
 m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
 SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON m.node = s.doc_id""")(deduplicated)
 
+_query("op9_benchmark_matches", "documents benchmark")(matches)
+
 _query("op10_shard_documents", "documents")(shard_documents)
