@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.decontamination import matches
+from tablewright.llm.extraction import extract_pages
 from tablewright.llm.mixing import mix_documents
 from tablewright.llm.near_duplicates import deduplicated
 from tablewright.llm.quality_rules import filter_documents
@@ -65,6 +66,8 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest""")(archive_pages)
 
 _query("op5_repeated_strings", "documents")(removal_digests)
 
+_query("op6_main_text", "pages")(extract_pages)
+
 _query("op7_quality_classifier", "documents labels")(score_documents)
 
 _query("op8_near_duplicates", "documents", r"""
