@@ -13,6 +13,7 @@ from tablewright.llm.near_duplicates import deduplicated
 from tablewright.llm.quality_rules import filter_documents
 from tablewright.llm.repeats import removal_digests
 from tablewright.llm.rule_ensemble import score_documents
+from tablewright.llm.secret_scan import scan_documents
 from tablewright.llm.sharding import shard_documents
 from tablewright.llm.warc import archive_pages
 
@@ -64,6 +65,8 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first_id <> page_id T
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to, url
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest""")(archive_pages)
 
+_query("op4_secret_scan", "documents")(scan_documents)
+
 _query("op5_repeated_strings", "documents")(removal_digests)
 
 _query("op6_main_text", "pages")(extract_pages)
