@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.numeric import quoted
 
-TWO_32 = 4294967296.0
+TWO_60 = 1152921504606846976.0
 SHORT_TEXT = 64
 
 
@@ -20,12 +20,16 @@ def _stable(df: DataFrame, name: str) -> Column:
 
 
 def row_digest(df: DataFrame, columns: list[str], salt: int = 0) -> Column:
-    """64-bit digest of a row. Each value is preceded by its null flag, so NULLs keep their place."""
-    parts: list[Column] = [F.lit(salt)]
+    """60-bit digest of a row from the MD5 of its values as text, each behind its length, which any SQL engine can recompute.
+
+    NULLs keep their place and differ from every value.
+    """
+    parts: list[Column] = [F.lit(str(salt))]
     for name in columns:
-        c = _stable(df, name)
-        parts += [c.isNull(), c]
-    return F.xxhash64(*parts)
+        value = _stable(df, name)
+        value = (F.to_json(value) if isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType)) else value.cast("string"))
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def text_key(c: Column) -> Column:
@@ -33,15 +37,9 @@ def text_key(c: Column) -> Column:
     return F.when(F.length(c) > SHORT_TEXT, F.concat(F.lit("sha256:"), F.sha2(c, 256))).otherwise(c)
 
 
-def text_digest(parts: list[Column], seed: str = "") -> Column:
-    """32-bit number from the md5 of the joined parts; any SQL engine can recompute it."""
-    shown = [F.coalesce(p.cast("string"), F.lit("<null>")) for p in parts]
-    joined = F.concat_ws("|", F.lit(seed), *shown) if seed else F.concat_ws("|", *shown)
-    return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("bigint")
-
-
-def uniform(digest32: Column) -> Column:
-    return digest32.cast("double") / F.lit(TWO_32)
+def uniform(digest: Column) -> Column:
+    """Uniform number in [0, 1] from a row digest."""
+    return digest.cast("double") / F.lit(TWO_60)
 
 
 def uniform_from_key(*parts: Column) -> Column:

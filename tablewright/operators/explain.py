@@ -113,8 +113,8 @@ def sampled_shapley(
 def tree_paths(spark: SparkSession, model) -> list[tuple[np.ndarray, list[tuple]]]:
     """Leaves of a fitted tree model, from its saved node table: scaled outputs and the conditions of their paths.
 
-    A condition is (feature, threshold, goes_left, share of the parent's rows). Feature vectors here carry
-    numbers, so all splits are thresholds.
+    A condition is (feature, what goes left, goes_left, share of the parent's rows). What goes left is a threshold, or a set of
+    values for a split on categories, as one-hot columns have them.
     """
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
@@ -140,9 +140,11 @@ def tree_paths(spark: SparkSession, model) -> list[tuple[np.ndarray, list[tuple]
                 leaves.append((value * scale, conditions))
                 continue
             split = node["split"]
+            values = list(split["leftCategoriesOrThreshold"])
+            below_left = values[0] if split["numCategories"] < 0 else np.array(values)
             for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
                 below = nodes[(tree, child)]
-                condition = (split["featureIndex"], split["leftCategoriesOrThreshold"][0], left, below["rawCount"] / node["rawCount"])
+                condition = (split["featureIndex"], below_left, left, below["rawCount"] / node["rawCount"])
                 todo.append((below, [*conditions, condition]))
     return leaves
 
@@ -184,8 +186,9 @@ def _leaf_shares(x: np.ndarray, path: list[tuple], d: int) -> np.ndarray:
     used = sorted({f for f, *_ in path})
     hot = {f: np.ones(len(x)) for f in used}
     cold = {f: 1.0 for f in used}
-    for f, threshold, left, share in path:
-        hot[f] = hot[f] * ((x[:, f] <= threshold) == left)
+    for f, below_left, left, share in path:
+        goes_left = np.isin(x[:, f], below_left) if isinstance(below_left, np.ndarray) else x[:, f] <= below_left
+        hot[f] = hot[f] * (goes_left == left)
         cold[f] *= share
     m = len(used)
     for j in used:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +17,9 @@ from tablewright.functions.text import (
     word_count,
 )
 
-# Sample sizes and limits of the type decision.
+# Samples shown, and limits of the type decision, which looks at all values.
 SHOWN_SAMPLES = 3
-DATE_SAMPLE = 50
-PATTERN_SAMPLE = 30
 PHONE_MIN_SAMPLE = 3
-WORD_SAMPLE = 500
 HIGH_CARDINALITY_RATIO = 0.80
 TEXT_WORDS = 5
 PATTERN_TYPES = ("email", "ip_address", "url", "uuid", "phone_number")
@@ -61,39 +56,49 @@ def column_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def first_values(df: DataFrame, key: str, sizes: dict[str, int]) -> DataFrame:
+def first_values(df: DataFrame, key: str, size: int = SHOWN_SAMPLES) -> DataFrame:
     """``(column_name, values)``: the first non-null values of each column in key order.
 
-    Every branch is a top-k per partition followed by a merge, so no column is sorted as a whole.
+    One scan; every task sends on at most ``size`` rows per column.
     """
-    branches = [
-        df.where(present(df, c))
-        .select(F.lit(c).alias("column_name"), quoted(key).alias("__key"), _as_text(df, c).alias("value"))
-        .orderBy("__key", "value")
-        .limit(size)
-        for c, size in sizes.items()
-    ]
-    ordered = F.sort_array(F.collect_list(F.struct("__key", "value")))
-    return (
-        reduce(DataFrame.unionAll, branches)
-        .groupBy("column_name")
-        .agg(F.transform(ordered, lambda s: s["value"]).alias("values"))
-    )
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in df.columns])
+    rows = df.select(quoted(key).alias("__key"), F.inline(cells)).where(F.col("value").isNotNull())
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy("__key", "value"))
+    kept = rows.withColumn("place", place).where(F.col("place") <= size)
+    ordered = F.sort_array(F.collect_list(F.struct("place", "value")))
+    return kept.groupBy("column_name").agg(F.transform(ordered, lambda s: s["value"]).alias("values"))
 
 
-def _all_match(values: Column, kind: str, at_least: int = 1) -> Column:
-    head = F.slice(values, 1, PATTERN_SAMPLE)
-    return (F.size(head) >= at_least) & F.forall(head, lambda v: F.coalesce(matches(v, kind), F.lit(False)))
+def text_facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, seen, all_dates, email, ..., middle)``: what holds for all values of each text column, in one scan.
+
+    ``middle`` is the median count of words.
+    """
+    spark = df.sparkSession
+    kinds = ", ".join(f"{k} boolean" for k in PATTERN_TYPES)
+    if not columns:
+        return spark.createDataFrame([], f"column_name string, seen bigint, all_dates boolean, {kinds}, middle double")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+
+    def facts(name: str) -> Column:
+        v = _as_text(df, name)
+        every = lambda c: F.coalesce(F.every(F.when(v.isNotNull(), sure(c))), F.lit(True))
+        return F.struct(
+            F.lit(name).alias("column_name"), F.count(v).alias("seen"), every(F.try_to_timestamp(v).isNotNull()).alias("all_dates"),
+            *[every(matches(v, k)).alias(k) for k in PATTERN_TYPES],
+            F.coalesce(F.percentile(F.when(v.isNotNull(), word_count(v)), 0.5), F.lit(0.0)).alias("middle"))
+
+    return df.agg(*[facts(c).alias(f"f{i}") for i, c in enumerate(columns)]).select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(columns))])))
 
 
 def infer_schema(df: DataFrame, key: str) -> DataFrame:
-    """The schema report. Samples are taken in ``key`` order, as a table has no row order of its own."""
+    """The schema report. Types are decided on all values; the samples shown are the first in ``key`` order."""
     spark = df.sparkSession
-    facts, sizes, coordinates = [], {}, []
+    facts, texts, coordinates = [], [], []
     for position, field in enumerate(df.schema.fields):
         dtype, lower = field.dataType, field.name.lower()
         is_text = isinstance(dtype, T.StringType)
-        sizes[field.name] = WORD_SAMPLE if is_text else SHOWN_SAMPLES
+        texts += [field.name] if is_text else []
         kind = (
             "datetime" if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
             else "boolean" if isinstance(dtype, T.BooleanType)
@@ -123,23 +128,16 @@ def infer_schema(df: DataFrame, key: str) -> DataFrame:
     else:
         spatial = spark.createDataFrame([], "column_name string, spatial boolean")
 
-    v = F.coalesce(F.col("values"), F.array().cast("array<string>"))
-    dates = F.slice(v, 1, DATE_SAMPLE)
-    all_dates = F.forall(dates, lambda s: F.try_to_timestamp(s).isNotNull())
-    words = F.sort_array(F.transform(v, word_count))
-    n = F.size(words)
-    middle = F.when(n == 0, 0.0).otherwise(
-        (F.get(words, F.floor((n - 1) / 2).cast("int")) + F.get(words, F.floor(n / 2).cast("int"))) / 2
-    )
+    some = F.col("seen") > 0
     ratio = F.col("unique_count") / F.greatest(F.col("num_rows"), F.lit(1))
     text_type = (
-        F.when(F.col("date_hint") & all_dates, "datetime")
-        .when(_all_match(v, "email"), "email")
-        .when(_all_match(v, "ip_address"), "ip_address")
-        .when(_all_match(v, "url"), "url")
-        .when(_all_match(v, "uuid"), "uuid")
-        .when(_all_match(v, "phone_number", PHONE_MIN_SAMPLE), "phone_number")
-        .when(middle >= TEXT_WORDS, "text")
+        F.when(F.col("date_hint") & F.col("all_dates"), "datetime")
+        .when(some & F.col("email"), "email")
+        .when(some & F.col("ip_address"), "ip_address")
+        .when(some & F.col("url"), "url")
+        .when(some & F.col("uuid"), "uuid")
+        .when((F.col("seen") >= PHONE_MIN_SAMPLE) & F.col("phone_number"), "phone_number")
+        .when(F.col("middle") >= TEXT_WORDS, "text")
         .when(ratio >= HIGH_CARDINALITY_RATIO, "high_cardinality")
         .otherwise("categorical")
     )
@@ -156,13 +154,14 @@ def infer_schema(df: DataFrame, key: str) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return (
         facts_table.join(column_counts(df), "column_name", "left")
-        .join(first_values(df, key, sizes), "column_name", "left")
+        .join(first_values(df, key), "column_name", "left")
+        .join(text_facts(df, texts), "column_name", "left")
         .join(spatial, "column_name", "left")
         .select(
             "column_name", "position", "dtype", inferred.alias("inferred_type"),
             zero("null_count"), percent("null_count").alias("null_pct"),
             zero("unique_count"), percent("unique_count").alias("unique_pct"),
-            F.slice(v, 1, SHOWN_SAMPLES).alias("sample_values"),
+            F.coalesce("values", F.array().cast("array<string>")).alias("sample_values"),
         )
     )
 

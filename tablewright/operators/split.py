@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import row_digest, text_digest, uniform, uniform_from_key
+from tablewright.functions.hashing import row_digest, uniform, uniform_from_key
 from tablewright.functions.numeric import as_number, numeric_columns, quoted
 from tablewright.operators.order_stats import order_values
 from tablewright.runtime import SMALL_CELLS, attach_lookup, cut_lineage
@@ -21,11 +21,6 @@ def with_groups(df: DataFrame, features: list[str], name: str = GROUP) -> DataFr
     return df.withColumn(name, row_digest(df, features))
 
 
-def text_group(columns: list[Column]) -> Column:
-    """Group id any SQL engine can recompute; for whole-number and string columns."""
-    return text_digest(columns)
-
-
 def split_by_draw(u: Column, test_size: float = 0.2) -> Column:
     """Split name from a uniform number per group: no shuffle, groups whole by construction."""
     validation = (1.0 - test_size) * VALIDATION_SHARE
@@ -33,12 +28,7 @@ def split_by_draw(u: Column, test_size: float = 0.2) -> Column:
 
 
 def hash_split(df: DataFrame, features: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    return df.withColumn("split", split_by_draw(uniform_from_key(F.lit(seed), row_digest(df, features)), test_size))
-
-
-def text_split(df: DataFrame, columns: list[Column], test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """The hash split with a portable hash of whole-number and string columns."""
-    return df.withColumn("split", split_by_draw(uniform(text_digest(columns, str(seed))), test_size))
+    return df.withColumn("split", split_by_draw(uniform(row_digest(df, features, salt=seed)), test_size))
 
 
 def _group_table(grouped: DataFrame, label: str | None) -> DataFrame:

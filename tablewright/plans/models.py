@@ -47,6 +47,15 @@ SCALED_FAMILIES = ("logistic_regression", "ridge", "linear_svc", "knn")
 WEIGHTED_FAMILIES = ("logistic_regression", "random_forest", "decision_tree", "gradient_boosting", "linear_svc")
 
 
+#: The depth MLlib allows, for trees without a limit.
+DEEPEST = 30
+
+
+def _least_leaf(p: dict) -> int:
+    """Rows of a leaf; a least size for splitting is met by leaves of half of it."""
+    return max(int(p.get("min_samples_leaf", 1)), -(-int(p.get("min_samples_split", 2)) // 2))
+
+
 def family_of(library: str) -> str:
     """Family by class name (any dotted path) or short name, in any case."""
     last = library.strip().rsplit(".", 1)[-1].lower()
@@ -114,19 +123,19 @@ def build_estimator(
         model = base if classes <= 2 else OneVsRest(classifier=base, **common)
     elif family == "decision_tree":
         cls = DecisionTreeRegressor if regression else DecisionTreeClassifier
-        model = cls(**common, maxDepth=int(p.get("max_depth") or 10), minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed)
+        model = cls(**common, maxDepth=int(p.get("max_depth") or DEEPEST), minInstancesPerNode=_least_leaf(p), seed=seed)
     elif family == "random_forest":
         cls = RandomForestRegressor if regression else RandomForestClassifier
         model = cls(
-            **common, numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth") or 10),
-            minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+            **common, numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth") or DEEPEST),
+            minInstancesPerNode=_least_leaf(p),
             featureSubsetStrategy=str(p.get("max_features", "auto")), seed=seed,
         )
     elif family == "gradient_boosting":
         cls = GBTRegressor if regression else GBTClassifier
         base = cls(
-            **common, maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 3)),
-            stepSize=float(p.get("learning_rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)), seed=seed,
+            **common, maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 3)), minInstancesPerNode=max(1, round(float(p.get("min_child_weight", 1)))),
+            featureSubsetStrategy=str(float(p["colsample_bytree"])) if float(p.get("colsample_bytree", 1)) < 1 else "all", stepSize=float(p.get("learning_rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)), seed=seed,
         )
         if p.get("validation_col"):
             base = base.setValidationIndicatorCol(p["validation_col"])

@@ -25,7 +25,7 @@ from tablewright.plans.spec import ModelPlan
 # How semantic types are routed.
 CATEGORICAL_TYPES = ("categorical", "boolean", "high_cardinality")
 STRUCTURED_TYPES = ("email", "url", "ip_address", "uuid", "phone_number")
-# One-hot codes are held by the driver; a column with more categories is encoded by frequency.
+# One-hot and target codes are held by the driver; a column with more categories must be encoded otherwise.
 ONE_HOT_LIMIT = 10_000
 
 
@@ -75,42 +75,35 @@ def feature_stages(
         filled = [f"{c}__cat" for c in categorical]
         stages.append(CategoryImputer(inputCols=categorical, outputCols=filled))
         strategy = plan.features.categorical_strategy
-        wide = []
         if strategy in ("onehot", "target_enc", "none"):
-            counts = df.agg(
-                *[F.approx_count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(categorical)]
-            ).first()
-            wide = [c for i, c in enumerate(filled) if counts[i] > ONE_HOT_LIMIT]
-        narrow = [c for c in filled if c not in wide]
+            counts = df.agg(*[F.count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(categorical)]).first()
+            wide = [c for i, c in enumerate(categorical) if counts[i] > ONE_HOT_LIMIT]
+            if wide:
+                raise ValueError(f"more than {ONE_HOT_LIMIT} categories for {strategy} in: {', '.join(wide)}; use freq_enc or ordinal, or drop them")
         if strategy in ("freq_enc", "ordinal"):
             kind = "frequency" if strategy == "freq_enc" else "ordinal"
             coded = [f"{c}_code" for c in filled]
             stages.append(CategoryEncoder(inputCols=filled, outputCols=coded, kind=kind))
             parts += coded
         else:
-            if wide:
-                coded = [f"{c}_code" for c in wide]
-                stages.append(CategoryEncoder(inputCols=wide, outputCols=coded, kind="frequency"))
-                parts += coded
-            if narrow:
-                index = [f"{c}_index" for c in narrow]
-                coded = [f"{c}_code" for c in narrow]
+            index = [f"{c}_index" for c in filled]
+            coded = [f"{c}_code" for c in filled]
+            stages.append(
+                StringIndexer(
+                    inputCols=filled, outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"
+                )
+            )
+            if strategy == "target_enc":
+                kind = "binary" if plan.task_type == "binary_classification" else "continuous"
                 stages.append(
-                    StringIndexer(
-                        inputCols=narrow, outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"
+                    TargetEncoder(
+                        inputCols=index, outputCols=coded, labelCol=label, targetType=kind, handleInvalid="keep"
                     )
                 )
-                if strategy == "target_enc":
-                    kind = "binary" if plan.task_type == "binary_classification" else "continuous"
-                    stages.append(
-                        TargetEncoder(
-                            inputCols=index, outputCols=coded, labelCol=label, targetType=kind, handleInvalid="keep"
-                        )
-                    )
-                else:
-                    # The slot of unknown categories is the last one, which is left out: unknown is all zeros.
-                    stages.append(OneHotEncoder(inputCols=index, outputCols=coded, dropLast=True))
-                parts += coded
+            else:
+                # The slot of unknown categories is the last one, which is left out: unknown is all zeros.
+                stages.append(OneHotEncoder(inputCols=index, outputCols=coded, dropLast=True))
+            parts += coded
 
     if columns["datetime"]:
         dates = DateParts(inputCols=columns["datetime"], parts=list(plan.features.datetime_features))

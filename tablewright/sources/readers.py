@@ -31,28 +31,46 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_table(
     spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """A table from CSV, Parquet, a JSON array or JSON lines, chosen by suffix unless named.
+    """A table from CSV, Parquet, JSON or JSON lines, chosen by suffix unless named.
 
-    A given schema avoids the inference pass over text formats. A JSON file that does not begin with ``[`` is
-    read as JSON lines, the form that large files should have, as only lines can be split.
+    A given schema avoids the inference pass over text formats. CSV fields may hold line breaks, so a CSV file is read by
+    one task; large tables should come as several files. Of a ``.json`` folder each file is read as JSON lines if
+    each of its lines is an object, else as one document. Rows that are not in the format raise an error.
     """
     fmt = fmt or format_of(path)
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
+    reader = (spark.read.schema(schema) if schema is not None else spark.read).option("mode", "FAILFAST")
     if fmt == "parquet":
         return reader.parquet(path)
     if fmt == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, escape='"', multiLine=False)
+        return reader.csv(path, header=True, inferSchema=schema is None, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
+                          ignoreTrailingWhiteSpace=False, emptyValue="")
     if fmt == "jsonl":
         return reader.json(path)
     if fmt == "json":
-        head = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-        document = head is not None and head[0].lstrip().startswith("[")
-        return reader.json(path, multiLine=document)
+        lines, documents = _json_kinds(spark, path)
+        if schema is None and lines and documents:
+            kinds = [spark.read.json(lines).schema, spark.read.json(documents, multiLine=True).schema]
+            fields = {f.name: f for kind in kinds for f in kind.fields}
+            reader = reader.schema(T.StructType(list(fields.values())))
+        parts = [reader.json(paths, multiLine=whole) for paths, whole in ((lines, False), (documents, True)) if paths]
+        if not parts:
+            return reader.json(path)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     raise ValueError(f"unsupported format: {fmt}")
 
 
+def _json_kinds(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files of a folder whose lines are objects, and those that are one document each; one row per file comes back."""
+    text = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    line = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    # Some whole objects, and no array around them: lines, of which the others are broken and will raise an error.
+    broken = F.some(line) & ~F.some(F.trim("value").startswith("["))
+    files = text.groupBy("file").agg((F.every(line) | broken).alias("lines")).collect()
+    return sorted(r["file"] for r in files if r["lines"]), sorted(r["file"] for r in files if not r["lines"])
+
+
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """One row per dataset: files, bytes, MD5 and SHA-256.
 

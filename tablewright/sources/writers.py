@@ -38,7 +38,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""')
     elif fmt in ("json", "jsonl"):
         writer.json(path)
     elif fmt == "parquet":

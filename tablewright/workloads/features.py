@@ -15,7 +15,7 @@ from tablewright.operators.schema import infer_schema
 from tablewright.plans.routing import feature_stages
 from tablewright.plans.spec import Candidate, Features, ModelPlan, Preprocessing
 from tablewright.runtime import cut_lineage, scratch_path
-from tablewright.workloads.registry import Tables, query
+from tablewright.workloads.registry import Tables, digest_sql, query
 
 # Rows marked as training rows by the year of their date; transforms are fitted on them alone.
 _TRAIN = "year(l_shipdate) < 2000"
@@ -282,25 +282,27 @@ def saved_transforms(t: Tables) -> DataFrame:
 
 # --- splits and folds -----------------------------------------------------------------------------------------
 
-_KEY = "concat_ws('|', CAST(l_quantity AS BIGINT), l_returnflag, l_linenumber)"
-_GROUP = f"CAST('0x' || substr(md5({_KEY}), 1, 8) AS BIGINT)"
+# Whole numbers and strings print alike in both engines.
+_LINE_KEY = ["quantity", "l_returnflag", "l_linenumber"]
+_KEYED = "(SELECT *, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem)"
+_GROUP = digest_sql(_LINE_KEY)
+_DRAW = f"{digest_sql(_LINE_KEY, 42)} / 1152921504606846976.0::DOUBLE"
+_NAME = f"CASE WHEN {_DRAW} < 0.2 THEN 'test' WHEN {_DRAW} < 0.36 THEN 'val' ELSE 'train' END"
 
 
-@query("feature_groups", f"SELECT {_GROUP} AS group_id, count(*) AS num_rows FROM lineitem GROUP BY 1")
-def feature_groups(t: Tables) -> DataFrame:
-    group = S.text_group([F.col("l_quantity").cast("bigint"), F.col("l_returnflag"), F.col("l_linenumber")])
-    return t("lineitem").groupBy(group.alias("group_id")).agg(F.count("*").alias("num_rows"))
+def _keyed(t: Tables) -> DataFrame:
+    return t("lineitem").withColumn("quantity", F.col("l_quantity").cast("bigint"))
 
 
-_DRAW = f"CAST('0x' || substr(md5('42|' || {_KEY}), 1, 8) AS BIGINT) / 4294967296.0"
+@query("feature_groups", f"SELECT {_GROUP} AS group_id, count(*) AS num_rows FROM {_KEYED} GROUP BY 1")
+def feature_groups(t: Tables) -> DataFrame:
+    grouped = S.with_groups(_keyed(t), _LINE_KEY)
+    return grouped.groupBy(F.col(S.GROUP).alias("group_id")).agg(F.count("*").alias("num_rows"))
 
 
-@query("split_by_hash", f"""
-SELECT l_returnflag, CASE WHEN {_DRAW} < 0.2 THEN 'test' WHEN {_DRAW} < 0.36 THEN 'val' ELSE 'train' END AS split, count(*) AS num_rows
-FROM lineitem GROUP BY 1, 2""")
+@query("split_by_hash", f"SELECT l_returnflag, {_NAME} AS split, count(*) AS num_rows FROM {_KEYED} GROUP BY 1, 2")
 def split_by_hash(t: Tables) -> DataFrame:
-    columns = [F.col("l_quantity").cast("bigint"), F.col("l_returnflag"), F.col("l_linenumber")]
-    return S.text_split(t("lineitem"), columns).groupBy("l_returnflag", "split").agg(F.count("*").alias("num_rows"))
+    return S.hash_split(_keyed(t), _LINE_KEY).groupBy("l_returnflag", "split").agg(F.count("*").alias("num_rows"))
 
 
 @query("split_by_quota")
@@ -321,12 +323,10 @@ def split_sequential(t: Tables) -> DataFrame:
 
 
 @query("folds_by_group", f"""
-SELECT CAST({_GROUP} % 5 AS BIGINT) AS fold, count(*) AS num_rows, count(DISTINCT {_GROUP}) AS groups FROM lineitem GROUP BY 1""")
+SELECT CAST({digest_sql(_LINE_KEY, 42)} % 5 AS INTEGER) AS fold, count(*) AS num_rows, count(DISTINCT {_GROUP}) AS groups FROM {_KEYED} GROUP BY 1""")
 def folds_by_group(t: Tables) -> DataFrame:
-    group = S.text_group([F.col("l_quantity").cast("bigint"), F.col("l_returnflag"), F.col("l_linenumber")])
-    return t("lineitem").select(group.alias("g")).groupBy(F.pmod("g", F.lit(5)).cast("bigint").alias("fold")).agg(
-        F.count("*").alias("num_rows"), F.count_distinct("g").alias("groups")
-    )
+    folds = S.with_groups(S.assign_folds(_keyed(t), _LINE_KEY, 5), _LINE_KEY)
+    return folds.groupBy("fold").agg(F.count("*").alias("num_rows"), F.count_distinct(S.GROUP).alias("groups"))
 
 
 @query("folds_stratified")
@@ -341,18 +341,17 @@ FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity, l_discount, l_tax)
 def fold_strategy(t: Tables) -> DataFrame:
     df = t("lineitem")
     name = S.fold_strategy(df, ["l_quantity", "l_discount", "l_tax"], True)
-    return df.limit(1).select(F.lit(name).alias("strategy"))
+    return t.spark.createDataFrame([(name,)], "strategy string")
 
 
 @query("split_overlap", f"""
 WITH s AS (SELECT round(l_discount, 8) AS a, round(l_tax * l_quantity, 8) AS b,
-  CASE WHEN {_DRAW} < 0.2 THEN 'test' WHEN {_DRAW} < 0.36 THEN 'val' ELSE 'train' END AS split FROM lineitem),
+  {_NAME} AS split FROM {_KEYED}),
 d AS (SELECT a, b, bool_or(split = 'train') AS tr, bool_or(split = 'val') AS va, bool_or(split = 'test') AS te FROM s GROUP BY 1, 2)
 SELECT count(*) FILTER (tr AND va) AS train_val, count(*) FILTER (tr AND te) AS train_test, count(*) FILTER (va AND te) AS val_test FROM d""")
 def split_overlap(t: Tables) -> DataFrame:
     """A split that does not keep equal rows together on these two columns, so overlaps are found."""
-    columns = [F.col("l_quantity").cast("bigint"), F.col("l_returnflag"), F.col("l_linenumber")]
-    df = S.text_split(t("lineitem"), columns).select(
+    df = S.hash_split(_keyed(t), _LINE_KEY).select(
         F.col("l_discount").alias("a"), (F.col("l_tax") * F.col("l_quantity")).alias("b"), "split"
     )
     return S.split_overlap(df, ["a", "b"])

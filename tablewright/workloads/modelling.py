@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.numeric import plain_round
+from tablewright.functions.hashing import row_digest
 from tablewright.operators import explain as E
 from tablewright.operators import metrics as M
 from tablewright.operators import neighbours as N
@@ -24,7 +25,7 @@ from tablewright.plans.models import build_estimator, family_of
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
 from tablewright.runtime import cut_lineage, scratch_path, spread
 from tablewright.streaming.scoring import score_stream, start_scoring
-from tablewright.workloads.registry import Tables, query
+from tablewright.workloads.registry import Tables, digest_sql, query
 
 _TYPES = {"lang": "categorical", "source": "categorical", "n_chars": "numeric", "words": "numeric"}
 
@@ -139,14 +140,14 @@ def model_linear_svc(t: Tables) -> DataFrame:
 
 
 _KNN = """
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0 AS test FROM embeddings),
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, """ + digest_sql(["vec_id"]) + """ % 5 = 0 AS test FROM embeddings),
 n AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rn
  FROM e a JOIN e b ON a.test AND NOT b.test)
 """
 
 
 def _knn_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    e = t("embeddings").withColumn("test", F.pmod(S.text_group([F.col("vec_id")]), F.lit(5)) == 0)
+    e = t("embeddings").withColumn("test", F.pmod(row_digest(t("embeddings"), ["vec_id"]), F.lit(5)) == 0)
     return e.where(~F.col("test")), e.where("test")
 
 

@@ -35,19 +35,19 @@ def schema_sql(source: str, key: str, columns: list[tuple[str, str]]) -> str:
             limit = 90 if c.lower().startswith("lat") else 180
             kind = f"CASE WHEN min({c}) >= -{limit} AND max({c}) <= {limit} THEN 'spatial_coords' ELSE 'numeric' END"
         if text:
-            every = lambda cond, n: f"(SELECT bool_and({cond}) FROM {first} WHERE rn <= {n})"
+            every = lambda cond: f"(SELECT coalesce(bool_and({cond}), true) FROM {source} WHERE {c} IS NOT NULL)"
             words = (
-                f"(SELECT median(len(string_split_regex(trim(v), '\\s+'))) FROM {first} WHERE rn <= 500)"
+                f"(SELECT median(len(string_split_regex(trim({c}), '\\s+'))) FROM {source} WHERE {c} IS NOT NULL)"
             )
             kind = "CASE "
             if has_date_hint(c):
-                kind += f"WHEN {every('try_cast(v AS TIMESTAMP) IS NOT NULL', 50)} THEN 'datetime' "
+                kind += f"WHEN {every(f'try_cast({c} AS TIMESTAMP) IS NOT NULL')} THEN 'datetime' "
             for name, pattern in (
                 ("email", EMAIL_PATTERN), ("ip_address", IP_PATTERN), ("url", URL_PATTERN), ("uuid", UUID_PATTERN),
                 ("phone_number", PHONE_PATTERN),
             ):
-                cond = "regexp_matches(v, '" + pattern.replace("'", "''") + "')"
-                kind += f"WHEN {every(cond, 30)} THEN '{name}' "
+                cond = f"regexp_matches({c}, '" + pattern.replace("'", "''") + "')"
+                kind += f"WHEN {every(cond)} THEN '{name}' "
             kind += (
                 f"WHEN {words} >= 5 THEN 'text' WHEN count(DISTINCT {c}) / count(*) >= 0.8 THEN 'high_cardinality' "
                 "ELSE 'categorical' END"
@@ -103,6 +103,7 @@ _SEMANTIC = {
     "phone": ("concat('+1 555-', 1000000 + c_custkey)", "string"),
     "birth_date": ("concat('19', 50 + c_nationkey, '-05-17')", "string"),
     "note": ("concat('customer number ', c_custkey, ' of the segment ', c_mktsegment)", "string"),
+    "late_change": ("CASE WHEN c_custkey <= 1400 THEN concat('u', c_custkey, '@ex.com') ELSE concat('shop', c_custkey) END", "string"),
     "mixed": ("CASE WHEN c_mktsegment = 'MACHINERY' THEN 'x' ELSE concat('u', c_nationkey, '@ex.com') END", "string"),
     "lat": ("CAST(c_nationkey AS DOUBLE)", "double"),
     "lon": ("c_acctbal", "double"),

@@ -41,3 +41,9 @@ def long_sql(columns: dict[str, str], source: str) -> str:
     """(column_name, v) rows of several numeric expressions."""
     parts = [f"SELECT '{name}' AS column_name, CAST({expr} AS DOUBLE) AS v FROM {source}" for name, expr in columns.items()]
     return " UNION ALL ".join(parts)
+
+
+def digest_sql(parts: list[str], salt: int = 0) -> str:
+    """The digest of a row in SQL, over expressions that print alike in both engines."""
+    shown = ", ".join(f"CASE WHEN {p} IS NULL THEN '-' ELSE concat(length(CAST({p} AS VARCHAR)), ':', CAST({p} AS VARCHAR)) END" for p in parts)
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{salt}', {shown})), 1, 15) AS BIGINT)"

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import text_digest
 from tablewright.operators.catalogue import search_runs
 from tablewright.operators.clean import drop_incomplete, drop_zero_variance
 from tablewright.operators.profile import preview
 from tablewright.operators.schema import drop_identifiers, identifier_columns
-from tablewright.operators.split import text_split
+from tablewright.operators.split import hash_split
 from tablewright.runtime import scratch_path
 from tablewright.sources import readers, writers
-from tablewright.workloads.registry import Tables, query
+from tablewright.workloads.registry import Tables, digest_sql, query
 
 ORDERS_SQL = """
 SELECT o_orderpriority, count(*) AS orders, count(DISTINCT o_custkey) AS customers, min(o_orderkey) AS first_key,
-       round(avg(o_totalprice), 4) AS mean_price
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS VARCHAR) AS price
 FROM orders GROUP BY o_orderpriority"""
 
 
 def _orders_report(df: DataFrame) -> DataFrame:
     return df.groupBy("o_orderpriority").agg(
         F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("customers"),
-        F.min("o_orderkey").cast("bigint").alias("first_key"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"),
+        F.min("o_orderkey").cast("bigint").alias("first_key"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("string").alias("price"),
     )
 
 
@@ -46,7 +45,7 @@ def scan_parquet(t: Tables) -> DataFrame:
 
 
 @query("scan_json_document", """
-SELECT c_mktsegment, count(*) AS customers, count(DISTINCT c_nationkey) AS nations, round(avg(c_acctbal), 4) AS mean_balance
+SELECT c_mktsegment, count(*) AS customers, count(DISTINCT c_nationkey) AS nations, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS VARCHAR) AS balance
 FROM customer GROUP BY c_mktsegment""")
 def scan_json_document(t: Tables) -> DataFrame:
     customer = t("customer")
@@ -61,10 +60,34 @@ def scan_json_document(t: Tables) -> DataFrame:
     back = readers.read_table(t.spark, path, schema=customer.schema)
     return back.groupBy("c_mktsegment").agg(
         F.count("*").alias("customers"), F.count_distinct("c_nationkey").alias("nations"),
-        F.round(F.avg("c_acctbal"), 4).alias("mean_balance"),
+        F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("string").alias("balance"),
     )
 
 
+_TEXTS_SQL = """
+SELECT count(*) AS num_rows, CAST(sum(length({text})) AS BIGINT) AS chars, CAST(sum(CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)) AS VARCHAR) AS digests,
+       CAST(sum({key}) AS BIGINT) AS keys FROM {table}"""
+
+
+def _texts_round_trip(t: Tables, table: str, key: str, text: str, fmt: str) -> DataFrame:
+    """All texts, line breaks and quotes included, written as text files and read back."""
+    df = t(table)
+    path = writers.write_table(df, scratch_path(t.spark, table) + "." + fmt, fmt)
+    back = readers.read_table(t.spark, path, schema=df.schema)
+    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(30,0)")
+    return back.agg(F.count("*").alias("num_rows"), F.sum(F.length(text)).cast("bigint").alias("chars"), F.sum(number).cast("string").alias("digests"), F.sum(key).alias("keys"))
+
+
+@query("csv_round_trip_documents", _TEXTS_SQL.format(table="documents", key="doc_id", text="text"))
+def csv_round_trip_documents(t: Tables) -> DataFrame:
+    return _texts_round_trip(t, "documents", "doc_id", "text", "csv")
+
+
+@query("csv_round_trip_pages", _TEXTS_SQL.format(table="pages", key="page_id", text="html"))
+def csv_round_trip_pages(t: Tables) -> DataFrame:
+    return _texts_round_trip(t, "pages", "page_id", "html", "csv")
+
+
 @query("scan_json_lines", """
 SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, max(length(props)) AS longest_props,
        round(avg(value), 4) AS mean_value
@@ -88,16 +111,23 @@ def dataset_metadata(t: Tables) -> DataFrame:
     return readers.dataset_metadata(t.spark, t.path("lineitem"))
 
 
-@query("content_fingerprint", """
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "cents", "c_mktsegment"]
+_CENTS = "(SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer)"
+
+
+def _cents(df: DataFrame) -> DataFrame:
+    """The balance in whole cents, which print alike in both engines."""
+    return df.withColumn("cents", F.round(F.col("c_acctbal") * 100).cast("bigint"))
+
+
+@query("content_fingerprint", f"""
 SELECT count(*) AS num_rows, bit_xor(h) AS digest_xor, CAST(sum(h) AS VARCHAR) AS digest_sum
-FROM (SELECT CAST('0x' || substr(md5(concat_ws('|', c_custkey, c_name, c_nationkey, c_mktsegment)), 1, 8) AS BIGINT) AS h
-      FROM customer)""")
+FROM (SELECT {digest_sql(_CUSTOMER)} AS h FROM {_CENTS})""")
 def content_fingerprint(t: Tables) -> DataFrame:
-    digest = text_digest([F.col(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")])
-    return readers.fold_digests(t("customer"), digest)
+    return readers.content_fingerprint(_cents(t("customer")), _CUSTOMER)
 
 
-@query("drift_check")
+@query("drift_check", "SELECT 'orders' AS path, 'unchanged' AS status UNION ALL SELECT 'customer', 'changed'")
 def drift_check(t: Tables) -> DataFrame:
     """Fingerprints of two tables, one of them changed since it was stored."""
     mark = lambda df, path: readers.content_fingerprint(df).withColumn("path", F.lit(path))
@@ -127,16 +157,16 @@ def write_round_trip(t: Tables) -> DataFrame:
     return _orders_report(readers.read_table(t.spark, path, "parquet"))
 
 
-_SPLIT_SQL = """CASE WHEN CAST('0x' || substr(md5('42|' || {key}), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test'
-     WHEN CAST('0x' || substr(md5('42|' || {key}), 1, 8) AS BIGINT) / 4294967296.0 < 0.36 THEN 'val' ELSE 'train' END"""
+_DRAW = f"{digest_sql(['conv_id'], 42)} / 1152921504606846976.0::DOUBLE"
+_SPLIT_SQL = f"CASE WHEN {_DRAW} < 0.2 THEN 'test' WHEN {_DRAW} < 0.36 THEN 'val' ELSE 'train' END"
 
 
 @query("export_splits", f"""
 SELECT split, count(*) AS num_rows, count(DISTINCT conv_id) AS conversations
-FROM (SELECT *, {_SPLIT_SQL.format(key='conv_id')} AS split FROM conversations) GROUP BY split""")
+FROM (SELECT *, {_SPLIT_SQL} AS split FROM conversations) GROUP BY split""")
 def export_splits(t: Tables) -> DataFrame:
     """Conversations exported by split, all turns of one together, and read back from their folders."""
-    split = text_split(t("conversations"), [F.col("conv_id")])
+    split = hash_split(t("conversations"), ["conv_id"])
     paths = writers.export_tables({"splits": split}, scratch_path(t.spark, "export"), "splits")
     return t.spark.read.parquet(paths["splits"]).groupBy("split").agg(
         F.count("*").alias("num_rows"), F.count_distinct("conv_id").alias("conversations")

@@ -281,3 +281,33 @@ def test_source_rules():
     text = "\n".join(p.read_text() for p in ROOT.glob("tablewright/**/*.py"))
     for banned in ("localCheckpoint", ".crossJoin(", "sc.parallelize"):
         assert banned not in text
+
+
+@pytest.mark.parametrize("kind", ["tree", "forest", "boosting"])
+def test_tree_values_add_up_with_one_hot_columns(spark, kind):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+
+    df = spark.range(400).selectExpr("id AS row", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' ELSE 'c' END AS c", "CAST(id % 7 AS double) AS x",
+                                     "CAST(IF(id % 3 = 0, 10, 0) + id % 7 AS double) AS label")
+    stages = [StringIndexer(inputCol="c", outputCol="i"), OneHotEncoder(inputCol="i", outputCol="o", dropLast=False), VectorAssembler(inputCols=["o", "x"], outputCol="features")]
+    rows = Pipeline(stages=stages).fit(df).transform(df)
+    model = {"tree": DecisionTreeRegressor(), "forest": RandomForestRegressor(numTrees=5, seed=1), "boosting": GBTRegressor(maxIter=4, seed=1)}[kind].fit(rows)
+    phi = E.tree_shapley(model, rows, "row", ["a", "b", "c", "x"]).groupBy("row").agg(F.sum("phi").alias("total"))
+    gap = model.transform(rows).join(phi, "row").select(F.abs(F.col("prediction") - F.col("total") - E.tree_expectation(spark, model)).alias("gap"))
+    assert gap.agg(F.max("gap")).first()[0] < 1e-6
+
+
+def test_json_files_of_all_kinds_keep_their_records(spark, tmp_path):
+    from tablewright.sources.readers import read_table
+
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"a": 1}, {"a": 2}]')
+    (folder / "b.json").write_text('{"a": 3}\n{"a": 4}\n{"a": 5}\n')
+    (folder / "c.json").write_text('{\n  "a": 6\n}\n')
+    assert sorted(r["a"] for r in read_table(spark, str(folder)).collect()) == [1, 2, 3, 4, 5, 6]
+    (folder / "d.json").write_text('{"a": 7}\n{"a": ')
+    with pytest.raises(Exception):
+        read_table(spark, str(folder), schema="a bigint").collect()

@@ -4,12 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tablewright.workloads.registry import QUERIES, SQL
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-SLOW = {"experiment_metrics", "experiment_winner"}
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +34,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert found == sorted(tuple(_shown(r[c]) for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.count() >= (0 if name == "risk_anomalies" else 1)

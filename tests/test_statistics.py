@@ -199,3 +199,11 @@ def test_metrics_with_empty_denominators(spark):
     assert (r["precision"], r["recall"], r["f1"]) == (0.0, 0.0, 0.0) and r["accuracy"] == pytest.approx(1 / 3)
     per = {r["class"]: r["f1"] for r in M.class_metrics(df, "y", "p").collect()}
     assert per[1] == 0.0 and per[0] == pytest.approx(0.5)
+
+
+def test_semantic_type_looks_at_all_values(spark):
+    from tablewright.operators.schema import infer_schema
+
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id < 600 THEN concat('u', id, '@ex.com') ELSE concat('shop', id) END AS mail")
+    found = {r["column_name"]: r["inferred_type"] for r in infer_schema(df, "id").collect()}
+    assert found["mail"] == "high_cardinality"
