@@ -245,7 +245,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, re
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark, with the columns they had; rows whose ``doc_id`` is NULL are told apart by their text."""
     name = F.xxhash64("doc_id", "text")
-    named = docs.select(F.struct(*docs.columns).alias("_row"), name.alias("_name"))
+    named = docs.select(F.struct("*").alias("_row"), name.alias("_name"))
     texts = named.select(F.col("_name").alias("doc_id"), F.col("_row.text").alias("text"))
     leaks = stored(matches(texts, benchmark).select(F.col("doc_id").alias("_name")).distinct(), "leaks")
     return named.join(checked_broadcast(leaks), "_name", "left_anti").select("_row.*")

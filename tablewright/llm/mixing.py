@@ -84,7 +84,7 @@ def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     taken = decided.groupBy(key_of("source").alias("_group")).agg(
         F.min("copies").alias("_least"), F.max("copies").alias("_most"),
         F.max(F.struct("copies", "place")).getField("place").alias("_last"))
-    kept = docs.select(F.struct(*docs.columns).alias("_row"), key_of("source").alias("_group"),
+    kept = docs.select(F.struct("*").alias("_row"), key_of("source").alias("_group"),
                        order_hash(F.col("doc_id"), F.col("text")).alias("_place"))
     kept = kept.join(checked_broadcast(stored(taken)), "_group")
     copies = F.when(F.col("_place") <= F.col("_last"), F.col("_most")).otherwise(F.col("_least"))

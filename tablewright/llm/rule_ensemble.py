@@ -85,7 +85,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are predicted to be good, with the columns they had."""
     rows = stored(with_statistics(docs, "text", "doc_id"), "statistics")
     score = fit_score(stored(rows.where(~held_out()).join(label_of(labels, "quality"), "doc_id").select(*FEATURES, "label"), "labelled"))
-    whole = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_text", F.col("_row.text"))
+    whole = docs.select(F.struct("*").alias("_row")).withColumn("_text", F.col("_row.text"))
     # The row number keeps the optimiser from copying the statistics into every rule.
     counted = with_statistics(whole, "_text", "_row").withColumn("_at", F.monotonically_increasing_id())
     return counted.where((score >= THRESHOLD) & (F.col("_at") >= 0)).select("_row.*")
