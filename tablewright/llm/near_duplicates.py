@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,11 @@ from tablewright.llm.words import mixed, shingles, text_slices, word_hashes
 
 #: Words of a shingle, and per cent of the union that two linked sets share at least.
 WIDTH, PER_CENT = 5, 85
-#: Coordinates of a signature, and how many a linked pair shares at least. At a similarity of 0.85 a pair shares fewer
-#: with a probability of 5e-8; more links than that are not lost.
-COORDINATES, MATCHES = 64, 38
+#: Coordinates of a signature, and the probability with which a linked pair may share too few of them to be found.
+COORDINATES, MISSED = 64, 1e-7
+#: Bits of a set's parity sketch. Two sets differ in no fewer places than their sketches do; sets that differ in d
+#: places show more than ``most_bits(d)`` different bits with a probability of less than 1e-8.
+BITS = 1024
 #: Rows of a list that are compared with rows of the list at a time.
 SIDE_ROWS, ALL_ROWS = 512, 4096
 #: Ids that may be broadcast to find texts again.
@@ -29,6 +32,16 @@ _SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x
 _FACTOR, _SHIFT = _SEEDS[:COORDINATES] | np.uint64(1), _SEEDS[COORDINATES:]
 
 
+def least_matches(per_cent: int) -> int:
+    """Coordinates that a pair at the similarity shares, but with probability ``MISSED``: binomial in the similarity."""
+    p, below = per_cent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, k) * p ** k * (1 - p) ** (COORDINATES - k)
+        if below > MISSED:
+            return k
+    return COORDINATES
+
+
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of rows: distinct shingle hashes, sorted within each row, their offsets, and all shingles' offsets."""
     for _, _, data, offsets in text_slices(column):
@@ -52,12 +65,27 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each set, ``BITS`` parities of how many of its hashes fall in each slot."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    slot = (values >> np.uint64(17)) & np.uint64(BITS - 1)
+    held = np.bincount(rows * BITS + slot.astype(np.int64), minlength=(len(offsets) - 1) * BITS).astype(np.uint8) & 1
+    return [row.tobytes() for row in np.packbits(held.reshape(-1, BITS), axis=1)]
+
+
+def most_bits(differ: np.ndarray) -> np.ndarray:
+    """Different bits of sketches whose sets differ in ``differ`` places: six deviations above the mean, at most ``differ``."""
+    two, four = (1 - 2 / BITS) ** differ, (1 - 4 / BITS) ** differ
+    spread = np.sqrt(np.maximum(0, BITS / 4 * (1 - four) + BITS ** 2 / 4 * (four - two ** 2)))
+    return np.minimum(differ, BITS / 2 * (1 - two) + 6 * spread + 1)
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """``id, mark, n_shingles, digest, signature`` of each row of ``id, text``; ``mark`` tells texts of equal ids apart.
+    """``id, mark, n_shingles, digest, signature, parity`` of each row of ``id, text``; ``mark`` tells texts of equal ids apart.
 
-    ``digest`` and ``signature`` are NULL for texts without words.
+    ``digest`` and ``signature`` (see ``signatures``) are NULL for texts without words.
     """
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.list_(pa.int64())), ("parity", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,10 +96,10 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.where(counts > 0, COORDINATES, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(held.ravel()), mask=pa.array(counts == 0))
                 digests = pa.array([_digest(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(counts), digests, lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(counts), digests, lists, pa.array(parities(values, offsets), pa.binary())], schema=schema)
                 at += rows
 
-    return docs.select("id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "id bigint, mark bigint, n_shingles bigint, digest binary, signature array<bigint>")
+    return docs.select("id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "id bigint, mark bigint, n_shingles bigint, digest binary, signature array<bigint>, parity binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -102,11 +130,12 @@ def _near_size(a: str, b: str, per_cent: int):
     return (100 * F.least(a, b) >= per_cent * F.greatest(a, b))
 
 
-def _side_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs of one list with different labels and enough equal coordinates; ``lists`` has ``value, digest, label, n, bytes``.
+def _side_pairs(lists: DataFrame, per_cent: int, nearest: bool) -> DataFrame:
+    """Pairs of one list with different labels that may be links; ``lists`` has ``value, digest, label, n, bytes, parity``.
 
     The members under a list's most frequent label need no comparison among themselves. The others are compared with all members,
-    in blocks, inside tasks, and only pairs that match come out.
+    in blocks, inside tasks: by size, by equal coordinates (one byte of each), and by their sketches. Only pairs that pass come
+    out; with ``nearest``, for each of the others the nearest member under each label.
     """
     by_label = stored(lists.groupBy("value", "label").agg(F.count("*").alias("n")).groupBy("value").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).where("members > most"), "lists")
@@ -114,11 +143,12 @@ def _side_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
         "sides": F.ceil((F.col("members") - F.col("most")) / SIDE_ROWS).cast("int"), "alls": F.ceil(F.col("members") / ALL_ROWS).cast("int")})
     spot = lambda n, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["value", "side", "all", "role", "digest", "label", "n", "bytes"]
+    columns = ["value", "side", "all", "role", "digest", "label", "n", "bytes", "parity"]
     side = rows.where("label <> main").withColumns({"side": spot("sides", 1), "role": F.lit(0)}).withColumn("all", each("alls")).select(columns)
     every = rows.withColumns({"all": spot("alls", 2), "role": F.lit(1)}).withColumn("side", each("sides")).select(columns)
     placed = side.unionByName(every).repartition("value", "side", "all").sortWithinPartitions("value", "side", "all", "role")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    share, matches = (100 - per_cent) / (100 + per_cent), least_matches(per_cent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 3):
@@ -126,12 +156,21 @@ def _side_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
             cut = int((role == 0).sum())
             if not cut or cut == len(role):
                 continue
-            digest, label, n = group.column("digest").to_pylist(), np.array(group.column("label").to_pylist(), object), group.column("n").to_numpy()
+            digest, n = group.column("digest").to_pylist(), group.column("n").to_numpy()
+            label = np.unique(np.array([v.hex() for v in group.column("label").to_pylist()]), return_inverse=True)[1]
             coded = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            parity = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             left, right = [], []
             for i in range(cut):
                 fits = np.flatnonzero((label[cut:] != label[i]) & (100 * np.minimum(n[cut:], n[i]) >= per_cent * np.maximum(n[cut:], n[i]))) + cut
-                for j in fits[(coded[fits] == coded[i]).sum(1) >= MATCHES] if len(fits) else ():
+                fits = fits[(coded[fits] == coded[i]).sum(1) >= matches] if len(fits) else fits
+                bits = np.bitwise_count(parity[fits] ^ parity[i]).sum(1)
+                near = bits <= most_bits(np.floor(share * (n[fits] + n[i]) + 1e-9))
+                fits, bits = fits[near], bits[near]
+                if nearest and len(fits):
+                    fits = fits[np.argsort(bits, kind="stable")]
+                    fits = fits[np.unique(label[fits], return_index=True)[1]]
+                for j in fits:
                     left.append(min(digest[i], digest[j]))
                     right.append(max(digest[i], digest[j]))
             if left:
@@ -143,34 +182,39 @@ def _side_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
 def near_components(rows: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """``digest, label`` of the sets that are linked with another set; ``rows`` is ``sketched(docs)``, stored.
 
-    1. Equal sets are one node. Coordinate values that one node has alone are dropped, and a node with fewer than ``MATCHES``
-       others left is skipped: it cannot match anyone.
-    2. Ordered from rare to frequent, the values of two nodes with ``MATCHES`` values in common meet within all but the last
-       ``MATCHES - 1`` of each, so nodes are posted under those only.
-    3. In each list every node is tried against the list's first node; the links, confirmed on full sets, give components. Pairs
-       of one list that are in one component by then need no proof. All others are compared, in blocks.
+    1. Equal sets are one node. Coordinate values that one node has alone are dropped, and a node with fewer than the
+       least number of matches left is skipped: it cannot match anyone.
+    2. Ordered from rare to frequent, the values of two nodes with m values in common meet within all but the last
+       m - 1 of each, so nodes are posted under those only.
+    3. In each list every node is tried against the node whose values are the most frequent; the links, confirmed on full
+       sets, give components. Pairs of one list that are in one component by then need no proof. The others are compared in
+       blocks: first only with the nearest node of each other component, then, among the components that are left, all.
     """
+    matches = least_matches(per_cent)
     nodes = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min(F.struct("id", "mark")).alias("at"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "nodes")
+        F.min(F.struct("id", "mark")).alias("at"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("parity").alias("parity")), "nodes")
     postings = nodes.select("digest", F.explode("signature").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
-    ordered = postings.join(shared, "value").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
-    ordered = ordered.where(F.size("values") >= MATCHES).select("digest", F.slice("values", 1, F.size("values") - (MATCHES - 1)).getField("value").alias("values"))
+    ordered = postings.join(shared, "value").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"), F.sum("times").alias("weight"))
+    ordered = ordered.where(F.size("values") >= matches).select("digest", "weight", F.slice("values", 1, F.size("values") - (matches - 1)).getField("value").alias("values"))
     kept = stored(nodes.join(ordered, "digest"), "candidates")
-    lists = kept.select("digest", F.explode("values").alias("value"))
-    heads = lists.groupBy("value").agg(F.min("digest").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
+    lists = kept.select("digest", "weight", F.explode("values").alias("value"))
+    heads = lists.groupBy("value").agg(F.max_by("digest", F.struct("weight", "digest")).alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
     tried = lists.join(heads, "value").where("a <> digest").select("a", F.col("digest").alias("b")).distinct()
     left, right = (kept.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}")) for c in "ab")
-    tried = tried.join(left, "a").join(right, "b").where(_near_size("na", "nb", per_cent) & (F.size(F.array_intersect("sa", "sb")) >= MATCHES)).select("a", "b")
-    tried = stored(tried, "pairs")
+    tried = tried.join(left, "a").join(right, "b").where(_near_size("na", "nb", per_cent) & (F.size(F.array_intersect("sa", "sb")) >= matches)).select("a", "b")
     sets = full_sets(docs, kept.select("at.*"), width)
-    links = stored(confirmed(tried, sets, per_cent), "links")
+    links = stored(confirmed(stored(tried, "pairs"), sets, per_cent), "links")
     labels = components(links)
     coded = F.unhex(F.array_join(F.transform("signature", lambda v: F.lpad(F.hex(F.pmod(F.shiftright(v, 6), F.lit(256))), 2, "0")), ""))
-    known = kept.join(labels, kept["digest"] == labels["node"], "left").select(
-        "digest", F.coalesce("label", "digest").alias("label"), "n", coded.alias("bytes"), F.explode("values").alias("value"))
-    more = stored(confirmed(stored(_side_pairs(stored(known, "known"), per_cent), "pairs"), sets, per_cent), "links")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    for nearest in (True, False):
+        known = kept.join(labels, kept["digest"] == labels["node"], "left").select(
+            "digest", F.coalesce("label", "digest").alias("label"), "n", coded.alias("bytes"), "parity", F.explode("values").alias("value"))
+        more = stored(confirmed(stored(_side_pairs(stored(known, "known"), per_cent, nearest), "pairs"), sets, per_cent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    return labels
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
@@ -195,7 +239,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT)
 def first_of_each(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """The documents without their near-duplicates: of each component one row with the smallest id, with the columns it had."""
     kept = deduplicated(docs, width, per_cent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
     once = rows.join(stored(kept, "kept"), "_id", "left_semi")
     nameless = rows.where("_id IS NULL")
     return once.dropDuplicates(["_id"]).unionByName(nameless).select("_row.*")
