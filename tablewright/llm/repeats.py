@@ -18,7 +18,7 @@ from tablewright.llm.words import mixed, text_slices
 #: Bytes of a string that may not occur twice.
 LENGTH = 400
 #: Text of a shard, as far as one key's strings do not hold more; ids that may be broadcast.
-SHARD_BYTES, FOUND_ROWS = 4 << 20, 500_000
+SHARD_BYTES, FOUND_ROWS = 1 << 20, 500_000
 #: Between strings of a shard; no UTF-8 text has this byte.
 GAP = 0xFF
 
@@ -192,8 +192,8 @@ def repeated_spans(named: DataFrame, length: int = LENGTH) -> DataFrame:
     3. The different stretches of a key go to one shard, whose suffix array with common-prefix lengths shows the starts that repeat.
     """
     all_stretches = stored(stretches(named, length), "stretches")
-    kinds = stored(all_stretches.groupBy("key", "digest").agg(
-        F.count("*").alias("n"), F.min(F.struct("name", "at")).alias("first"), F.first("starts").alias("starts"), F.first("inner").alias("inner")), "kinds")
+    kinds = all_stretches.groupBy("key", "digest").agg(
+        F.count("*").alias("n"), F.min(F.struct("name", "at")).alias("first"), F.first("starts").alias("starts"), F.first("inner").alias("inner"))
     keys = kinds.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("inner").alias("any_inner")).where("total > 1 OR any_inner")
     again = stored(kinds.join(keys, "key"), "again")
     whole = again.where("n > 1").select("key", "digest", F.lit(0).alias("low"), F.col("starts").alias("high"))
@@ -243,8 +243,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, schema.types[1:]))], schema=schema)
 
-    joined = named.join(stored(spans, "spans"), "name", "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+    spans = stored(spans, "spans")
+    with_spans = checked_broadcast(spans.select("name"), FOUND_ROWS)
+    # Texts without any span stay where they are.
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    alone = named.join(with_spans, "name", "left_anti").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", none)
+    moved = named.join(with_spans, "name", "left_semi").join(spans, "name").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "spans")
+    return alone.unionByName(moved).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
