@@ -10,7 +10,7 @@ import numpy as np
 #: Bytes up to which an array or a queue stays in memory; tuples that are sorted at once.
 MEMORY_BYTES, BLOCK = 64 << 20, 1 << 20
 #: Packed columns of a tuple's tail.
-COLUMNS = 3
+COLUMNS = 2
 
 
 def array(length: int, kind: type) -> np.ndarray:
@@ -23,7 +23,7 @@ def array(length: int, kind: type) -> np.ndarray:
 class Queue:
     """A priority queue of tuples that spills sorted runs and gives all tuples back, smallest first, in blocks.
 
-    A tuple is one value of each pushed column; columns compare from first to last.
+    A tuple is one value of each pushed column; columns compare from first to last, but for the last, which is carried along.
     """
 
     def __init__(self, memory: int = MEMORY_BYTES):
@@ -39,7 +39,7 @@ class Queue:
 
     def _sorted(self) -> list[np.ndarray]:
         columns = [np.concatenate(c) for c in zip(*self.held)]
-        order = np.lexsort(columns[::-1])
+        order = np.lexsort(columns[-2::-1])
         self.held, self.bytes = [], 0
         return [c[order] for c in columns]
 
@@ -71,7 +71,7 @@ class Queue:
             if not parts:
                 return
             columns = [np.concatenate(c) for c in zip(*parts)]
-            order = np.lexsort(columns[-2::-1])
+            order = np.lexsort(columns[-3::-1])
             columns = [c[order] for c in columns]
             stops = np.flatnonzero(columns[-1] >= 0)
             cut = int(stops[0]) + 1 if len(stops) else len(order)
@@ -119,19 +119,27 @@ class _Tails:
         self.bits = max(1, int(self.infinite).bit_length())
         self.each = 64 // self.bits
         self.room = self.each * COLUMNS
+        # The number of the next stop behind each position.
+        self.next_stop = array(len(text), np.int32)
+        bounds = np.concatenate([[0], stops, [len(text)]])
+        for a in range(0, len(bounds) - 1, BLOCK):
+            part = bounds[a:a + BLOCK + 1]
+            self.next_stop[part[0]:part[-1]] = np.repeat(np.arange(a, a + len(part) - 1, dtype=np.int32), np.diff(part))
 
     def ends(self, at: np.ndarray) -> np.ndarray:
-        """Number of the next stop behind each position."""
-        return np.searchsorted(self.stops, at, "right")
+        return self.next_stop[at]
 
     def packed(self, at: np.ndarray, end: np.ndarray, skip: int = 0) -> list[np.ndarray]:
         last, out = len(self.text) - 1, []
+        left = end - at - skip  # symbols of the tail from here on, less one
         for c in range(COLUMNS):
             column = np.zeros(len(at), np.uint64)
-            for k in range(self.each):
-                p = at + (skip + c * self.each + k)
-                symbol = np.where(p <= end, self.text[np.minimum(p, last)], np.where(p == end + 1, self.infinite, 0)).astype(np.uint64)
-                column = (column << np.uint64(self.bits)) | symbol
+            live = np.flatnonzero(left >= c * self.each - 1)
+            for k in range(c * self.each, (c + 1) * self.each):
+                live = live[left[live] >= k - 1]
+                symbol = self.text[np.minimum(at[live] + (skip + k), last)].astype(np.uint64)
+                symbol[left[live] == k - 1] = self.infinite
+                column[live] |= symbol << np.uint64(self.bits * ((c + 1) * self.each - 1 - k))
             out.append(column)
         return out
 
