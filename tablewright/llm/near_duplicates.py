@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.components import components
 from tablewright.llm.groups import sorted_groups
-from tablewright.llm.tables import checked_broadcast, stored
+from tablewright.llm.tables import WORD, checked_broadcast, stored
 from tablewright.llm.words import mixed, shingles, text_slices, word_hashes
 
 #: Words of a shingle, and per cent of the union that two linked sets share at least.
@@ -130,12 +130,13 @@ def _near_size(a: str, b: str, per_cent: int):
     return (100 * F.least(a, b) >= per_cent * F.greatest(a, b))
 
 
-def _side_pairs(lists: DataFrame, per_cent: int, nearest: bool) -> DataFrame:
-    """Pairs of one list with different labels that may be links; ``lists`` has ``value, digest, label, n, bytes, parity``.
+def _side_pairs(lists: DataFrame, facts: DataFrame, per_cent: int, nearest: bool) -> DataFrame:
+    """Pairs of one list with different labels that may be links.
 
-    The members under a list's most frequent label need no comparison among themselves. The others are compared with all members,
-    in blocks, inside tasks: by size, by equal coordinates (one byte of each), and by their sketches. Only pairs that pass come
-    out; with ``nearest``, for each of the others the nearest member under each label.
+    ``lists`` has ``value, digest, label``, and ``facts`` has ``digest, n, bytes, parity`` once per digest; they are brought together for lists
+    with several labels only. The members under a list's most frequent label need no comparison among themselves. The others
+    are compared with all members, in blocks, inside tasks: by size, by equal coordinates (one byte of each), and by their
+    sketches. Only pairs that pass come out; with ``nearest``, for each of the others the nearest member under each label.
     """
     by_label = stored(lists.groupBy("value", "label").agg(F.count("*").alias("n")).groupBy("value").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).where("members > most"), "lists")
@@ -143,10 +144,11 @@ def _side_pairs(lists: DataFrame, per_cent: int, nearest: bool) -> DataFrame:
         "sides": F.ceil((F.col("members") - F.col("most")) / SIDE_ROWS).cast("int"), "alls": F.ceil(F.col("members") / ALL_ROWS).cast("int")})
     spot = lambda n, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["value", "side", "all", "role", "digest", "label", "n", "bytes", "parity"]
+    columns = ["value", "side", "all", "role", "digest", "label"]
     side = rows.where("label <> main").withColumns({"side": spot("sides", 1), "role": F.lit(0)}).withColumn("all", each("alls")).select(columns)
     every = rows.withColumns({"all": spot("alls", 2), "role": F.lit(1)}).withColumn("side", each("sides")).select(columns)
-    placed = side.unionByName(every).repartition("value", "side", "all").sortWithinPartitions("value", "side", "all", "role")
+    full = stored(side.unionByName(every), "members").join(facts, "digest").select(*columns, "n", "bytes", "parity")
+    placed = full.repartition("value", "side", "all").sortWithinPartitions("value", "side", "all", "role")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     share, matches = (100 - per_cent) / (100 + per_cent), least_matches(per_cent)
 
@@ -207,39 +209,57 @@ def near_components(rows: DataFrame, docs: DataFrame, width: int, per_cent: int)
     links = stored(confirmed(stored(tried, "pairs"), sets, per_cent), "links")
     labels = components(links)
     coded = F.unhex(F.array_join(F.transform("signature", lambda v: F.lpad(F.hex(F.pmod(F.shiftright(v, 6), F.lit(256))), 2, "0")), ""))
+    facts = kept.select("digest", "n", coded.alias("bytes"), "parity")
     for nearest in (True, False):
         known = kept.join(labels, kept["digest"] == labels["node"], "left").select(
-            "digest", F.coalesce("label", "digest").alias("label"), "n", coded.alias("bytes"), "parity", F.explode("values").alias("value"))
-        more = stored(confirmed(stored(_side_pairs(stored(known, "known"), per_cent, nearest), "pairs"), sets, per_cent), "links")
+            "digest", F.coalesce("label", "digest").alias("label"), F.explode("values").alias("value"))
+        more = stored(confirmed(stored(_side_pairs(stored(known, "known"), facts, per_cent, nearest), "pairs"), sets, per_cent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
     return labels
 
 
+def _classified(texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """``id, mark, n_shingles, digest, class, component_id`` of each row of ``id, text``; ``class`` and ``digest`` are NULL without words."""
+    rows = stored(sketched(texts, width), "sketches")
+    labels = near_components(rows, texts, width, per_cent)
+    least = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"))
+    named = stored(least.join(labels, least["digest"] == labels["node"], "left").select("digest", F.coalesce("label", "digest").alias("class"), "least"), "named")
+    groups = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    classes = stored(named.join(groups, "class").select("digest", "class", "component_id"), "classes")
+    out = rows.select("id", "mark", "n_shingles", "digest").join(checked_broadcast(classes), "digest", "left")
+    return out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+
+
 def deduplicated(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of all documents.
 
     Texts without words (NULL, empty, white space) are linked with nothing and are their own component. The component's id is
     its smallest ``doc_id`` that is not NULL; a document is kept if it has that id, so rows that repeat an id are kept together.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    rows = stored(sketched(texts, width), "sketches")
-    labels = near_components(rows, texts, width, per_cent)
-    least = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"))
-    named = least.join(labels, least["digest"] == labels["node"], "left").select("digest", F.coalesce("label", "digest").alias("label"), "least")
-    named = stored(named, "named")
-    groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = stored(named.join(groups, "label").select("digest", "component_id"), "classes")
-    out = rows.select("id", "n_shingles", "digest").join(checked_broadcast(classes), "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return _classified(_texts(docs), width, per_cent).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
-    """The documents without their near-duplicates: of each component one row with the smallest id, with the columns it had."""
-    kept = deduplicated(docs, width, per_cent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    once = rows.join(stored(kept, "kept"), "_id", "left_semi")
-    nameless = rows.where("_id IS NULL")
-    return once.dropDuplicates(["_id"]).unionByName(nameless).select("_row.*")
+    """The documents without their near-duplicates: of each component one row with the smallest id, with the columns it had.
+
+    A row whose id is NULL stands for its component only if no other row can. Texts without words all stay.
+    """
+    rows = stored(_classified(_texts(docs), width, per_cent), "classified").where("digest IS NOT NULL")
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("at")).select("at.id", "at.mark")
+    name = F.xxhash64("id", "mark").alias("_name")
+    times = rows.groupBy(name).agg(F.count("*").alias("_times"))
+    kept = stored(first.select(name).distinct().join(times, "_name"), "kept")
+    whole = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("_name"))
+    blank = whole.where(~F.rlike(F.coalesce("_row.text", F.lit("")), F.lit(WORD)))
+    worded = whole.where(F.rlike("_row.text", F.lit(WORD)))
+    once = worded.join(checked_broadcast(kept.where("_times = 1").select("_name"), FOUND_ROWS), "_name", "left_semi")
+    # Rows that are repeated whole are the only ones that have to meet.
+    again = worded.join(checked_broadcast(kept.where("_times > 1").select("_name"), FOUND_ROWS), "_name", "left_semi").dropDuplicates(["_name"])
+    return once.unionByName(again).unionByName(blank).select("_row.*")

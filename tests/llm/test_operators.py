@@ -201,6 +201,7 @@ def test_near_duplicates(docs, none, rows):
     assert deduplicated(none).count() == 0
     kept = first_of_each(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect() if r["text"] and r["text"].startswith(rows[0][1][:20])} == {0}
+    assert kept.where("text IS NULL OR trim(text) = ''").count() == 3 and kept.where("text = 'one two'").count() == 1
 
 
 def test_a_large_group_of_near_copies(spark):
