@@ -5,14 +5,14 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A subtree joins the text if its sum reaches this part of the largest; an ancestor with the heading joins if it adds at most that part of the characters.
-LEAST_SUM, MOST_ADDED = 0.3, 0.25
+#: What stands around the densest part is link-dense, and no text, if more than this part of its characters are links.
+LINK_SHARE = 0.5
 
 # Names from the HTML standard, and words that sites use in class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -124,13 +124,19 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio:
     return chars / tags * math.log(max(value, 1.0 + 1e-9)) / math.log(max(base, 1.0 + 1e-9))
 
 
+def _text(page: Page, first: int, last: int, left_out: Set[int] = frozenset()) -> str:
+    """The text of the elements ``first`` to ``last``, without noise and those ``left_out``."""
+    return " ".join("".join(piece for node, piece in page.pieces if first <= node <= last and not page.noise[node] and node not in left_out).split())
+
+
 def main_text(source: str | None) -> str:
     """The article of a page: blocks in page order, white space as one space; empty if there is none.
 
-    Elements whose name, role, class or id says that they are no article are left out first. Every other element gets a composite
-    density, and the sum of its children's (with its own text as one of them). From the element with the largest sum, the least density on
-    its path to the body is the threshold; elements above it add the largest sum below them, if it is near the largest of all,
-    and the smallest subtree with all of these is the article, along with a heading that stands just outside.
+    Elements whose name, role, class or id says that they are no article are left out first. If one article or main element is left, all of
+    its text is the article. On other pages every element gets a composite density, and the sum of its children's (with its own text as one of
+    them). From the element with the largest sum, the least density on its path to the body is the threshold; elements above it add the largest
+    sum below them, and the smallest subtree with all of these is the article, along with what stands around it up to the body, of any size.
+    Only where an ancestor adds mostly links, those of its children that are mostly links are left out.
     """
     if not source:
         return ""
@@ -162,6 +168,8 @@ def main_text(source: str | None) -> str:
         root = 0
     if not chars[root]:
         return ""
+    if root in outer:
+        return _text(page, root, last[root])
     ratio = link_chars[root] / chars[root]
     density = [_density(chars[n], tags[n], link_chars[n], link_tags[n], ratio) for n in range(count)]
     sums = [_density(own[n], 1, 0, 0, ratio) for n in range(count)]
@@ -178,17 +186,22 @@ def main_text(source: str | None) -> str:
         path.append(n)
         n = page.parent[n]
     threshold = min(density[n] for n in path)
-    chosen = {best[n] for n in range(root, last[root] + 1) if not page.noise[n] and density[n] >= threshold and sums[best[n]] >= LEAST_SUM * sums[best[root]]}
+    chosen = {best[n] for n in range(root, last[root] + 1) if not page.noise[n] and density[n] >= threshold}
     top = min(chosen)
     while not all(top <= n <= last[top] for n in chosen):
         top = page.parent[top]
-    up = top
-    while up != root:
-        up = page.parent[up]
-        heading = any(page.tag[n] in ("h1", "h2") and not page.noise[n] and not top <= n <= last[top] for n in range(up, last[up] + 1))
-        if heading and chars[up] - chars[top] <= MOST_ADDED * chars[top]:
-            top = up
-    return " ".join("".join(piece for node, piece in page.pieces if top <= node <= last[top] and not page.noise[node]).split())
+    inner: dict[int, int] = {}
+    while top != root:
+        up = page.parent[top]
+        if link_chars[up] - link_chars[top] > LINK_SHARE * (chars[up] - chars[top]):
+            inner[up] = top
+        top = up
+    left_out: set[int] = set()
+    for n in range(root + 1, last[root] + 1):
+        p = page.parent[n]
+        if p in left_out or (inner.get(p, n) != n and link_chars[n] > LINK_SHARE * chars[n]):
+            left_out.add(n)
+    return _text(page, root, last[root], left_out)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
