@@ -17,10 +17,14 @@ from tablewright.llm.words import mixed, text_slices, word_hashes
 
 #: A window matches an item if at most this part of the item's words is inserted, deleted or replaced.
 EDIT_SHARE = 0.1
-#: Part of the windows with that many edits that the sampling is to find, and the most repetitions for it.
-RECALL, MOST_REPETITIONS = 0.95, 24
+#: Part of the windows with that many edits that the sampling is to find for each class of item lengths; more repetitions than these are an error.
+RECALL, MOST_REPETITIONS = 0.95, 100
+#: Items of a class, and edited copies of them, on which that part is measured.
+TRIAL_ITEMS, TRIAL_COPIES = 200, 800
 #: Coordinates sampled for every item, and further ones for each class of item lengths; classes grow by this factor.
 SHARED_SAMPLES, CLASS_SAMPLES, CLASS_FACTOR = 2, 2, 1.5
+#: Words of an item, from a place that each repetition draws, among which it samples: over more words edits add up.
+ANCHOR_WORDS = 20
 #: Words of items that are searched for in one pass over the documents; more items take more passes.
 PASS_WORDS = 1_000_000
 #: Slots of a table that tells quickly which sampled words no item has.
@@ -54,6 +58,7 @@ class Plan:
     seed: np.uint64
     shared: list[int]
     classes: dict[int, list[int]] = field(default_factory=dict)
+    anchors: dict[int, int] = field(default_factory=dict)
     shared_seen: list[np.ndarray] = field(default_factory=list)
     keys: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
@@ -67,13 +72,14 @@ def _steps(rng: random.Random, count: int, low: float, high: float) -> list[int]
 
 
 def _plan(repetition: int, lengths: list[int]) -> Plan:
-    """Steps that nearly all walks reach before their item ends: a walk of j steps passes about j / 2 words."""
+    """Steps that nearly all walks reach before their item ends (a walk of j steps passes about j / 2 words), and the word where the walks of a class start."""
     rng, seed = random.Random(1009 + repetition), _seed(17, repetition)
-    shortest = min(lengths)
-    plan = Plan(seed, _steps(rng, SHARED_SAMPLES, 0, 0.7 * shortest))
+    plan = Plan(seed, _steps(rng, SHARED_SAMPLES, 0, 0.7 * min(*lengths, ANCHOR_WORDS)))
     for c in sorted({_class_of(n) for n in lengths}):
         least = min(n for n in lengths if _class_of(n) == c)
-        plan.classes[c] = _steps(rng, CLASS_SAMPLES, plan.shared[-1], max(plan.shared[-1] + 1, 1.4 * least))
+        reach = min(least, ANCHOR_WORDS)
+        plan.classes[c] = _steps(rng, CLASS_SAMPLES, plan.shared[-1], max(plan.shared[-1] + 1, 1.4 * reach))
+        plan.anchors[c] = rng.randrange(least - reach + 1)
     return plan
 
 
@@ -85,8 +91,9 @@ def _sampled(plan: Plan, words: np.ndarray, at: np.ndarray, steps: list[int], st
 
 
 def _item_key(plan: Plan, words: np.ndarray) -> np.uint64:
+    c = _class_of(len(words))
     shuffled = np.append(mixed(words ^ plan.seed), np.uint64(0))
-    _, key, _ = _sampled(plan, shuffled, np.zeros(1, np.int64), plan.shared + plan.classes[_class_of(len(words))], 0, np.zeros(1, np.uint64))
+    _, key, _ = _sampled(plan, shuffled, np.full(1, plan.anchors[c]), plan.shared + plan.classes[c], 0, np.zeros(1, np.uint64))
     return key[0]
 
 
@@ -103,38 +110,71 @@ def _edited(words: np.ndarray, edits: int, rng: random.Random) -> np.ndarray:
     return np.array(out or [1], np.uint64)
 
 
+class _Trial:
+    """Edited copies of a class's items in random text, and which of them no repetition has found yet."""
+
+    def __init__(self, c: int, items: list[np.ndarray], share: float, rng: random.Random):
+        self.c, self.items = c, items if len(items) <= TRIAL_ITEMS else rng.sample(items, TRIAL_ITEMS)
+        noise = lambda n: np.frombuffer(rng.randbytes(8 * n), np.uint64)
+        texts, spots, counts, of, at = [], [], [], [], 0
+        for k, w in enumerate(self.items):
+            limit = int(share * len(w))
+            for _ in range(-(-TRIAL_COPIES // len(self.items))):
+                edited = _edited(w, limit, rng)
+                # Candidates from which the check sees all of the copy. Its walk goes on into other words.
+                low, high = at + limit + len(edited) - len(w), at + 3 * limit
+                texts += [noise(2 * limit), edited, noise(2 * ANCHOR_WORDS)]
+                spots.append(np.arange(low, high + 1))
+                counts.append(len(spots[-1]))
+                of.append(k)
+                at += sum(map(len, texts[-3:]))
+        self.text, self.spots, self.of = np.concatenate(texts), np.concatenate(spots), np.repeat(of, counts)
+        self.begins, self.missed = np.cumsum(counts) - counts, np.ones(len(counts), bool)
+
+    def run(self, plan: Plan) -> None:
+        own = np.array([_item_key(plan, w) for w in self.items], np.uint64)
+        shuffled = np.append(mixed(self.text ^ plan.seed), np.uint64(0))
+        _, key, _ = _sampled(plan, shuffled, self.spots + plan.anchors[self.c], plan.shared + plan.classes[self.c], 0, np.zeros(len(self.spots), np.uint64))
+        self.missed &= ~np.logical_or.reduceat(key == own[self.of], self.begins)
+
+    def short_of(self, recall: float) -> bool:
+        """Whether the part that is found, less one standard error, is under ``recall``."""
+        miss = self.missed.mean()
+        return miss + math.sqrt(miss * (1 - miss) / len(self.missed)) > 1 - recall
+
+
 def plans_for(items: list[np.ndarray], recall: float = RECALL, share: float = EDIT_SHARE) -> list[Plan]:
-    """As many repetitions as find items with the most edits allowed with probability ``recall``, tried on edited copies of the items.
+    """Repetitions until those of each class of lengths find its items with the most edits allowed with probability ``recall``.
 
-    Every item is found for certain where it stands unchanged: the repetitions in which its own walk ends too early are not counted.
+    That is tried on edited copies of the items of a class to which an edit is allowed. A repetition looks only for the classes that
+    need it; items without edits allowed need two.
     """
-    lengths, rng = [len(w) for w in items], random.Random(5)
-    trial = [items[k] for k in sorted(rng.sample(range(len(items)), min(100, len(items))))]
-    copies = [(w, [_edited(w, int(share * len(w)), rng) for _ in range(4)]) for w in trial]
-    missed, plans = np.ones(sum(len(c) for _, c in copies), bool), []
-    while len(plans) < MOST_REPETITIONS and (len(plans) < 2 or missed.mean() > 1 - recall):
-        plan = _plan(len(plans), lengths)
-        hits = []
-        for w, edited in copies:
-            own = _item_key(plan, w)
-            for e in edited:
-                # The copy stands in a text, so its walk goes on into other words.
-                text = np.concatenate([e, np.frombuffer(rng.randbytes(8 * 40), np.uint64)])
-                shuffled = mixed(text ^ plan.seed)
-                _, key, _ = _sampled(plan, shuffled, np.arange(2), plan.shared + plan.classes[_class_of(len(w))], 0, np.zeros(2, np.uint64))
-                hits.append(bool((key == own).any()))
-        missed &= ~np.array(hits)
+    rng, classes = random.Random(5), [_class_of(len(w)) for w in items]
+    trials = {}
+    for c in sorted(set(classes)):
+        if own := [w for w, k in zip(items, classes) if k == c and int(share * len(w)) > 0]:
+            trials[c] = _Trial(c, own, share, rng)
+    plans, open_classes = [], set(classes)
+    while open_classes:
+        if len(plans) == MOST_REPETITIONS:
+            raise ValueError(f"{MOST_REPETITIONS} repetitions find less than {recall} of the items in the length classes {sorted(open_classes)}")
+        plan = _plan(len(plans), [len(w) for w, c in zip(items, classes) if c in open_classes])
         plans.append(plan)
+        for c in open_classes & set(trials):
+            trials[c].run(plan)
+        open_classes = {c for c in open_classes if len(plans) < 2 or (c in trials and trials[c].short_of(recall))}
     for plan in plans:
         bits = [np.zeros(SLOTS, bool) for _ in plan.shared]
         found: dict[int, list[tuple[int, int]]] = {}
         for i, w in enumerate(items):
+            c = classes[i]
+            if c not in plan.classes:
+                continue
             shuffled = np.append(mixed(w ^ plan.seed), np.uint64(0))
-            at, key, step = np.zeros(1, np.int64), np.zeros(1, np.uint64), 0
+            at, key, step = np.full(1, plan.anchors[c]), np.zeros(1, np.uint64), 0
             for k, to in enumerate(plan.shared):
                 at, key, step = _sampled(plan, shuffled, at, [to], step, key)
                 bits[k][key & np.uint64(SLOTS - 1)] = True
-            c = _class_of(len(w))
             _, key, _ = _sampled(plan, shuffled, at, plan.classes[c], step, key)
             found.setdefault(c, []).append((int(key[0]), i))
         plan.shared_seen = bits
@@ -144,8 +184,8 @@ def plans_for(items: list[np.ndarray], recall: float = RECALL, share: float = ED
     return plans
 
 
-def candidates(words: np.ndarray, plans: list[Plan]) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts and item numbers with equal samples in some repetition; ``words`` may hold several texts."""
+def candidates(words: np.ndarray, plans: list[Plan], first: np.ndarray = np.zeros(1, np.int64)) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts and item numbers with equal samples in some repetition; ``words`` may hold several texts, which begin at ``first``."""
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts, items = [], []
@@ -162,7 +202,9 @@ def candidates(words: np.ndarray, plans: list[Plan]) -> tuple[np.ndarray, np.nda
             low, high = np.searchsorted(keys, full, "left"), np.searchsorted(keys, full, "right")
             hit = np.flatnonzero(high > low)
             counts = high[hit] - low[hit]
-            starts.append(np.repeat(start[hit], counts).astype(np.int64))
+            # The window starts before the word where the walk did, but in the same text.
+            begin = first[np.searchsorted(first, start[hit], "right") - 1]
+            starts.append(np.repeat(np.maximum(start[hit].astype(np.int64) - plan.anchors[c], begin), counts))
             items.append(numbers[np.repeat(low[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)])
     return np.concatenate(starts), np.concatenate(items)
 
@@ -231,7 +273,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, re
             for batch in batches:
                 for begin, _, data, offsets in text_slices(batch.column(1)):
                     words, first, _, _ = word_hashes(data, offsets)
-                    hits = _verified(words, first, hashed, *candidates(words, plans), share)
+                    hits = _verified(words, first, hashed, *candidates(words, plans, first), share)
                     docs = batch.column(0).take(pa.array([begin + h[0] for h in hits], pa.int64()))
                     columns = [docs, pa.array([ids[h[1]] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64()),
                                pa.array([len(hashed[h[1]]) for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int64())]

@@ -81,3 +81,21 @@ def test_windows_are_found_with_the_target_recall():
             assert found or edits
             hits, tries = hits + found, tries + 1
     assert hits >= 0.9 * tries
+
+
+def test_each_length_class_has_the_target_recall():
+    rng = random.Random(6)
+    words = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    items = [np.array(words(rng.randrange(*span)), np.uint64) for span, n in (((5, 10), 400), ((40, 90), 50), ((130, 200), 50)) for _ in range(n)]
+    plans = plans_for(items)
+    for low, high in ((40, 90), (130, 200)):
+        hits = []
+        for number, item in enumerate(items):
+            if low <= len(item) < high:
+                for _ in range(4):
+                    changed, limit = item.tolist(), len(item) // 10
+                    for at in rng.sample(range(len(item)), limit):
+                        changed[at] = rng.getrandbits(64)
+                    starts, numbers = candidates(np.array(words(80) + changed + words(80), np.uint64), plans)
+                    hits.append(bool(((numbers == number) & (abs(starts - 80) <= limit)).any()))
+        assert sum(hits) >= 0.93 * len(hits)
