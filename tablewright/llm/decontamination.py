@@ -59,6 +59,7 @@ class Plan:
     shared: list[int]
     classes: dict[int, list[int]] = field(default_factory=dict)
     anchors: dict[int, int] = field(default_factory=dict)
+    numbers: list[int] = field(default_factory=list)
     shared_seen: list[np.ndarray] = field(default_factory=list)
     keys: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
@@ -71,14 +72,17 @@ def _steps(rng: random.Random, count: int, low: float, high: float) -> list[int]
     return sorted(rng.randrange(int(low), max(int(low) + 1, int(high))) for _ in range(count))
 
 
-def _plan(repetition: int, lengths: list[int]) -> Plan:
-    """Steps that nearly all walks reach before their item ends (a walk of j steps passes about j / 2 words), and the word where the walks of a class start."""
+def _plan(repetition: int, lengths: list[int], shared: float = 0.7, reached: float = 1.4) -> Plan:
+    """Steps that nearly all walks reach before their item ends (a walk of j steps passes about j / 2 words), and the word where the walks of a class start.
+
+    If ``shared`` and ``reached`` are 1, all walks reach them: j steps pass at most j words.
+    """
     rng, seed = random.Random(1009 + repetition), _seed(17, repetition)
-    plan = Plan(seed, _steps(rng, SHARED_SAMPLES, 0, 0.7 * min(*lengths, ANCHOR_WORDS)))
+    plan = Plan(seed, _steps(rng, SHARED_SAMPLES, 0, shared * min(*lengths, ANCHOR_WORDS)))
     for c in sorted({_class_of(n) for n in lengths}):
         least = min(n for n in lengths if _class_of(n) == c)
         reach = min(least, ANCHOR_WORDS)
-        plan.classes[c] = _steps(rng, CLASS_SAMPLES, plan.shared[-1], max(plan.shared[-1] + 1, 1.4 * reach))
+        plan.classes[c] = _steps(rng, CLASS_SAMPLES, plan.shared[-1], max(plan.shared[-1] + 1, reached * reach))
         plan.anchors[c] = rng.randrange(least - reach + 1)
     return plan
 
@@ -147,7 +151,8 @@ def plans_for(items: list[np.ndarray], recall: float = RECALL, share: float = ED
     """Repetitions until those of each class of lengths find its items with the most edits allowed with probability ``recall``.
 
     That is tried on edited copies of the items of a class to which an edit is allowed. A repetition looks only for the classes that
-    need it; items without edits allowed need two.
+    need it; items without edits allowed need two. Every item is found for certain where it stands unchanged: items whose own walk
+    runs past their end in all repetitions have one more, with steps that cannot.
     """
     rng, classes = random.Random(5), [_class_of(len(w)) for w in items]
     trials = {}
@@ -159,31 +164,44 @@ def plans_for(items: list[np.ndarray], recall: float = RECALL, share: float = ED
         if len(plans) == MOST_REPETITIONS:
             raise ValueError(f"{MOST_REPETITIONS} repetitions find less than {recall} of the items in the length classes {sorted(open_classes)}")
         plan = _plan(len(plans), [len(w) for w, c in zip(items, classes) if c in open_classes])
+        plan.numbers = [i for i, c in enumerate(classes) if c in open_classes]
         plans.append(plan)
         for c in open_classes & set(trials):
             trials[c].run(plan)
         open_classes = {c for c in open_classes if len(plans) < 2 or (c in trials and trials[c].short_of(recall))}
+    inside: set[int] = set()
     for plan in plans:
-        bits = [np.zeros(SLOTS, bool) for _ in plan.shared]
-        found: dict[int, list[tuple[int, int]]] = {}
-        for i, w in enumerate(items):
-            c = classes[i]
-            if c not in plan.classes:
-                continue
-            shuffled = np.append(mixed(w ^ plan.seed), np.uint64(0))
-            at, key, step = np.full(1, plan.anchors[c]), np.zeros(1, np.uint64), 0
-            for k, to in enumerate(plan.shared):
-                at, key, step = _sampled(plan, shuffled, at, [to], step, key)
-                bits[k][key & np.uint64(SLOTS - 1)] = True
-            _, key, _ = _sampled(plan, shuffled, at, plan.classes[c], step, key)
-            found.setdefault(c, []).append((int(key[0]), i))
-        plan.shared_seen = bits
-        for c, pairs in found.items():
-            pairs.sort()
-            plan.keys[c] = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+        inside |= _with_keys(plan, items, classes)
+    if outside := sorted(set(range(len(items))) - inside):
+        plan = _plan(len(plans), [len(items[i]) for i in outside], 1, 1)
+        plan.numbers = outside
+        _with_keys(plan, items, classes)
+        plans.append(plan)
     return plans
 
 
+def _with_keys(plan: Plan, items: list[np.ndarray], classes: list[int]) -> set[int]:
+    """Sets what the items of a plan show at its steps; returns those whose walk stays inside the item."""
+    bits, inside = [np.zeros(SLOTS, bool) for _ in plan.shared], set()
+    found: dict[int, list[tuple[int, int]]] = {}
+    for i in plan.numbers:
+        w, c = items[i], classes[i]
+        shuffled = np.append(mixed(w ^ plan.seed), np.uint64(0))
+        at, key, step = np.full(1, plan.anchors[c]), np.zeros(1, np.uint64), 0
+        for k, to in enumerate(plan.shared):
+            at, key, step = _sampled(plan, shuffled, at, [to], step, key)
+            bits[k][key & np.uint64(SLOTS - 1)] = True
+        at, key, _ = _sampled(plan, shuffled, at, plan.classes[c], step, key)
+        if at[0] < len(w):
+            inside.add(i)
+        found.setdefault(c, []).append((int(key[0]), i))
+    plan.shared_seen = bits
+    for c, pairs in found.items():
+        pairs.sort()
+        plan.keys[c] = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+    return inside
+
+
 def candidates(words: np.ndarray, plans: list[Plan], first: np.ndarray = np.zeros(1, np.int64)) -> tuple[np.ndarray, np.ndarray]:
     """Window starts and item numbers with equal samples in some repetition; ``words`` may hold several texts, which begin at ``first``."""
     if not len(words):

@@ -99,3 +99,13 @@ def test_each_length_class_has_the_target_recall():
                     starts, numbers = candidates(np.array(words(80) + changed + words(80), np.uint64), plans)
                     hits.append(bool(((numbers == number) & (abs(starts - 80) <= limit)).any()))
         assert sum(hits) >= 0.93 * len(hits)
+
+
+def test_unchanged_items_are_always_found():
+    rng = random.Random(7)
+    items = [np.array([rng.getrandbits(64) for _ in range(n)], np.uint64) for n in [*[3] * 1500, *range(4, 40)]]
+    plans = plans_for(items)
+    text = np.concatenate([*items, np.array([1] * 50, np.uint64)])
+    at = np.cumsum([0, *map(len, items)])[:-1]
+    found = set(zip(*(a.tolist() for a in candidates(text, plans))))
+    assert found >= set(zip(at.tolist(), range(len(items))))
