@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from tablewright.llm.statistics import let, words
 from tablewright.llm.tables import checked_broadcast, key_of, stored
 
-#: A candidate is the last run of at least this many of these characters in a word.
-TOKEN = r"([A-Za-z0-9+/_\-]{12,}={0,2})[^A-Za-z0-9+/_\-]*$"
+#: A candidate is every run of at least this many of these characters in a word; a sign of equality behind it that assigns belongs to no run.
+TOKEN = r"[A-Za-z0-9+/_\-]{12,}+(?:==?(?!=*[\"'`]?[A-Za-z0-9+/_\-]))?"
+#: What parts the fields of a word, such as those of JSON, query strings and CSV.
+PARTS = ",;&?|{}[]"
+PART = r"[,;&?|{}\[\]]"
 #: Formats that name their issuer, and assignments to a name that says secret: findings labelled 1 for training.
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|glpat-|eyJ)[A-Za-z0-9_\-+/]{12,}$"
 NAMED = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential)"
@@ -29,20 +32,35 @@ FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "vowels", "
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, word_at, word, token, before, after``: every candidate of every text, with the two words before it and the one behind.
+    """``doc_id, source, word_at, token, ahead, behind, before_sha256, named_before, assigned_before, harmless_around``: every candidate of every text.
 
+    ``ahead`` and ``behind`` are the characters of its field in the word before it (from the candidate before it on) and behind it; the other
+    columns tell of the two words before the word and the one after it, which count for the first and the last field.
     Texts without any candidate are passed over before they are cut into words.
     """
     held = docs.select("doc_id", "source", "text").where(F.rlike(F.col("text"), F.lit(r"[A-Za-z0-9+/_\-]{12,}")))
     at = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+
+    def in_word(w: Column, i: Column) -> Column:
+        before, after = F.concat_ws(" ", at(w, i - 2), at(w, i - 1)), at(w, i + 1)
+        fields = F.split(F.btrim(w[i], F.lit(PARTS)), F.lit(PART))
+        bound = F.struct(
+            tokens(w[i]).alias("tokens"), F.split(w[i], F.lit(TOKEN), -1).alias("gaps"), F.size(tokens(F.element_at(fields, 1))).alias("first"),
+            F.size(tokens(F.element_at(fields, -1))).alias("last"), F.sha2(before, 256).alias("sha"), F.rlike(before, F.lit(NAMED)).alias("named"),
+            F.rlike(before, F.lit("[=:]$")).alias("assigned"), F.rlike(before, F.lit(HARMLESS)).alias("harmless"), F.rlike(after, F.lit(HARMLESS)).alias("harmless_after"))
+        return let(bound, lambda b: F.transform(b["tokens"], lambda token, k: F.struct(
+            i.alias("word_at"), token.alias("token"),
+            F.element_at(F.split(F.concat(F.when(k > 0, F.get(b["tokens"], k - 1)).otherwise(""), F.get(b["gaps"], k)), F.lit(PART)), -1).alias("ahead"),
+            F.element_at(F.split(F.get(b["gaps"], k + 1), F.lit(PART)), 1).alias("behind"), b["sha"].alias("before_sha256"),
+            ((k < b["first"]) & b["named"]).alias("named_before"), ((k < b["first"]) & b["assigned"]).alias("assigned_before"),
+            (((k < b["first"]) & b["harmless"]) | ((k >= F.size(b["tokens"]) - b["last"]) & b["harmless_after"])).alias("harmless_around"))))
 
     def found(w: Column) -> Column:
         spots = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.rlike(w[i], F.lit(TOKEN)))
-        return F.transform(spots, lambda i: F.struct(
-            i.alias("word_at"), w[i].alias("word"), F.concat_ws(" ", at(w, i - 2), at(w, i - 1)).alias("before"), at(w, i + 1).alias("after")))
+        return F.flatten(F.transform(spots, lambda i: in_word(w, i)))
 
-    rows = held.select("doc_id", "source", F.explode(F.when(F.size(words(F.col("text"))) > 0, let(words(F.col("text")), found))).alias("_c")).select("doc_id", "source", "_c.*")
-    return rows.withColumn("token", F.regexp_extract("word", TOKEN, 1))
+    return held.select("doc_id", "source", F.explode(F.when(F.size(words(F.col("text"))) > 0, let(words(F.col("text")), found))).alias("_c")).select("doc_id", "source", "_c.*")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -63,16 +81,18 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
     count = lambda pattern: F.regexp_count("token", F.lit(pattern))
     size = F.length("token")
     yes = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
-    near = F.concat_ws(" ", "before", F.element_at(F.split("word", F.lit(r"[=:]")), 1))
+    near = F.element_at(F.split(F.concat("ahead", "token", "behind"), F.lit(r"[=:]")), 1)
     rows = found.join(checked_broadcast(stored(covered, "covered")), "token", "left").withColumns({
         "length": size.cast("double"), "transitions": count(r"(?<=[a-z])(?=[0-9A-Z])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9a-z])") / size,
         "distinct": F.size(F.array_distinct(F.split("token", ""))) / size, "digits": count("[0-9]") / size, "uppers": count("[A-Z]") / size, "vowels": count("(?i)[aeiou]") / size,
         "hex_only": yes(F.rlike("token", F.lit("^[0-9a-f]+$"))), "covered": F.coalesce(F.col("known_chars") / size, F.lit(0.0)),
-        "assigned": yes(F.rlike(F.concat_ws(" ", "before", "word"), F.lit(r"[=:]\s*[\"'`]?[A-Za-z0-9+/_\-]{12,}"))), "quoted": yes(F.rlike("word", F.lit("[\"'`]"))),
-        "named_near": yes(F.rlike(near, F.lit(NAMED))), "harmless_near": yes(F.rlike(F.concat_ws(" ", near, "after"), F.lit(HARMLESS))),
+        "assigned": yes(F.rlike("ahead", F.lit(r"[=:][\"'`]?$")) | (F.col("assigned_before") & F.rlike("ahead", F.lit(r"^[\"'`]?$")))),
+        "quoted": yes(F.rlike("ahead", F.lit("[\"'`]$")) | F.rlike("behind", F.lit("^[\"'`]"))),
+        "named_near": yes(F.col("named_before") | F.rlike(near, F.lit(NAMED))), "harmless_near": yes(F.col("harmless_around") | F.rlike(near, F.lit(HARMLESS))),
         "path_depth": F.regexp_count(F.coalesce("source", F.lit("")), F.lit("[/.]")).cast("double")})
     sure = F.rlike("token", F.lit(ISSUED)) | ((F.col("named_near") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0))
-    harmless = F.rlike("token", F.lit(PLAIN)) | (F.col("harmless_near") == 1)
+    name = F.rlike("behind", F.lit(r"^[\"'`]?[=:]")) & ~F.rlike("token", F.lit(ISSUED))
+    harmless = F.rlike("token", F.lit(PLAIN)) | (F.col("harmless_near") == 1) | name
     return rows.withColumn("label", F.when(harmless, F.lit(0)).when(sure, F.lit(1)))
 
 
@@ -100,5 +120,5 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     rows = described(stored(candidates(plain), "candidates"), dictionary(plain))
     kept = scored(rows).where(F.col("score") >= THRESHOLD)
-    return kept.select("doc_id", "word_at", F.col("length").cast("int").alias("length"), F.sha2("before", 256).alias("before_sha256"),
+    return kept.select("doc_id", "word_at", F.col("length").cast("int").alias("length"), "before_sha256",
                        F.sha2("token", 256).alias("token_sha256"), "label", "score")

@@ -273,6 +273,20 @@ def test_secrets(spark):
     assert scan_documents(df.limit(0)).count() == 0
 
 
+def test_secrets_inside_words(spark):
+    rng = random.Random(9)
+    key = lambda p, n: p + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n)) + "2B7"
+    forms = ("api_key={a},region=eu", '{{"api_key":"{a}","user":"bob"}}', "https://host.org/?key={a}&x=1", "one={a};aws_secret_access_key_2={b}", '{{"k":["{a}","{b}"],"a_long_plain_name":"internationalisation"}}',
+             'password="{a}"', "longer_password={a}==", "{a}:{b}", "internationalisation,4111111111111111,characteristically")
+    made, secrets = [], {}
+    for k in range(270):
+        form, a, b = forms[k % 9], key("AKIA", 16), key("ghp_", 30)
+        made.append((k, f"{prose(20, rng)} {form.format(a=a, b=b)} {prose(10, rng)}", "a/b"))
+        secrets[k] = {s + "==" * ("}==" in form) for s, mark in ((a, "{a}"), (b, "{b}")) if mark in form}
+    found = scan_documents(spark.createDataFrame(made, "doc_id bigint, text string, source string")).collect()
+    assert {(r["doc_id"], r["token_sha256"]) for r in found} == {(k, hashlib.sha256(s.encode()).hexdigest()) for k, own in secrets.items() for s in own}
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
