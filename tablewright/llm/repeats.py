@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.suffixes import array, suffix_order
@@ -17,7 +17,7 @@ from tablewright.llm.words import mixed, text_slices
 
 #: Bytes of a string that may not occur twice.
 LENGTH = 400
-#: Text of a shard, as far as one key's strings do not hold more; ids that may be broadcast.
+#: Text of a shard, also the most of one key, whose strings are compared by their hashes if it has more; ids that may be broadcast.
 SHARD_BYTES, FOUND_ROWS = 1 << 20, 500_000
 #: Between strings of a shard; no UTF-8 text has this byte.
 GAP = 0xFF
@@ -46,6 +46,20 @@ def string_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(least[:-rest], least[rest:]) if rest else least, hashes
 
 
+def string_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """For every start of ``length`` bytes a hash of all of them."""
+    count, blocks, out, at, width = len(data) - length + 1, mixed(_BYTES[data] + np.uint64(seed)), None, 0, 1
+    while True:
+        if length & width:
+            part = blocks[at:at + count]
+            out = part if out is None else mixed(out * np.uint64(0xD6E8FEB86659FD93) + part)
+            at += width
+        if 2 * width > length:
+            return out
+        blocks = mixed(blocks[:-width] * np.uint64(0xD6E8FEB86659FD93) + blocks[width:])
+        width *= 2
+
+
 def _named(docs: DataFrame) -> DataFrame:
     """``doc_id, name, text``; rows with equal names are equal, and their results are."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -184,31 +198,68 @@ def shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.mapInArrow(run, "key bigint, digest binary, low int, high int")
 
 
+def string_repeats(pieces: DataFrame, length: int) -> DataFrame:
+    """As ``shard_repeats``, for keys of any size: strings are equal if 128 bits of hashes are, which Spark counts.
+
+    Strings are grouped by all their bytes, so no task has more of a key than others; those of one group are only counted.
+    """
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("at", pa.int32()), ("one", pa.int64()), ("two", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, piece in enumerate(batch.column(3)):
+                data = np.frombuffer(piece.as_py(), np.uint8)
+                for a in range(0, len(data) - length + 1, 1 << 19):
+                    part = data[a:a + (1 << 19) + length - 1]
+                    one, two = string_hashes(part, length, 1), string_hashes(part, length, 2)
+                    row = pa.array(np.full(len(one), k))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(row), batch.column(2).take(row), pa.array(np.arange(a, a + len(one), dtype=np.int32)),
+                                                      pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], schema=schema)
+
+    starts = stored(pieces, "pieces").mapInArrow(run, "key bigint, digest binary, at int, one bigint, two bigint")
+    # The same start comes twice from equal rows.
+    place = F.xxhash64("key", "digest", "at")
+    repeated = starts.groupBy("one", "two").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("one", "two")
+    marked = starts.join(checked_broadcast(stored(repeated, "repeated"), FOUND_ROWS), ["one", "two"], "left_semi").select("key", "digest", "at").distinct()
+    run_of = F.col("at") - F.row_number().over(Window.partitionBy("key", "digest").orderBy("at"))
+    return marked.withColumn("run", run_of).groupBy("key", "digest", "run").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high")).drop("run")
+
+
 def repeated_spans(named: DataFrame, length: int = LENGTH) -> DataFrame:
     """``name, spans``: per named row of ``name, text`` the byte ranges of repeated strings; rows without any are left out.
 
     1. Starts are grouped in stretches by a key of their string; only keys whose gram occurs twice can hold repeats.
     2. Equal stretches are counted: if there are two, all their starts repeat. One of each stands for them from here on.
     3. The different stretches of a key go to one shard, whose suffix array with common-prefix lengths shows the starts that repeat.
+    4. Keys with more text than a shard are not sorted: all their strings are counted by their hashes.
     """
     all_stretches = stored(stretches(named, length), "stretches")
     kinds = all_stretches.groupBy("key", "digest").agg(
         F.count("*").alias("n"), F.min(F.struct("name", "at")).alias("first"), F.first("starts").alias("starts"), F.first("inner").alias("inner"))
-    keys = kinds.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("inner").alias("any_inner")).where("total > 1 OR any_inner")
+    keys = kinds.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("inner").alias("any_inner"),
+                                     F.sum(F.col("starts") + (length - 1)).alias("key_bytes")).where("total > 1 OR any_inner")
     again = stored(kinds.join(keys, "key"), "again")
     whole = again.where("n > 1").select("key", "digest", F.lit(0).alias("low"), F.col("starts").alias("high"))
     mixed_keys = again.where("kinds > 1 OR (n = 1 AND inner)")
-    size = mixed_keys.agg(F.coalesce(F.sum(F.col("starts") + (length - 1)), F.lit(0)).alias("bytes")).first()["bytes"]
-    shards = max(1, -(-size // SHARD_BYTES))
-    wanted = mixed_keys.select(F.col("first.name").alias("name"), F.struct(
-        F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "digest", F.col("first.at").alias("at"), "starts").alias("one"))
-    wanted = stored(wanted.groupBy("name").agg(F.collect_list("one").alias("wanted")), "wanted")
-    texts = named.select("name", "text").join(checked_broadcast(wanted.select("name"), FOUND_ROWS), "name", "left_semi")
-    pieces = _pieces(texts.join(wanted, "name").select("text", "wanted"), length)
+    heavy = F.col("key_bytes") > SHARD_BYTES
+    sizes = mixed_keys.agg(F.coalesce(F.sum(F.when(~heavy, F.col("starts") + (length - 1))), F.lit(0)).alias("bytes"), F.count_if(heavy).alias("heavy")).first()
+    shards = max(1, -(-sizes["bytes"] // SHARD_BYTES))
+
+    def pieces_of(rows: DataFrame, shard: Column) -> DataFrame:
+        wanted = rows.select(F.col("first.name").alias("name"), F.struct(
+            shard.cast("int").alias("shard"), "key", "digest", F.col("first.at").alias("at"), "starts").alias("one"))
+        wanted = stored(wanted.groupBy("name").agg(F.collect_list("one").alias("wanted")), "wanted")
+        texts = named.select("name", "text").join(checked_broadcast(wanted.select("name"), FOUND_ROWS), "name", "left_semi")
+        return _pieces(texts.join(wanted, "name").select("text", "wanted"), length)
+
+    pieces = pieces_of(mixed_keys.where(~heavy), F.pmod(F.xxhash64("key"), F.lit(shards)))
     pieces = pieces.repartition(int(shards), "shard").sortWithinPartitions("shard")
+    found = shard_repeats(pieces, length)
+    if sizes["heavy"]:
+        found = found.unionByName(string_repeats(pieces_of(mixed_keys.where(heavy), F.lit(0)), length))
     # A stretch that comes twice is marked as a whole already.
     single = again.where("n = 1").select("key", "digest")
-    found = stored(shard_repeats(pieces, length), "found").join(single, ["key", "digest"], "left_semi")
+    found = stored(found, "found").join(single, ["key", "digest"], "left_semi")
     marks = stored(whole.unionByName(found), "marks")
     spans = all_stretches.join(marks, ["key", "digest"]).select("name", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high") + (length - 1)).alias("high")).alias("span"))
     return spans.groupBy("name").agg(F.collect_set("span").alias("spans"))

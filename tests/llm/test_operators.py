@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.llm import repeats
 from tablewright.llm.decontamination import clean_documents, matches
 from tablewright.llm.extraction import main_text
 from tablewright.llm.mixing import apply_mix, mix_documents
@@ -247,6 +248,22 @@ def test_repeated_strings(spark, docs, none, rows, length):
     assert without_repeats(none, length).count() == 0 and without_repeats(docs, length).count() == len(rows)
 
 
+def test_a_passage_in_many_documents_is_no_large_shard(spark, monkeypatch):
+    rng, sizes, sort = random.Random(3), [], repeats.shard_repeats
+    passage = prose(15, rng)
+    texts = [f"{prose(8, rng)} {passage} {prose(8, rng)}" for _ in range(300)] + ["a" * 5000, prose(100, rng)]
+
+    def watched(pieces, length):
+        sizes.extend(r["n"] for r in pieces.groupBy("shard").agg(F.sum(F.length("piece")).alias("n")).collect())
+        return sort(pieces, length)
+
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(repeats, "shard_repeats", watched)
+    out = without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4), 60)
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()) == _removed(texts, 60)
+    assert max(sizes, default=0) <= 12_000
+
+
 def test_benchmark_passages(spark, docs, none, rows):
     item = prose(40)
     w = item.split()
