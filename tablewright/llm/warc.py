@@ -18,8 +18,8 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are never replaced by a reference.
 LEAST_SHARED = 1000
-#: Bytes of an archive that one task scans; bytes read from storage at once; bytes in which a record's header must end.
-SPLIT_BYTES, BLOCK_BYTES, HEADER_BYTES = 32 << 20, 1 << 20, 64 << 10
+#: Bytes of an archive that one task scans; bytes read from storage at once.
+SPLIT_BYTES, BLOCK_BYTES = 32 << 20, 1 << 20
 
 MANIFEST = "path string, bytes bigint, records bigint"
 RECORDS = "record_type string, record_id string, refers_to string, url string, payload_digest string, payload_bytes bigint, payload binary"
@@ -122,7 +122,7 @@ def _decoded(source: _Source, start: int) -> tuple[dict[str, str], bytes, int] |
             if header is None:
                 header = _header(head := b"".join(parts))
                 parts = [head]
-                if header is None and (seen > HEADER_BYTES or inflate.eof or not b"WARC/1."[:seen] == head[:7]):
+                if header is None and (b"\r\n\r\n" in head or inflate.eof or not b"WARC/1."[:seen] == head[:7]):
                     return None
     except zlib.error:
         return None

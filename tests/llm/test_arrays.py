@@ -1,5 +1,6 @@
 """Words, suffix arrays and embeddings, against plain versions."""
 
+import io
 import random
 import re
 
@@ -9,6 +10,7 @@ import pytest
 
 from tablewright.llm import suffixes
 from tablewright.llm.decontamination import candidates, least_edits, plans_for
+from tablewright.llm.warc import BLOCK_BYTES, _member, records_between
 from tablewright.llm.words import shingles, text_slices, word_hashes
 
 TEXTS = ["", None, "  a b\tc ", "é ü a b c d e f", "x" * 50 + "\n\x0by", "  kept together", "one"]
@@ -109,3 +111,12 @@ def test_unchanged_items_are_always_found():
     at = np.cumsum([0, *map(len, items)])[:-1]
     found = set(zip(*(a.tolist() for a in candidates(text, plans))))
     assert found >= set(zip(at.tolist(), range(len(items))))
+
+
+def test_headers_that_cross_a_block_may_be_long():
+    rng = random.Random(1)
+    first = _member("response", "urn:page:1", None, "u", "", rng.randbytes(BLOCK_BYTES - 150_000))
+    second = _member("response", "urn:page:2", None, rng.randbytes(200_000).hex(), "", b"text")
+    assert len(first) < BLOCK_BYTES - 100_000 and len(first) + 150_000 > BLOCK_BYTES
+    data = first + second
+    assert [h["warc-record-id"] for h, _ in records_between(io.BytesIO(data), len(data), 0, len(data))] == ["<urn:page:1>", "<urn:page:2>"]
