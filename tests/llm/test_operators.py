@@ -140,10 +140,10 @@ def test_main_text():
 
 
 def test_main_text_keeps_paragraphs_around_the_densest():
-    long, other = "words of the first paragraph that go on and on " * 20, "another part of the same article without links " * 8
+    long, other = "words of the first paragraph that go on and on " * 20, "another part of the same article without links " * 3
     for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div><div>", "</div></div>")):
-        page = f"<body><nav>x</nav>{start}<h1>Head</h1><p><b>{long}<br><p>{other}</p><p>Short end.</p>{end}<footer>y</footer>"
-        assert main_text(page) == " ".join(f"Head {long} {other} Short end.".split())
+        page = f"<body><nav>x</nav>{start}<h1>Head</h1><p><b>{long}<br><p>{other}</p><p>{other}</p><p>{other}</p><p>Short end.</p>{end}<footer>y</footer>"
+        assert main_text(page) == " ".join(f"Head {long} {other} {other} {other} Short end.".split())
     links = "<ul>" + '<li><a href="/">Somewhere else on this site</a></li>' * 8 + "</ul>"
     page = f"<body>{links}<p>Short start.</p><div><p>{other}</p><p>{long}</p><p>{other}</p></div>{links}"
     assert main_text(page) == " ".join(f"Short start. {other} {long} {other}".split())
