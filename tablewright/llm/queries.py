@@ -16,6 +16,7 @@ from tablewright.llm.repeats import removal_digests
 from tablewright.llm.rule_ensemble import score_documents
 from tablewright.llm.secret_scan import scan_documents
 from tablewright.llm.sharding import shard_documents
+from tablewright.llm.token_alignment import align_tokenizers
 from tablewright.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,8 @@ _query("op9_benchmark_matches", "documents benchmark")(matches)
 
 _query("op10_shard_documents", "documents")(shard_documents)
 
+_query("op11_align_tokenizers", "documents")(align_tokenizers)
+
 _query("op13_fill_in_middle", "documents", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 x AS (SELECT *, CAST(len(units) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k - 7, 8) AS BIGINT) FOR k IN [1, 2, 3, 4]] AS g FROM d),
