@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.backoff import score_texts
 from tablewright.llm.decontamination import matches
 from tablewright.llm.extraction import extract_pages
 from tablewright.llm.fill_in_middle import fill_in_middle
@@ -92,6 +93,8 @@ _query("op10_shard_documents", "documents")(shard_documents)
 
 _query("op11_align_tokenizers", "documents")(align_tokenizers)
 
+_query("op12_katz_scores", "documents")(score_texts)
+
 _query("op13_fill_in_middle", "documents", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 x AS (SELECT *, CAST(len(units) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k - 7, 8) AS BIGINT) FOR k IN [1, 2, 3, 4]] AS g FROM d),

@@ -12,6 +12,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.tables import stored
-from tablewright.llm.words import SLICE_BYTES
 from tablewright.runtime import attach_lookup
 
 TOKENIZERS = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: What a task remembers before it starts anew: segments of text with their ids, and tokens of windows.
-SEGMENTS, WINDOW_TOKENS = 250_000, 4_000_000
+#: What a task remembers before it starts anew: segments of text with their windows, and links of windows. With texts of ``PIECE_BYTES`` at a time
+#: a worker stays below 400 MB.
+SEGMENTS, WINDOW_LINKS, PIECE_BYTES = 300_000, 1_500_000, 1 << 20
 #: Pairs of ids that may be broadcast with their counts; there are at most as many as entries of one vocabulary times those of the other.
 PAIR_ROWS = 2_000_000
 
@@ -65,27 +66,25 @@ def pair_of(folder: str, first: str, second: str) -> Pair:
     return Pair(folder, first, second)
 
 
-def window_alignment(a: tuple, b: tuple, len_a: list[int], len_b: list[int]) -> tuple[bytes, int, list[tuple[int, int]]]:
-    """The groups of a window as text, how many they are, and all pairs of tokens whose bytes overlap."""
-    i = j = first_a = first_b = 0
-    end_a, end_b = len_a[a[0]], len_b[b[0]]
-    groups, links = [], []
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-            i, j = i + 1, j + 1
-            first_a, first_b = i, j
-            if i == len(a):
-                return ";".join(groups).encode(), len(groups), links
-            end_a += len_a[a[i]]
-            end_b += len_b[b[j]]
-        elif end_a < end_b:
-            i += 1
-            end_a += len_a[a[i]]
-        else:
-            j += 1
-            end_b += len_b[b[j]]
+def window_alignments(a: np.ndarray, len_a: np.ndarray, b: np.ndarray, len_b: np.ndarray, windows: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows of ids, one after the other: their groups as text and how many they are, and all pairs of tokens whose bytes overlap, with where each window's end.
+
+    ``len_a``, ``len_b`` are bytes of the tokens; ``windows`` is the number of tokens of each window on either side (two rows).
+    """
+    ends_a, ends_b = np.cumsum(len_a), np.cumsum(len_b)
+    # Two tokens overlap up to the nearer of their ends, and no other two do so up to there.
+    ends = np.union1d(ends_a, ends_b)
+    first, second = a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)]
+    last_a, last_b = np.cumsum(windows[0]) - 1, np.cumsum(windows[1]) - 1
+    closed = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+    groups = np.diff(np.concatenate([[0], np.cumsum(closed[0])[last_a]]))
+    # In the order of the text: the tokens of a group by the first, then by the second; what follows a token tells which comes next.
+    group_a, group_b = (np.concatenate([[0], np.cumsum(c)[:-1]]) for c in closed)
+    place = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    after = np.concatenate([np.where(closed[0], "|", ","), np.where(closed[1], ";", ",")])
+    after[len(a) + last_b] = "\n"
+    shown = "".join([f"{x}{y}" for x, y in zip(np.concatenate([a, b])[place].tolist(), after[place].tolist())])
+    return shown.encode().split(b"\n")[:-1], groups, first, second, np.searchsorted(ends, ends_a[last_a], "right")
 
 
 class Ragged:
@@ -94,13 +93,14 @@ class Ragged:
     def __init__(self, kind: str) -> None:
         self.values, self.ends = array(kind), array("q", [0])
 
-    def add(self, row) -> None:
-        self.values.extend(row)
-        self.ends.append(len(self.values))
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Further rows, one after the other."""
+        self.ends.frombytes((len(self.values) + np.cumsum(lengths)).astype(np.int64).tobytes())
+        self.values.frombytes(values.astype(self.values.typecode).tobytes())
 
     def rows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The wanted rows joined, and the length of each."""
-        ends, values = np.array(self.ends), np.array(self.values)
+        ends, values = np.frombuffer(self.ends, np.int64), np.frombuffer(self.values, self.values.typecode)
         start, length = ends[wanted], ends[wanted + 1] - ends[wanted]
         at = np.arange(length.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
         return values[at], length
@@ -111,83 +111,82 @@ class Aligner:
 
     def __init__(self, pair: Pair) -> None:
         self.pair = pair
-        self.len_a, self.len_b = [len(x) for x in pair.bytes_a], [len(x) for x in pair.bytes_b]
-        self.lengths = np.array(self.len_a), np.array(self.len_b)
-        self.spaced = tuple(np.array([x[:1] == b" " for x in t]) for t in (pair.bytes_a, pair.bytes_b))
-        self.forget_segments()
-        self.forget_windows()
+        self.bytes = pair.bytes_a, pair.bytes_b
+        self.lengths = tuple(np.array([len(x) for x in t]) for t in self.bytes)
+        self.spaced = tuple(np.array([x[:1] == b" " for x in t]) for t in self.bytes)
+        self.forget()
 
-    def forget_segments(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.right = (Ragged("i"), Ragged("i")), array("b")
-
-    def forget_windows(self) -> None:
-        self.windows: dict[tuple, int] = {}
+        self.right, self.counts, self.of_segment = array("b"), (array("q"), array("q")), Ragged("q")
+        self.windows: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[bytes] = []
         self.groups, self.links = array("q"), Ragged("q")
 
-    def tokens(self, segments: list[str]) -> np.ndarray:
-        """Numbers of the segments, whose ids are in ``ids``; new ones are encoded. Both encodings' bytes are compared with the text."""
-        if len(self.known) > SEGMENTS:
-            self.forget_segments()
-        known = self.known
-        new = list(dict.fromkeys(s for s in segments if s not in known))
+    def learn(self, segments: list[str]) -> None:
+        """Encodes segments that are new, compares the bytes of both encodings with the text, and cuts the tokens in windows."""
+        raws, right = [b" " + s.encode() for s in segments], np.ones(len(segments), bool)
+        sides, sizes = [], []
+        for k, rows in enumerate(self.pair.encoded(segments)):
+            flat, of = list(chain.from_iterable(rows)), self.bytes[k]
+            if b"".join([of[x] for x in flat]) != b"".join(raws):
+                right &= [b"".join([of[x] for x in row]) == raw for row, raw in zip(rows, raws)]
+            sides.append(np.array(flat, np.int32))
+            sizes.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+        sides, sizes = [x[np.repeat(right, n)] for x, n in zip(sides, sizes)], [n * right for n in sizes]
+        ends = [np.cumsum(length[x]) for length, x in zip(self.lengths, sides)]
+        starts = [e - length[x] for e, length, x in zip(ends, self.lengths, sides)]
+        # Where a token of each starts, one of each has ended; a segment starts with a space in both.
+        anchors = np.intersect1d(*[s[spaced[x]] for s, spaced, x in zip(starts, self.spaced, sides)], assume_unique=True)
+        cut = [np.append(np.searchsorted(s, anchors), len(s)) for s in starts]
+        a, b = (x.tobytes() for x in sides)
+        (i, k), found, new = [(4 * c).tolist() for c in cut], [], []
+        for n in range(len(anchors)):
+            key = a[i[n]:i[n + 1]], b[k[n]:k[n + 1]]  # the ids as they lie in memory
+            number = self.windows.get(key)
+            if number is None:
+                number = self.windows[key] = len(self.windows)
+                new.append(n)
+            found.append(number)
         if new:
-            for s, a, b in zip(new, *self.pair.encoded(new)):
-                known[s] = len(known)
-                self.ids[0].add(a)
-                self.ids[1].add(b)
-                raw = b" " + s.encode()
-                self.right.append(b"".join([self.pair.bytes_a[x] for x in a]) == raw and b"".join([self.pair.bytes_b[x] for x in b]) == raw)
-        return np.fromiter((known[s] for s in segments), np.int64, len(segments))
+            held, tokens = [], np.array([np.diff(c) for c in cut])
+            for x, n in zip(sides, tokens):
+                rows = Ragged("i")
+                rows.add(x, n)
+                held.append(rows.rows(np.array(new))[0])
+            texts, groups, first, second, last = window_alignments(held[0], self.lengths[0][held[0]], held[1], self.lengths[1][held[1]], tokens[:, new])
+            self.texts += texts
+            self.groups.frombytes(groups.astype(np.int64).tobytes())
+            self.links.add(first.astype(np.int64) * len(self.lengths[1]) + second, np.diff(last, prepend=0))
+        self.of_segment.add(np.array(found, np.int64), np.diff(np.searchsorted(cut[0][:-1], np.concatenate([[0], np.cumsum(sizes[0])]))))
+        self.right.frombytes(right.tobytes())
+        for counts, n in zip(self.counts, sizes):
+            counts.frombytes(n.astype(np.int64).tobytes())
+        self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments))))
 
     def align(self, pieces: list[list[str]]) -> list[tuple | None]:
         """For each list of segments ``n_a, n_b, n_groups, windows``, or None where the tokens' bytes are not the text's."""
-        counts = np.array([len(p) for p in pieces])
-        numbers = self.tokens([s for p in pieces for s in p])
-        owner = np.repeat(np.arange(len(pieces)), counts)
-        bad = np.zeros(len(pieces), bool)
-        bad[owner[np.array(self.right, bool)[numbers] == 0]] = True
-        kept = ~bad[owner]
-        numbers, owner = numbers[kept], owner[kept]
-        if not len(numbers):
-            return [None] * len(pieces)
-        sides, starts, per_piece, spaced = [], [], [], []
-        for k in (0, 1):
-            ids, length = self.ids[k].rows(numbers)
-            ends = np.cumsum(self.lengths[k][ids])
-            sides.append(ids)
-            starts.append(ends - self.lengths[k][ids])
-            spaced.append(self.spaced[k][ids])
-            per_piece.append(np.bincount(owner, weights=length, minlength=len(pieces)).astype(np.int64))
-        # Where a token of each starts, one of each has ended; a piece starts with a space in both.
-        anchors = np.intersect1d(starts[0][spaced[0]], starts[1][spaced[1]], assume_unique=True)
-        cut = [np.append(np.searchsorted(s, anchors), len(s)).tolist() for s in starts]
-        a, b = (tuple(x.tolist()) for x in sides)
-        if len(self.links.values) > WINDOW_TOKENS:
-            self.forget_windows()
-        windows, found = self.windows, []
-        for i, j, k, m in zip(cut[0], cut[0][1:], cut[1], cut[1][1:]):
-            key = a[i:j], b[k:m]
-            number = windows.get(key)
-            if number is None:
-                number = windows[key] = len(windows)
-                text, groups, links = window_alignment(*key, self.len_a, self.len_b)
-                self.texts.append(text)
-                self.groups.append(groups)
-                self.links.add([x * len(self.len_b) + y for x, y in links])
-            found.append(number)
-        found = np.array(found, np.int64)
-        first_token = np.concatenate([[0], np.cumsum(per_piece[0])])
-        bounds = np.searchsorted(np.array(cut[0][:-1]), first_token)
-        groups = np.concatenate([[0], np.cumsum(np.array(self.groups)[found])])
-        return [None if bad[p] else (int(per_piece[0][p]), int(per_piece[1][p]), int(groups[bounds[p + 1]] - groups[bounds[p]]), found[bounds[p]:bounds[p + 1]]) for p in range(len(pieces))]
+        if len(self.known) > SEGMENTS or len(self.links.values) > WINDOW_LINKS:
+            self.forget()
+        known = self.known
+        new = list(dict.fromkeys(s for p in pieces for s in p if s not in known))
+        if new:
+            self.learn(new)
+        numbers = np.fromiter((known[s] for p in pieces for s in p), np.int64)
+        edges = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        windows, per_segment = self.of_segment.rows(numbers)
+        upto = lambda values: np.concatenate([[0], np.cumsum(values)])
+        wrong = upto(np.frombuffer(self.right, np.int8)[numbers] == 0)[edges]
+        n_a, n_b = (np.diff(upto(np.frombuffer(c, np.int64)[numbers])[edges]).tolist() for c in self.counts)
+        bounds = upto(per_segment)[edges]
+        groups = np.diff(upto(np.frombuffer(self.groups, np.int64)[windows])[bounds]).tolist()
+        return [None if wrong[p + 1] > wrong[p] else (n_a[p], n_b[p], groups[p], windows[bounds[p]:bounds[p + 1]]) for p in range(len(pieces))]
 
     def pairs(self, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For lists of windows: pairs of ids (first id x size of the second vocabulary + second id) with their counts, distinct in each list, and where each list ends."""
         owner = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
         values, length = self.links.rows(np.concatenate([*windows, np.zeros(0, np.int64)]))
-        span = len(self.len_a) * len(self.len_b)
+        span = len(self.lengths[0]) * len(self.lengths[1])
         keys, counts = np.unique(np.repeat(owner, length) * span + values, return_counts=True)
         return keys % span, counts, np.searchsorted(keys, np.arange(1, len(windows) + 1) * span)
 
@@ -197,12 +196,12 @@ def _pieces(text: str | None, cut: bool) -> Iterator[list[str]]:
     if not text:
         return
     segments = _CUT.split(text) if cut else [text]
-    if len(text) <= SLICE_BYTES:
+    if len(text) <= PIECE_BYTES:
         yield segments
         return
     held, size = [], 0
     for s in segments:
-        if held and size + len(s) > SLICE_BYTES:
+        if held and size + len(s) > PIECE_BYTES:
             yield held
             held, size = [], 0
         held.append(s)
@@ -212,7 +211,7 @@ def _pieces(text: str | None, cut: bool) -> Iterator[list[str]]:
 
 def aligned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), folder: str = TOKENIZERS, first: str = FIRST, second: str = SECOND, groups: bool = False) -> DataFrame:
     """``keep``, ``n_a``, ``n_b``, ``n_groups``, ``groups_sha256``, ``links`` (pairs of ids and how often they overlap; a pair may come twice for a text of over
-    ``SLICE_BYTES``), and, if wanted, the groups as text: ``a1,a2|b1;a3|b2,b3``.
+    ``PIECE_BYTES``), and, if wanted, the groups as text: ``a1,a2|b1;a3|b2,b3``.
 
     A text that is NULL or empty, or whose tokens' bytes are not its own, has no tokens.
     """
@@ -234,7 +233,7 @@ def aligned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         at = 0
         while at < len(pieces):
             size, end = 0, at
-            while end < len(pieces) and (end == at or size + sum(map(len, pieces[end])) <= SLICE_BYTES):
+            while end < len(pieces) and (end == at or size + sum(map(len, pieces[end])) <= PIECE_BYTES):
                 size += sum(map(len, pieces[end]))
                 end += 1
             held, owners = [], []
@@ -271,8 +270,8 @@ def aligned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(pair_of(folder, first, second))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *results(aligner, part.column(0).to_pylist())], names=[*names, *extra])
 
     kinds = ", ".join([f"{name} {f.dataType.simpleString()}" for name, f in zip(names, kept.schema.fields)]
