@@ -1,9 +1,9 @@
-"""Exact k-nearest-neighbour join (euclidean) that prunes with pivots instead of comparing all pairs.
+"""Exact k-nearest-neighbour join (euclidean) over a metric tree instead of all pairs.
 
-Points are grouped around pivots. Every query first searches its own cell, which bounds its k-th
-distance; the triangle inequality then names the few other cells that can still hold a closer point.
-Equal vectors are searched once, cells are cut into blocks of bounded size and the queries of a block
-are cut likewise, so a dense cell or a vector repeated by a third of the rows spreads over many tasks.
+Members are parted around pivots, and every part again, until a leaf holds at most ``BLOCK_ROWS`` vectors; a node knows how far its members lie from its
+pivot. A query searches its own leaf first, which bounds its k-th distance; by the triangle inequality only nodes that reach into that bound are entered.
+The nearest of the leaves that remain are searched next, the others only if the better bound still lets them in. Equal vectors are searched once; a leaf
+that cannot be parted, and the queries of a leaf, are cut in blocks, so a dense place or a vector repeated by a third of the rows spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tablewright.runtime import attach_lookup, cut_lineage
 
-MAX_PIVOTS = 1024
-BLOCK_ROWS = 2000
-# Members below this checked count are sent to the queries as one block.
-FEW_MEMBERS = 4096
+#: Members of a leaf, pivots of a node, levels of a tree, leaves that are searched together after the own one.
+BLOCK_ROWS, FAN, MAX_LEVELS, NEXT_LEAVES = 2000, 32, 12, 4
+#: Bytes of pivots that are broadcast. A tree stops growing there; its leaves are then cut in blocks, and searches stay exact.
+TREE_BYTES = 128 << 20
 _SLACK = 1e-9
 
 
@@ -28,12 +28,6 @@ def _heads(points: DataFrame, keep: int) -> DataFrame:
     return points.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
 
 
-def _pick_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    wanted = min(MAX_PIVOTS, max(1, int(np.ceil(np.sqrt(max(count, 1))))))
-    rows = vectors.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
-    return np.array([r["vec"] for r in rows], dtype=float)
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances between two blocks, by differences so that close points stay exact."""
     out = np.empty((len(a), len(b)))
@@ -44,18 +38,102 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _with_cell(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
+class PivotTree:
+    """Nodes by number: pivots of their children, and of every child the farthest member and how many there are."""
+
+    def __init__(self) -> None:
+        self.children: dict[int, np.ndarray] = {}
+        self.pivots: dict[int, np.ndarray] = {}
+        self.radius, self.size = {0: np.inf}, {0: 0}
+
+    def split(self, node: int, pivots: np.ndarray) -> None:
+        self.children[node] = np.arange(len(pivots)) + node * FAN + 1
+        self.pivots[node] = pivots
+        for child in self.children[node].tolist():
+            self.radius[child], self.size[child] = 0.0, 0
+
+    def leaf_of(self, vectors: np.ndarray, keep: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leaf of each vector, its distance from the leaf's pivot, and a distance within which ``keep`` members lie for certain."""
+        node, to_pivot, bound = np.zeros(len(vectors), np.int64), np.zeros(len(vectors)), np.full(len(vectors), np.inf)
+        open_rows = {0: np.arange(len(vectors))}
+        while open_rows:
+            at, rows = open_rows.popitem()
+            if at not in self.children or not len(rows):
+                continue
+            d = _distances(vectors[rows], self.pivots[at])
+            radius, size = (np.array([x[c] for c in self.children[at].tolist()]) for x in (self.radius, self.size))
+            far = d + radius
+            order = np.argsort(far, axis=1)
+            enough = np.cumsum(size[order], axis=1) >= keep
+            reached = far[np.arange(len(rows)), order[np.arange(len(rows)), enough.argmax(axis=1)]]
+            bound[rows] = np.minimum(bound[rows], np.where(enough.any(axis=1), reached, np.inf))
+            best = d.argmin(axis=1)
+            node[rows], to_pivot[rows] = self.children[at][best], d.min(axis=1)
+            for b in np.unique(best).tolist():
+                open_rows[int(self.children[at][b])] = rows[best == b]
+        return node, to_pivot, bound
+
+    def leaves_within(self, vectors: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Rows and the leaves that may hold a member within their bound, the least distance such a member can have, and how many pivots were looked at."""
+        limit = bound * (1 + _SLACK) + _SLACK
+        found, looked = [], 0
+        stack = [(0, np.arange(len(vectors)), np.zeros(len(vectors)))]
+        while stack:
+            at, rows, least = stack.pop()
+            if at not in self.children:
+                found.append((rows, np.full(len(rows), at), least))
+                continue
+            d = _distances(vectors[rows], self.pivots[at])
+            looked += d.size
+            for k, child in enumerate(self.children[at].tolist()):
+                nearest = np.maximum(least, d[:, k] - self.radius[child])
+                near = nearest <= limit[rows]
+                if self.size[child] and near.any():
+                    stack.append((child, rows[near], nearest[near]))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return (*(np.concatenate(x) for x in zip(*(found or [empty]))), looked)
+
+
+def _routed(df: DataFrame, tree, id_type: str, keep: int = 1, only: set[int] | None = None) -> DataFrame:
+    """``id, vec, cell, to_pivot, bound``: the leaf of every vector of ``id, vec``, or of those that come to the leaves ``only``."""
+
     def assign(batches):
         for pdf in batches:
             if len(pdf):
-                d = _distances(np.stack(pdf["vec"].to_numpy()), pivots)
-                pdf["cell"] = d.argmin(axis=1)
-                pdf["to_pivot"] = d.min(axis=1)
-            else:
-                pdf["cell"], pdf["to_pivot"] = pd.Series(dtype="int32"), pd.Series(dtype="float64")
-            yield pdf
+                pdf["cell"], pdf["to_pivot"], pdf["bound"] = tree.value.leaf_of(np.stack(pdf["vec"].to_numpy()), keep)
+                yield pdf if only is None else pdf[pdf["cell"].isin(only)]
+
+    return df.mapInPandas(assign, f"id {id_type}, vec array<double>, cell bigint, to_pivot double, bound double")
+
+
+def grow_tree(members: DataFrame, id_type: str):
+    """The metric tree of distinct vectors ``id, vec``, broadcast: leaves of at most ``BLOCK_ROWS`` members, as far as ``TREE_BYTES`` of pivots go.
 
-    return df.mapInPandas(assign, f"id {id_type}, vec array<double>, cell int, to_pivot double")
+    A level is one scan that counts the members of each new leaf, and one that draws ``FAN`` pivots, by hash, of each leaf that holds too many.
+    """
+    context, tree = members.sparkSession.sparkContext, PivotTree()
+    tree.size[0], width = members.agg(F.count("*"), F.max(F.size("vec"))).first()
+    wide = {0} if tree.size[0] > BLOCK_ROWS else set()
+    held = 0
+    for _ in range(MAX_LEVELS):
+        held += len(wide) * FAN * 8 * (width or 1)
+        if not wide or held > TREE_BYTES:
+            break
+        leaf = Window.partitionBy("cell").orderBy(F.xxhash64("vec"), "id")
+        drawn = _routed(members, context.broadcast(tree), id_type, only=wide).withColumn("place", F.row_number().over(leaf)).where(F.col("place") <= FAN)
+        pivots: dict[int, list] = {}
+        for r in drawn.select("cell", "vec").collect():
+            pivots.setdefault(r["cell"], []).append(r["vec"])
+        for node, rows in pivots.items():
+            tree.split(node, np.array(rows, dtype=float))
+        fresh = {c for node in pivots for c in tree.children[node].tolist()}
+        counted = _routed(members, context.broadcast(tree), id_type, only=fresh).groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius"))
+        wide = set()
+        for r in counted.collect():
+            tree.size[r["cell"]], tree.radius[r["cell"]] = r["n"], r["radius"]
+            if r["n"] > BLOCK_ROWS:
+                wide.add(r["cell"])
+    return context.broadcast(tree)
 
 
 def _block_search(queries: DataFrame, members: DataFrame, keep: int, id_type: str) -> DataFrame:
@@ -66,7 +144,7 @@ def _block_search(queries: DataFrame, members: DataFrame, keep: int, id_type: st
     """
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     loads = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("loads"))
-    # One row per cell: at most MAX_PIVOTS rows.
+    # One row per leaf, as the tree itself.
     grid = F.broadcast(sizes.join(loads, "cell"))
     q = (
         queries.join(grid, "cell")
@@ -102,76 +180,78 @@ def _top(pairs: DataFrame, keep: int) -> DataFrame:
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep).drop("rn")
 
 
-def _search_few(queries: DataFrame, members: DataFrame, keep: int, id_type: str) -> DataFrame:
-    rows = members.orderBy("id").collect()
-    block = queries.sparkSession.sparkContext.broadcast(
-        (np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=float))
-    )
-
-    def nearest(batches):
-        ids, vectors = block.value
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(np.stack(pdf["vec"].to_numpy()), vectors)
-                order = np.argsort(d, axis=1, kind="stable")[:, :keep]
-                at = np.repeat(np.arange(len(pdf)), order.shape[1])
-                yield pd.DataFrame(
-                    {"id": pdf["id"].to_numpy()[at], "other": ids[order.ravel()], "distance": d[at, order.ravel()]}
-                )
-
-    return queries.mapInPandas(nearest, f"id {id_type}, other {id_type}, distance double")
+def _visits(queries: DataFrame, tree, id_type: str) -> DataFrame:
+    """``id, vec, cell, least, place, looked`` for queries ``id, vec, cell, limit``: other leaves than ``cell`` that may hold a member within the limit.
 
+    ``place`` orders a query's leaves by the least distance of a member in them; ``looked`` are pivots that were compared for the batch, in its first row.
+    """
 
-def _search(queries: DataFrame, members: DataFrame, keep: int, id_type: str, few: int) -> DataFrame:
-    """``(id, other, distance)``: the ``keep`` nearest distinct member vectors of each distinct query vector."""
-    count = members.count()
-    keep = min(keep, count)
-    if count <= few:
-        return _search_few(queries, members, keep, id_type)
-    pivots = _pick_pivots(members, count)
-    m = cut_lineage(_with_cell(members, pivots, id_type))
-    q = cut_lineage(_with_cell(queries, pivots, id_type))
-    stats = m.groupBy("cell").agg(F.max("to_pivot").alias("radius"), F.count("*").alias("n")).collect()
-    cells = np.array([r["cell"] for r in stats])
-    radius = np.array([r["radius"] for r in stats])
-    sizes = np.array([r["n"] for r in stats])
-    centres = pivots[cells]
-
-    own = _top(_block_search(q.select("id", "vec", "cell"), m.select("id", "vec", "cell"), keep, id_type), keep)
-    own = cut_lineage(own)
-    reach = own.groupBy("id").agg(
-        F.when(F.count("*") >= keep, F.max("distance")).alias("reach")
-    )
-
-    def other_cells(batches):
+    def other_leaves(batches):
         for pdf in batches:
-            if pdf.empty:
-                yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cell": pd.Series(dtype="int32")})
+            if not len(pdf):
                 continue
-            d = _distances(np.stack(pdf["vec"].to_numpy()), centres)
-            limit = pdf["reach"].to_numpy(dtype=float)
-            # Without enough points in its own cell a query is bounded by the far ends of the nearest cells.
-            far = d + radius
-            order = np.argsort(far, axis=1)
-            enough = (np.cumsum(sizes[order], axis=1) >= keep).argmax(axis=1)
-            bound = far[np.arange(len(pdf)), order[np.arange(len(pdf)), enough]]
-            limit = np.where(np.isnan(limit), bound, np.minimum(limit, bound))
-            near = d - radius <= (limit * (1 + _SLACK) + _SLACK)[:, None]
-            near &= cells[None, :] != pdf["cell"].to_numpy()[:, None]
-            row, col = np.nonzero(near)
-            yield pd.DataFrame(
-                {"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "cell": cells[col]}
-            )
-
-    visits = q.join(reach, "id", "left").select("id", "vec", "cell", "reach").mapInPandas(
-        other_cells, f"id {id_type}, vec array<double>, cell int"
-    )
-    rest = _block_search(visits, m.select("id", "vec", "cell"), keep, id_type)
-    return _top(own.unionByName(rest), keep)
+            vectors = np.stack(pdf["vec"].to_numpy())
+            row, leaf, least, looked = tree.value.leaves_within(vectors, pdf["limit"].to_numpy(dtype=float))
+            other = leaf != pdf["cell"].to_numpy()[row]
+            row, leaf, least = row[other], leaf[other], least[other]
+            order = np.lexsort((leaf, least, row))
+            row, leaf, least = row[order], leaf[order], least[order]
+            first = np.searchsorted(row, np.arange(len(pdf)))
+            out = pd.DataFrame({"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "cell": leaf, "least": least, "place": np.arange(len(row)) - first[row], "looked": 0})
+            if len(out):
+                out.loc[0, "looked"] = looked
+            yield out
+
+    return queries.select("id", "vec", "cell", "limit").mapInPandas(other_leaves, f"id {id_type}, vec array<double>, cell bigint, least double, place bigint, looked bigint")
+
+
+def _search(queries: DataFrame, members: DataFrame, keep: int, id_type: str) -> DataFrame:
+    """``(id, other, distance)``: the ``keep`` nearest distinct member vectors of each distinct query vector."""
+    tree = grow_tree(members, id_type)
+    keep = min(keep, tree.value.size[0])
+    if not tree.value.children:
+        # New names keep the two sides of a self-join apart.
+        q, m = (df.select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.lit(0).cast("bigint").alias("cell")) for df in (queries, members))
+        return _top(_block_search(q, m, keep, id_type), keep)
+    m = cut_lineage(_routed(members, tree, id_type).select("id", "vec", "cell"))
+    q = cut_lineage(_routed(queries, tree, id_type, keep).select("id", "vec", "cell", "bound"))
+    found = cut_lineage(_top(_block_search(q.select("id", "vec", "cell"), m, keep, id_type), keep))
+    reach = lambda rows: rows.groupBy("id").agg(F.when(F.count("*") >= keep, F.max("distance")).alias("reach"))
+    visits = cut_lineage(_visits(q.join(reach(found), "id", "left").withColumn("limit", F.least("bound", "reach")), tree, id_type))
+    leaf = ["id", "vec", "cell"]
+    found = _top(found.unionByName(_block_search(visits.where(F.col("place") < NEXT_LEAVES).select(leaf), m, keep, id_type)), keep)
+    later = visits.where(F.col("place") >= NEXT_LEAVES)
+    if later.isEmpty():
+        return found
+    found = cut_lineage(found)
+    inside = F.col("reach").isNull() | (F.col("least") <= F.col("reach") * (1 + _SLACK) + _SLACK)
+    rest = later.join(reach(found), "id", "left").where(inside).select(leaf)
+    return _top(found.unionByName(_block_search(rest, m, keep, id_type)), keep)
+
+
+def search_effort(points: DataFrame, key: str, vec: Column, k: int) -> DataFrame:
+    """``members, leaves, visits, pivots_compared, members_compared``: what a search of all distinct vectors of ``points`` for their k neighbours compares, in one row.
+
+    Bounds are those of the own leaf; the search itself compares no more than this, plus one own path through the tree for each query.
+    """
+    clean = _points(points, key, vec)
+    id_type = clean.schema["key"].dataType.simpleString()
+    distinct = cut_lineage(clean.groupBy("vec").agg(F.min("key").alias("id")).select("id", "vec"))
+    tree = grow_tree(distinct, id_type)
+    keep = min(k + 1, tree.value.size[0])
+    m = cut_lineage(_routed(distinct, tree, id_type, keep).select("id", "vec", "cell", "bound"))
+    sizes = m.groupBy("cell").agg(F.count("*").alias("n"))
+    own = m.join(F.broadcast(sizes), "cell").agg(F.sum("n").alias("own"), F.count_distinct("cell").alias("leaves"), F.count("*").alias("members"))
+    own_leaf = [m.select(*[F.col(c).alias(c) for c in ("id", "vec", "cell")]) for _ in range(2)]
+    found = _top(_block_search(*own_leaf, keep, id_type), keep)
+    reach = found.groupBy("id").agg(F.when(F.count("*") >= keep, F.max("distance")).alias("reach"))
+    visits = _visits(m.join(reach, "id", "left").withColumn("limit", F.least("bound", "reach")), tree, id_type)
+    others = visits.join(F.broadcast(sizes), "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("others"), F.count("*").alias("visits"), F.coalesce(F.sum("looked"), F.lit(0)).alias("pivots_compared"))
+    return own.crossJoin(others).select("members", "leaves", (F.col("visits") + F.col("members")).alias("visits"), "pivots_compared", (F.col("own") + F.col("others")).alias("members_compared"))
 
 
 def nearest_neighbours(
-    queries: DataFrame, members: DataFrame | None, key: str, vec: Column, k: int, few: int = FEW_MEMBERS
+    queries: DataFrame, members: DataFrame | None, key: str, vec: Column, k: int
 ) -> DataFrame:
     """``(key, neighbour, distance, rank)``: the k nearest members of every query row.
 
@@ -184,7 +264,7 @@ def nearest_neighbours(
     keep = k + 1 if self_join else k
     member_points = points if self_join else _points(members, key, vec)
     heads = cut_lineage(_heads(member_points, keep))
-    lists = _lists(points, heads, keep, few)
+    lists = _lists(points, heads, keep)
     return _rows_with_lists(points, lists, total, k, self_join).withColumnsRenamed({"key": key})
 
 
@@ -194,12 +274,12 @@ def _points(df: DataFrame, key: str, vec: Column) -> DataFrame:
     return df.select(F.col(key).alias("key"), clean.alias("vec")).where(F.col("vec").isNotNull())
 
 
-def _lists(points: DataFrame, heads: DataFrame, keep: int, few: int) -> DataFrame:
+def _lists(points: DataFrame, heads: DataFrame, keep: int) -> DataFrame:
     """``(vec, n, near)``: per distinct query vector the first ``keep`` (distance, key) entries."""
     id_type = points.schema["key"].dataType.simpleString()
     members = heads.where("rn = 1").select(F.col("key").alias("id"), "vec")
     distinct = points.groupBy("vec").agg(F.min("key").alias("id"), F.count("*").alias("n"))
-    found = _search(distinct.select("id", "vec"), members, keep, id_type, few)
+    found = _search(distinct.select("id", "vec"), members, keep, id_type)
     keys = heads.join(
         members.withColumnRenamed("id", "other"), "vec"
     ).select("other", F.col("key").alias("neighbour"))
@@ -253,7 +333,7 @@ def _knn_vote(train: DataFrame, test: DataFrame, key: str, vec: Column, label: s
 
 
 def local_outlier_factor(
-    df: DataFrame, key: str, vec: Column, k: int = 20, limit: float = 1.5, few: int = FEW_MEMBERS
+    df: DataFrame, key: str, vec: Column, k: int = 20, limit: float = 1.5
 ) -> DataFrame:
     """``(key, lof, is_outlier)`` for every row.
 
@@ -264,7 +344,7 @@ def local_outlier_factor(
     total = points.count()
     k = min(k, total - 1)
     heads = cut_lineage(_heads(points, k + 2))
-    lists = _lists(points, heads.where(F.col("rn") <= k + 1), k + 1, few)
+    lists = _lists(points, heads.where(F.col("rn") <= k + 1), k + 1)
     shared = heads.join(lists, "vec").select(
         "key",
         F.slice(F.filter("near", lambda e: e["neighbour"] != F.col("key")), 1, k).alias("near"),

@@ -21,6 +21,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.plans.knn_model import Neighbours
 from tablewright.plans.spec import Candidate
 
 # Class names and short names of each family, its complexity rank, and defaults.
@@ -141,5 +142,7 @@ def build_estimator(
             base = base.setValidationIndicatorCol(p["validation_col"])
         model = base if regression or classes <= 2 else OneVsRest(classifier=base, **common)
     else:
-        raise ValueError(f"the {family} family is a join, not an estimator; use knn_classify or knn_regress")
+        if p.get("weights", "uniform") not in ("uniform", "distance"):
+            raise ValueError(f"weights must be uniform or distance; got {p['weights']!r}")
+        model = Neighbours(**common, k=int(p.get("n_neighbors", 5)), classes=0 if regression else classes, byDistance=p.get("weights") == "distance")
     return [*stages, model]

@@ -204,7 +204,7 @@ def nearest_neighbours_pruned(t: Tables) -> DataFrame:
     """The same join by pivots and blocks, the way it runs when no side fits one task."""
     c = t("customer")
     vec = N.vector_of(c, ["c_nationkey", "c_acctbal"])
-    found = N.nearest_neighbours(c, None, "c_custkey", vec, 5, few=0)
+    found = N.nearest_neighbours(c, None, "c_custkey", vec, 5)
     return found.select("c_custkey", "neighbour", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
 
 

@@ -41,38 +41,63 @@ def points():
     return x
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_self_join_is_exact(spark, points, monkeypatch, few):
-    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
-    found = N.nearest_neighbours(_frame(spark, points), None, "id", F.col("vec"), 7, few=few)
+@pytest.mark.parametrize("leaf, fan", [(10**6, 32), (16, 3), (40, 32)])
+def test_self_join_is_exact(spark, points, monkeypatch, leaf, fan):
+    monkeypatch.setattr(N, "BLOCK_ROWS", leaf)
+    monkeypatch.setattr(N, "FAN", fan)
+    found = N.nearest_neighbours(_frame(spark, points), None, "id", F.col("vec"), 7)
     _check(found, _brute(points, points, 7, True))
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_join_of_two_tables_is_exact(spark, points, few):
+@pytest.mark.parametrize("leaf", [10**6, 10])
+def test_join_of_two_tables_is_exact(spark, points, monkeypatch, leaf):
+    monkeypatch.setattr(N, "BLOCK_ROWS", leaf)
     q = points[::5] + 0.001
-    found = N.nearest_neighbours(_frame(spark, q), _frame(spark, points), "id", F.col("vec"), 4, few=few)
+    found = N.nearest_neighbours(_frame(spark, q), _frame(spark, points), "id", F.col("vec"), 4)
     _check(found, _brute(points, q, 4, False))
 
 
 def test_few_members_give_all_of_them(spark):
     x = np.array([[0.0], [1.0], [5.0]])
-    found = N.nearest_neighbours(_frame(spark, x), None, "id", F.col("vec"), 10, few=0)
+    found = N.nearest_neighbours(_frame(spark, x), None, "id", F.col("vec"), 10)
     _check(found, _brute(x, x, 10, True))
 
 
-def test_outlier_factor_with_repeated_vectors(spark, points):
+def test_outlier_factor_with_repeated_vectors(spark, points, monkeypatch):
     k = 10
     near = _brute(points, points, k, True)
     kd = {i: max(d for _, d in n) for i, n in near.items()}
     lrd = {i: 1 / (np.mean([max(kd[j], d) for j, d in n]) + 1e-10) for i, n in near.items()}
     lof = {i: np.mean([lrd[j] for j, _ in n]) / lrd[i] for i, n in near.items()}
-    for few in (10**6, 0):
-        found = {r["id"]: r["lof"] for r in N.local_outlier_factor(_frame(spark, points), "id", F.col("vec"), k, few=few).collect()}
+    for leaf in (10**6, 16):
+        monkeypatch.setattr(N, "BLOCK_ROWS", leaf)
+        found = {r["id"]: r["lof"] for r in N.local_outlier_factor(_frame(spark, points), "id", F.col("vec"), k).collect()}
         assert set(found) == set(lof)
         assert np.allclose([found[i] for i in sorted(lof)], [lof[i] for i in sorted(lof)])
 
 
+def test_a_tree_that_may_not_grow_is_still_exact(spark, points, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N, "TREE_BYTES", 1000)
+    found = N.nearest_neighbours(_frame(spark, points), None, "id", F.col("vec"), 7)
+    _check(found, _brute(points, points, 7, True))
+
+
+def test_effort_of_a_query_does_not_grow_with_the_table(spark, monkeypatch):
+    """Distances per query, over tables of 1, 4 and 16 times as many vectors of the plane."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(N, "FAN", 8)
+    effort = []
+    for n in (1000, 4000, 16000):
+        x = np.random.default_rng(n).random((n, 2))
+        row = N.search_effort(_frame(spark, x), "id", F.col("vec"), 5).first()
+        assert row["members"] == n and row["leaves"] >= n / 100
+        effort.append((row["pivots_compared"] / n, row["members_compared"] / n))
+    pivots, members = zip(*effort)
+    assert max(members) < 1.5 * min(members) and members[-1] < 0.05 * 16000
+    assert pivots[-1] < 4 * pivots[0]  # a level more for eight times the vectors
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = np.random.default_rng(9)
