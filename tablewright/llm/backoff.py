@@ -31,7 +31,7 @@ from tablewright.runtime import scratch_path
 #: Counts up to this one are discounted.
 LARGEST = 5
 #: Tokens of a slice, and bytes of text whose pairs a bucket holds. Blobs between them number slices x buckets: raise both with the executors' memory.
-SLICE_TOKENS, BUCKET_BYTES = 5_000_000, 32 << 20
+SLICE_TOKENS, BUCKET_BYTES = 2_500_000, 32 << 20
 #: Documents of the sample that finds hot contexts and pairs, and the most of either.
 SAMPLE_ROWS, MOST_HOT = 20_000, 100_000
 #: No word holds a space.
@@ -139,18 +139,20 @@ def hot_keys(training: DataFrame, fraction: float, buckets: int) -> Hot:
 
 def slice_rows(words: np.ndarray, counts: np.ndarray, train: np.ndarray, beside: bytes, number: int, hot: Hot, bits: int) -> Iterator[tuple]:
     """What a slice sends to buckets: its pairs with training counts and places, and one row about its documents, which the buckets hand on."""
-    doc = np.repeat(np.arange(len(counts)), counts)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     ctx = contexts(words, counts)
     aside = {}
     hot_ctx, hot_pair = hot.context(ctx), hot.pair(ctx, words)
     for name, held in (("ctx", hot_ctx), ("pair", hot_pair)):
-        keys, n = np.unique(held[held >= 0] * len(counts) + doc[held >= 0], return_counts=True)
+        keys, n = np.unique(held[held >= 0] * len(counts) + doc[held >= 0].astype(np.int64), return_counts=True)
         aside |= {f"{name}_at": keys // max(len(counts), 1), f"{name}_doc": keys % max(len(counts), 1), f"{name}_n": n}
     sums = np.bincount(aside["pair_at"], weights=aside["pair_n"] * train[aside["pair_doc"]], minlength=len(hot.keys)) if len(hot.keys) else []
     yield from (("hot2", k, 0, int(n), 0.0, 0.0, None) for k, n in enumerate(sums) if n)
     yield "docs", number, 0, int(train.sum()), 0.0, 0.0, packed(beside=beside, counts=counts, train=train, **aside)
-    rest = hot_pair < 0
-    ctx, words, doc = ctx[rest], words[rest], doc[rest]
+    if len(hot.keys):
+        rest = hot_pair < 0
+        ctx, words, doc = ctx[rest], words[rest], doc[rest]
+    del hot_ctx, hot_pair
     order = np.lexsort((words, ctx))
     ctx, words, doc = ctx[order], words[order], doc[order]
     at = _runs(ctx, words)
@@ -213,15 +215,16 @@ def bucket_rows(bucket: int, rows: list[dict], hot: Hot, bits: int) -> Iterator[
     """
     ctx = np.concatenate([np.repeat(r["ctx"], r["degree"]) for r in rows])
     word = np.concatenate([r["words"][r["word"]] for r in rows])
-    trained, held = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in ("trained", "held"))
-    doc = np.concatenate([r["doc"] for r in rows]).astype(np.int64)
-    sizes = [len(r["doc"]) for r in rows]
+    trained = np.concatenate([r["trained"] for r in rows])
+    runs = np.concatenate([[0], np.cumsum([len(r["word"]) for r in rows])])
     order = np.lexsort((word, ctx))
-    at = _runs(ctx[order], word[order])
-    pair = np.empty(len(order), np.int64)
-    pair[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
-    ctx, word = ctx[order][at], word[order][at]
+    ctx, word = ctx[order], word[order]
+    at = _runs(ctx, word)
+    pair = np.empty(len(order), np.int32)
+    pair[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(order))))
+    ctx, word = ctx[at], word[at]
     count = np.bincount(pair, weights=trained, minlength=len(at)).astype(np.int64)
+    del order, trained
     first = _runs(ctx)
     degree = np.diff(np.append(first, len(ctx)))
     of_ctx = np.repeat(np.arange(len(first)), degree)
@@ -239,33 +242,30 @@ def bucket_rows(bucket: int, rows: list[dict], hot: Hot, bits: int) -> Iterator[
     for h in np.flatnonzero(np.diff(edges)).tolist():
         yield "words", h, bucket, 0, 0.0, 0.0, packed(words=words[edges[h]:edges[h + 1]], counts=sums[edges[h]:edges[h + 1]])
 
-    occurs = np.repeat(pair, held)
-    seen = count[occurs]
-    slice_of = np.repeat(np.arange(len(rows)), sizes)
-    missed = seen == 0
-    model = count > 0
-    kept = np.add.reduceat(model.astype(np.int64), first)
-    yield "model", bucket, -1, 0, 0.0, 0.0, packed(
-        ctx=ctx, total=total, least=np.minimum(least, LARGEST + 1), degree=kept, word=of_word[model], count=count[model], slices=np.array([r["number"] for r in rows]),
-        missed_ctx=of_ctx[occurs[missed]], missed_word=of_word[occurs[missed]].astype(np.int64), missed_slice=slice_of[missed], missed_doc=doc[missed])
-
     # Contexts are tokens as well, all but the start; hot ones are counted with their slices.
     cool = number < 0
     token = np.where(cool & (ctx != START), np.log10(total + 1.0), 0.0)
     known = cool & (ctx != START) & (total > 0)
     norm = np.where(cool & (total > 0), np.log10(np.maximum(total + (least > LARGEST), 1)), 0.0)
-    in_ctx = of_ctx[occurs]
-    value = np.log10(np.maximum(seen, 1)) - norm[in_ctx]
-    low = 0
-    for r, size in zip(rows, sizes):
-        part = slice(low, low + size)
-        low += size
-        docs, local = np.unique(doc[part], return_inverse=True)
+    worth = np.log10(np.maximum(count, 1)) - norm[of_ctx]
+    few = np.minimum(count, LARGEST + 1)
+    missed: dict[str, list[np.ndarray]] = {"ctx": [], "word": [], "slice": [], "doc": []}
+    for k, r in enumerate(rows):
+        mine = np.repeat(pair[runs[k]:runs[k + 1]], r["held"])
+        doc = r["doc"].astype(np.int64)
+        gone = count[mine] == 0
+        for name, values in (("ctx", of_ctx[mine[gone]]), ("word", of_word[mine[gone]]), ("slice", np.full(int(gone.sum()), k)), ("doc", doc[gone])):
+            missed[name].append(values.astype(np.int32))
+        docs, local = np.unique(doc, return_inverse=True)
+        in_ctx = of_ctx[mine]
         tally = lambda weights: np.bincount(local, weights=weights, minlength=len(docs))  # noqa: E731, B023
-        few = np.minimum(seen[part], LARGEST + 1)
         yield "sums", int(r["number"]), bucket, 0, 0.0, 0.0, packed(
-            doc=docs, score=tally(value[part]), base=tally(token[in_ctx[part]]), known=tally(known[in_ctx[part]]).astype(np.int64),
-            few=np.bincount(local * (LARGEST + 2) + few, minlength=len(docs) * (LARGEST + 2)))
+            doc=docs, score=tally(worth[mine]), base=tally(token[in_ctx]), known=tally(known[in_ctx]).astype(np.int64),
+            few=np.bincount(local * (LARGEST + 2) + few[mine], minlength=len(docs) * (LARGEST + 2)))
+    model = count > 0
+    yield "model", bucket, -1, 0, 0.0, 0.0, packed(
+        ctx=ctx, total=total, least=np.minimum(least, LARGEST + 1), degree=np.add.reduceat(model.astype(np.int64), first), word=of_word[model], count=count[model],
+        slices=np.array([r["number"] for r in rows]), **{f"missed_{name}": np.concatenate(values) for name, values in missed.items()})
 
 
 def _grouped(rows: DataFrame, parts: int, of_group) -> DataFrame:
@@ -347,10 +347,10 @@ def backoff_rows(bucket: int, rows: list[dict], factor: np.ndarray, words: Words
     value = np.log10(weight)[model["missed_ctx"]] + np.log10(p[model["missed_word"]])
     hot_of = number[model["missed_ctx"]]
     for k, name in enumerate(model["slices"].tolist()):
-        mine = model["missed_slice"] == k
-        if not mine.any():
-            continue
+        mine = slice(*np.searchsorted(model["missed_slice"], [k, k + 1]))
         doc, h = model["missed_doc"][mine].astype(np.int64), hot_of[mine]
+        if not len(doc):
+            continue
         docs, local = np.unique(doc, return_inverse=True)
         yield "sums2", name, bucket, 0, 0.0, 0.0, packed(doc=docs, score=np.bincount(local, weights=value[mine]), hot_doc=doc[h >= 0], hot_at=h[h >= 0])
 
