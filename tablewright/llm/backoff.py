@@ -32,6 +32,8 @@ from tablewright.runtime import scratch_path
 LARGEST = 5
 #: Tokens of a slice, and bytes of text whose pairs a bucket holds. Blobs between them number slices x buckets: raise both with the executors' memory.
 SLICE_TOKENS, BUCKET_BYTES = 2_500_000, 32 << 20
+#: Partitions for each bucket.
+SPREAD = 4
 #: Documents of the sample that finds hot contexts and pairs, and the most of either.
 SAMPLE_ROWS, MOST_HOT = 20_000, 100_000
 #: No word holds a space.
@@ -269,7 +271,10 @@ def bucket_rows(bucket: int, rows: list[dict], hot: Hot, bits: int) -> Iterator[
 
 
 def _grouped(rows: DataFrame, parts: int, of_group) -> DataFrame:
-    """``of_group(key, rows)`` for all rows of a key, sorted by ``kind`` and ``part``; the rows it yields."""
+    """``of_group(key, rows)`` for all rows of a key, sorted by ``kind`` and ``part``; the rows it yields.
+
+    With ``SPREAD`` times as many partitions as keys, few keys share one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, 1):
@@ -277,7 +282,7 @@ def _grouped(rows: DataFrame, parts: int, of_group) -> DataFrame:
                 yield _batch([row])
 
     names = ["key", "kind", "part", "number", "x", "y", "data"]
-    return rows.select(*names).repartition(parts, "key").sortWithinPartitions("key", "kind", "part").mapInArrow(run, ROWS)
+    return rows.select(*names).repartition(SPREAD * parts, "key").sortWithinPartitions("key", "kind", "part").mapInArrow(run, ROWS)
 
 
 def _kept(rows: DataFrame, name: str) -> DataFrame:
@@ -462,7 +467,7 @@ def scores(docs: DataFrame, training: Column, text: str = "text", keep: tuple[st
 
     kinds = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept.schema.fields)] + ["held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])
     gathered = one.where("kind in ('docs', 'sums')").unionByName(three.where("kind = 'sums2'")).select("key", "kind", "part", "data")
-    out = gathered.repartition(parts, "key").sortWithinPartitions("key", "kind", "part").mapInArrow(last_pass, kinds)
+    out = gathered.repartition(SPREAD * parts, "key").sortWithinPartitions("key", "kind", "part").mapInArrow(last_pass, kinds)
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept.columns, names)], *final)
 
 
