@@ -6,16 +6,15 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.numeric import as_number, is_numeric, numeric_columns, present, quoted
+from tablewright.operators.gram import pair_correlations
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ranking_values import tie_ranks
-from tablewright.runtime import ORDERED_ROWS, SMALL_CELLS, attach_lookup
+from tablewright.runtime import attach_lookup, cut_lineage
 
 # Fixed values.
 HIGH_CORRELATION = 0.95
@@ -26,25 +25,15 @@ MI_MIN_ROWS = 10
 MI_BINS = 10
 CLASS_LIMIT = 10
 LEAKAGE_CORRELATION = 0.97
-PAIRS_PER_SCAN = 200
 
 _PAIRS = "col_a string, col_b string, correlation double"
 
 
 def _pairwise_corr(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson r of every pair over the rows where both sides are present, inside one aggregate per 200 pairs."""
-    pairs = list(combinations(columns, 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        part = pairs[start : start + PAIRS_PER_SCAN]
-        aggs = [F.corr(quoted(a), quoted(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)]
-        cells = F.array(
-            *[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("correlation"))
-              for i, (a, b) in enumerate(part)]
-        )
-        table = df.agg(*aggs).select(F.inline(cells))
-        out = table if out is None else out.unionAll(table)
-    return out if out is not None else df.sparkSession.createDataFrame([], _PAIRS)
+    """Pearson r of every pair over the rows where both sides are present, in one scan however many pairs there are."""
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], _PAIRS)
+    return pair_correlations(df, columns).drop("rows")
 
 
 def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -53,27 +42,17 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return _pairwise_corr(df.select(*[as_number(df, c).alias(c) for c in columns]), columns)
 
 
-def _ranked(df: DataFrame, columns: list[str], rows: int, ordered_rows: int) -> DataFrame:
-    """Tie-averaged ranks of complete columns.
-
-    A counted few rows are ranked in one window per column: the mean of the first and last place of a tie. Otherwise
-    ranks are computed per distinct value and joined back.
-    """
-    if rows <= ordered_rows:
-        one = lambda c: Window.partitionBy(F.lit(0)).orderBy(quoted(c))
-        return df.select(
-            *[((F.rank().over(one(c)) + F.cume_dist().over(one(c)) * rows) / 2).alias(c) for c in columns]
-        )
+def _ranked(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """Tie-averaged ranks of complete columns: per distinct value, for all columns in one scan, and looked up by the rows."""
+    cells = F.array(*[F.struct(F.lit(i).alias("__c"), quoted(c).cast("double").alias("__v")) for i, c in enumerate(columns)])
+    ranks = cut_lineage(tie_ranks(df.select(F.inline(cells)), "__v", ("__c",)))
     for i, c in enumerate(columns):
-        ranks = tie_ranks(df.select(quoted(c).alias("__v")), "__v", rows, ordered_rows)
-        ranks = ranks.select(F.col("__v").alias(c), "n", F.col("rank").alias(f"__rank{i}"))
-        df = attach_lookup(df, ranks, [c], rows, "n")
+        one = ranks.where(F.col("__c") == i).select(F.col("__v").alias(c), "n", F.col("rank").alias(f"__rank{i}"))
+        df = attach_lookup(df, one, [c], rows, "n")
     return df.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def spearman_matrix(
-    df: DataFrame, columns: list[str] | None = None, ordered_rows: int = ORDERED_ROWS
-) -> DataFrame:
+def spearman_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rank correlation of all pairs: Pearson r of tie-averaged ranks.
 
     Columns without gaps are ranked once. A pair with gaps is ranked again on the rows where both
@@ -85,12 +64,12 @@ def spearman_matrix(
     counts = counts.first()
     rows = counts["rows"]
     full = [c for i, c in enumerate(columns) if counts[f"n{i}"] == rows]
-    parts = [_pairwise_corr(_ranked(numbers.select(*full), full, rows, ordered_rows), full)] if len(full) > 1 else []
+    parts = [_pairwise_corr(_ranked(numbers.select(*full), full, rows), full)] if len(full) > 1 else []
     for a, b in combinations(columns, 2):
         if a not in full or b not in full:
             both = numbers.select(a, b).dropna()
             gap_rows = counts[f"n{columns.index(a)}"] if b in full else counts[f"n{columns.index(b)}"] if a in full else both.count()
-            parts.append(_pairwise_corr(_ranked(both, [a, b], gap_rows, ordered_rows), [a, b]))
+            parts.append(_pairwise_corr(_ranked(both, [a, b], gap_rows), [a, b]))
     return reduce(DataFrame.unionAll, parts) if parts else df.sparkSession.createDataFrame([], _PAIRS)
 
 
@@ -112,17 +91,23 @@ def variance_inflation(df: DataFrame, columns: list[str] | None = None, shown_fr
     spark = df.sparkSession
     columns = columns or numeric_columns(df)
     schema = "column_name string, vif double"
-    complete = df.select(*[as_number(df, c).alias(c) for c in columns]).dropna()
     if len(columns) < 2:
         return spark.createDataFrame([], schema)
-    spread = complete.agg(
-        F.count("*").alias("rows"), *[F.stddev_samp(quoted(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-    ).first()
-    valid = [c for i, c in enumerate(columns) if (spread[f"s{i}"] or 0.0) > 0]
-    if spread["rows"] < VIF_MIN_ROWS or len(valid) < 2:
+    complete = df.select(*[as_number(df, c).alias(c) for c in columns]).dropna()
+    # Columns x columns numbers; the columns of a constant one are NaN.
+    pairs = pair_correlations(complete, columns).collect()
+    if (pairs[0]["rows"] if pairs else 0) < VIF_MIN_ROWS:
+        return spark.createDataFrame([], schema)
+    place = {c: i for i, c in enumerate(columns)}
+    r = np.eye(len(columns))
+    for x in pairs:
+        a, b = place[x["col_a"]], place[x["col_b"]]
+        r[a, b] = r[b, a] = x["correlation"]
+    flat = np.isnan(r).sum(axis=1) == len(columns) - 1
+    valid = [c for c, constant in zip(columns, flat) if not constant]
+    if len(valid) < 2:
         return spark.createDataFrame([], schema)
-    vectors = VectorAssembler(inputCols=valid, outputCol="__v").transform(complete).select("__v")
-    r = Correlation.corr(vectors, "__v").first()[0].toArray()
+    r = r[np.ix_(~flat, ~flat)]
     cap = 1.0 / (1.0 - VIF_MAX_R2)
     # A regression on perfectly collinear inputs keeps working, so each column is solved by least squares.
     items = []
@@ -184,12 +169,10 @@ def bin_column(x: Column, cuts: list[float]) -> Column:
     return total
 
 
-def with_bins(
-    df: DataFrame, columns: list[str], bins: int = MI_BINS, small_cells: int = SMALL_CELLS
-) -> DataFrame:
+def with_bins(df: DataFrame, columns: list[str], bins: int = MI_BINS) -> DataFrame:
     """Numeric columns replaced by equal-frequency bin numbers; a missing value takes the median's bin."""
     exprs = {c: as_number(df, c) for c in columns}
-    cuts = exact_quantiles(df, exprs, [i / bins for i in range(1, bins)] + [0.5], small_cells=small_cells)
+    cuts = exact_quantiles(df, exprs, [i / bins for i in range(1, bins)] + [0.5])
     out = {}
     for c in columns:
         points = [v for v in cuts[c][:-1] if v is not None]
@@ -198,9 +181,7 @@ def with_bins(
     return df.withColumns(out)
 
 
-def mutual_information(
-    df: DataFrame, target: str, bins: int = MI_BINS, small_cells: int = SMALL_CELLS
-) -> DataFrame:
+def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataFrame:
     """``(column_name, mi_score, spearman_corr)`` of every column with the target, strongest first."""
     known = df.where(present(df, target))
     if known.limit(MI_MIN_ROWS).count() < MI_MIN_ROWS:
@@ -210,7 +191,7 @@ def mutual_information(
     to_bin = list(numeric)
     if not is_classification_target(known, target):
         to_bin.append(target)
-    binned = with_bins(known, to_bin, bins, small_cells) if to_bin else known
+    binned = with_bins(known, to_bin, bins) if to_bin else known
     scores = discrete_mutual_information(binned, features, target)
     ranks = target_rank_correlation(known, target, numeric)
     return scores.join(ranks, "column_name", "left").orderBy(F.desc("mi_score"), "column_name")
@@ -225,9 +206,7 @@ def coerced_target(df: DataFrame, target: str) -> Column:
     return F.nanvl(quoted(target).cast("string").try_cast("double"), F.lit(None).cast("double"))
 
 
-def target_rank_correlation(
-    df: DataFrame, target: str, features: list[str], ordered_rows: int = ORDERED_ROWS
-) -> DataFrame:
+def target_rank_correlation(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """Absolute Spearman correlation of numeric features with the target read as a number."""
     schema = "column_name string, spearman_corr double"
     y = coerced_target(df, target)
@@ -240,7 +219,7 @@ def target_rank_correlation(
     ).first()
     whole = [c for i, c in enumerate(features) if full[f"n{i}"] == full["rows"] == full["y"]]
     if whole:
-        ranked = _ranked(numbers.select("__y", *whole), ["__y", *whole], full["rows"], ordered_rows)
+        ranked = _ranked(numbers.select("__y", *whole), ["__y", *whole], full["rows"])
         cells = F.array(
             *[F.struct(F.lit(c).alias("column_name"), F.abs(F.col(f"r{i}")).alias("spearman_corr"))
               for i, c in enumerate(whole)]
@@ -250,7 +229,7 @@ def target_rank_correlation(
         if c in whole:
             continue
         both = numbers.select("__y", c).dropna()
-        ranked = _ranked(both, ["__y", c], both.count(), ordered_rows)
+        ranked = _ranked(both, ["__y", c], both.count())
         one = ranked.agg(F.corr("__y", quoted(c)).alias("r")).select(
             F.lit(c).alias("column_name"), F.abs("r").alias("spearman_corr")
         )

@@ -27,7 +27,7 @@ from tablewright.functions.numeric import as_number, is_numeric, present, quoted
 from tablewright.functions.text import text_features
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ranking_values import running_totals
-from tablewright.runtime import ORDERED_ROWS, attach_lookup, cut_lineage, spread
+from tablewright.runtime import attach_lookup, cut_lineage, spread
 
 # Fixed values.
 IQR_MULTIPLIER = 1.5
@@ -351,16 +351,13 @@ class CategoryEncoder(Estimator, _Stage):
         return model
 
 
-def sorted_codes(counts: DataFrame, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
+def sorted_codes(counts: DataFrame) -> DataFrame:
     """``(value, n, code)``: the 0-based place of every distinct string in sorted order.
 
-    A counted few strings are ordered in one window. More are cut into runs between strings drawn by hash, so
-    runs are even even when all strings begin alike; each run is ordered on its own and starts where the one before ends.
+    Strings are cut into runs between strings drawn by hash, so runs are even even when all strings begin alike; each run is
+    ordered on its own and starts where the one before ends.
     """
     counts = cut_lineage(counts)
-    if counts.count() <= ordered_rows:
-        w = Window.partitionBy(F.lit(0)).orderBy("value")
-        return counts.select("value", "n", (F.row_number().over(w) - 1).cast("double").alias("code"))
     drawn = counts.select("value").orderBy(F.xxhash64("value"), "value").limit(CODE_RUNS).collect()
     cuts = F.lit(sorted(r["value"] for r in drawn))
     runs = counts.withColumn("__run", F.size(F.filter(cuts, lambda cut: cut <= F.col("value"))))
@@ -526,7 +523,7 @@ def label_table(df: DataFrame, target: str) -> DataFrame:
         coded = sorted_codes(counts)
     else:
         one = counts.withColumn("one", F.lit(1))
-        coded = running_totals(one, "value", ["one"], counts.count()).select(
+        coded = running_totals(one, "value", ["one"]).select(
             "value", "n", F.col("one_before").cast("double").alias("code")
         )
     return coded.select(F.col("value").alias("class"), "n", F.col("code").alias("label"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.ranking_values import running_totals
-from tablewright.runtime import ORDERED_ROWS
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -65,7 +64,7 @@ def multiclass_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return per.agg(*aggs)
 
 
-def roc_auc(df: DataFrame, positive: Column, score: str, rows: int | None = None, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
+def roc_auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """Exact area under the ROC curve with ties averaged.
 
     Rows are counted per distinct score first, so a score shared by many rows is one record; the negatives below each
@@ -74,29 +73,22 @@ def roc_auc(df: DataFrame, positive: Column, score: str, rows: int | None = None
     counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    rows = df.count() if rows is None else rows
-    totals = running_totals(counts, "score", ["neg"], rows, ordered_rows)
+    return _area(running_totals(counts, "score", ["neg"]))
+
+
+def _area(totals: DataFrame, *by: str) -> DataFrame:
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return totals.agg(F.try_divide(wins, pairs).alias("roc_auc"))
-
-
-def roc_auc_ovr(df: DataFrame, label: str, scores: str, classes: int, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
-    """One-vs-rest area under the curve, weighted by class size; ``scores`` is an array by class number."""
-    rows = df.count()
-    support = {r["label"]: r["n"] for r in df.groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    total, parts = sum(support.values()), []
-    for c in range(classes):
-        if not support.get(c):
-            continue
-        one = df.select((F.col(label).cast("int") == c).alias("yes"), F.col(scores)[c].alias("score"))
-        parts.append(roc_auc(one, F.col("yes"), "score", rows, ordered_rows).select(
-            (F.col("roc_auc") * F.lit(support[c] / total)).alias("part")
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.agg(F.sum("part").alias("roc_auc"))
+    return totals.groupBy(*by).agg(F.try_divide(wins, pairs).alias("roc_auc"), F.sum("pos").alias("support")).drop(*([] if by else ["support"]))
+
+
+def roc_auc_ovr(df: DataFrame, label: str, scores: str, classes: int) -> DataFrame:
+    """One-vs-rest area under the curve, weighted by class size, of all classes in one scan; ``scores`` is an array by class number."""
+    cells = F.transform(F.slice(scores, 1, classes), lambda score, c: F.struct(c.alias("class"), (F.col(label).cast("int") == c).alias("yes"), score.cast("double").alias("score")))
+    counts = df.select(F.inline(cells)).groupBy("class", "score").agg(F.count_if("yes").alias("pos"), F.count_if(~F.col("yes")).alias("neg"))
+    areas = _area(running_totals(counts, "score", ["neg"], ("class",)), "class").where("support > 0")
+    # As many rows as classes.
+    return areas.agg((F.sum(F.col("roc_auc") * F.col("support")) / F.sum("support")).alias("roc_auc"))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:

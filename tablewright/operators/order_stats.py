@@ -1,164 +1,175 @@
-"""Exact order statistics that never bring a column into one task.
+"""Exact order statistics from mergeable sketches, without bringing a column into one task.
 
-Few values (a checked count) go through the built-in ``percentile``. More values are located by
-narrowing: each pass counts the values per slice of the open ranges, keeps the slice that holds the
-wanted rank and repeats until a slice holds one distinct value or few rows. Every pass is one scan with map-side
-aggregation and a fixed number of groups, whatever the number of rows or the weight of a single value.
+A sketch pass (``percentile_approx``) brackets every wanted rank between two values of the column. One more scan counts what lies below a bracket and
+collects what lies strictly inside; values equal to its ends are only counted, so repeated values never fill a bracket, and inside there is at most a
+known share of the rows. Brackets that still hold many rows are sketched again first. All brackets of all columns share each scan, and what is returned
+is exact whatever the sketch's error: a rank that turns out to lie outside its bracket is looked for between the column's ends.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.runtime import SMALL_CELLS, is_small
+#: A sketch's rank error is one over ``ACCURACY`` of the rows; a bracket reaches ``REACH`` times that to either side.
+ACCURACY, REACH = 10_000, 3
+#: Rows a bracket may hold to be collected, and cuts of a bracket that holds more.
+FETCH_ROWS, CUTS = 20_000, 256
 
-SLICES = 512
-FETCH_ROWS = 10_000
-COLUMNS_PER_SCAN = 24
+
+@dataclass(frozen=True)
+class Sketch:
+    """Non-null values of a column, the smallest and largest, and its values at ``points`` (shares of the rows), about."""
+
+    rows: int
+    low: float | None
+    high: float | None
+    points: tuple[float, ...]
+    values: tuple[float, ...]
 
 
 @dataclass
-class _Range:
-    """Values of a column between two bounds, and how many values lie below them."""
+class Bracket:
+    """Two values of a column and the 0-based ranks that are looked for between them; ``rows`` lie strictly inside at most."""
 
     name: str
     low: float
     high: float
-    below: int
-    rows: int
+    rows: float
+    ranks: set[int] = field(default_factory=set)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    exprs: dict[str, Column],
-    probs: list[float],
-    rows: int | None = None,
-    small_cells: int = SMALL_CELLS,
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of several DOUBLE expressions; NULLs are skipped."""
-    rows = df.count() if rows is None else rows
-    names = list(exprs)
-    if not names:
-        return {}
-    if is_small(rows, len(names), small_cells):
-        row = df.agg(
-            *[F.percentile(exprs[c], F.array(*map(F.lit, probs))).alias(f"q{i}") for i, c in enumerate(names)]
-        ).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(names)}
-    out: dict[str, list[float | None]] = {}
-    for start in range(0, len(names), COLUMNS_PER_SCAN):
-        part = names[start : start + COLUMNS_PER_SCAN]
-        wide = df.select(*[exprs[c].alias(c) for c in part])
-        sizes, found = _narrowed(
-            wide, part, lambda n: {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}
-        )
-        for c in part:
-            out[c] = []
-            for p in probs:
-                if not sizes[c]:
-                    out[c].append(None)
-                    continue
-                pos = p * (sizes[c] - 1)
-                below, above = math.floor(pos), math.ceil(pos)
-                low, high = found[(c, below)], found[(c, above)]
-                # The weights of the built-in percentile, so both ways give the same bits.
-                out[c].append(low if below == above or low == high else (above - pos) * low + (pos - below) * high)
-    return out
+def sketch_points(probs: Iterable[float]) -> tuple[float, ...]:
+    return tuple(sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-REACH / ACCURACY, REACH / ACCURACY)}))
 
 
-def order_values(
-    df: DataFrame, expr: Column, ranks: list[int], rows: int, small_cells: int = SMALL_CELLS
-) -> list[float]:
-    """The values at the given 0-based ranks of a DOUBLE expression with ``rows`` non-null values."""
-    wide = df.select(expr.alias("v"))
-    if is_small(rows, 1, small_cells):
-        # Half a rank below the position keeps the discrete percentile clear of rounding.
-        row = wide.agg(
-            *[
-                F.expr(f"percentile_disc({(r + 0.5) / rows!r}D) WITHIN GROUP (ORDER BY v)").alias(f"r{i}")
-                for i, r in enumerate(ranks)
-            ]
-        ).first()
-        return list(row)
-    _, found = _narrowed(wide, ["v"], lambda n: set(ranks))
-    return [found[("v", r)] for r in ranks]
+def sketch_aggs(x: Column, points: tuple[float, ...], suffix: str = "") -> list[Column]:
+    """What ``sketch_of`` reads from a row: count, ends and about the values at ``points``."""
+    return [F.count(x).alias(f"sk_n{suffix}"), F.min(x).alias(f"sk_low{suffix}"), F.max(x).alias(f"sk_high{suffix}"),
+            F.percentile_approx(x, F.array(*map(F.lit, points)), F.lit(ACCURACY)).alias(f"sk_at{suffix}")]
+
+
+def sketch_of(row, points: tuple[float, ...], suffix: str = "") -> Sketch:
+    return Sketch(row[f"sk_n{suffix}"], row[f"sk_low{suffix}"], row[f"sk_high{suffix}"], points, tuple(row[f"sk_at{suffix}"] or ()))
+
 
+def brackets_of(name: str, sketch: Sketch, ranks: set[int]) -> list[Bracket]:
+    """Brackets of the ranks of a column; few rows are one bracket from end to end."""
+    if sketch.rows <= FETCH_ROWS:
+        return [Bracket(name, sketch.low, sketch.high, sketch.rows, set(ranks))] if ranks else []
+    found: dict[tuple[float, float], Bracket] = {}
+    for rank in ranks:
+        share = rank / sketch.rows
+        below = [v for p, v in zip(sketch.points, sketch.values) if p <= share - 1.5 / ACCURACY]
+        above = [v for p, v in zip(sketch.points, sketch.values) if p >= share + 1.5 / ACCURACY]
+        ends = below[-1] if below else sketch.low, above[0] if above else sketch.high
+        found.setdefault(ends, Bracket(name, *ends, 0.0)).ranks.add(rank)
+    for b in found.values():
+        # From the last point at the lower end to the first at the upper one.
+        low = max((p for p, v in zip(sketch.points, sketch.values) if v <= b.low), default=0.0)
+        high = min((p for p, v in zip(sketch.points, sketch.values) if v >= b.high), default=1.0)
+        b.rows = max(0.0, high - low + 2 / ACCURACY) * sketch.rows
+    return list(found.values())
 
-def _narrowed(
-    wide: DataFrame, names: list[str], ranks_of: Callable[[int], set[int]]
-) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
-    """Non-null count per column, and the value at every wanted 0-based rank."""
-    wide = wide.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {c: f"c{i}" for i, c in enumerate(names)}
-    head = wide.agg(
-        *[F.expr(f"{fn}({x}) AS {fn}_{x}") for x in at.values() for fn in ("count", "min", "max")]
-    ).first()
-    wanted: dict[tuple[str, int], _Range] = {}
+
+def _places(b: Bracket, x: Column, suffix: str) -> list[Column]:
+    """Rows below a bracket and at its ends."""
+    return [F.count_if(x < b.low).alias(f"below{suffix}"), F.count_if(x == b.low).alias(f"low{suffix}"), F.count_if(x == b.high).alias(f"high{suffix}")]
+
+
+def _inside(b: Bracket, x: Column) -> Column:
+    return F.when((x > b.low) & (x < b.high), x)
+
+
+def bracket_aggs(brackets: list[Bracket], exprs: dict[str, Column], tag: str = "b") -> list[Column]:
+    """Aggregates of one scan for all brackets: collected where few rows lie inside, else sketched."""
+    out: list[Column] = []
+    for i, b in enumerate(brackets):
+        x = exprs[b.name]
+        inner = _inside(b, x)
+        held = F.sort_array(F.collect_list(inner)) if b.rows <= FETCH_ROWS else F.percentile_approx(inner, F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)]), F.lit(ACCURACY))
+        out += [*_places(b, x, f"_{tag}{i}"), F.count(inner).alias(f"inside_{tag}{i}"), held.alias(f"held_{tag}{i}")]
+    return out
+
+
+def resolved(row, brackets: list[Bracket], ends: dict[str, Sketch], tag: str = "b") -> tuple[dict[tuple[str, int], float], list[Bracket]]:
+    """Values at ranks that a scan with ``bracket_aggs`` has settled, and narrower brackets of the others."""
     found: dict[tuple[str, int], float] = {}
-    sizes: dict[str, int] = {}
-    for c, x in at.items():
-        sizes[c] = head[f"count_{x}"]
-        for rank in ranks_of(sizes[c]) if sizes[c] else ():
-            wanted[(c, rank)] = _Range(x, head[f"min_{x}"], head[f"max_{x}"], 0, sizes[c])
-    while wanted:
-        for key, r in list(wanted.items()):
-            if r.low == r.high:
-                found[key] = r.low
-                del wanted[key]
-        ranges = {(r.name, r.low, r.high): r.rows for r in wanted.values()}
-        few = [bounds for bounds, rows in ranges.items() if rows <= FETCH_ROWS]
-        if few:
-            values = _fetch(wide, few)
-            for key, r in list(wanted.items()):
-                bounds = (r.name, r.low, r.high)
-                if bounds in values:
-                    found[key] = values[bounds][key[1] - r.below]
-                    del wanted[key]
-        if not wanted:
-            break
-        slices = _slice_counts(wide, [bounds for bounds in ranges if bounds not in few])
-        for key, r in list(wanted.items()):
-            below = r.below
-            for rows, low, high in slices[(r.name, r.low, r.high)]:
-                if key[1] < below + rows:
-                    wanted[key] = _Range(r.name, low, high, below, rows)
-                    break
-                below += rows
-    return sizes, found
-
-
-def _slice_counts(wide: DataFrame, ranges: list[tuple]) -> dict[tuple, list[tuple[int, float, float]]]:
-    """Rows, smallest and largest value of every slice of the ranges, in value order."""
-    tagged = []
-    for i, (x, low, high) in enumerate(ranges):
-        # Halves keep the width finite for any two doubles; the narrowest ranges have no half.
-        width = high / 2 - low / 2
-        share = f"({x} / 2 - {low / 2!r}D) / {width!r}D" if width > 0 else f"CAST({x} > {low!r}D AS double)"
-        slot = f"least(cast(floor({share} * {SLICES}) AS int), {SLICES - 1})"
-        tagged.append(f"CASE WHEN {x} BETWEEN {low!r}D AND {high!r}D THEN struct({i} AS id, {slot} AS slot, {x} AS x) END")
-    counted = (
-        wide.select(F.explode(F.expr(f"array({', '.join(tagged)})")).alias("t"))
-        .where("t IS NOT NULL")
-        .groupBy("t.id", "t.slot")
-        .agg(F.count("*").alias("rows"), F.min("t.x").alias("low"), F.max("t.x").alias("high"))
-    )
-    out: dict[tuple, list[tuple[int, float, float]]] = {}
-    for r in sorted(counted.collect(), key=lambda r: (r["id"], r["slot"])):
-        out.setdefault(ranges[r["id"]], []).append((r["rows"], r["low"], r["high"]))
+    left: dict[tuple, Bracket] = {}
+
+    def again(b: Bracket, rank: int, low: float, high: float, rows: float) -> None:
+        left.setdefault((b.name, low, high), Bracket(b.name, low, high, rows)).ranks.add(rank)
+
+    for i, b in enumerate(brackets):
+        below, at_low, at_high, inside = (row[f"{k}_{tag}{i}"] for k in ("below", "low", "high", "inside"))
+        at_high = 0 if b.low == b.high else at_high
+        held = row[f"held_{tag}{i}"] or []
+        for rank in b.ranks:
+            place = rank - below
+            if not 0 <= place < at_low + inside + at_high:
+                again(b, rank, ends[b.name].low, ends[b.name].high, ends[b.name].rows)
+            elif place < at_low:
+                found[(b.name, rank)] = b.low
+            elif place >= at_low + inside:
+                found[(b.name, rank)] = b.high
+            elif b.rows <= FETCH_ROWS:
+                found[(b.name, rank)] = held[place - at_low]
+            else:
+                share = (place - at_low) / inside * CUTS
+                k = [k for k in range(len(held)) if k + 1 <= share - CUTS / ACCURACY - 0.01]
+                m = [k for k in range(len(held)) if k + 1 >= share + CUTS / ACCURACY + 0.01]
+                low, high = held[k[-1]] if k else b.low, held[m[0]] if m else b.high
+                again(b, rank, low, high, inside * (3 / CUTS + 2 / ACCURACY))
+    return found, list(left.values())
+
+
+def ranked_values(df: DataFrame, exprs: dict[str, Column], sketches: dict[str, Sketch], ranks: dict[str, set[int]], found: dict[tuple[str, int], float] | None = None, left: list[Bracket] | None = None) -> dict[tuple[str, int], float]:
+    """The value at every wanted 0-based rank; a scan or two settle a table of some ten million rows, every further one takes 80 times as many."""
+    found = dict(found or {})
+    left = [b for c, r in ranks.items() for b in brackets_of(c, sketches[c], r)] if left is None else left
+    while left:
+        more, left = resolved(df.agg(*bracket_aggs(left, exprs)).first(), left, sketches)
+        found |= more
+    return found
+
+
+def quantile_ranks(rows: int, probs: Iterable[float]) -> set[int]:
+    return {f(p * (rows - 1)) for p in probs for f in (math.floor, math.ceil)} if rows else set()
+
+
+def interpolated(name: str, rows: int, probs: Iterable[float], found: dict[tuple[str, int], float]) -> list[float | None]:
+    out: list[float | None] = []
+    for p in probs:
+        pos = p * (rows - 1)
+        below, above = math.floor(pos), math.ceil(pos)
+        if not rows:
+            out.append(None)
+            continue
+        low, high = found[(name, below)], found[(name, above)]
+        # The weights of the built-in percentile, for the same bits.
+        out.append(low if below == above or low == high else (above - pos) * low + (pos - below) * high)
     return out
 
 
-def _fetch(wide: DataFrame, ranges: list[tuple]) -> dict[tuple, list[float]]:
-    """Sorted values of ranges that are known to hold at most ``FETCH_ROWS`` rows each."""
-    row = wide.agg(
-        *[
-            F.expr(f"sort_array(collect_list(CASE WHEN {x} BETWEEN {low!r}D AND {high!r}D THEN {x} END)) AS v{i}")
-            for i, (x, low, high) in enumerate(ranges)
-        ]
-    ).first()
-    return {bounds: list(row[i]) for i, bounds in enumerate(ranges)}
+def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of several DOUBLE expressions; NULLs are skipped."""
+    if not exprs:
+        return {}
+    points = sketch_points(probs)
+    row = df.agg(*[a for i, x in enumerate(exprs.values()) for a in sketch_aggs(x, points, str(i))]).first()
+    sketches = {c: sketch_of(row, points, str(i)) for i, c in enumerate(exprs)}
+    found = ranked_values(df, exprs, sketches, {c: quantile_ranks(s.rows, probs) for c, s in sketches.items()})
+    return {c: interpolated(c, s.rows, probs, found) for c, s in sketches.items()}
+
+
+def order_values(df: DataFrame, expr: Column, ranks_of: Callable[[int], list[int]]) -> list[float]:
+    """The values at the 0-based ranks that ``ranks_of`` names for the number of non-null values of a DOUBLE expression."""
+    points = tuple(k / CUTS for k in range(1, CUTS))
+    sketch = sketch_of(df.agg(*sketch_aggs(expr, points)).first(), points)
+    ranks = ranks_of(sketch.rows)
+    found = ranked_values(df, {"v": expr}, {"v": sketch}, {"v": set(ranks)})
+    return [found[("v", r)] for r in ranks]

@@ -17,8 +17,22 @@ from tablewright.functions.numeric import (
     present,
     quoted,
 )
-from tablewright.operators.order_stats import exact_quantiles
-from tablewright.runtime import SMALL_CELLS, is_small, reread
+from tablewright.operators.order_stats import (
+    FETCH_ROWS,
+    bracket_aggs,
+    brackets_of,
+    interpolated,
+    quantile_ranks,
+    ranked_values,
+    resolved,
+    sketch_aggs,
+    sketch_of,
+    sketch_points,
+)
+from tablewright.runtime import reread
+
+QUARTILES = (0.25, 0.5, 0.75)
+COLUMNS_PER_SCAN = 100
 
 # Fixed values.
 IQR_MULTIPLIER = 1.5
@@ -50,15 +64,16 @@ PROFILE_SCHEMA = T.StructType(
 )
 
 
-def column_statistics(df: DataFrame, small_cells: int = SMALL_CELLS) -> list[dict]:
-    """One record per column. Three scans: moments, distances from the centre, robust distances.
+def column_statistics(df: DataFrame) -> list[dict]:
+    """One record per column, by four scans whatever the number of rows: moments and sketches; quantiles; counts beyond their limits and sketches of the
+    distances from the median; the median of those. A fifth is needed by columns with values so near the modified z limit that only the exact median tells.
 
-    Each scan reads every column once with map-side aggregation; only one scalar per statistic and column
-    comes back, and goes into the next scan as a literal.
+    Each scan reads every column once with map-side aggregation; scalars and a bounded number of values per column come back, and go
+    into the next scan as literals.
     """
     rows = df.count()
     with reread(df.select(*[_prepared(df, f) for f in df.schema.fields]), rows) as kept:
-        return _column_statistics(kept, rows, small_cells)
+        return _column_statistics(kept, rows)
 
 
 def _prepared(df: DataFrame, field: T.StructField) -> Column:
@@ -69,33 +84,32 @@ def _prepared(df: DataFrame, field: T.StructField) -> Column:
     return (F.to_json(c) if isinstance(field.dataType, T.MapType) else c).alias(field.name)
 
 
-def _column_statistics(df: DataFrame, rows: int, small_cells: int) -> list[dict]:
+def _column_statistics(df: DataFrame, rows: int) -> list[dict]:
     numeric = numeric_columns(df)
-    small = is_small(rows, len(numeric), small_cells)
+    exprs = {c: as_number(df, c) for c in numeric}
+    points = sketch_points(QUARTILES)
     # Rows of (column number, value): the moments stay one short code path however wide the table is.
     x = F.col("x")
     moments = [
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+        F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), *sketch_aggs(x, points),
     ]
-    if small:
-        moments.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     first = {}
-    if numeric:
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), as_number(df, c).alias("x")) for c in numeric])
-        first = {r["c"]: r for r in df.select(F.inline(cells)).groupBy("c").agg(*moments).collect()}
+    for start in range(0, len(numeric), COLUMNS_PER_SCAN):
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), exprs[c].alias("x")) for c in numeric[start:start + COLUMNS_PER_SCAN]])
+        first |= {r["c"]: r for r in df.select(F.inline(cells)).groupBy("c").agg(*moments).collect()}
+    sketches = {c: sketch_of(r, points) for c, r in first.items()}
+    brackets = [b for c, s in sketches.items() for b in brackets_of(c, s, quantile_ranks(s.rows, QUARTILES))]
     others = [f for f in df.schema.fields if f.name not in numeric]
-    flat = {}
-    if others:
-        aggs = []
-        for i, f in enumerate(others):
-            c = quoted(f.name)
-            aggs += [F.count(c).alias(f"n{i}"), F.min(c).eqNullSafe(F.max(c)).alias(f"flat{i}")]
-        row = df.agg(*aggs).first()
-        flat = {f.name: (row[f"n{i}"], row[f"flat{i}"]) for i, f in enumerate(others)}
-    quantiles = {}
-    if not small:
-        quantiles = exact_quantiles(df, {c: as_number(df, c) for c in numeric}, [0.25, 0.5, 0.75], rows, small_cells)
+    aggs = bracket_aggs(brackets, exprs)
+    for i, f in enumerate(others):
+        c = quoted(f.name)
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).eqNullSafe(F.max(c)).alias(f"flat{i}")]
+    row = df.agg(*aggs).first() if aggs else None
+    flat = {f.name: (row[f"n{i}"], row[f"flat{i}"]) for i, f in enumerate(others)}
+    found, left = resolved(row, brackets, sketches) if brackets else ({}, [])
+    found = ranked_values(df, exprs, sketches, {}, found, left)
+    quantiles = {c: interpolated(c, s.rows, QUARTILES, found) for c, s in sketches.items()}
 
     records = []
     for field in df.schema.fields:
@@ -113,7 +127,7 @@ def _column_statistics(df: DataFrame, rows: int, small_cells: int) -> list[dict]
         else:
             record["zero_variance"] = stats["std"] == 0.0 if n > 1 else True
             if n:
-                p25, median, p75 = stats["q"] if small else quantiles[field.name]
+                p25, median, p75 = quantiles[field.name]
                 span = IQR_MULTIPLIER * (p75 - p25)
                 record.update(
                     mean=stats["mean"], std=stats["std"] if n > 1 else None, min=stats["min"], max=stats["max"],
@@ -126,40 +140,57 @@ def _column_statistics(df: DataFrame, rows: int, small_cells: int) -> list[dict]
     filled = [r for r in records if r["median"] is not None]
     if not filled:
         return records
-    x = {r["column_name"]: "`" + r["column_name"].replace("`", "``") + "`" for r in filled}
-    distance = {r["column_name"]: f"abs({x[r['column_name']]} - {r['median']!r}D)" for r in filled}
+    names = [r["column_name"] for r in filled]
+    distance = {r["column_name"]: F.abs(exprs[r["column_name"]] - F.lit(r["median"])) for r in filled}
+    middle = sketch_points([0.5])
     aggs = []
     for i, r in enumerate(filled):
-        c = x[r["column_name"]]
-        aggs.append(f"count_if({c} < {r['iqr_lower']!r}D OR {c} > {r['iqr_upper']!r}D) AS iqr{i}")
+        c = exprs[r["column_name"]]
+        aggs.append(F.count_if((c < r["iqr_lower"]) | (c > r["iqr_upper"])).alias(f"iqr{i}"))
         if r["std"] and r["num_rows"] - r["missing_count"] > 5:
-            aggs.append(f"count_if(abs(({c} - {r['mean']!r}D) / {r['std']!r}D) > {ZSCORE_LIMIT!r}D) AS z{i}")
-        if small:
-            aggs.append(f"percentile({distance[r['column_name']]}, 0.5) AS mad{i}")
-    second = df.selectExpr(*aggs).first().asDict()
-    mads = {}
-    if not small:
-        mads = exact_quantiles(df, {c: F.expr(e) for c, e in distance.items()}, [0.5], rows, small_cells)
-    robust = []
+            aggs.append(F.count_if(F.abs((c - r["mean"]) / r["std"]) > ZSCORE_LIMIT).alias(f"z{i}"))
+        aggs += sketch_aggs(distance[r["column_name"]], middle, str(i))
+    third = df.agg(*aggs).first().asDict()
+    sketches = {c: sketch_of(third, middle, str(i)) for i, c in enumerate(names)}
+    brackets = [b for c, s in sketches.items() for b in brackets_of(c, s, quantile_ranks(s.rows, [0.5]))]
+    # A MAD lies in its brackets, so distances well beyond what the widest allows are over the limit, and those within the narrowest are not.
+    reach = {c: (min(b.low for b in brackets if b.name == c), max(b.high for b in brackets if b.name == c)) for c in names}
+    scale = MODIFIED_ZSCORE_LIMIT / MODIFIED_ZSCORE_FACTOR
+    bands = {c: (low * scale * (1 - 1e-9), high * scale * (1 + 1e-9)) for c, (low, high) in reach.items()}
+    over = [F.count_if(distance[c] > bands[c][1]).alias(f"over{i}") for i, c in enumerate(names)]
+    near = [F.count_if((distance[c] >= bands[c][0]) & (distance[c] <= bands[c][1])).alias(f"near{i}") for i, c in enumerate(names)]
+    fourth = df.agg(*bracket_aggs(brackets, distance), *over, *near).first()
+    found, left = resolved(fourth, brackets, sketches)
+    found = ranked_values(df, distance, sketches, {}, found, left)
+    modified = lambda d, r: MODIFIED_ZSCORE_FACTOR * d / r["mad"]
+    open_columns = []
     for i, r in enumerate(filled):
-        n = r["num_rows"] - r["missing_count"]
-        r["mad"] = second[f"mad{i}"] if small else mads[r["column_name"]][0]
-        for rule, count in (("iqr", second[f"iqr{i}"]), ("zscore", second.get(f"z{i}", 0))):
+        c, n = r["column_name"], r["num_rows"] - r["missing_count"]
+        r["mad"] = interpolated(c, n, [0.5], found)[0]
+        for rule, count in (("iqr", third[f"iqr{i}"]), ("zscore", third.get(f"z{i}", 0))):
             r[f"{rule}_outliers_count"], r[f"{rule}_outliers_pct"] = count, 100.0 * count / n
-        if r["mad"] and n > 5:
-            score = f"{MODIFIED_ZSCORE_FACTOR!r}D * {distance[r['column_name']]} / {r['mad']!r}D"
-            robust.append((r, n, f"count_if({score} > {MODIFIED_ZSCORE_LIMIT!r}D) AS m{len(robust)}"))
-    if robust:
-        third = df.selectExpr(*[expr for _, _, expr in robust]).first()
-        for i, (r, n, _) in enumerate(robust):
-            r["modified_zscore_outliers_count"] = third[f"m{i}"]
-            r["modified_zscore_outliers_pct"] = 100.0 * third[f"m{i}"] / n
+        if not r["mad"] or n <= 5:
+            continue
+        k = next(k for k, b in enumerate(brackets) if b.name == c)
+        if brackets[k].rows == n <= FETCH_ROWS:  # all distances are here
+            ends = [(brackets[k].low, fourth[f"low_b{k}"])] + ([(brackets[k].high, fourth[f"high_b{k}"])] if brackets[k].high > brackets[k].low else [])
+            r["modified_zscore_outliers_count"] = sum(m for d, m in ends if modified(d, r) > MODIFIED_ZSCORE_LIMIT) + sum(modified(d, r) > MODIFIED_ZSCORE_LIMIT for d in fourth[f"held_b{k}"] or [])
+        elif fourth[f"near{i}"]:
+            open_columns.append(r)
+        else:
+            r["modified_zscore_outliers_count"] = fourth[f"over{i}"]
+    if open_columns:
+        fifth = df.agg(*[F.count_if(modified(distance[r["column_name"]], r) > MODIFIED_ZSCORE_LIMIT).alias(f"m{i}") for i, r in enumerate(open_columns)]).first()
+        for i, r in enumerate(open_columns):
+            r["modified_zscore_outliers_count"] = fifth[f"m{i}"]
+    for r in filled:
+        r["modified_zscore_outliers_pct"] = 100.0 * r["modified_zscore_outliers_count"] / (r["num_rows"] - r["missing_count"])
     return records
 
 
-def profile_columns(df: DataFrame, small_cells: int = SMALL_CELLS) -> DataFrame:
+def profile_columns(df: DataFrame) -> DataFrame:
     """The column profile as a table with one row per column of ``df``."""
-    return profile_table(df, column_statistics(df, small_cells))
+    return profile_table(df, column_statistics(df))
 
 
 def profile_table(df: DataFrame, records: list[dict]) -> DataFrame:

@@ -4,50 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.ml.feature import Bucketizer
 
-from tablewright.runtime import ORDERED_ROWS, cut_lineage
+from tablewright.runtime import cut_lineage
 
-SLICES = 1024
+#: Slices in which values of a group are ordered on their own.
+SLICES = 128
 
 
-def running_totals(
-    counts: DataFrame, value: str, sums: list[str], rows: int, ordered_rows: int = ORDERED_ROWS
-) -> DataFrame:
-    """For one row per distinct ``value``, add ``<sum>_before``: the total over all smaller values.
+def running_totals(counts: DataFrame, value: str, sums: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """For one row per distinct ``value`` of each group, add ``<sum>_before``: the total over all smaller values of the group.
 
-    Few distinct values are ordered in one window. Otherwise values are cut into slices by
-    approximate quantiles of the distinct values (so a heavy value cannot fill a slice); each slice is ordered
-    on its own and shifted by the totals of the slices before it.
+    Values are cut in slices by sketched quantiles of the distinct values, so that a heavy value cannot fill a slice; each slice is ordered on its own and
+    shifted by the totals of the slices before it. The sketch decides how even the slices are, never what comes out. Groups are few (columns, classes).
     """
-    if rows <= ordered_rows:
-        w = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select("*", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"{s}_before") for s in sums])
     counts = cut_lineage(counts)
-    cuts = counts.approxQuantile(value, [i / SLICES for i in range(1, SLICES)], 1 / (4 * SLICES))
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol=value, outputCol="__slice").transform(counts)
-    before = Window.partitionBy(F.lit(0)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice: at most SLICES rows, so its window and its broadcast are bounded.
+    points = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    # One row of cuts per group, and later one row per group and slice.
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, points, F.lit(8 * SLICES)).alias("__cuts"))
+    placed = counts.join(F.broadcast(cuts), list(by)) if by else counts.withColumn("__cuts", F.lit(cuts.first()[0]).cast("array<double>"))
+    sliced = placed.withColumn("__slice", F.coalesce(F.size(F.filter("__cuts", lambda cut: cut < F.col(value))), F.lit(0))).drop("__cuts")
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        sliced.groupBy("__slice")
+        sliced.groupBy(*by, "__slice")
         .agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-        .select("__slice", *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__s_{s}") for s in sums])
+        .select(*by, "__slice", *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__s_{s}") for s in sums])
     )
-    joined = sliced.join(F.broadcast(shifts), "__slice")
+    joined = sliced.join(F.broadcast(shifts), [*by, "__slice"])
     return joined.select(
         *counts.columns,
-        *[
-            (F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__s_{s}")).alias(f"{s}_before")
-            for s in sums
-        ],
+        *[(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__s_{s}")).alias(f"{s}_before") for s in sums],
     )
 
 
-def tie_ranks(df: DataFrame, value: str, rows: int, ordered_rows: int = ORDERED_ROWS) -> DataFrame:
-    """``(value, n, rank)``: the average rank shared by all rows that carry the value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    totals = running_totals(counts, value, ["n"], rows, ordered_rows)
-    return totals.select(value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).cast("double").alias("rank"))
-
+def tie_ranks(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, value, n, rank)``: the average rank shared by all rows of a group that carry the value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    totals = running_totals(counts, value, ["n"], by)
+    return totals.select(*by, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).cast("double").alias("rank"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.hashing import row_digest, uniform, uniform_from_key
 from tablewright.functions.numeric import as_number, numeric_columns, quoted
 from tablewright.operators.order_stats import order_values
-from tablewright.runtime import SMALL_CELLS, attach_lookup, cut_lineage
+from tablewright.runtime import attach_lookup, cut_lineage
 
 # Fixed value: share of the rows left after the test part.
 VALIDATION_SHARE = 0.2
@@ -97,24 +97,23 @@ def quota_split(
     return attach_lookup(grouped, assigned, [GROUP], total, "n").drop(GROUP)
 
 
-def sequential_split(
-    df: DataFrame, order_col: str, test_size: float = 0.2, small_cells: int = SMALL_CELLS
-) -> DataFrame:
+def sequential_split(df: DataFrame, order_col: str, test_size: float = 0.2) -> DataFrame:
     """Split by time: the oldest rows train, the newest test. Rows with equal times stay on one side."""
     if df.schema[order_col].dataType.simpleString().startswith(("timestamp", "date")):
         order = F.unix_micros(quoted(order_col).cast("timestamp")).cast("double")
     else:
         order = as_number(df, order_col)
-    rows = df.where(order.isNotNull()).count()
-    n_test = int(rows * test_size)
-    n_val = int((rows - n_test) * VALIDATION_SHARE)
-    n_train = rows - n_test - n_val
-    if rows < 2:
-        return df.withColumn("split", F.lit("train"))
+
     # A cut is the largest value of the part that ends there, so ties never cross it.
-    train_end, val_end = order_values(
-        df.where(order.isNotNull()), order, [max(n_train - 1, 0), max(rows - n_test - 1, 0)], rows, small_cells
-    )
+    def ends(rows: int) -> list[int]:
+        n_test = int(rows * test_size)
+        n_train = rows - n_test - int((rows - n_test) * VALIDATION_SHARE)
+        return [max(n_train - 1, 0), max(rows - n_test - 1, 0)] if rows > 1 else []
+
+    cuts = order_values(df, order, ends)
+    if not cuts:
+        return df.withColumn("split", F.lit("train"))
+    train_end, val_end = cuts
     return df.withColumn(
         "split", F.when(order <= train_end, "train").when(order <= val_end, "val").otherwise("test")
     )

@@ -10,12 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row counts below which a small side may be broadcast or a set of values may be
-# ordered inside one task. Both are compared with measured counts before use.
+# Rows of a side that may be broadcast, compared with a count before use, and cells of a table that is spread over the
+# cores and kept between scans; a larger one is scanned again.
 BROADCAST_ROWS = 100_000
-SMALL_CELLS = 1_000_000
 KEPT_CELLS = 50_000_000
-ORDERED_ROWS = 4_000_000
 
 _local_roots: dict[str, str] = {}
 
@@ -121,8 +119,3 @@ def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows * max(len(df.columns), 1) > KEPT_CELLS:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def is_small(rows: int, columns: int = 1, cells: int = SMALL_CELLS) -> bool:
-    """Whether ``rows`` x ``columns`` values are few enough to be held by a single task."""
-    return rows * max(columns, 1) <= cells

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import numeric as FN
 from tablewright.operators import association as A
+from tablewright.operators import gram as G
 from tablewright.operators import metrics as M
 from tablewright.operators import order_stats as O
 from tablewright.operators import profile as P
@@ -30,48 +31,68 @@ PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 def test_narrowed_quantiles_equal_numpy(spark, values, monkeypatch):
     monkeypatch.setattr(O, "FETCH_ROWS", 50)
-    monkeypatch.setattr(O, "SLICES", 16)
+    monkeypatch.setattr(O, "ACCURACY", 100)
+    monkeypatch.setattr(O, "CUTS", 16)
     df = spark.createDataFrame(values)
-    found = O.exact_quantiles(df, {c: F.col(c) for c in values}, PROBS, small_cells=0)
+    found = O.exact_quantiles(df, {c: F.col(c) for c in values}, PROBS)
     for c in values.columns.drop("huge"):
         assert np.allclose(found[c], np.quantile(values[c], PROBS), rtol=1e-12), c
     assert found["huge"][0] == -1.7e308 and found["huge"][-1] == 1.7e308
 
 
-def test_small_and_narrowed_agree(spark, values):
+@pytest.mark.parametrize("accuracy, fetch, cuts", [(10_000, 20_000, 256), (50, 20, 8), (1000, 5, 4)])
+def test_collected_and_narrowed_agree_with_percentile(spark, values, monkeypatch, accuracy, fetch, cuts):
+    monkeypatch.setattr(O, "ACCURACY", accuracy)
+    monkeypatch.setattr(O, "FETCH_ROWS", fetch)
+    monkeypatch.setattr(O, "CUTS", cuts)
     df = spark.createDataFrame(values.drop(columns="huge"))
-    exprs = {c: F.col(c) for c in df.columns}
-    assert O.exact_quantiles(df, exprs, PROBS) == O.exact_quantiles(df, exprs, PROBS, small_cells=0)
+    row = df.agg(*[F.percentile(c, F.array(*map(F.lit, PROBS))).alias(c) for c in df.columns]).first()
+    assert O.exact_quantiles(df, {c: F.col(c) for c in df.columns}, PROBS) == {c: list(row[c]) for c in df.columns}
 
 
-def test_order_values_both_ways(spark, values):
+def test_a_rank_outside_its_bracket_is_found_all_the_same(spark, values):
+    """A sketch may be as wrong as it likes."""
+    df = spark.createDataFrame(values[["signed"]])
+    ordered = np.sort(values["signed"].to_numpy())
+    wrong = O.Sketch(6000, float(ordered[0]), float(ordered[-1]), (0.2, 0.4, 0.6), (float(ordered[10]), float(ordered[20]), float(ordered[30])))
+    brackets = [O.Bracket("signed", float(ordered[10]), float(ordered[30]), 100, {3000, 12})]
+    found = O.ranked_values(df, {"signed": F.col("signed")}, {"signed": wrong}, {}, {}, brackets)
+    assert found == {("signed", 3000): ordered[3000], ("signed", 12): ordered[12]}
+
+
+def test_order_values_both_ways(spark, values, monkeypatch):
     df = spark.createDataFrame(values[["hot"]])
     ranks, expected = [0, 17, 3000, 5999], np.sort(values["hot"].to_numpy())[[0, 17, 3000, 5999]]
-    assert O.order_values(df, F.col("hot"), ranks, 6000) == list(expected)
-    assert O.order_values(df, F.col("hot"), ranks, 6000, small_cells=0) == list(expected)
+    for fetch in (20_000, 50):
+        monkeypatch.setattr(O, "FETCH_ROWS", fetch)
+        assert O.order_values(df, F.col("hot"), lambda rows: ranks if rows == 6000 else []) == list(expected)
 
 
 def test_quantiles_skip_nulls_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
-    for cells in (10**6, 0):
-        found = O.exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.5], small_cells=cells)
-        assert found == {"a": [2.0], "b": [None]}
+    assert O.exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.5]) == {"a": [2.0], "b": [None]}
 
 
 def test_tie_ranks_equal_pandas(spark, values):
     df = spark.createDataFrame(values[["hot"]])
     expected = dict(zip(values["hot"], values["hot"].rank()))
-    for cells in (10**6, 0):
-        found = {r["hot"]: r["rank"] for r in tie_ranks(df, "hot", len(values), cells).collect()}
-        assert found == expected
+    assert {r["hot"]: r["rank"] for r in tie_ranks(df, "hot").collect()} == expected
+
+
+def test_tie_ranks_of_groups(spark, values):
+    frame = values[["hot", "signed"]].melt(var_name="c", value_name="x")
+    expected = {(c, x): r for c, part in frame.groupby("c") for x, r in zip(part["x"], part["x"].rank())}
+    assert {(r["c"], r["x"]): r["rank"] for r in tie_ranks(spark.createDataFrame(frame), "x", ("c",)).collect()} == expected
 
 
-def test_profile_equals_pandas(spark, values):
+def test_profile_equals_pandas(spark, values, monkeypatch):
     frame = values.drop(columns="huge").copy()
     frame.loc[::7, "skewed"] = np.nan
     df = spark.createDataFrame(frame)
-    for cells in (10**9, 0):
-        found = {r["column_name"]: r for r in P.profile_columns(df, cells).collect()}
+    for fetch in (20_000, 100):
+        monkeypatch.setattr(O, "FETCH_ROWS", fetch)
+        monkeypatch.setattr(P, "FETCH_ROWS", fetch)
+        found = {r["column_name"]: r for r in P.profile_columns(df).collect()}
         for c in frame:
             s = frame[c].dropna()
             r = found[c]
@@ -80,10 +101,28 @@ def test_profile_equals_pandas(spark, values):
             assert np.isclose(r["mean"], s.mean()) and np.isclose(r["std"], s.std())
             assert np.isclose(r["skewness"], s.skew()) and np.isclose(r["kurtosis"], s.kurtosis())
             assert np.isclose(r["median"], s.median()) and np.isclose(r["mad"], (s - s.median()).abs().median())
+            score = 0.6745 * (s - s.median()).abs() / ((s - s.median()).abs().median() or np.nan)
+            assert r["modified_zscore_outliers_count"] == (score > 3.5).sum()
             if s.std() > 0:
                 assert r["zscore_outliers_count"] == (((s - s.mean()) / s.std()).abs() > 3).sum()
 
 
+def test_profile_scans_its_table_four_times(spark, values):
+    """Rows that a pass-through hands on, over the rows of the table."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    for n in (2000, 40_000):  # collected whole, and by brackets
+        read.value = 0
+        df = spark.range(n).select((F.randn(1) * 3).alias("a"), F.exp(F.randn(2)).alias("b"), F.lit("x").alias("s"))
+        P._column_statistics(df.mapInArrow(counted, df.schema), n)
+        assert 3 * n < read.value <= (4 if n == 2000 else 5) * n, read.value / n
+
+
 def test_profile_of_tiny_and_empty_frames(spark):
     empty = spark.createDataFrame([], "x double, s string")
     rows = {r["column_name"]: r for r in P.profile_columns(empty).collect()}
@@ -151,14 +190,46 @@ def test_identifier_names(spark):
     assert tag_columns(df, {"y": "numeric"}).schema["y"].metadata["semantic_type"] == "numeric"
 
 
-def test_spearman_both_ways_with_gaps(spark, values):
+def test_spearman_with_gaps(spark, values):
     frame = values[["skewed", "hot", "few"]].copy()
     frame.loc[::5, "few"] = np.nan
     df = spark.createDataFrame(frame)
     expected = frame.corr(method="spearman")
-    for cells in (10**9, 0):
-        for r in A.spearman_matrix(df, ordered_rows=cells).collect():
-            assert r["correlation"] == pytest.approx(expected.loc[r["col_a"], r["col_b"]], abs=1e-12)
+    for r in A.spearman_matrix(df).collect():
+        assert r["correlation"] == pytest.approx(expected.loc[r["col_a"], r["col_b"]], abs=1e-12)
+
+
+def test_correlations_of_all_pairs_take_one_scan(spark, monkeypatch):
+    """Blocks, gaps and constant columns against pandas, and a table of a thousand columns."""
+    monkeypatch.setattr(G, "BLOCK_COLUMNS", 3)
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame(rng.normal(1e6, 1.0, (500, 7)), columns=list("abcdefg"))
+    frame["b"] += frame["a"]
+    frame["c"] = 0.1
+    frame = frame.mask(rng.random(frame.shape) < 0.3)
+    frame.loc[frame.index[frame["a"].notna()], "g"] = np.nan
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(frame).repartition(5).cache()
+    found = {(r["col_a"], r["col_b"]): r for r in G.pair_correlations(df.select(*[F.nanvl(c, F.lit(None)).alias(c) for c in df.columns]).mapInArrow(counted, df.schema), df.columns).collect()}
+    assert len(found) == 21 and read.value == 500
+    for (a, b), r in found.items():
+        both = frame[[a, b]].dropna()
+        assert r["rows"] == len(both)
+        if len(both) < 2:
+            assert r["correlation"] is None
+        elif "c" in (a, b):
+            assert np.isnan(r["correlation"])
+        else:
+            assert r["correlation"] == pytest.approx(both.corr().iloc[0, 1], abs=1e-9)
+    monkeypatch.setattr(G, "BLOCK_COLUMNS", 128)
+    wide = spark.range(60).select(*[(F.col("id") * (i + 1) + F.rand(i)).alias(f"x{i}") for i in range(1000)])
+    assert G.pair_correlations(wide, wide.columns).agg(F.count("*"), F.min("correlation")).first()[0] == 499_500
 
 
 def test_vif_of_collinear_columns_is_capped(spark):
@@ -181,15 +252,14 @@ def test_leakage_reads_text_targets(spark):
     assert [r["column_name"] for r in A.leakage_correlation(df, "t").collect()] == ["x"]
 
 
-def test_auc_with_ties_both_ways(spark):
+def test_auc_with_ties(spark):
     rng = np.random.default_rng(5)
     y, s = rng.integers(0, 2, 3000), np.round(rng.random(3000), 2)
     ranks = pd.Series(s).rank().to_numpy()
     pos = y.sum()
     expected = (ranks[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
     df = spark.createDataFrame(pd.DataFrame({"y": y, "s": s}))
-    for cells in (10**6, 0):
-        assert M.roc_auc(df, F.col("y") == 1, "s", ordered_rows=cells).first()[0] == pytest.approx(expected)
+    assert M.roc_auc(df, F.col("y") == 1, "s").first()[0] == pytest.approx(expected)
     assert M.roc_auc(df.where("y = 1"), F.col("y") == 1, "s").first()[0] is None
 
 
