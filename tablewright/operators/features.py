@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.dates import DATE_PARTS, as_timestamp, date_part
+from tablewright.functions.hashing import row_digest
 from tablewright.functions.numeric import as_number, is_numeric, present, quoted
 from tablewright.functions.text import text_features
 from tablewright.operators.order_stats import exact_quantiles
@@ -36,6 +37,11 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 INTERACTION_COLUMNS = 4
 CODE_RUNS = 512
 
+#: Column that tells target codes which rows a pipeline was fitted on, and the salt of their inner folds.
+FITTED, INNER_SALT = "_fitted", 7
+#: Categories whose names go into the metadata of a vector.
+NAMED_CATEGORIES = 10_000
+
 
 class _Stage(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Columns in, columns out; parameters are JSON, so stages save and load with their pipeline."""
@@ -317,12 +323,12 @@ class Interactions(Transformer, _Stage):
 
 
 class CategoryEncoder(Estimator, _Stage):
-    """Frequency (share of present rows, unknown 0) or ordinal (place in sorted order, unknown -1) encoding.
+    """Frequency (share of present rows, unknown 0), ordinal (place in sorted order, unknown -1) or index (the same, unknown the number of categories) encoding.
 
-    The fitted state is a table per column, so any number of categories works.
+    The fitted state is a table per column, so any number of categories works. Indexes of up to ``NAMED_CATEGORIES`` categories carry their names.
     """
 
-    kind = Param(Params._dummy(), "kind", "frequency or ordinal", TypeConverters.toString)
+    kind = Param(Params._dummy(), "kind", "frequency, ordinal or index", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None, kind="frequency"):
@@ -348,6 +354,9 @@ class CategoryEncoder(Estimator, _Stage):
             inputCols=self.getInputCols(), outputCols=[o for _, o in self._pairs()],
             unknown=0.0 if kind == "frequency" else -1.0, fittedRows=known[0],
         )
+        if kind == "index":
+            model.tables = {c: cut_lineage(table) for c, table in tables.items()}
+            model._set(sizes=[table.count() for table in model.tables.values()])
         return model
 
 
@@ -375,19 +384,31 @@ def sorted_codes(counts: DataFrame) -> DataFrame:
 class CategoryEncoderModel(Model, HasInputCols, HasOutputCols, MLReadable, MLWritable):
     unknown = Param(Params._dummy(), "unknown", "code of unseen categories", TypeConverters.toFloat)
     fittedRows = Param(Params._dummy(), "fittedRows", "rows seen in fit", TypeConverters.toInt)
+    sizes = Param(Params._dummy(), "sizes", "categories of each column, for indexes", TypeConverters.toListInt)
 
     def __init__(self, tables: dict[str, DataFrame] | None = None):
         super().__init__()
         self.tables = tables or {}
 
+    def _nominal(self, column: str, size: int) -> dict:
+        """ML attributes of an index: how many categories, and their names if they are few enough to list."""
+        attribute = {"type": "nominal", "num_vals": size}
+        if size <= NAMED_CATEGORIES:
+            attribute["vals"] = [r["value"] for r in self.tables[column].orderBy("code").select("value").collect()]
+        return {"ml_attr": attribute}
+
     def _transform(self, df: DataFrame) -> DataFrame:
         # Shares of the fitted rows tell which categories are heavy, so the rows need no count of their own.
-        unknown, total = self.getOrDefault("unknown"), max(self.getOrDefault("fittedRows"), 1)
-        for c, o in zip(self.getInputCols(), self.getOutputCols()):
+        total = max(self.getOrDefault("fittedRows"), 1)
+        sizes = self.getOrDefault("sizes") if self.isSet("sizes") else None
+        for i, (c, o) in enumerate(zip(self.getInputCols(), self.getOutputCols())):
+            unknown = self.getOrDefault("unknown") if sizes is None else float(sizes[i])
             table = self.tables[c].select(F.col("value").alias("__value"), "n", F.col("code").alias("__code"))
             df = df.withColumn("__value", quoted(c).cast("string"))
             df = attach_lookup(df, table, ["__value"], total, "n")
             df = df.withColumn(o, F.coalesce("__code", F.lit(unknown))).drop("__value", "__code")
+            if sizes is not None:
+                df = df.withMetadata(o, self._nominal(c, sizes[i]))
         return df
 
     def write(self) -> MLWriter:
@@ -398,6 +419,105 @@ class CategoryEncoderModel(Model, HasInputCols, HasOutputCols, MLReadable, MLWri
         return _TableReader(cls)
 
 
+class TargetMeans(Estimator, _Stage):
+    """Mean of the label, or of each class, per category: one column for a number or for class 1 of two, else one per class.
+
+    Fitting adds up label and rows by category and inner fold, which is a digest of ``foldCols``, so that equal rows share one. Where the column ``FITTED``
+    says that a row was fitted, the sums of its own inner fold are left out of its code, its own label with them; other rows get all sums. Codes are drawn to
+    the mean of all categories as by ``smoothing`` rows more; unknown categories have that mean.
+    """
+
+    labelCol = Param(Params._dummy(), "labelCol", "label", TypeConverters.toString)
+    foldCols = Param(Params._dummy(), "foldCols", "columns whose digest is the inner fold", TypeConverters.toListString)
+    classes = Param(Params._dummy(), "classes", "classes of the label, 0 for a number", TypeConverters.toInt)
+    folds = Param(Params._dummy(), "folds", "inner folds", TypeConverters.toInt)
+    smoothing = Param(Params._dummy(), "smoothing", "rows of the mean that are added", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, labelCol="label", foldCols=None, classes=0, folds=5, smoothing=10.0):
+        super().__init__()
+        self._setDefault(labelCol="label", classes=0, folds=5, smoothing=10.0)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def names(self) -> list[str]:
+        return [n for _, o in self._pairs() for n in target_names(o, self.getOrDefault("classes"))]
+
+    def _fit(self, df: DataFrame) -> "TargetMeansModel":
+        get = self.getOrDefault
+        label, classes, folds = F.col(get("labelCol")).cast("double"), get("classes"), get("folds")
+        known = df.where(label.isNotNull()).withColumn("__fold", inner_fold(df, get("foldCols"), folds))
+        # Rows first, then the label, or class after class.
+        cells = [F.lit(1.0), *([label] if not classes else [(label == c).cast("double") for c in target_classes(classes)])]
+        tables = {}
+        for c in self.getInputCols():
+            value = F.when(present(df, c), quoted(c).cast("string")).alias("value")
+            cube = known.select("__fold", value, *[x.alias(f"x{k}") for k, x in enumerate(cells)]).groupBy("value", "__fold").agg(*[F.sum(f"x{k}").alias(f"s{k}") for k in range(len(cells))])
+            by_fold = F.array(*[F.array(*[F.coalesce(F.sum(F.when(F.col("__fold") == f, F.col(f"s{k}"))), F.lit(0.0)) for k in range(len(cells))]) for f in range(folds)])
+            tables[c] = cut_lineage(cube.groupBy("value").agg(F.sum("s0").cast("bigint").alias("n"), by_fold.alias("code")))
+        held = {r["__fold"]: list(r)[1:] for r in known.groupBy("__fold").agg(*[F.sum(x).alias(f"s{k}") for k, x in enumerate(cells)]).collect()}
+        model = TargetMeansModel(tables)
+        model._set(
+            inputCols=self.getInputCols(), outputCols=[o for _, o in self._pairs()], labelCol=get("labelCol"), foldCols=get("foldCols"), classes=classes, folds=folds,
+            smoothing=get("smoothing"), totals=[x for f in range(folds) for x in held.get(f, [0.0] * len(cells))],
+        )
+        return model
+
+
+def target_classes(classes: int) -> list[int]:
+    return [1] if classes == 2 else list(range(classes))
+
+
+def target_names(output: str, classes: int) -> list[str]:
+    return [f"{output}_{k}" for k in range(classes)] if classes > 2 else [output]
+
+
+def inner_fold(df: DataFrame, columns: list[str], folds: int) -> Column:
+    return F.pmod(row_digest(df, columns, INNER_SALT), F.lit(folds)).cast("int")
+
+
+class TargetMeansModel(Model, HasInputCols, HasOutputCols, MLReadable, MLWritable):
+    """``tables`` hold, per category, the rows (``n``) and for each inner fold the sums of rows and labels (``code``)."""
+
+    labelCol, foldCols, classes, folds, smoothing = TargetMeans.labelCol, TargetMeans.foldCols, TargetMeans.classes, TargetMeans.folds, TargetMeans.smoothing
+    totals = Param(Params._dummy(), "totals", "sums of each inner fold over all categories", TypeConverters.toListFloat)
+
+    def __init__(self, tables: dict[str, DataFrame] | None = None):
+        super().__init__()
+        self.tables = tables or {}
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        get = self.getOrDefault
+        folds, smoothing = get("folds"), get("smoothing")
+        width = len(get("totals")) // folds
+        all_folds = F.array(*[F.array(*map(F.lit, get("totals")[f * width:(f + 1) * width])) for f in range(folds)])
+        marked = FITTED in df.columns
+        own = F.when(F.col(FITTED), F.col("__own")) if marked else F.lit(None).cast("int")
+        # Without a fitted row's own fold; NULL, and so nothing left out, for other rows.
+        kept = lambda sums, k: F.aggregate(sums, F.lit(0.0), lambda a, s: a + s[k]) - F.coalesce(F.get(sums, own)[k], F.lit(0.0))
+        names = df.columns
+        df = df.withColumn("__own", inner_fold(df, get("foldCols"), folds)) if marked else df
+        total = max(int(sum(get("totals")[::width])), 1)
+        out = []
+        for c, o in zip(self.getInputCols(), self.getOutputCols()):
+            table = self.tables[c].select(F.col("value").alias("__value"), "n", F.col("code").alias("__sums"))
+            df = attach_lookup(df.withColumn("__value", quoted(c).cast("string")), table, ["__value"], total, "n")
+            sums = F.coalesce("__sums", F.array(*[F.array(*[F.lit(0.0)] * width) for _ in range(folds)]))
+            for k, name in enumerate(target_names(o, get("classes"))):
+                mean = F.coalesce(F.try_divide(kept(all_folds, k + 1), kept(all_folds, 0)), F.lit(0.0))
+                code = F.try_divide(kept(sums, k + 1) + F.lit(smoothing) * mean, kept(sums, 0) + F.lit(smoothing))
+                df = df.withColumn(name, F.coalesce(code, mean))
+                out.append(name)
+            df = df.drop("__value", "__sums")
+        return df.select(*[quoted(c) for c in names if c not in out], *[quoted(c) for c in out])
+
+    def write(self) -> MLWriter:
+        return _TableWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TableReader(cls)
+
+
 class _TableWriter(MLWriter):
     def __init__(self, instance: CategoryEncoderModel):
         super().__init__()

@@ -97,12 +97,16 @@ def quota_split(
     return attach_lookup(grouped, assigned, [GROUP], total, "n").drop(GROUP)
 
 
+def order_of(df: DataFrame, order_col: str) -> Column:
+    """A time or number as a DOUBLE that sorts alike."""
+    if df.schema[order_col].dataType.simpleString().startswith(("timestamp", "date")):
+        return F.unix_micros(quoted(order_col).cast("timestamp")).cast("double")
+    return as_number(df, order_col)
+
+
 def sequential_split(df: DataFrame, order_col: str, test_size: float = 0.2) -> DataFrame:
     """Split by time: the oldest rows train, the newest test. Rows with equal times stay on one side."""
-    if df.schema[order_col].dataType.simpleString().startswith(("timestamp", "date")):
-        order = F.unix_micros(quoted(order_col).cast("timestamp")).cast("double")
-    else:
-        order = as_number(df, order_col)
+    order = order_of(df, order_col)
 
     # A cut is the largest value of the part that ends there, so ties never cross it.
     def ends(rows: int) -> list[int]:
@@ -145,6 +149,26 @@ def assign_folds(
     return attach_lookup(grouped, dealt, [GROUP], df.count(), "n").drop(GROUP)
 
 
+def forward_folds(df: DataFrame, order_col: str, folds: int = 5, among: Column | None = None) -> DataFrame:
+    """Adds ``fold`` for forward chaining: the newest ``folds`` parts of equal size are folds 0 and up, all older rows are -1.
+
+    Fold i is judged by a model of the rows with a smaller fold number, so nothing of its future is in the fit. The cuts are exact order values of the rows
+    ``among`` (all by default); equal times stay in one fold, the older one. Rows without a time, or not ``among``, have no fold.
+    """
+    order = order_of(df, order_col)
+    kept = order if among is None else F.when(among, order)
+
+    def ends(rows: int) -> list[int]:
+        size = rows // (folds + 1)
+        return [rows - (folds - i) * size - 1 for i in range(folds)] if size else []
+
+    cuts = order_values(df, kept, ends)
+    if not cuts:
+        raise ValueError(f"{folds} forward folds need at least {folds + 1} rows with a time")
+    fold = sum(((kept > F.lit(cut)).cast("int") for cut in cuts), F.lit(-1))
+    return df.withColumn("fold", F.when(kept.isNotNull(), fold).cast("int"))
+
+
 def fold_strategy(df: DataFrame, features: list[str], is_classification: bool) -> str:
     """Name of the fold rule: by groups when rows repeat, stratified for classes."""
     counts = with_groups(df, features).groupBy(GROUP).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]

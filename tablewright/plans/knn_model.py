@@ -27,6 +27,7 @@ class Neighbours(Estimator, _NeighbourParams):
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", probabilityCol="probability", k=5, classes=2, byDistance=False):
         super().__init__()
+        self._setDefault(k=5, classes=2, byDistance=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "NeighboursModel":

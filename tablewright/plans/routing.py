@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.numeric import quoted
 from tablewright.functions.text import is_id_name
 from tablewright.operators.features import (
     CategoryEncoder,
@@ -17,6 +16,7 @@ from tablewright.operators.features import (
     Interactions,
     LogShift,
     NumericImputer,
+    TargetMeans,
     TextParts,
     TfIdf,
 )
@@ -25,8 +25,6 @@ from tablewright.plans.spec import ModelPlan
 # How semantic types are routed.
 CATEGORICAL_TYPES = ("categorical", "boolean", "high_cardinality")
 STRUCTURED_TYPES = ("email", "url", "ip_address", "uuid", "phone_number")
-# One-hot and target codes are held by the driver; a column with more categories must be encoded otherwise.
-ONE_HOT_LIMIT = 10_000
 
 
 def route(types: dict[str, str], plan: ModelPlan) -> dict[str, list[str]]:
@@ -49,7 +47,7 @@ def route(types: dict[str, str], plan: ModelPlan) -> dict[str, list[str]]:
 def feature_stages(
     df: DataFrame, types: dict[str, str], plan: ModelPlan, label: str = "label", output: str = "features"
 ) -> list:
-    """Unfitted stages; fit them on training rows only. ``df`` is only asked for category counts."""
+    """Unfitted stages; fit them on training rows only. ``df`` is only asked for the number of classes, by target codes."""
     columns = route(types, plan)
     stages, parts = [], []
 
@@ -75,34 +73,24 @@ def feature_stages(
         filled = [f"{c}__cat" for c in categorical]
         stages.append(CategoryImputer(inputCols=categorical, outputCols=filled))
         strategy = plan.features.categorical_strategy
-        if strategy in ("onehot", "target_enc", "none"):
-            counts = df.agg(*[F.count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(categorical)]).first()
-            wide = [c for i, c in enumerate(categorical) if counts[i] > ONE_HOT_LIMIT]
-            if wide:
-                raise ValueError(f"more than {ONE_HOT_LIMIT} categories for {strategy} in: {', '.join(wide)}; use freq_enc or ordinal, or drop them")
         if strategy in ("freq_enc", "ordinal"):
             kind = "frequency" if strategy == "freq_enc" else "ordinal"
             coded = [f"{c}_code" for c in filled]
             stages.append(CategoryEncoder(inputCols=filled, outputCols=coded, kind=kind))
             parts += coded
-        else:
-            index = [f"{c}_index" for c in filled]
+        elif strategy == "target_enc":
+            # As many classes as the label table has; labels are numbered from 0.
+            classes = int((df.agg(F.max(label)).first()[0] or 0) + 1) if plan.is_classification else 0
             coded = [f"{c}_code" for c in filled]
-            stages.append(
-                StringIndexer(
-                    inputCols=filled, outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"
-                )
-            )
-            if strategy == "target_enc":
-                kind = "binary" if plan.task_type == "binary_classification" else "continuous"
-                stages.append(
-                    TargetEncoder(
-                        inputCols=index, outputCols=coded, labelCol=label, targetType=kind, handleInvalid="keep"
-                    )
-                )
-            else:
-                # The slot of unknown categories is the last one, which is left out: unknown is all zeros.
-                stages.append(OneHotEncoder(inputCols=index, outputCols=coded, dropLast=True))
+            everything = sorted(c for names in columns.values() for c in names)
+            means = TargetMeans(inputCols=filled, outputCols=coded, labelCol=label, foldCols=everything, classes=max(classes, 2) if plan.is_classification else 0)
+            stages.append(means)
+            parts += means.names()
+        else:
+            index, coded = ([f"{c}_{end}" for c in filled] for end in ("index", "code"))
+            stages.append(CategoryEncoder(inputCols=filled, outputCols=index, kind="index"))
+            # Unknown categories have a slot of their own, the last one, which is left out: they are all zeros.
+            stages.append(OneHotEncoder(inputCols=index, outputCols=coded, handleInvalid="keep", dropLast=True))
             parts += coded
 
     if columns["datetime"]:

@@ -98,6 +98,16 @@ class ModelPlan:
     def is_classification(self) -> bool:
         return self.task_type in CLASSIFICATION
 
+    @property
+    def fold_count(self) -> int:
+        """Models that cross-validation fits per candidate; a hold-out is judged once, on the validation rows."""
+        return 1 if self.evaluation.cv_strategy == "holdout" else self.evaluation.n_folds
+
+    @property
+    def fits_on_earlier_folds(self) -> bool:
+        """Whether a fold's model sees only folds with a smaller number, not all others."""
+        return self.is_sequential or self.evaluation.cv_strategy == "holdout"
+
     @property
     def is_sequential(self) -> bool:
         return self.task_type == "time_series_forecasting" or self.evaluation.cv_strategy == "timeseries_split"

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import metrics as M
-from tablewright.operators.features import encode_label, feature_names, label_table
-from tablewright.operators.split import assign_folds, quota_split, sequential_split
+from tablewright.operators.features import FITTED, encode_label, feature_names, label_table
+from tablewright.operators.split import assign_folds, forward_folds, quota_split, sequential_split
 from tablewright.plans.models import balanced_weights, build_estimator
 from tablewright.plans.routing import feature_stages
 from tablewright.plans.spec import Candidate, ModelPlan
@@ -143,9 +143,11 @@ class FeatureSet:
 
 def make_features(folded: DataFrame, fitted_on: Column, plan: ModelPlan, types: dict[str, str]) -> FeatureSet:
     """Fits the transforms on the given rows only and writes the vectors of all rows once, for all candidates."""
-    train = folded.where(fitted_on)
+    # Target codes leave a fitted row's own part out of the sums.
+    marked = folded.withColumn(FITTED, F.coalesce(fitted_on, F.lit(False)))
+    train = marked.where(FITTED)
     transforms = Pipeline(stages=feature_stages(train, types, plan)).fit(train)
-    vectors = transforms.transform(folded)
+    vectors = transforms.transform(marked)
     names = feature_names(vectors)
     rows = vectors.select("label", "split", "fold", "features")
     weight = None
@@ -210,10 +212,26 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
     return sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda t: (-t[1], t[0]))
 
 
-def with_folds(data: DataFrame, plan: ModelPlan, features: list[str], seed: int = 42) -> DataFrame:
-    """Adds ``fold``, written once, so that all candidates are judged on the same folds."""
-    label = "label" if plan.is_classification else None
-    return cut_lineage(assign_folds(data, features, plan.evaluation.n_folds, label, seed))
+def with_folds(data: DataFrame, plan: ModelPlan, features: list[str], seed: int = 42, order_col: str | None = None) -> DataFrame:
+    """Adds ``fold`` by the plan's strategy, written once, so that all candidates are judged on the same folds.
+
+    Stratified and plain folds deal out groups of equal rows; a time series is chained forward; a hold-out has the validation rows as its only fold.
+    """
+    strategy = plan.evaluation.cv_strategy
+    if strategy == "holdout":
+        folded = data.withColumn("fold", F.when(F.col("split") == "val", 0).when(F.col("split") == "train", -1))
+    elif plan.is_sequential:
+        folded = forward_folds(data, order_col, plan.evaluation.n_folds, F.col("split") != "test")
+    else:
+        label = "label" if plan.is_classification and strategy == "stratified_kfold" else None
+        folded = assign_folds(data, features, plan.evaluation.n_folds, label, seed)
+    return cut_lineage(folded)
+
+
+def fitted_in(plan: ModelPlan, fold: int) -> Column:
+    """The rows that the model of a fold is fitted on."""
+    others = F.col("fold") < fold if plan.fits_on_earlier_folds else F.col("fold") != fold
+    return (F.col("split") != "test") & others
 
 
 def train_all(
@@ -345,9 +363,8 @@ def run_experiments(
     """Split, train, ensemble, and test evaluation; the winner is chosen from the result tables."""
     data, table = prepare(df, plan, features, order_col)
     classes = table.count() if table is not None else 0
-    folded = with_folds(data, plan, features, seed)
-    kept = F.col("split") != "test"
-    folds = [make_features(folded, kept & (F.col("fold") != i), plan, types) for i in range(plan.evaluation.n_folds)]
+    folded = with_folds(data, plan, features, seed, order_col)
+    folds = [make_features(folded, fitted_in(plan, i), plan, types) for i in range(plan.fold_count)]
     final = make_features(folded, F.col("split") == "train", plan, types)
     results = train_all(folds, final, plan, classes, workers, seed)
     if with_ensemble:

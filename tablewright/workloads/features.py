@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, TargetEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,11 +134,51 @@ WITH m AS (SELECT c_mktsegment, avg(c_acctbal) AS enc FROM customer GROUP BY 1)
 SELECT c_custkey, round(enc, 4) AS code FROM customer JOIN m USING (c_mktsegment)""")
 def encode_target(t: Tables) -> DataFrame:
     df = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    stages = [
-        StringIndexer(inputCol="c_mktsegment", outputCol="i", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        TargetEncoder(inputCol="i", outputCol="code", labelCol="c_acctbal", targetType="continuous", handleInvalid="keep"),
-    ]
-    return Pipeline(stages=stages).fit(df).transform(df).select("c_custkey", F.round("code", 4).alias("code"))
+    means = X.TargetMeans(inputCols=["c_mktsegment"], outputCols=["code"], labelCol="c_acctbal", foldCols=["c_mktsegment"], smoothing=0.0)
+    return means.fit(df).transform(df).select("c_custkey", F.round("code", 4).alias("code"))
+
+
+def _out_of_fold_sql(column: str) -> str:
+    """Codes of one column: sums over fitted rows, without the row's own inner fold if it was fitted, drawn to the mean by ten rows."""
+    own = "CASE WHEN k.fitted THEN coalesce({}, 0) ELSE 0 END"
+    codes = []
+    for c in range(3):
+        rows, label = f"coalesce(a.n, 0) - {own.format('o.n')}", f"coalesce(a.s{c}, 0) - {own.format(f'o.s{c}')}"
+        mean = f"(w.s{c} - {own.format(f'g.s{c}')}) / (w.n - {own.format('g.n')})"
+        codes.append(f"round(({label} + 10 * {mean}) / ({rows} + 10), 8) AS {column}__cat_code_{c}")
+    counts = "count(*) AS n, " + ", ".join(f"count(*) FILTER (y = {c}) AS s{c}" for c in range(3))
+    return f"""SELECT k.c_custkey, {', '.join(codes)} FROM k
+ LEFT JOIN (SELECT {column} AS v, {counts} FROM k WHERE fitted GROUP BY 1) a ON a.v = k.{column}
+ LEFT JOIN (SELECT {column} AS v, f, {counts} FROM k WHERE fitted GROUP BY 1, 2) o ON o.v = k.{column} AND o.f = k.f
+ LEFT JOIN (SELECT f, {counts} FROM k WHERE fitted GROUP BY 1) g ON g.f = k.f
+ CROSS JOIN (SELECT {counts} FROM k WHERE fitted) w"""
+
+
+@query("encode_target_out_of_fold", f"""
+WITH k AS (SELECT c_custkey, c_mktsegment, c_name, c_nationkey % 3 AS y, c_nationkey < 20 AS fitted, {digest_sql(['c_mktsegment', 'c_name'], X.INNER_SALT)} % 5 AS f FROM customer)
+SELECT * FROM ({_out_of_fold_sql('c_mktsegment')}) JOIN ({_out_of_fold_sql('c_name')}) USING (c_custkey)""")
+def encode_target_out_of_fold(t: Tables) -> DataFrame:
+    """Target codes of three classes as a plan routes them: no row's code has its own label in it."""
+    df = t("customer").select("c_custkey", "c_mktsegment", "c_name", (F.col("c_nationkey") % 3).cast("double").alias("label"), (F.col("c_nationkey") < 20).alias(X.FITTED))
+    plan = ModelPlan("multiclass_classification", "label", _plan(Features()).candidates, features=Features(categorical_strategy="target_enc"))
+    fitted = df.where(X.FITTED)
+    model = Pipeline(stages=feature_stages(fitted, {"c_mktsegment": "categorical", "c_name": "high_cardinality"}, plan)).fit(fitted)
+    wide = X.wide_features(model.transform(df), ["c_custkey"])
+    return wide.select("c_custkey", *[F.round(c, 8).alias(c) for c in wide.columns[1:]])
+
+
+@query("encode_onehot_wide", """
+WITH o AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS code FROM (SELECT DISTINCT c_name FROM customer WHERE c_nationkey < 20))
+SELECT c_custkey, CAST(code AS BIGINT) AS code, (SELECT count(*) FROM o) AS width FROM customer LEFT JOIN o USING (c_name)""")
+def encode_onehot_wide(t: Tables) -> DataFrame:
+    """One-hot codes of a column with a category per row: the place of the one in a sparse vector, none for unknown categories."""
+    df = t("customer").select("c_custkey", "c_name", "c_nationkey")
+    plan = _plan(Features(categorical_strategy="onehot"), target="c_nationkey")
+    fitted = df.where("c_nationkey < 20")
+    model = Pipeline(stages=feature_stages(fitted, {"c_name": "high_cardinality"}, plan)).fit(fitted)
+    shown = F.col("features").cast("string")
+    return model.transform(df).select(
+        "c_custkey", F.regexp_extract(shown, r"\[(\d+)\]", 1).try_cast("bigint").alias("code"), F.regexp_extract(shown, r"\((\d+),", 1).cast("bigint").alias("width"))
 
 
 @query("date_parts", """
@@ -322,6 +361,18 @@ def split_sequential(t: Tables) -> DataFrame:
     return S.sequential_split(t("orders"), "o_orderdate").groupBy("split").agg(F.count("*").alias("num_rows"))
 
 
+@query("folds_forward", """
+WITH n AS (SELECT count(*) AS n, count(*) // 6 AS size FROM orders),
+r AS (SELECT o_orderdate, row_number() OVER (ORDER BY o_orderdate) AS rn FROM orders),
+c AS (SELECT i, max(o_orderdate) AS cut FROM range(5) AS t(i), n, r WHERE rn = n - (5 - i) * size GROUP BY i),
+f AS (SELECT o_orderdate, (SELECT count(*) FROM c WHERE cut < o_orderdate) - 1 AS fold FROM orders)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS num_rows, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM f GROUP BY 1""")
+def folds_forward(t: Tables) -> DataFrame:
+    """Bounds of the folds of forward chaining; the oldest rows, which are only ever fitted, are fold -1."""
+    folds = S.forward_folds(t("orders"), "o_orderdate", 5)
+    return folds.groupBy("fold").agg(F.count("*").alias("num_rows"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"))
+
+
 @query("folds_by_group", f"""
 SELECT CAST({digest_sql(_LINE_KEY, 42)} % 5 AS INTEGER) AS fold, count(*) AS num_rows, count(DISTINCT {_GROUP}) AS groups FROM {_KEYED} GROUP BY 1""")
 def folds_by_group(t: Tables) -> DataFrame:

@@ -52,8 +52,8 @@ _TWO = (
 
 @query("experiment_metrics")
 def experiment_metrics(t: Tables) -> DataFrame:
-    """Two candidates and their ensemble: split, folds, fits, metrics per split, as one metric table."""
-    plan = _plan(*_TWO, handle_imbalance=True)
+    """Three candidates, neighbours among them, and their ensemble: split, folds, fits, metrics per split, as one metric table."""
+    plan = _plan(*_TWO, Candidate("Neighbours", "sklearn.neighbors.KNeighborsClassifier"), handle_imbalance=True)
     results, _ = TR.run_experiments(_labelled_documents(t), plan, _TYPES, list(_TYPES))
     _, log = TR.experiment_tables(t.spark, "documents", results)
     return log

@@ -5,6 +5,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,10 +16,13 @@ from tablewright.operators import catalogue as K
 from tablewright.operators import clean as C
 from tablewright.operators import diagnosis as D
 from tablewright.operators import explain as E
+from tablewright.operators import features as X
 from tablewright.operators import ranking as R
 from tablewright.operators import risk
 from tablewright.plans import training as TR
+from tablewright.plans.knn_model import Neighbours, NeighboursModel
 from tablewright.plans.models import COMPLEXITY, family_of, supported_models
+from tablewright.plans.routing import feature_stages
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
 from tablewright.runtime import scratch_path
 from tablewright.sources import readers, writers
@@ -46,13 +50,15 @@ def test_experiment_beats_the_majority_and_failures_are_recorded(spark, separabl
         (
             Candidate("Linear", "sklearn.linear_model.LogisticRegression"),
             Candidate("Tree", "DecisionTreeClassifier", params={"max_depth": 4}),
-            Candidate("Broken", "sklearn.neighbors.KNeighborsClassifier"),
+            Candidate("Near", "sklearn.neighbors.KNeighborsClassifier", params={"n_neighbors": 7}),
+            Candidate("Broken", "sklearn.neighbors.KNeighborsClassifier", params={"weights": "odd"}),
         ),
         features=Features(categorical_strategy="freq_enc"), evaluation=Evaluation(n_folds=2),
     )
     results, data = TR.run_experiments(separable, plan, TYPES, ["x1", "x2", "s"])
     by_name = {r.model_name: r for r in results}
-    assert by_name["Broken"].status == "failed" and "knn" in by_name["Broken"].error
+    assert by_name["Broken"].status == "failed" and "weights" in by_name["Broken"].error
+    assert by_name["Near"].status == "success" and by_name["Near"].metrics["test"]["accuracy"] > 0.85
     assert by_name["Linear"].metrics["test"]["accuracy"] > 0.9
     assert by_name["Linear"].importances[0][0].startswith("x1")
     weights = by_name[TR.ENSEMBLE_NAME].hyperparams["weights"]
@@ -69,6 +75,85 @@ def test_experiment_beats_the_majority_and_failures_are_recorded(spark, separabl
     assert scored.where("abs(probability_no + probability_yes - 1) > 1e-9").count() == 0
 
 
+def test_neighbours_as_a_stage(spark, separable):
+    """Classes, chances and numbers as the joins give them; saved and loaded; rows keep their other columns."""
+    rows = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(separable.withColumn("label", (F.col("y") == "yes").cast("double")))
+    train, test = rows.where("row % 4 > 0"), rows.where("row % 4 = 0").drop("label")
+    x, q = (np.array(df.select("x1", "x2").orderBy("row").collect()) for df in (train, test))
+    labels, z = (np.array([r[0] for r in train.orderBy("row").select(c).collect()]) for c in ("label", "z"))
+    order = np.argsort(((q[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, :5]
+    model = Neighbours(k=5).fit(train)
+    path = scratch_path(spark, "neighbours")
+    model.write().overwrite().save(path)
+    for one in (model, NeighboursModel.load(path)):
+        found = one.transform(test).orderBy("row").collect()
+        assert [r["prediction"] for r in found] == [float(v > 2) for v in labels[order].sum(axis=1)]
+        assert np.allclose([r["probability"][1] for r in found], labels[order].mean(axis=1)) and "s" in found[0].asDict()
+    numbers = Neighbours(k=5, classes=0, labelCol="z", byDistance=True).fit(train).transform(test).orderBy("row").collect()
+    weights = 1 / np.sqrt(((q[:, None] - x[order]) ** 2).sum(-1))
+    assert np.allclose([r["prediction"] for r in numbers], (weights * z[order]).sum(axis=1) / weights.sum(axis=1))
+
+
+def test_forward_folds_fit_nothing_of_the_future(spark, separable):
+    plan = ModelPlan(
+        "regression", "z", (Candidate("Ridge", "Ridge"), Candidate("Tree", "DecisionTreeRegressor", params={"max_depth": 3})),
+        features=Features(categorical_strategy="ordinal"), evaluation=Evaluation(n_folds=3, cv_strategy="timeseries_split", primary_metric="rmse"),
+    )
+    data, _ = TR.prepare(separable, plan, ["x1", "x2", "s"], "row")
+    folded = TR.with_folds(data, plan, ["x1", "x2", "s"], order_col="row")
+    test_from = folded.where("split = 'test'").agg(F.min("row")).first()[0]
+    for i in range(3):
+        fitted = folded.where(TR.fitted_in(plan, i)).agg(F.max("row"), F.count("*")).first()
+        judged = folded.where((F.col("fold") == i) & (F.col("split") != "test")).agg(F.min("row"), F.max("row"), F.count("*")).first()
+        assert fitted[0] < judged[0] <= judged[1] < test_from and judged[2] == 320 // 4 and fitted[1] == 320 - (3 - i) * 80
+    results, _ = TR.run_experiments(separable, plan, TYPES, ["x1", "x2", "s"], "row")
+    assert [r.status for r in results] == ["success"] * 3 and len(results[0].fold_metrics) == 3
+
+
+def test_a_holdout_is_judged_once(spark, separable):
+    plan = ModelPlan(
+        "binary_classification", "y", (Candidate("Linear", "LogisticRegression"), Candidate("Bayes", "GaussianNB")),
+        features=Features(categorical_strategy="freq_enc"), evaluation=Evaluation(cv_strategy="holdout"),
+    )
+    results, _ = TR.run_experiments(separable, plan, TYPES, ["x1", "x2", "s"])
+    linear = results[0]
+    assert len(linear.fold_metrics) == 1 and linear.fold_metrics[0]["accuracy"] == pytest.approx(linear.metrics["val"]["accuracy"])
+
+
+def test_target_codes_hold_no_label_of_their_own(spark):
+    """A label that is noise must stay noise: codes of unique categories are the mean of the other folds."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"c": [f"c{k}" for k in range(300)], "label": rng.integers(0, 2, 300).astype(float), X.FITTED: True})
+    df = spark.createDataFrame(frame)
+    means = X.TargetMeans(inputCols=["c"], outputCols=["code"], foldCols=["c"], classes=2)
+    model = means.fit(df)
+    rows = model.transform(df).toPandas()
+    assert abs(np.corrcoef(rows["code"], rows["label"])[0, 1]) < 0.25
+    assert rows["code"].nunique() <= 5
+    flipped = df.withColumn("label", F.when(F.col("c") == "c7", 1 - F.col("label")).otherwise(F.col("label")))
+    again = means.fit(flipped).transform(flipped).toPandas()
+    assert again.loc[again["c"] == "c7", "code"].item() == rows.loc[rows["c"] == "c7", "code"].item()
+    path = scratch_path(spark, "means")
+    model.write().overwrite().save(path)
+    unseen = spark.createDataFrame([("zz",), (None,), ("c7",)], "c string")
+    found = [r["code"] for r in X.TargetMeansModel.load(path).transform(unseen).collect()]
+    whole = frame["label"].mean()
+    assert found == pytest.approx([whole, whole, (frame["label"][7] + 10 * whole) / 11])
+
+
+def test_one_hot_of_many_categories_is_sparse(spark):
+    df = spark.range(100_000).select((F.col("id") % 50_000).cast("string").alias("c"), F.lit(1.0).alias("label"))
+    plan = ModelPlan("regression", "label", (Candidate("a", "Ridge"), Candidate("b", "Ridge")), features=Features(categorical_strategy="onehot"))
+    stages = feature_stages(df, {"c": "high_cardinality"}, plan)
+    out = Pipeline(stages=stages).fit(df).transform(df.union(spark.createDataFrame([("new", 1.0)], df.schema)))
+    shown = out.select("c", F.col("features").cast("string").alias("v"))
+    codes = {r["c"]: r["v"] for r in shown.where("c in ('0', '10', '9999', 'new')").distinct().collect()}
+    place = {c: i for i, c in enumerate(sorted(map(str, range(50_000))))}
+    assert codes.pop("new") == "(50000,[],[])"
+    assert codes == {c: f"(50000,[{place[c]}],[1.0])" for c in ("0", "10", "9999")}
+    assert shown.select("v").distinct().count() == 50_001
+
+
 def test_regression_experiment(spark, separable):
     plan = ModelPlan(
         "regression", "z", (Candidate("Ridge", "Ridge"), Candidate("Forest", "RandomForestRegressor", params={"n_estimators": 5, "max_depth": 4})),
