@@ -66,10 +66,13 @@ def _check(name: str, ok: Column, level: str, detail: Column) -> Column:
     )
 
 
-def consistency_checks(experiments: DataFrame, metric_log: DataFrame, winners: DataFrame, overlap: DataFrame) -> DataFrame:
+def consistency_checks(
+    experiments: DataFrame, metric_log: DataFrame, winners: DataFrame, overlap: DataFrame, artifacts: DataFrame | None = None, saved: DataFrame | None = None,
+) -> DataFrame:
     """``(run_id, check, result, detail)``: is a finished run complete and free of leakage?
 
-    ``overlap`` has one row per run with the distinct rows shared by each pair of splits.
+    ``overlap`` has one row per run with the distinct rows shared by each pair of splits. With ``artifacts`` of the runs, the task of the plan must be that of
+    the results; with ``saved`` (``run_id, models``), each run must have a saved model.
     """
     models = experiments.groupBy("run_id").agg(F.count_if(F.col("status") == "success").alias("succeeded"))
     logged = metric_log.groupBy("run_id").agg(
@@ -102,4 +105,13 @@ def consistency_checks(experiments: DataFrame, metric_log: DataFrame, winners: D
             F.col("weight_sum"),
         ),
     )
+    if artifacts is not None:
+        tasks = artifacts.select("run_id", F.col("execution_plan.task_type").alias("planned"), F.col("experiment_results.task_type").alias("done"))
+        facts = facts.join(tasks, "run_id", "left")
+        shown = F.concat_ws(" / ", F.coalesce("planned", F.lit("none")), F.coalesce("done", F.lit("none")))
+        # A run without a plan has nothing to depart from.
+        checks = F.concat(checks, F.array(_check("task as planned", F.col("planned").isNull() | (F.col("planned") == F.col("done")), "warn", shown)))
+    if saved is not None:
+        facts = facts.join(saved.select("run_id", F.col("models").alias("saved")), "run_id", "left")
+        checks = F.concat(checks, F.array(_check("models saved", F.col("saved") > 0, "warn", F.coalesce("saved", F.lit(0)))))
     return facts.select("run_id", F.inline(checks))

@@ -6,6 +6,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from tablewright.runtime import scratch_path, spread
 
 # Rows used by the sampling explainer and sizes of the reports.
 BACKGROUND_ROWS = 100
-EXPLAINED_ROWS = 50
+#: Numbers of the mixtures that a task makes at a time.
+MIX_CELLS = 4_000_000
 PERMUTATIONS = 16
 LOCAL_ROWS = 3
 LOCAL_FEATURES = 5
@@ -78,36 +80,38 @@ def sampled_shapley(
     d = len(names)
     rng = np.random.default_rng(seed)
     # Every background row gets the same number of feature orders, so all weigh the same.
-    draws = [(b, rng.permutation(d)) for _ in range(-(-permutations // len(base))) for b in range(len(base))]
-    shared = rows.sparkSession.sparkContext.broadcast((base, draws))
+    orders = np.array([rng.permutation(d) for _ in range(-(-permutations // len(base))) for _ in base])
+    starts = np.tile(base, (len(orders) // len(base), 1))
+    # For each order and step: the features that come from the row, the one switched last, and the one switched next.
+    place = np.argsort(orders, axis=1)
+    from_row = (place[:, None, :] < np.arange(d + 1)[None, :, None]).reshape(-1, d)
+    switched = np.hstack([np.full((len(orders), 1), -1), orders]).ravel()
+    coming = np.hstack([orders, np.full((len(orders), 1), -1)]).ravel()
+    shared = rows.sparkSession.sparkContext.broadcast((np.repeat(starts, d + 1, axis=0), from_row, switched, coming))
     key_type = rows.schema[key].dataType.simpleString()
 
-    def switch(batches):
-        base, draws = shared.value
-        for pdf in batches:
-            for k, x in zip(pdf["key"], pdf["v"]):
-                mixes = []
-                for b, order in draws:
-                    mix = np.tile(base[b], (d + 1, 1))
-                    for step, f in enumerate(order, 1):
-                        mix[step:, f] = x[f]
-                    mixes.append(mix)
-                yield pd.DataFrame({
-                    "key": k, "draw": np.repeat(np.arange(len(draws)), d + 1), "step": np.tile(np.arange(d + 1), len(draws)),
-                    "f": np.concatenate([[-1, *order] for _, order in draws]), "v": list(np.concatenate(mixes)),
-                })
-
-    mixed = spread(rows.select(F.col(key).alias("key"), vector_to_array(features).alias("v"))).mapInPandas(
-        switch, f"key {key_type}, draw int, step int, f int, v array<double>"
-    )
-    scored = model.transform(mixed.select("key", "draw", "step", "f", array_to_vector("v").alias(features)))
-    w = Window.partitionBy("key", "draw").orderBy("step")
-    moved = scored.select("key", "draw", "step", "f", output.alias("out")).withColumn(
-        "phi", F.col("out") - F.lag("out").over(w)
-    ).where("step > 0")
-    return moved.groupBy("key", "f").agg((F.sum("phi") / F.lit(len(draws))).alias("phi")).select(
-        F.col("key").alias(key), F.get(F.array(*map(F.lit, names)), F.col("f")).alias("feature"), "phi"
-    )
+    def mixes(batches):
+        """All mixtures of a batch of rows as one matrix."""
+        start, from_row, switched, coming = shared.value
+        step = max(1, MIX_CELLS // start.size)
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, d)
+            for low in range(0, batch.num_rows, step):
+                part = x[low:low + step]
+                mixed = np.where(from_row[None], part[:, None, :], start[None])
+                ends = pa.array(np.arange(0, mixed.size + 1, d, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(np.repeat(np.arange(low, low + len(part)), len(start)))), pa.array(np.tile(switched, len(part)), pa.int32()),
+                    pa.array(np.tile(coming, len(part)), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(mixed.ravel()))], names=["key", "switched", "coming", "v"])
+
+    mixed = spread(rows.select(F.col(key).alias("key"), vector_to_array(features).alias("v"))).mapInArrow(mixes, f"key {key_type}, switched int, coming int, v array<double>")
+    scored = model.transform(mixed.select("key", "switched", "coming", array_to_vector("v").alias(features))).select("key", "switched", "coming", output.alias("out"))
+    # A step's gain is its output less that of the step before: outputs count for the feature switched last and against the one coming next.
+    # Mixtures of a row lie together, so they are added up before they move.
+    gains = [F.sum(F.when(F.col("switched") == f, F.col("out")).when(F.col("coming") == f, -F.col("out"))) / F.lit(len(orders)) for f in range(d)]
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"phi{f}").alias("phi")) for f, n in enumerate(names)])
+    sums = scored.groupBy("key").agg(*[g.alias(f"phi{f}") for f, g in enumerate(gains)])
+    return sums.select(F.col("key").alias(key), F.inline(cells))
 
 
 def tree_paths(spark: SparkSession, model) -> list[tuple[np.ndarray, list[tuple]]]:

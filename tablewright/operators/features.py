@@ -392,10 +392,10 @@ class CategoryEncoderModel(Model, HasInputCols, HasOutputCols, MLReadable, MLWri
 
     def _nominal(self, column: str, size: int) -> dict:
         """ML attributes of an index: how many categories, and their names if they are few enough to list."""
-        attribute = {"type": "nominal", "num_vals": size}
-        if size <= NAMED_CATEGORIES:
-            attribute["vals"] = [r["value"] for r in self.tables[column].orderBy("code").select("value").collect()]
-        return {"ml_attr": attribute}
+        if not 0 < size <= NAMED_CATEGORIES:
+            return {"ml_attr": {"type": "nominal", "num_vals": max(size, 1)}}
+        names = [r["value"] for r in self.tables[column].orderBy("code").select("value").collect()]
+        return {"ml_attr": {"type": "nominal", "vals": names}}
 
     def _transform(self, df: DataFrame) -> DataFrame:
         # Shares of the fitted rows tell which categories are heavy, so the rows need no count of their own.

@@ -246,8 +246,10 @@ def search_effort(points: DataFrame, key: str, vec: Column, k: int) -> DataFrame
     found = _top(_block_search(*own_leaf, keep, id_type), keep)
     reach = found.groupBy("id").agg(F.when(F.count("*") >= keep, F.max("distance")).alias("reach"))
     visits = _visits(m.join(reach, "id", "left").withColumn("limit", F.least("bound", "reach")), tree, id_type)
-    others = visits.join(F.broadcast(sizes), "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("others"), F.count("*").alias("visits"), F.coalesce(F.sum("looked"), F.lit(0)).alias("pivots_compared"))
-    return own.crossJoin(others).select("members", "leaves", (F.col("visits") + F.col("members")).alias("visits"), "pivots_compared", (F.col("own") + F.col("others")).alias("members_compared"))
+    others = visits.join(F.broadcast(sizes), "cell").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("looked"), F.lit(0))).first()
+    return own.select(
+        "members", "leaves", (F.col("members") + F.lit(others[1])).alias("visits"), F.lit(others[2]).alias("pivots_compared"),
+        (F.col("own") + F.lit(others[0])).alias("members_compared"))
 
 
 def nearest_neighbours(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import row_digest, uniform, uniform_from_key
+from tablewright.functions.hashing import row_digest, uniform
 from tablewright.functions.numeric import as_number, numeric_columns, quoted
 from tablewright.operators.order_stats import order_values
 from tablewright.runtime import attach_lookup, cut_lineage
@@ -13,6 +13,8 @@ from tablewright.runtime import attach_lookup, cut_lineage
 # Fixed value: share of the rows left after the test part.
 VALIDATION_SHARE = 0.2
 SLICES = 4096
+#: Rows of a table of classes or slices that may be broadcast.
+SMALL_ROWS = 1_000_000
 GROUP = "__group"
 
 
@@ -41,25 +43,37 @@ def _group_table(grouped: DataFrame, label: str | None) -> DataFrame:
     )
 
 
+def _draw(seed: int) -> Column:
+    """Uniform number of a group, from the MD5 of seed and id, which any SQL engine can compute."""
+    return uniform(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(GROUP).cast("string"))), 1, 15), 16, 10).cast("bigint"))
+
+
+def _beside(table: DataFrame) -> DataFrame:
+    """A table of classes or of their slices for a broadcast, if a count finds it small; else it is shuffled."""
+    table = cut_lineage(table)
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def quota_split(
     df: DataFrame, features: list[str], label: str | None = None, test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Split with row quotas per class: groups whole, test and validation filled in hash order.
 
-    Groups of a class are counted in 4096 slices of their hash; only a slice that
-    straddles a quota is ordered group by group, so no class is sorted as a whole. A group larger than the validation
-    quota trains, unless its class has no smaller one.
+    Groups of a class are counted in 4096 slices of their hash; only a slice that straddles a quota is ordered group by group, so no class is sorted as a
+    whole. Quotas, and running sums over slices, are small tables that go to the groups, which do not move for them. A group larger than the
+    validation quota trains, unless its class has no smaller one.
     """
     grouped = with_groups(df, features)
     total = df.count()
-    groups = _group_table(grouped, label).withColumn("u", uniform_from_key(F.lit(seed), F.col(GROUP)))
+    groups = _group_table(grouped, label).withColumn("u", _draw(seed))
     groups = cut_lineage(groups).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
     validation = (1.0 - test_size) * VALIDATION_SHARE
     quota = lambda share: F.greatest(F.lit(1), F.round(F.sum("n") * F.lit(share)).cast("bigint"))
     quotas = groups.groupBy("class").agg(
         quota(test_size).alias("for_test"), quota(validation).alias("for_val"), F.min("n").alias("least")
     )
-    sized = groups.join(quotas, groups["class"].eqNullSafe(quotas["class"])).drop(quotas["class"])
+    quotas = _beside(quotas.withColumnRenamed("class", "q_class"))
+    sized = groups.join(quotas, F.col("class").eqNullSafe(F.col("q_class"))).drop("q_class")
     fits = F.col("n") <= F.greatest("for_val", "least")
     before = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
@@ -72,7 +86,7 @@ def quota_split(
         )
     )
     placed = sized.where(fits).join(
-        slices, F.col("class").eqNullSafe(F.col("s_class")) & (F.col("slice") == F.col("s_slice"))
+        _beside(slices), F.col("class").eqNullSafe(F.col("s_class")) & (F.col("slice") == F.col("s_slice"))
     )
     inside = Window.partitionBy("class", "slice").orderBy("u", GROUP).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("slice_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
@@ -85,7 +99,7 @@ def quota_split(
         "class", (F.col("start") + F.col("n")).alias("end")
     )
     ends = whole.unionByName(partly).groupBy(F.col("class").alias("e_class")).agg(F.max("end").alias("test_end"))
-    placed = placed.join(ends, F.col("class").eqNullSafe(F.col("e_class")))
+    placed = placed.join(_beside(ends), F.col("class").eqNullSafe(F.col("e_class")))
     val_end = F.col("test_end") + F.col("for_val")
     name = lambda at: F.when(at < F.col("for_test"), "test").when(at < val_end, "val").otherwise("train")
     edge = straddles(F.col("for_test")) | straddles(val_end)
@@ -135,7 +149,7 @@ def assign_folds(
         digest = row_digest(df, features, salt=seed)
         return df.withColumn("fold", F.pmod(digest, F.lit(folds)).cast("int"))
     grouped = with_groups(df, features)
-    groups = _group_table(grouped, label).withColumn("u", uniform_from_key(F.lit(seed + 1), F.col(GROUP)))
+    groups = _group_table(grouped, label).withColumn("u", _draw(seed + 1))
     groups = cut_lineage(groups).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
     slices = groups.groupBy("class", "slice").agg(F.count("*").alias("size"))
     before = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,7 +157,7 @@ def assign_folds(
         F.col("class").alias("s_class"), F.col("slice").alias("s_slice"),
         F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"),
     )
-    placed = groups.join(slices, F.col("class").eqNullSafe(F.col("s_class")) & (F.col("slice") == F.col("s_slice")))
+    placed = groups.join(_beside(slices), F.col("class").eqNullSafe(F.col("s_class")) & (F.col("slice") == F.col("s_slice")))
     place = F.col("start") + F.row_number().over(Window.partitionBy("class", "slice").orderBy("u", GROUP)) - 1
     dealt = placed.select(GROUP, "n", F.pmod(place, F.lit(folds)).cast("int").alias("fold"))
     return attach_lookup(grouped, dealt, [GROUP], df.count(), "n").drop(GROUP)

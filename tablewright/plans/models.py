@@ -52,6 +52,21 @@ WEIGHTED_FAMILIES = ("logistic_regression", "random_forest", "decision_tree", "g
 DEEPEST = 30
 
 
+#: Parameters that each family reads, and why others that are suggested or common are not.
+PARAMETERS = {
+    "logistic_regression": {"C", "max_iter"}, "ridge": {"alpha"}, "naive_bayes": set(), "linear_svc": {"C", "max_iter"}, "knn": {"n_neighbors", "weights"},
+    "decision_tree": {"max_depth", "min_samples_split", "min_samples_leaf"},
+    "random_forest": {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_features"},
+    "gradient_boosting": {"n_estimators", "max_depth", "min_child_weight", "colsample_bytree", "learning_rate", "subsample", "validation_col"},
+}
+REFUSALS = {"reg_alpha": "boosted trees have no penalty on leaf weights here", "reg_lambda": "boosted trees have no penalty on leaf weights here"}
+
+
+def refused_parameters(family: str, params: dict) -> dict[str, str]:
+    """Parameters that a family does not read, with the reason."""
+    return {k: REFUSALS.get(k, f"{family} has no such parameter") for k in params if k not in PARAMETERS[family]}
+
+
 def _least_leaf(p: dict) -> int:
     """Rows of a leaf; a least size for splitting is met by leaves of half of it."""
     return max(int(p.get("min_samples_leaf", 1)), -(-int(p.get("min_samples_split", 2)) // 2))

@@ -356,22 +356,42 @@ def evaluate_on_test(results: list[Experiment], final: FeatureSet, plan: ModelPl
         r.metrics["test"] = evaluate(scored, plan, classes)
 
 
-def run_experiments(
-    df: DataFrame, plan: ModelPlan, types: dict[str, str], features: list[str], order_col: str | None = None,
-    with_ensemble: bool = True, seed: int = 42, workers: int = WORKERS,
-) -> tuple[list[Experiment], DataFrame]:
-    """Split, train, ensemble, and test evaluation; the winner is chosen from the result tables."""
+@dataclass
+class PreparedFeatures:
+    """Rows split and folded, and their vectors: one set per fold, and one fitted on all training rows."""
+
+    data: DataFrame
+    folds: list[FeatureSet]
+    final: FeatureSet
+    classes: int
+
+
+def prepare_features(df: DataFrame, plan: ModelPlan, types: dict[str, str], features: list[str], order_col: str | None = None, seed: int = 42) -> PreparedFeatures:
     data, table = prepare(df, plan, features, order_col)
-    classes = table.count() if table is not None else 0
     folded = with_folds(data, plan, features, seed, order_col)
     folds = [make_features(folded, fitted_in(plan, i), plan, types) for i in range(plan.fold_count)]
     final = make_features(folded, F.col("split") == "train", plan, types)
+    return PreparedFeatures(data, folds, final, table.count() if table is not None else 0)
+
+
+def run_prepared(prepared: PreparedFeatures, plan: ModelPlan, with_ensemble: bool = True, seed: int = 42, workers: int = WORKERS) -> list[Experiment]:
+    """All candidates and their ensemble, with test metrics last."""
+    folds, final, classes = prepared.folds, prepared.final, prepared.classes
     results = train_all(folds, final, plan, classes, workers, seed)
     if with_ensemble:
         extra = add_ensemble(results, folds, final, plan, classes)
         results += [extra] if extra else []
     evaluate_on_test(results, final, plan, classes)
-    return results, data
+    return results
+
+
+def run_experiments(
+    df: DataFrame, plan: ModelPlan, types: dict[str, str], features: list[str], order_col: str | None = None,
+    with_ensemble: bool = True, seed: int = 42, workers: int = WORKERS,
+) -> tuple[list[Experiment], DataFrame]:
+    """Split, train, ensemble, and test evaluation; the winner is chosen from the result tables."""
+    prepared = prepare_features(df, plan, types, features, order_col, seed)
+    return run_prepared(prepared, plan, with_ensemble, seed, workers), prepared.data
 
 
 def experiment_tables(spark: SparkSession, run_id: str, results: list[Experiment]) -> tuple[DataFrame, DataFrame]:

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 from tablewright.functions.hashing import row_digest
 from tablewright.functions.numeric import finite_or_null, quoted
+from tablewright.sources.digests import file_digests
 
 # Fixed value: formats known by file suffix.
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl"}
-MAX_FILE_BYTES = 2**31 - 1
 
 
 def format_of(path: str) -> str:
@@ -74,14 +74,10 @@ def _json_kinds(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """One row per dataset: files, bytes, MD5 and SHA-256.
 
-    One file gives the digest of its bytes. Several give the digest of their sorted digests, wherever they lie: file
+    One file gives the digest of its bytes, of any size. Several give the digest of their sorted digests, wherever they lie: file
     contents never leave their task, and digests are brought together in 4096 groups by their first digits.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    largest = files.agg(F.max("length")).first()[0]
-    if largest and largest > MAX_FILE_BYTES:
-        raise ValueError("files over 2 GiB have no byte digest here; use content_fingerprint")
-    each = files.select("length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    each = file_digests(spark, path)
     joined = lambda name: F.array_join(F.sort_array(F.collect_list(name)), "")
     groups = each.groupBy(F.substring("md5", 1, 3).alias("head")).agg(
         F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("md5").alias("one_md5"),

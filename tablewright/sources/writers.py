@@ -61,10 +61,22 @@ def export_tables(
     }
 
 
-def write_artifact(df: DataFrame, root: str, run_id: str, name: str) -> str:
-    """One run artifact as JSON lines without NaN or infinities; artifacts are summaries of a few rows."""
-    path = f"{root.rstrip('/')}/{run_id}/{name}.json"
-    sanitise(df).coalesce(1).write.mode("overwrite").json(path)
+def write_artifacts(artifacts: dict[str, DataFrame], root: str) -> str:
+    """Artifacts of all runs in one job: each table has a ``run_id`` and one row per run, written as a JSON line without NaN or infinities.
+
+    They lie in a folder per run and artifact; those that come again take the place of the old ones, others stay.
+    """
+    unknown = sorted(set(artifacts) - set(ARTIFACTS))
+    if unknown:
+        raise ValueError(f"no such artifacts: {', '.join(unknown)}; known: {', '.join(ARTIFACTS)}")
+    path, rows = f"{root.rstrip('/')}/artifacts", None
+    for name, df in artifacts.items():
+        clean = sanitise(df)
+        line = F.to_json(F.struct(*[F.col(c) for c in clean.columns if c != "run_id"]))
+        one = clean.select(F.col("run_id").cast("string").alias("run_id"), F.lit(name).alias("artifact"), line.alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is not None:
+        rows.repartition("run_id", "artifact").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "artifact").text(path)
     return path
 
 
@@ -83,21 +95,22 @@ def read_experiments(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
 
 
 def read_run_artifacts(spark: SparkSession, root: str, run_ids: DataFrame) -> DataFrame:
-    """All artifacts of every run side by side: one struct column per artifact, NULL where a run lacks it."""
-    out = run_ids.select("run_id").distinct()
+    """All artifacts of every run side by side, by one scan: one struct column per artifact, NULL where a run lacks it.
+
+    Two rows of an artifact in one run raise an error.
+    """
+    lines = spark.read.schema("value string, run_id string, artifact string").text(f"{root.rstrip('/')}/artifacts")
+    cells = []
     for name, fields in ARTIFACTS.items():
-        struct = T.StructType.fromDDL(fields)
-        table = (
-            spark.read.schema(struct)
-            .option("pathGlobFilter", "*.json")
-            .option("recursiveFileLookup", "true")
-            .json(root)
-            .select("*", F.col("_metadata.file_path").alias("__path"))
-            .where(F.col("__path").contains(f"/{name}.json/"))
-            .select(
-                F.regexp_extract("__path", rf"/([^/]+)/{name}\.json/", 1).alias("run_id"),
-                F.struct(*[F.col(f.name) for f in struct.fields]).alias(name),
-            )
-        )
-        out = out.join(table, "run_id", "left")
-    return out
+        kind = T.StructType.fromDDL(fields)
+        mine = F.when(F.col("artifact") == name, F.from_json("value", kind))
+        twice = F.raise_error(F.lit(f"more than one {name} in a run")).cast(kind)
+        cells.append(F.when(F.count(mine) > 1, twice).otherwise(F.first(mine, ignorenulls=True)).alias(name))
+    return run_ids.select(F.col("run_id").cast("string").alias("run_id")).distinct().join(lines.groupBy("run_id").agg(*cells), "run_id", "left")
+
+
+def saved_models(spark: SparkSession, root: str) -> DataFrame:
+    """``run_id, models``: models that lie below ``root/models/<run>/<model>``, from one listing; file contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/models").select("path")
+    found = files.select(F.regexp_extract("path", r"/models/([^/]+)/", 1).alias("run_id"), F.regexp_extract("path", r"/models/[^/]+/([^/]+)/", 1).alias("model"))
+    return found.where("model <> ''").groupBy("run_id").agg(F.count_distinct("model").alias("models"))

@@ -98,7 +98,9 @@ for _kind, (_center, _scale) in _SCALES.items():
         return _summary(model.transform(df), "l_extendedprice")
 
 
-@query("encode_onehot")
+@query("encode_onehot", "SELECT c_custkey, " + ", ".join(
+    f"CAST(c_mktsegment = '{s}' AS DOUBLE) AS \"c_mktsegment__cat_code_{s}\"" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+) + " FROM customer")
 def encode_onehot(t: Tables) -> DataFrame:
     df = t("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     plan = _plan(Features(categorical_strategy="onehot"), target="c_nationkey")
@@ -344,7 +346,24 @@ def split_by_hash(t: Tables) -> DataFrame:
     return S.hash_split(_keyed(t), _LINE_KEY).groupBy("l_returnflag", "split").agg(F.count("*").alias("num_rows"))
 
 
-@query("split_by_quota")
+_TRIPLE = ["l_quantity", "l_discount", "l_tax"]
+# Groups of equal rows with their size and majority class, and a draw per seed.
+_MAJORITY = f"""g AS (SELECT {digest_sql(_TRIPLE)} AS g, * FROM lineitem),
+p AS (SELECT g, l_returnflag AS class, count(*) AS c FROM g GROUP BY 1, 2),
+m AS (SELECT g, CAST(sum(c) AS BIGINT) AS n, arg_min(class, (-c, class)) AS class FROM p GROUP BY 1)"""
+_DRAWN = "CAST('0x' || substr(md5('{seed}|' || g), 1, 15) AS BIGINT)"
+
+
+@query("split_by_quota", f"""
+WITH {_MAJORITY},
+u AS (SELECT *, {_DRAWN.format(seed=42)} / 1152921504606846976.0::DOUBLE AS u FROM m),
+q AS (SELECT class, greatest(1, CAST(round(sum(n) * 0.2::DOUBLE) AS BIGINT)) AS for_test, greatest(1, CAST(round(sum(n) * 0.16000000000000003::DOUBLE) AS BIGINT)) AS for_val, min(n) AS least FROM u GROUP BY 1),
+s AS (SELECT g, n, class, for_test, for_val, n <= greatest(for_val, least) AS fits,
+             CASE WHEN n <= greatest(for_val, least) THEN coalesce(sum(n) FILTER (n <= greatest(for_val, least)) OVER (PARTITION BY class ORDER BY u, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS start
+      FROM u JOIN q USING (class)),
+e AS (SELECT class, max(start + n) FILTER (start < for_test) AS test_end FROM s WHERE fits GROUP BY 1),
+a AS (SELECT g, CASE WHEN NOT fits THEN 'train' WHEN start < for_test THEN 'test' WHEN start < test_end + for_val THEN 'val' ELSE 'train' END AS split FROM s JOIN e USING (class))
+SELECT l_returnflag, split, count(*) AS num_rows FROM g JOIN a USING (g) GROUP BY 1, 2""")
 def split_by_quota(t: Tables) -> DataFrame:
     split = S.quota_split(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag")
     return split.groupBy("l_returnflag", "split").agg(F.count("*").alias("num_rows"))
@@ -380,7 +399,10 @@ def folds_by_group(t: Tables) -> DataFrame:
     return folds.groupBy("fold").agg(F.count("*").alias("num_rows"), F.count_distinct(S.GROUP).alias("groups"))
 
 
-@query("folds_stratified")
+@query("folds_stratified", f"""
+WITH {_MAJORITY},
+f AS (SELECT g, CAST((row_number() OVER (PARTITION BY class ORDER BY {_DRAWN.format(seed=43)}, g) - 1) % 5 AS INTEGER) AS fold FROM m)
+SELECT fold, l_returnflag, count(*) AS num_rows FROM g JOIN f USING (g) GROUP BY 1, 2""")
 def folds_stratified(t: Tables) -> DataFrame:
     folds = S.assign_folds(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], 5, "l_returnflag")
     return folds.groupBy("fold", "l_returnflag").agg(F.count("*").alias("num_rows"))

@@ -18,10 +18,9 @@ from tablewright.operators import metrics as M
 from tablewright.operators import neighbours as N
 from tablewright.operators import ranking as R
 from tablewright.operators import split as S
-from tablewright.operators.diagnosis import suggested_params
 from tablewright.operators.features import feature_names
 from tablewright.plans import training as TR
-from tablewright.plans.models import build_estimator, family_of
+from tablewright.plans.refinement import refine
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
 from tablewright.runtime import cut_lineage, scratch_path, spread
 from tablewright.streaming.scoring import score_stream, start_scoring
@@ -207,23 +206,14 @@ def stream_scores(t: Tables) -> DataFrame:
 
 @query("refined_model")
 def refined_model(t: Tables) -> DataFrame:
-    """One refinement pass: fit, take the family's suggested parameters, fit again, compare all splits."""
-    df = VectorAssembler(inputCols=["n_chars", "words"], outputCol="features").transform(_labelled_documents(t))
-    df = S.hash_split(df.withColumn("label", F.col("quality").cast("double")), ["n_chars", "words"])
-    df = cut_lineage(df)
-    library, row = "RandomForestClassifier", {}
-    for i, params in enumerate(({"n_estimators": 5}, suggested_params(family_of(library), {"overfitting"}, {"n_estimators": 5}))):
-        stages = build_estimator(Candidate("forest", library, params=params), "binary_classification", df.count())
-        scored = cut_lineage(Pipeline(stages=stages).fit(df.where("split = 'train'")).transform(df).select("split", "label", "prediction"))
-        for split in ("train", "val", "test"):
-            row[f"{split}_{i}"] = M.binary_metrics(scored.where(F.col("split") == split), "label", "prediction").first()["f1"]
-    from tablewright.operators.diagnosis import refinement_verdict
-
-    pairs = t.spark.createDataFrame(
-        [("documents", "forest", *[float(row[f"{s}_{i}"]) for i in (0, 1) for s in ("train", "val", "test")])],
-        "run_id string, model_name string, train_0 double, val_0 double, test_0 double, train_1 double, val_1 double, test_1 double",
-    )
-    return refinement_verdict(pairs)
+    """One refinement pass over a forest: the parameters that its diagnosis asks for, the verdict on all splits."""
+    forest = Candidate("Forest", "RandomForestClassifier", params={"n_estimators": 5})
+    plan = _plan(forest, Candidate("Bayes", "GaussianNB"), target="toxic", primary_metric="f1")
+    prepared = TR.prepare_features(_labelled_documents(t), plan, _TYPES, list(_TYPES))
+    results = TR.run_prepared(prepared, plan, with_ensemble=False)
+    found = refine(t.spark, "documents", results, "Forest", prepared, plan)
+    tried = found.lineage.where("outcome = 'tried'").groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_list("parameter")), ",").alias("tried"))
+    return t.spark.createDataFrame([("documents", "Forest")], "run_id string, model_name string").join(found.verdict, ["run_id", "model_name"], "left").join(tried, "run_id", "left")
 
 
 _COEFFICIENTS = {"l_quantity": 0.5, "l_discount": -20.0, "l_tax": 8.0}
@@ -288,16 +278,29 @@ def shapley_trees(t: Tables) -> DataFrame:
 
 @query("shapley_sampled")
 def shapley_sampled(t: Tables) -> DataFrame:
-    """Sampled values of any model for the 50 explained rows against 100 background rows."""
+    """Sampled values of any model for all labelled rows against 100 background rows."""
+    return _sampled(t)[0]
+
+
+@query("shapley_sampled_sums", "SELECT doc_id, 0.0::DOUBLE AS gap FROM documents JOIN labels USING (doc_id)")
+def shapley_sampled_sums(t: Tables) -> DataFrame:
+    """What the sampled values of a row add up to, less its output and plus the mean output of the background: nothing."""
+    phi, scored, background = _sampled(t)
+    chance = vector_to_array("probability")[1]
+    mean = background.agg(F.avg(chance)).first()[0]
+    sums = phi.groupBy("doc_id").agg(F.sum("phi").alias("total")).join(scored.select("doc_id", chance.alias("out")), "doc_id")
+    return sums.select("doc_id", plain_round(F.col("total") - F.col("out") + F.lit(mean), 6).alias("gap"))
+
+
+def _sampled(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sampled values of the chance of good quality, and the scored rows and background."""
     df = VectorAssembler(inputCols=["n_chars", "words"], outputCol="features").transform(_labelled_documents(t))
     df = cut_lineage(df.withColumn("label", F.col("quality").cast("double")))
     model = LogisticRegression().fit(df)
     order = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id"))
-    explained = df.orderBy(order(1)).limit(E.EXPLAINED_ROWS)
-    background = df.orderBy(order(2)).limit(E.BACKGROUND_ROWS)
-    return E.sampled_shapley(
-        model, explained, background, "doc_id", ["n_chars", "words"], vector_to_array("probability")[1]
-    )
+    background = cut_lineage(df.orderBy(order(2)).limit(E.BACKGROUND_ROWS))
+    phi = E.sampled_shapley(model, df, background, "doc_id", ["n_chars", "words"], vector_to_array("probability")[1])
+    return phi, model.transform(df), model.transform(background)
 
 
 @query("feature_importances")

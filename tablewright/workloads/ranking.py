@@ -399,17 +399,17 @@ def metric_log_round_trip(t: Tables) -> DataFrame:
     )
 
 
-@query("run_artifacts")
+@query("run_artifacts", """
+SELECT event_type AS run_id, count(*) AS num_rows, CAST(0 AS BIGINT) AS duplicate_rows, true AS plan_missing FROM events GROUP BY 1""")
 def run_artifacts(t: Tables) -> DataFrame:
     """Artifacts of a run per event type written as JSON and read side by side."""
     events, root = t("events"), scratch_path(t.spark, "runs")
     runs = events.select(F.col("event_type").alias("run_id")).distinct()
-    for r in runs.collect():
-        part = events.where(F.col("event_type") == r["run_id"])
-        summary = part.agg(F.count("*").alias("num_rows"), F.lit(len(events.columns)).cast("bigint").alias("num_cols"))
-        writers.write_artifact(summary.withColumn("file_name", F.lit("events")), root, r["run_id"], "dataset_summary")
-        quality = part.agg(F.count("*").alias("num_rows"), F.lit(0).cast("bigint").alias("duplicate_rows"))
-        writers.write_artifact(quality, root, r["run_id"], "quality_report")
+    parts = events.groupBy(F.col("event_type").alias("run_id"))
+    summary = parts.agg(F.count("*").alias("num_rows"), F.lit(len(events.columns)).cast("bigint").alias("num_cols"), F.lit("events").alias("file_name"))
+    # Rows are equal in every column but the id only if their ids are too.
+    quality = parts.agg(F.count("*").alias("num_rows"), (F.count("*") - F.count_distinct("event_id")).alias("duplicate_rows"))
+    writers.write_artifacts({"dataset_summary": summary, "quality_report": quality}, root)
     found = writers.read_run_artifacts(t.spark, root, runs)
     return found.select(
         "run_id", F.col("dataset_summary.num_rows").alias("num_rows"), F.col("quality_report.duplicate_rows").alias("duplicate_rows"),
@@ -425,6 +425,24 @@ def consistency_checks(t: Tables) -> DataFrame:
     return K.consistency_checks(models, log, R.select_winners(cv), overlap)
 
 
+@query("consistency_of_artifacts", """
+WITH e AS (SELECT event_type AS run_id, count(*) % 2 = 0 AS even, count(DISTINCT user_id) AS users, CASE WHEN count(*) % 2 = 0 THEN 'regression' ELSE 'clustering' END AS planned FROM events GROUP BY 1)
+SELECT run_id, 'task as planned' AS "check", CASE WHEN even THEN 'pass' ELSE 'warn' END AS result, concat(planned, ' / regression') AS detail FROM e
+UNION ALL SELECT run_id, 'models saved', 'pass', CAST(users AS VARCHAR) FROM e""")
+def consistency_of_artifacts(t: Tables) -> DataFrame:
+    """The checks that look at a run's plan, results and saved models; plans and results go through their artifacts."""
+    events, root = t("events"), scratch_path(t.spark, "runs")
+    runs = events.groupBy(F.col("event_type").alias("run_id")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("models"))
+    plan = runs.select("run_id", F.when(F.col("n") % 2 == 0, "regression").otherwise("clustering").alias("task_type"), F.lit("y").alias("target_column"))
+    done = runs.select("run_id", F.lit("regression").alias("task_type"), F.col("n").alias("num_candidates"))
+    writers.write_artifacts({"execution_plan": plan, "experiment_results": done}, root)
+    log, cv = _metric_log(t), _cv_table(t)
+    models = runs.select("run_id", F.lit("m").alias("model_name"), F.lit("rf").alias("library"), F.lit("success").alias("status"), F.lit("{}").alias("hyperparams"))
+    overlap = runs.selectExpr("run_id", "0 AS train_val", "0 AS train_test", "0 AS val_test")
+    found = K.consistency_checks(models, log, R.select_winners(cv), overlap, writers.read_run_artifacts(t.spark, root, runs), runs)
+    return found.where(F.col("check").isin("task as planned", "models saved"))
+
+
 # --- voting ----------------------------------------------------------------------------------------------------
 
 _W = dict(ensemble_weights([("a", 0.91), ("b", 0.83), ("c", 0.77), ("d", 0.5)], True))

@@ -22,10 +22,12 @@ from tablewright.operators import risk
 from tablewright.plans import training as TR
 from tablewright.plans.knn_model import Neighbours, NeighboursModel
 from tablewright.plans.models import COMPLEXITY, family_of, supported_models
+from tablewright.plans.models import refused_parameters
+from tablewright.plans.refinement import refine
 from tablewright.plans.routing import feature_stages
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
 from tablewright.runtime import scratch_path
-from tablewright.sources import readers, writers
+from tablewright.sources import digests, readers, writers
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -154,6 +156,46 @@ def test_one_hot_of_many_categories_is_sparse(spark):
     assert shown.select("v").distinct().count() == 50_001
 
 
+def test_refinement_tries_refuses_and_promotes(spark, separable):
+    noisy = separable.withColumn("y", F.when(F.col("row") % 3 == 0, F.when(F.col("y") == "yes", "no").otherwise("yes")).otherwise(F.col("y")))
+    forest = Candidate("Forest", "RandomForestClassifier", params={"n_estimators": 10})
+    boost = Candidate("Boost", "XGBClassifier", params={"n_estimators": 15, "max_depth": 6})
+    plan = ModelPlan("binary_classification", "y", (forest, boost), features=Features(categorical_strategy="freq_enc"), evaluation=Evaluation(n_folds=2, primary_metric="f1_macro"))
+    prepared = TR.prepare_features(noisy, plan, TYPES, ["x1", "x2", "s"])
+    results = TR.run_prepared(prepared, plan, with_ensemble=False)
+    found = refine(spark, "r", results, "Forest", prepared, plan)
+    assert "overfitting" in found.issues and found.refined.status == "success" and found.refined.hyperparams["max_depth"] == 8
+    assert {r["parameter"]: r["outcome"] for r in found.lineage.collect()} == dict.fromkeys(("max_depth", "min_samples_split", "min_samples_leaf", "max_features"), "tried")
+    verdict = found.verdict.first()
+    gap = lambda r: r.metrics["train"]["f1_macro"] - r.metrics["val"]["f1_macro"]
+    assert verdict["gap_reduced"] == pytest.approx(gap(found.first) - gap(found.refined), abs=1e-4)
+    assert found.winner is (found.refined if verdict["promote"] else found.first)
+    outcomes = {r["parameter"]: r["outcome"] for r in refine(spark, "r", results, "Boost", prepared, plan).lineage.collect()}
+    assert outcomes["max_depth"] == "tried" and outcomes["reg_alpha"].startswith("refused:") and outcomes["reg_lambda"].startswith("refused:")
+    for family, issue in D.SUGGESTIONS:
+        assert set(refused_parameters(family, D.SUGGESTIONS[family, issue])) <= {"reg_alpha", "reg_lambda"}
+
+
+def test_artifacts_of_all_runs_in_one_job(spark):
+    root = scratch_path(spark, "artifacts")
+    runs = spark.createDataFrame([("a",), ("b",), ("c",)], "run_id string")
+    summary = spark.createDataFrame([("a", 3, float("nan")), ("b", 4, 1.5)], "run_id string, num_rows bigint, duplicate_pct double")
+    writers.write_artifacts({"quality_report": summary, "dataset_summary": summary.select("run_id", "num_rows")}, root)
+    writers.write_artifacts({"quality_report": summary.where("run_id = 'b'").withColumn("num_rows", F.lit(9).cast("bigint"))}, root)
+    found = {r["run_id"]: r for r in writers.read_run_artifacts(spark, root, runs).collect()}
+    assert found["a"]["quality_report"]["num_rows"] == 3 and found["a"]["quality_report"]["duplicate_pct"] is None
+    assert found["b"]["quality_report"]["num_rows"] == 9 and found["b"]["dataset_summary"]["num_rows"] == 4
+    assert found["c"]["quality_report"] is None and found["a"]["execution_plan"] is None
+    writers.write_artifacts({"risk_assessment": spark.createDataFrame([("a", 1), ("a", 2)], "run_id string, total_risks bigint")}, root)
+    with pytest.raises(Exception, match="more than one risk_assessment"):
+        writers.read_run_artifacts(spark, root, runs).collect()
+    with pytest.raises(ValueError, match="no such artifacts"):
+        writers.write_artifacts({"odd": summary}, root)
+    spark.range(2).write.parquet(f"{root}/models/a/forest")
+    spark.range(2).write.parquet(f"{root}/models/a/linear")
+    assert [tuple(r) for r in writers.saved_models(spark, root).collect()] == [("a", 2)]
+
+
 def test_regression_experiment(spark, separable):
     plan = ModelPlan(
         "regression", "z", (Candidate("Ridge", "Ridge"), Candidate("Forest", "RandomForestRegressor", params={"n_estimators": 5, "max_depth": 4})),
@@ -318,17 +360,19 @@ def test_read_formats(spark, tmp_path):
         readers.read_table(spark, str(tmp_path / "c.xlsx"))
 
 
-def test_fingerprints(spark, tmp_path):
+def test_fingerprints(spark, tmp_path, monkeypatch):
     import hashlib
 
     (tmp_path / "a.csv").write_text("x\n1\n")
+    monkeypatch.setattr(digests, "CHUNK_BYTES", 2)  # files are never held whole
     one = readers.file_fingerprint(spark, str(tmp_path / "a.csv")).first()
     assert one["md5"] == hashlib.md5(b"x\n1\n").hexdigest() and one["sha256"] == hashlib.sha256(b"x\n1\n").hexdigest()
     (tmp_path / "b.csv").write_text("x\n2\n")
     both = readers.file_fingerprint(spark, str(tmp_path)).first()
     (tmp_path / "b.csv").write_text("x\n3\n")
+    (tmp_path / "odd name #1%20.csv").write_text("x\n4\n")
     changed = readers.file_fingerprint(spark, str(tmp_path)).first()
-    assert both["files"] == 2 and both["md5"] != changed["md5"] and both["sha256"] != changed["sha256"]
+    assert both["files"] == 2 and changed["files"] == 3 and both["md5"] != changed["md5"] and both["sha256"] != changed["sha256"]
     df = spark.range(100).withColumn("v", F.when(F.col("id") > 3, F.rand(1)))
     a, b = readers.content_fingerprint(df).first(), readers.content_fingerprint(df.repartition(7).orderBy("v")).first()
     assert a == b and a != readers.content_fingerprint(df.where("id > 0")).first()
