@@ -42,14 +42,26 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return _pairwise_corr(df.select(*[as_number(df, c).alias(c) for c in columns]), columns)
 
 
-def _ranked(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
-    """Tie-averaged ranks of complete columns: per distinct value, for all columns in one scan, and looked up by the rows."""
-    cells = F.array(*[F.struct(F.lit(i).alias("__c"), quoted(c).cast("double").alias("__v")) for i, c in enumerate(columns)])
-    ranks = cut_lineage(tie_ranks(df.select(F.inline(cells)), "__v", ("__c",)))
-    for i, c in enumerate(columns):
-        one = ranks.where(F.col("__c") == i).select(F.col("__v").alias(c), "n", F.col("rank").alias(f"__rank{i}"))
-        df = attach_lookup(df, one, [c], rows, "n")
-    return df.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)])
+def _ranked(df: DataFrame, groups: list[list[str]], rows: int) -> list[DataFrame]:
+    """For each group of columns, their tie-averaged ranks over the rows where all of the group are present.
+
+    Ranks are found per distinct value, for all groups in one scan, and looked up by the rows. ``rows`` is the number of rows of ``df``.
+    """
+    cells, number = [], {}
+    for g, columns in enumerate(groups):
+        whole = reduce(lambda a, b: a & b, [quoted(c).isNotNull() for c in columns])
+        for c in columns:
+            number[g, c] = len(cells)
+            cells.append(F.struct(F.lit(len(cells)).alias("__c"), F.when(whole, quoted(c).cast("double")).alias("__v")))
+    ranks = cut_lineage(tie_ranks(df.select(F.inline(F.array(*cells))), "__v", ("__c",)))
+    out = []
+    for g, columns in enumerate(groups):
+        part = df.select(*[quoted(c) for c in columns]).dropna()
+        for i, c in enumerate(columns):
+            one = ranks.where(F.col("__c") == number[g, c]).select(F.col("__v").alias(c), "n", F.col("rank").alias(f"__rank{i}"))
+            part = attach_lookup(part, one, [c], rows, "n")
+        out.append(part.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)]))
+    return out
 
 
 def spearman_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -64,13 +76,11 @@ def spearman_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFram
     counts = counts.first()
     rows = counts["rows"]
     full = [c for i, c in enumerate(columns) if counts[f"n{i}"] == rows]
-    parts = [_pairwise_corr(_ranked(numbers.select(*full), full, rows), full)] if len(full) > 1 else []
-    for a, b in combinations(columns, 2):
-        if a not in full or b not in full:
-            both = numbers.select(a, b).dropna()
-            gap_rows = counts[f"n{columns.index(a)}"] if b in full else counts[f"n{columns.index(b)}"] if a in full else both.count()
-            parts.append(_pairwise_corr(_ranked(both, [a, b], gap_rows), [a, b]))
-    return reduce(DataFrame.unionAll, parts) if parts else df.sparkSession.createDataFrame([], _PAIRS)
+    groups = [full] if len(full) > 1 else []
+    groups += [[a, b] for a, b in combinations(columns, 2) if a not in full or b not in full]
+    if not groups:
+        return df.sparkSession.createDataFrame([], _PAIRS)
+    return reduce(DataFrame.unionAll, [_pairwise_corr(ranked, group) for ranked, group in zip(_ranked(numbers, groups, rows), groups)])
 
 
 def high_pairs(matrix: DataFrame, limit: float = HIGH_CORRELATION) -> DataFrame:
@@ -218,21 +228,10 @@ def target_rank_correlation(df: DataFrame, target: str, features: list[str]) ->
         F.count("*").alias("rows"), F.count("__y").alias("y"), *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(features)]
     ).first()
     whole = [c for i, c in enumerate(features) if full[f"n{i}"] == full["rows"] == full["y"]]
-    if whole:
-        ranked = _ranked(numbers.select("__y", *whole), ["__y", *whole], full["rows"])
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("column_name"), F.abs(F.col(f"r{i}")).alias("spearman_corr"))
-              for i, c in enumerate(whole)]
-        )
-        out = ranked.agg(*[F.corr("__y", quoted(c)).alias(f"r{i}") for i, c in enumerate(whole)]).select(F.inline(cells))
-    for c in features:
-        if c in whole:
-            continue
-        both = numbers.select("__y", c).dropna()
-        ranked = _ranked(both, ["__y", c], both.count())
-        one = ranked.agg(F.corr("__y", quoted(c)).alias("r")).select(
-            F.lit(c).alias("column_name"), F.abs("r").alias("spearman_corr")
-        )
+    groups = ([["__y", *whole]] if whole else []) + [["__y", c] for c in features if c not in whole]
+    for ranked, (_, *named) in zip(_ranked(numbers, groups, full["rows"]), groups):
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.abs(F.col(f"r{i}")).alias("spearman_corr")) for i, c in enumerate(named)])
+        one = ranked.agg(*[F.corr("__y", quoted(c)).alias(f"r{i}") for i, c in enumerate(named)]).select(F.inline(cells))
         out = one if out is None else out.unionAll(one)
     return out.withColumn("spearman_corr", F.nanvl("spearman_corr", F.lit(None).cast("double")))
 
