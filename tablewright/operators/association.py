@@ -6,7 +6,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from tablewright.functions.numeric import as_number, is_numeric, numeric_columns
 from tablewright.operators.gram import pair_correlations
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ranking_values import tie_ranks
-from tablewright.runtime import attach_lookup, cut_lineage
+from tablewright.runtime import attach_lookup, cut_lineage, spread
 
 # Fixed values.
 HIGH_CORRELATION = 0.95
@@ -47,7 +47,7 @@ def _ranked(df: DataFrame, groups: list[list[str]], rows: int) -> list[DataFrame
 
     Ranks are found per distinct value, for all groups in one scan, and looked up by the rows. ``rows`` is the number of rows of ``df``.
     """
-    cells, number = [], {}
+    df, cells, number = spread(df, rows), [], {}
     for g, columns in enumerate(groups):
         whole = reduce(lambda a, b: a & b, [quoted(c).isNotNull() for c in columns])
         for c in columns:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.runtime import cut_lineage
 
 #: Slices in which values of a group are ordered on their own.
-SLICES = 128
+SLICES = 64
 
 
 def running_totals(counts: DataFrame, value: str, sums: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -22,7 +22,9 @@ def running_totals(counts: DataFrame, value: str, sums: list[str], by: tuple[str
     # One row of cuts per group, and later one row per group and slice.
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, points, F.lit(8 * SLICES)).alias("__cuts"))
     placed = counts.join(F.broadcast(cuts), list(by)) if by else counts.withColumn("__cuts", F.lit(cuts.first()[0]).cast("array<double>"))
-    sliced = placed.withColumn("__slice", F.coalesce(F.size(F.filter("__cuts", lambda cut: cut < F.col(value))), F.lit(0))).drop("__cuts")
+    # The place of the value among the sorted cuts is how many of them are smaller.
+    place = F.array_position(F.sort_array(F.array_append("__cuts", F.col(value).cast("double"))), F.col(value).cast("double")) - 1
+    sliced = placed.withColumn("__slice", F.coalesce(place, F.lit(0)).cast("int")).drop("__cuts")
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

@@ -86,6 +86,8 @@ def attach_lookup(
     if table.count() <= broadcast_rows:
         return rows.join(F.broadcast(table.drop(count_col)), on, "left")
     heavy = F.col(count_col) * 1000 > total
+    if table.where(heavy).isEmpty():
+        return rows.join(table.drop(count_col), on, "left")
     hot = F.broadcast(table.where(heavy).drop(count_col))
     cold = table.where(~heavy).drop(count_col)
     hot_rows = rows.join(hot, on, "inner")

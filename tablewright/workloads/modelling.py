@@ -20,6 +20,7 @@ from tablewright.operators import ranking as R
 from tablewright.operators import split as S
 from tablewright.operators.features import feature_names
 from tablewright.plans import training as TR
+from tablewright.plans.models import build_estimator
 from tablewright.plans.refinement import refine
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
 from tablewright.runtime import cut_lineage, scratch_path, spread
