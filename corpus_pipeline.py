@@ -56,7 +56,7 @@ STAGES = [
     ("shards", sharding),
 ]
 
-#: Learned rules, MinHash groups and k-d cuts have no SQL; the tests compare each stage with a plain version.
+#: Learned rules, MinHash groups and k-d cuts have no SQL; the tests hold the operators of the stages against plain versions or planted cases.
 ORACLE_SQL = None
 
 
