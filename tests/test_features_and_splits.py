@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tablewright.operators import features as X
+from tablewright.operators import order_stats
 from tablewright.operators import split as S
 from tablewright.plans.routing import feature_stages, route
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan, Preprocessing
@@ -55,12 +56,12 @@ def test_encoders_on_unseen_values(spark):
             assert [got[k] for k in ("a", "z", None)] == pytest.approx(expected)
 
 
-def test_sorted_codes_both_ways(spark, monkeypatch):
-    monkeypatch.setattr(X, "CODE_RUNS", 16)
+@pytest.mark.parametrize("runs", [16, 512])
+def test_sorted_codes(spark, monkeypatch, runs):
+    monkeypatch.setattr(X, "CODE_RUNS", runs)
     counts = spark.range(3000).select(F.format_string("Customer#%06d", F.col("id") * 7).alias("value"), F.lit(1).alias("n"))
-    few = {r["value"]: r["code"] for r in X.sorted_codes(counts).collect()}
-    assert few == {r["value"]: r["code"] for r in X.sorted_codes(counts, 0).collect()}
-    assert sorted(few.values()) == [float(i) for i in range(3000)]
+    codes = {r["value"]: r["code"] for r in X.sorted_codes(counts).collect()}
+    assert codes == {v: float(i) for i, v in enumerate(sorted(codes))} and len(codes) == 3000
 
 
 def test_scaler_of_constant_column(spark):
@@ -165,10 +166,11 @@ def test_null_places_matter_in_group_ids(spark):
     assert S.with_groups(df, ["a", "b"]).select(S.GROUP).distinct().count() == 2
 
 
-def test_sequential_split_keeps_ties_and_order(spark):
+def test_sequential_split_keeps_ties_and_order(spark, monkeypatch):
     df = spark.range(1000).select("id", F.floor(F.col("id") / 30).cast("double").alias("t"))
-    for cells in (10**6, 0):
-        out = S.sequential_split(df, "t", 0.2, cells)
+    for fetch in (20_000, 30):
+        monkeypatch.setattr(order_stats, "FETCH_ROWS", fetch)
+        out = S.sequential_split(df, "t", 0.2)
         assert out.groupBy("t").agg(F.count_distinct("split").alias("n")).agg(F.max("n")).first()[0] == 1
         ends = {r["split"]: (r["lo"], r["hi"]) for r in out.groupBy("split").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).collect()}
         assert ends["train"][1] < ends["val"][0] and ends["val"][1] < ends["test"][0]
