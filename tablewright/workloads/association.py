@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tablewright.functions.numeric import plain_round
 from tablewright.operators import anomaly as AN
 from tablewright.operators import association as A
+from tablewright.operators import neighbour_information as NI
 from tablewright.operators import neighbours as N
-from tablewright.workloads.registry import Tables, query
+from tablewright.workloads.registry import Tables, digest_sql, query
 
 _COLUMNS = {
     "l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "nullif(l_discount, 0.05)",
@@ -255,3 +256,66 @@ def anomaly_consensus(t: Tables) -> DataFrame:
 def anomaly_flags(t: Tables) -> DataFrame:
     s = t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     return AN.apply_anomaly_action(s, "s_suppkey", AN.detect_anomalies(s, "s_suppkey"), "flag").rows
+
+
+# Digammas of whole numbers, without the constant, which cancels out.
+_PSI = "coalesce(list_sum(list_transform(range(1, {n}), lambda i: 1.0 / i)), 0)"
+
+
+def _near_information_sql(key: str, table: str, columns: dict[str, str], target: str) -> str:
+    """The estimators in SQL: every pair of a block, the third distance within a class or in both columns, counts within it.
+
+    ``columns`` are the continuous ones in the order of their noise; ``target`` is one of them or an expression of classes.
+    """
+    digest = lambda salt: digest_sql([key], salt)
+    jitter = 1e-10
+    scaled = ", ".join(
+        f"({e}) / (SELECT stddev_pop({e}) FROM {table}) + ({digest(1 + i)} / 1152921504606846976.0 - 0.5) * {jitter!r} "
+        f"* greatest(1, (SELECT avg(abs({e})) / stddev_pop({e}) FROM {table})) AS v{i}" for i, (c, e) in enumerate(columns.items()))
+    place = {c: f"v{i}" for i, c in enumerate(columns)}
+    by_class = target not in columns
+    label = f", {target} AS label" if by_class else ""
+    base = f"(SELECT {digest(0)} % CAST(ceil((SELECT count(*) FROM {table}) / 2048.0) AS BIGINT) AS block, {key} AS id, {scaled}{label} FROM {table})"
+    psi = lambda n: _PSI.format(n=n)
+    parts = []
+    for c in columns:
+        if c == target:
+            continue
+        if by_class:
+            size = ", count(*) OVER (PARTITION BY block, label) AS size, count(*) OVER (PARTITION BY block) AS n"
+            reach = "max(a.size) AS size, max(a.n) AS n, list_last(min(abs(a.x - b.x), 4) FILTER (WHERE a.label = b.label)) AS reach"
+            kept = f"(SELECT block, id, label, {place[c]} AS x{size} FROM {base})"
+            counts, terms = ["count(*) FILTER (WHERE abs(a.x - b.x) < r.reach)"], f"{psi('n')} + {psi('least(3, size - 1)')} - {psi('size')}"
+        else:
+            kept = f"(SELECT block, id, {place[c]} AS x, {place[target]} AS y, count(*) OVER (PARTITION BY block) AS n FROM {base})"
+            reach = "max(a.n) AS n, list_last(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 4)) AS reach"
+            counts = [f"count(*) FILTER (WHERE abs(a.{v} - b.{v}) < r.reach)" for v in "xy"]
+            terms = f"{psi('n')} + {psi('3')}"
+        size = "max(r.size) AS size, " if by_class else ""
+        parts.append(f"""
+SELECT '{c}' AS column_name, round(greatest(avg({terms} - {" - ".join(psi(f"n{i}") for i in range(len(counts)))}), 0), 4) AS mi_score FROM (
+  WITH k AS MATERIALIZED {kept}, r AS MATERIALIZED (SELECT a.block, a.id, {reach} FROM k a JOIN k b ON a.block = b.block GROUP BY a.block, a.id)
+  SELECT {size}max(r.n) AS n, {", ".join(f"{e} AS n{i}" for i, e in enumerate(counts))}
+  FROM k a JOIN r ON r.block = a.block AND r.id = a.id JOIN k b ON a.block = b.block GROUP BY a.block, a.id)""")
+    return " UNION ALL ".join(parts)
+
+
+_DAYS = {"o_totalprice": "o_totalprice", "day": "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"}
+
+
+_BAND = "CASE WHEN o_totalprice > 200000 THEN 'high' ELSE o_orderstatus END"
+
+
+@query("neighbour_information_classes", _near_information_sql("o_orderkey", "orders", _DAYS, _BAND))
+def neighbour_information_classes(t: Tables) -> DataFrame:
+    o = t("orders").select("o_orderkey", "o_totalprice", F.unix_date(F.to_date("o_orderdate")).alias("day"), F.expr(_BAND).alias("band"))
+    return NI.neighbour_mutual_information(o, "o_orderkey", "band").withColumn("mi_score", F.round("mi_score", 4))
+
+
+_SIZES = {"p_size": "p_size", "half": "p_retailprice / 2 + p_size", "p_retailprice": "p_retailprice"}
+
+
+@query("neighbour_information_numbers", _near_information_sql("p_partkey", "part", _SIZES, "p_retailprice"))
+def neighbour_information_numbers(t: Tables) -> DataFrame:
+    p = t("part").select("p_partkey", "p_size", (F.col("p_retailprice") / 2 + F.col("p_size")).alias("half"), "p_retailprice")
+    return NI.neighbour_mutual_information(p, "p_partkey", "p_retailprice").withColumn("mi_score", F.round("mi_score", 4))

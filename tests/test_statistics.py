@@ -9,6 +9,7 @@ from tablewright.functions import numeric as FN
 from tablewright.operators import association as A
 from tablewright.operators import gram as G
 from tablewright.operators import metrics as M
+from tablewright.operators import neighbour_information as NI
 from tablewright.operators import order_stats as O
 from tablewright.operators import profile as P
 from tablewright.operators.ranking_values import tie_ranks
@@ -277,3 +278,59 @@ def test_semantic_type_looks_at_all_values(spark):
     df = spark.range(1000).selectExpr("id", "CASE WHEN id < 600 THEN concat('u', id, '@ex.com') ELSE concat('shop', id) END AS mail")
     found = {r["column_name"]: r["inferred_type"] for r in infer_schema(df, "id").collect()}
     assert found["mail"] == "high_cardinality"
+
+
+def _plain_information(x, y, k, classes):
+    """The estimators by sorting every row's distances, one row at a time."""
+    psi = lambda m: sum(1 / i for i in range(1, m)) - NI.EULER_GAMMA
+    if classes:
+        keep = [i for i in range(len(x)) if (y == y[i]).sum() > 1]
+        x, y = x[keep], y[keep]
+    n, parts = len(x), []
+    for i in range(n):
+        dx = np.abs(x - x[i])
+        if classes:
+            size = int((y == y[i]).sum())
+            near = min(k, size - 1)
+            reach = np.sort(dx[y == y[i]])[near]
+            parts.append(psi(near) - psi(size) - psi(int((dx < reach).sum())))
+        else:
+            dy = np.abs(y - y[i])
+            reach = np.sort(np.maximum(dx, dy))[k]
+            parts.append(psi(k) - psi(int((dx < reach).sum())) - psi(int((dy < reach).sum())))
+    return n, psi(n) + float(np.mean(parts))
+
+
+@pytest.mark.parametrize("n, k", [(40, 3), (600, 3), (300, 7)])
+def test_neighbour_information_of_a_block_equals_a_plain_version(n, k):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n)
+    y, labels = x + rng.normal(size=n), np.where(rng.random(n) < 0.2, 0, (x > 0) + 1)
+    labels[0], labels[1:3] = 99, 98  # a class of one row, and one smaller than k
+    for other, classes, found in ((y, False, NI.continuous_information(x, y, k)), (labels, True, NI.class_information(x, labels, k))):
+        assert np.allclose(found, _plain_information(x, other, k, classes))
+
+
+def test_neighbour_information_of_normal_columns_at_any_block_size(spark):
+    rng = np.random.default_rng(3)
+    x, noise = rng.normal(size=(2, 12_000))
+    y = 0.8 * x + 0.6 * noise
+    frame = pd.DataFrame({"id": range(12_000), "x": x, "alone": rng.normal(size=12_000), "c": np.where(x > 0, "p", "q"), "y": y})
+    frame.loc[:4000, "alone"] = np.nan  # a third of the rows has one value
+    df, truth = spark.createDataFrame(frame), -0.5 * np.log(1 - 0.64)
+    for rows in (1000, 2048):
+        found = {r["column_name"]: r["mi_score"] for r in NI.neighbour_mutual_information(df, "id", "y", block_rows=rows).collect()}
+        assert set(found) == {"x", "alone", "c"} and abs(found["x"] - truth) < 0.03 and found["alone"] < 0.03
+        assert 0.2 < found["c"] < found["x"]
+    again = NI.neighbour_mutual_information(df.repartition(7), "id", "y", block_rows=2048).collect()
+    assert {r["column_name"]: round(r["mi_score"], 9) for r in again} == {c: round(v, 9) for c, v in found.items()}
+
+
+def test_neighbour_information_edges(spark):
+    schema = "id long, x double, c string, only double, `a.b` double, y double"
+    rows = [(i, None if i % 3 else float("inf"), None, 5.0, float(i), float(i % 40) if i else None) for i in range(100)]
+    found = {r["column_name"]: r["mi_score"] for r in NI.neighbour_mutual_information(spark.createDataFrame(rows, schema), "id", "y").collect()}
+    assert set(found) == {"x", "c", "only", "a.b"} and found["c"] == 0 and all(np.isfinite(v) and v >= 0 for v in found.values())
+    assert NI.neighbour_mutual_information(spark.createDataFrame([], schema), "id", "y").where("mi_score > 0").count() == 0
+    by_class = NI.neighbour_mutual_information(spark.createDataFrame(rows, schema).withColumn("y", F.col("y") % 2), "id", "y").collect()
+    assert {r["column_name"] for r in by_class} == {"x", "c", "only", "a.b"}
