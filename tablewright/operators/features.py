@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.dates import DATE_PARTS, as_timestamp, date_part
 from tablewright.functions.hashing import row_digest
-from tablewright.functions.numeric import as_number, is_numeric, present, quoted
+from tablewright.functions.numeric import as_number, finite_or_null, is_numeric, present, quoted
 from tablewright.functions.text import text_features
 from tablewright.operators.order_stats import exact_quantiles
 from tablewright.operators.ranking_values import running_totals
@@ -32,6 +32,7 @@ from tablewright.runtime import attach_lookup, cut_lineage, spread
 
 # Fixed values.
 IQR_MULTIPLIER = 1.5
+ZSCORE_LIMIT = 3.0
 VOCABULARY = 100
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 INTERACTION_COLUMNS = 4
@@ -57,9 +58,9 @@ class _Affine(_Stage):
 
 
 class NumericImputer(Estimator, _Stage):
-    """Fills gaps by the mean, median or most frequent value (the smallest wins a tie)."""
+    """Fills gaps by the mean, median or most frequent value (the smallest wins a tie); ``none`` fills nothing and fitting fails on a gap."""
 
-    strategy = Param(Params._dummy(), "strategy", "mean, median or most_frequent", TypeConverters.toString)
+    strategy = Param(Params._dummy(), "strategy", "mean, median, most_frequent or none", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None, strategy="median"):
@@ -79,6 +80,11 @@ class NumericImputer(Estimator, _Stage):
         elif strategy == "median":
             found = exact_quantiles(df, exprs, [0.5])
             fills = [found[c][0] for c in names]
+        elif strategy == "none":
+            gaps = df.agg(*[F.count_if(exprs[c].isNull()) for c in names]).first()
+            if any(gaps):
+                raise ValueError("no strategy for missing values, but values are missing in " + ", ".join(c for c, n in zip(names, gaps) if n))
+            fills = [float("nan")] * len(names)
         else:
             raise ValueError(f"unknown imputing strategy: {strategy}")
         model = NumericImputerModel()
@@ -90,10 +96,12 @@ class NumericImputerModel(Model, _Stage):
     fills = Param(Params._dummy(), "fills", "value per column", TypeConverters.toListFloat)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        fills = self.getOrDefault("fills")
-        return df.withColumns(
-            {o: F.coalesce(as_number(df, c), F.lit(fills[i])) for i, (c, o) in enumerate(self._pairs())}
-        )
+        out = {}
+        for (c, o), fill in zip(self._pairs(), self.getOrDefault("fills")):
+            # Without a fill, a gap in a row to be transformed is an error that names its column.
+            gap = F.raise_error(F.lit(f"missing value in {c}, and no strategy for missing values")).cast("double") if fill != fill else F.lit(fill)
+            out[o] = F.coalesce(as_number(df, c), gap)
+        return df.withColumns(out)
 
 
 def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
@@ -148,24 +156,31 @@ class CategoryImputerModel(Model, _Stage):
 
 
 class FenceCapper(Estimator, _Stage):
-    """Clips numeric columns to quartile fences learned in fit."""
+    """Clips numeric columns to limits learned in fit: quartile fences, or a number of deviations around the mean."""
 
-    multiplier = Param(Params._dummy(), "multiplier", "fence width in quartile ranges", TypeConverters.toFloat)
+    multiplier = Param(Params._dummy(), "multiplier", "width in quartile ranges or deviations", TypeConverters.toFloat)
+    kind = Param(Params._dummy(), "kind", "iqr or zscore", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCols=None, multiplier=IQR_MULTIPLIER):
+    def __init__(self, *, inputCols=None, outputCols=None, multiplier=IQR_MULTIPLIER, kind="iqr"):
         super().__init__()
-        self._setDefault(multiplier=IQR_MULTIPLIER)
+        self._setDefault(multiplier=IQR_MULTIPLIER, kind="iqr")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> "FenceCapperModel":
-        names, width = self.getInputCols(), self.getOrDefault("multiplier")
-        found = exact_quantiles(df, {c: as_number(df, c) for c in names}, [0.25, 0.75])
-        low, high = [], []
-        for c in names:
-            q1, q3 = found[c]
-            low.append(float("-inf") if q1 is None else q1 - width * (q3 - q1))
-            high.append(float("inf") if q3 is None else q3 + width * (q3 - q1))
+        names, width, low, high = self.getInputCols(), self.getOrDefault("multiplier"), [], []
+        exprs = {c: as_number(df, c) for c in names}
+        if self.getOrDefault("kind") == "zscore":
+            found = df.agg(*[f(finite_or_null(exprs[c])) for c in names for f in (F.avg, F.stddev_pop)]).first()
+            for mean, deviation in zip(found[::2], found[1::2]):
+                low.append(float("-inf") if mean is None else mean - width * deviation)
+                high.append(float("inf") if mean is None else mean + width * deviation)
+        else:
+            found = exact_quantiles(df, exprs, [0.25, 0.75])
+            for c in names:
+                q1, q3 = found[c]
+                low.append(float("-inf") if q1 is None else q1 - width * (q3 - q1))
+                high.append(float("inf") if q3 is None else q3 + width * (q3 - q1))
         model = FenceCapperModel()
         model._set(inputCols=names, outputCols=[o for _, o in self._pairs()], lower=low, upper=high)
         return model

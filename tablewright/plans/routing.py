@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.numeric import present
 from tablewright.functions.text import is_id_name
 from tablewright.operators.features import (
+    ZSCORE_LIMIT,
     CategoryEncoder,
     CategoryImputer,
     ColumnScaler,
@@ -20,12 +24,24 @@ from tablewright.operators.features import (
     TextParts,
     TfIdf,
 )
+from tablewright.plans.knn_model import NeighbourImputer
 from tablewright.plans.spec import ModelPlan
 
 # How semantic types are routed.
 CATEGORICAL_TYPES = ("categorical", "boolean", "high_cardinality")
 STRUCTURED_TYPES = ("email", "url", "ip_address", "uuid", "phone_number")
 
+#: How a plan's choice for missing numbers is filled. Rows with a gap are dropped from fitting only (``complete``); rows to be scored
+#: with one take the median, as results keep all rows.
+FILLS = {"mean": "mean", "median": "median", "mode": "most_frequent", "drop": "median", "none": "none"}
+
+
+def complete(df: DataFrame, types: dict[str, str], plan: ModelPlan) -> Column:
+    """Whether a row may be fitted on: under ``drop``, one without a gap in its numeric columns."""
+    if plan.preprocessing.missing_strategy != "drop":
+        return F.lit(True)
+    return reduce(lambda a, b: a & b, [present(df, c) for c in route(types, plan)["numeric"]], F.lit(True))
+
 
 def route(types: dict[str, str], plan: ModelPlan) -> dict[str, list[str]]:
     """Columns per kind of treatment; target, dropped and id columns go nowhere."""
@@ -54,10 +70,14 @@ def feature_stages(
     numeric = columns["numeric"]
     if numeric:
         names = [f"{c}__num" for c in numeric]
-        strategy = {"mean": "mean", "mode": "most_frequent"}.get(plan.preprocessing.missing_strategy, "median")
-        stages.append(NumericImputer(inputCols=numeric, outputCols=names, strategy=strategy))
+        if plan.preprocessing.missing_strategy == "knn":
+            stages.append(NeighbourImputer(inputCols=numeric, outputCols=names))
+        else:
+            stages.append(NumericImputer(inputCols=numeric, outputCols=names, strategy=FILLS[plan.preprocessing.missing_strategy]))
         if plan.preprocessing.outlier_strategy in ("iqr_cap", "winsorize"):
             stages.append(FenceCapper(inputCols=names))
+        elif plan.preprocessing.outlier_strategy == "zscore_cap":
+            stages.append(FenceCapper(inputCols=names, kind="zscore", multiplier=ZSCORE_LIMIT))
         if "log" in plan.features.numeric_transforms:
             stages.append(LogShift(inputCols=names))
         if plan.preprocessing.scale_strategy != "none":
@@ -69,7 +89,7 @@ def feature_stages(
         parts = names + parts
 
     categorical = columns["categorical"]
-    if categorical:
+    if categorical and plan.features.categorical_strategy != "none":
         filled = [f"{c}__cat" for c in categorical]
         stages.append(CategoryImputer(inputCols=categorical, outputCols=filled))
         strategy = plan.features.categorical_strategy
@@ -108,5 +128,7 @@ def feature_stages(
             stages.append(TfIdf(inputCol=c, outputCol=f"{c}__tfidf"))
             parts.append(f"{c}__tfidf")
 
+    if not parts:
+        raise ValueError("the plan leaves no column to learn from")
     stages.append(VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="keep"))
     return stages

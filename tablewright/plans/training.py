@@ -16,7 +16,7 @@ from tablewright.operators import metrics as M
 from tablewright.operators.features import FITTED, encode_label, feature_names, label_table
 from tablewright.operators.split import assign_folds, forward_folds, quota_split, sequential_split
 from tablewright.plans.models import balanced_weights, build_estimator
-from tablewright.plans.routing import feature_stages
+from tablewright.plans.routing import complete, feature_stages
 from tablewright.plans.spec import Candidate, ModelPlan
 from tablewright.runtime import cut_lineage, spread
 from tablewright.sources.writers import EXPERIMENT_SCHEMA, METRIC_SCHEMA
@@ -144,12 +144,12 @@ class FeatureSet:
 def make_features(folded: DataFrame, fitted_on: Column, plan: ModelPlan, types: dict[str, str]) -> FeatureSet:
     """Fits the transforms on the given rows only and writes the vectors of all rows once, for all candidates."""
     # Target codes leave a fitted row's own part out of the sums.
-    marked = folded.withColumn(FITTED, F.coalesce(fitted_on, F.lit(False)))
+    marked = folded.withColumn(FITTED, F.coalesce(fitted_on & complete(folded, types, plan), F.lit(False)))
     train = marked.where(FITTED)
     transforms = Pipeline(stages=feature_stages(train, types, plan)).fit(train)
     vectors = transforms.transform(marked)
     names = feature_names(vectors)
-    rows = vectors.select("label", "split", "fold", "features")
+    rows, fitted_on = vectors.select("label", "split", "fold", "features", FITTED), F.col(FITTED)
     weight = None
     if plan.evaluation.handle_imbalance and plan.is_classification:
         weight = "weight"

@@ -11,6 +11,7 @@ from tablewright.functions.numeric import plain_round
 from tablewright.operators import features as X
 from tablewright.operators import split as S
 from tablewright.operators.schema import infer_schema
+from tablewright.plans.knn_model import NeighbourImputer
 from tablewright.plans.routing import feature_stages
 from tablewright.plans.spec import Candidate, Features, ModelPlan, Preprocessing
 from tablewright.runtime import cut_lineage, scratch_path
@@ -76,6 +77,14 @@ def fence_capper(t: Tables) -> DataFrame:
     return _summary(X.FenceCapper(inputCols=["quantity"], multiplier=0.1).fit(_train(df)).transform(df), "quantity")
 
 
+@query("zscore_capper", _summary_sql(
+    "CASE WHEN quantity IS NULL THEN NULL ELSE greatest(mean - 0.5 * dev, least(mean + 0.5 * dev, quantity)) END",
+    extra=f", (SELECT avg(quantity) AS mean, stddev_pop(quantity) AS dev FROM {_LINES} WHERE {_TRAIN}) AS f"))
+def zscore_capper(t: Tables) -> DataFrame:
+    df = _lines(t)
+    return _summary(X.FenceCapper(inputCols=["quantity"], multiplier=0.5, kind="zscore").fit(_train(df)).transform(df), "quantity")
+
+
 @query("log_transform", _summary_sql(
     "ln(1 + margin + CASE WHEN lo < 0 THEN abs(lo) + 1 ELSE 0 END)", extra=f", (SELECT min(margin) AS lo FROM {_LINES} WHERE {_TRAIN}) AS f"))
 def log_transform(t: Tables) -> DataFrame:
@@ -98,6 +107,19 @@ for _kind, (_center, _scale) in _SCALES.items():
         return _summary(model.transform(df), "l_extendedprice")
 
 
+@query("impute_neighbours", """
+WITH f AS (SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS b, c_nationkey AS a, pow(c_custkey, 1.5) AS z FROM customer),
+s AS (SELECT stddev_pop(a) AS sa, stddev_pop(z) AS sz FROM f),
+n AS (SELECT g.c_custkey, m.b, row_number() OVER (PARTITION BY g.c_custkey ORDER BY pow((g.a - m.a) / sa, 2) + pow((g.z - m.z) / sz, 2), m.c_custkey) AS r
+      FROM f g JOIN f m ON g.b IS NULL AND m.b IS NOT NULL, s)
+SELECT f.c_custkey, round(coalesce(max(f.b), avg(n.b)), 4) AS b FROM f LEFT JOIN n ON n.c_custkey = f.c_custkey AND n.r <= 5 GROUP BY 1""")
+def impute_neighbours(t: Tables) -> DataFrame:
+    df = t("customer").selectExpr(
+        "c_custkey", "CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS b", "c_nationkey AS a", "pow(c_custkey, 1.5) AS z")
+    filled = NeighbourImputer(inputCols=["a", "b", "z"], outputCols=["fa", "fb", "fz"]).fit(df).transform(df)
+    return filled.select("c_custkey", F.round("fb", 4).alias("b"))
+
+
 @query("encode_onehot", "SELECT c_custkey, " + ", ".join(
     f"CAST(c_mktsegment = '{s}' AS DOUBLE) AS \"c_mktsegment__cat_code_{s}\"" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 ) + " FROM customer")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tablewright.operators import features as X
 from tablewright.operators import order_stats
 from tablewright.operators import split as S
-from tablewright.plans.routing import feature_stages, route
+from tablewright.plans.knn_model import NeighbourImputer, NeighbourImputerModel
+from tablewright.plans.routing import complete, feature_stages, route
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan, Preprocessing
 from tablewright.runtime import attach_lookup, scratch_path
 
@@ -185,3 +186,61 @@ def test_folds_partition_groups(spark, repeated, label):
 def test_fold_strategy_names(spark, repeated):
     assert S.fold_strategy(repeated, ["a", "b"], True) == "StratifiedGroupKFold"
     assert S.fold_strategy(spark.range(5), ["id"], False) == "KFold"
+
+
+def test_plan_choices_for_gaps_and_outliers(spark):
+    rows = [(i, float(i % 10), None if i % 5 == 0 else float(i % 10) * 2, "ab"[i % 2], float(i % 2)) for i in range(60)] + [(60, 1e6, 1.0, "a", 0.0)]
+    df = spark.createDataFrame(rows, "row long, x double, y double, s string, label double")
+    types = {"x": "numeric", "y": "numeric", "s": "categorical"}
+    plan = lambda missing, outliers="none", codes="none": ModelPlan(
+        "binary_classification", "label", TWO, Preprocessing(missing_strategy=missing, outlier_strategy=outliers), Features(categorical_strategy=codes))
+    fitted = lambda p: Pipeline(stages=feature_stages(df, types, p)).fit(df)
+    vectors = lambda p: {r["row"]: r["features"].toArray() for r in fitted(p).transform(df).collect()}
+
+    by_neighbours = vectors(plan("knn"))
+    assert len(by_neighbours) == 61 and all(len(v) == 2 for v in by_neighbours.values())
+    # Row 0 lies nearest to the rows with x = 1.
+    assert by_neighbours[1][1] == by_neighbours[0][1] == 2.0 != vectors(plan("median"))[0][1]
+    with pytest.raises(ValueError, match="missing in y"):
+        fitted(plan("none"))
+    whole = df.where("y IS NOT NULL")
+    bare = Pipeline(stages=feature_stages(whole, types, plan("none"))).fit(whole)
+    assert bare.transform(whole).count() == 49
+    with pytest.raises(Exception, match="missing value in y"):
+        bare.transform(df).select("features").collect()
+    capped = vectors(plan("median", "zscore_cap"))
+    x = np.array([r[1] for r in rows])
+    assert capped[60][0] == pytest.approx(x.mean() + 3 * x.std()) and capped[3][0] == 3.0
+    assert [r["row"] for r in df.where(complete(df, types, plan("drop"))).collect()] == [r[0] for r in rows if r[2] is not None]
+    assert df.where(complete(df, types, plan("mean"))).count() == 61
+    with pytest.raises(ValueError, match="no column"):
+        feature_stages(df, {"s": "categorical"}, plan("median"))
+
+
+def test_neighbour_imputer_equals_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(400, 3)) * [1, 50, 3]
+    values[:130] = values[0]  # a third of the rows are equal
+    values[rng.random((400, 3)) < 0.15] = np.nan
+    values[7, 0] = np.inf
+    frame = pd.DataFrame(values, columns=["a", "b", "c d"])
+    df = spark.createDataFrame(frame.assign(row=range(400)))
+    names = ["a", "b", "c d"]
+    model = NeighbourImputer(inputCols=names, outputCols=["oa", "ob", "oc"], k=3).fit(df)
+    path = scratch_path(spark, "imputer")
+    model.write().overwrite().save(path)
+    found = [model.transform(df), NeighbourImputerModel.load(path).transform(df)]
+    found = [np.array([[r["oa"], r["ob"], r["oc"]] for r in sorted(f.collect(), key=lambda r: r["row"])]) for f in found]
+    known = np.where(np.isinf(values), np.nan, values)
+    scaled = np.where(np.isnan(known), np.nanmedian(known, axis=0), known) / np.nanstd(known, axis=0)
+    expected = known.copy()
+    for i, j in zip(*np.where(np.isnan(known))):
+        others = [c for c in range(3) if c != j]
+        members = np.where(~np.isnan(known[:, j]))[0]
+        distance = np.sqrt(((scaled[members][:, others] - scaled[i, others]) ** 2).sum(axis=1))
+        expected[i, j] = known[members[np.argsort(distance, kind="stable")[:3]], j].mean()
+    assert np.allclose(found[0], expected) and np.allclose(found[1], expected)
+    nothing = df.where("row < 0")
+    assert model.transform(nothing).count() == 0
+    assert NeighbourImputer(inputCols=["a"]).fit(df).transform(df).where("a IS NULL").count() == 0
+    assert NeighbourImputer(inputCols=names).fit(nothing).transform(df).where("a IS NULL OR b IS NULL").count() == 0
