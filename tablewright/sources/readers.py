@@ -29,12 +29,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, line_breaks: bool = True
 ) -> DataFrame:
     """A table from CSV, Parquet, JSON or JSON lines, chosen by suffix unless named.
 
     A given schema avoids the inference pass over text formats. CSV fields may hold line breaks, so a CSV file is read by
-    one task; large tables should come as several files. Of a ``.json`` folder each file is read as JSON lines if
+    one task; with ``line_breaks=False``, for files where no field holds one, a file is split over many tasks. Of a ``.json`` folder each file is read as JSON lines if
     each of its lines is an object, else as one document. Rows that are not in the format raise an error.
     """
     fmt = fmt or format_of(path)
@@ -44,7 +44,7 @@ def read_table(
     if fmt == "parquet":
         return reader.parquet(path)
     if fmt == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
+        return reader.csv(path, header=True, inferSchema=schema is None, escape='"', multiLine=line_breaks, ignoreLeadingWhiteSpace=False,
                           ignoreTrailingWhiteSpace=False, emptyValue="")
     if fmt == "jsonl":
         return reader.json(path)

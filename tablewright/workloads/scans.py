@@ -33,6 +33,13 @@ def scan_csv(t: Tables) -> DataFrame:
     return _orders_report(readers.read_table(t.spark, path, schema=t("orders").schema))
 
 
+@query("scan_csv_split", ORDERS_SQL)
+def scan_csv_split(t: Tables) -> DataFrame:
+    """No field of the orders holds a line break, so files can be split."""
+    path = writers.write_table(t("orders"), scratch_path(t.spark, "orders") + ".csv", "csv")
+    return _orders_report(readers.read_table(t.spark, path, schema=t("orders").schema, line_breaks=False))
+
+
 @query("scan_csv_inferred", ORDERS_SQL)
 def scan_csv_inferred(t: Tables) -> DataFrame:
     path = writers.write_table(t("orders"), scratch_path(t.spark, "orders") + ".csv", "csv")

@@ -440,3 +440,22 @@ def test_json_files_of_all_kinds_keep_their_records(spark, tmp_path):
     (folder / "d.json").write_text('{"a": 7}\n{"a": ')
     with pytest.raises(Exception):
         read_table(spark, str(folder), schema="a bigint").collect()
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    path = str(tmp_path / "many.csv")
+    Path(path).write_text("k,s\n" + "".join(f'{i},"a, ""{i}"""\n' for i in range(50_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        whole = readers.read_table(spark, path, schema="k long, s string")
+        split = readers.read_table(spark, path, schema="k long, s string", line_breaks=False)
+        assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+        assert whole.exceptAll(split).count() == split.exceptAll(whole).count() == 0 and split.count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    broken = str(tmp_path / "broken.csv")
+    Path(broken).write_text('k,s\n1,"a\nb"\n')
+    assert readers.read_table(spark, broken, schema="k long, s string").first()["s"] == "a\nb"
+    with pytest.raises(Exception):
+        readers.read_table(spark, broken, schema="k long, s string", line_breaks=False).collect()
