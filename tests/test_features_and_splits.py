@@ -11,6 +11,7 @@ from tablewright.operators import order_stats
 from tablewright.operators import split as S
 from tablewright.plans.knn_model import NeighbourImputer, NeighbourImputerModel
 from tablewright.plans.routing import complete, feature_stages, route
+from tablewright.plans.training import make_features
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan, Preprocessing
 from tablewright.runtime import attach_lookup, scratch_path
 
@@ -244,3 +245,14 @@ def test_neighbour_imputer_equals_a_plain_version(spark):
     assert model.transform(nothing).count() == 0
     assert NeighbourImputer(inputCols=["a"]).fit(df).transform(df).where("a IS NULL").count() == 0
     assert NeighbourImputer(inputCols=names).fit(nothing).transform(df).where("a IS NULL OR b IS NULL").count() == 0
+
+
+def test_dropped_rows_are_not_fitted_but_scored(spark):
+    rows = [(None if i % 4 == 0 else float(i), float(i % 2), "test" if i % 5 == 0 else "train", i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, label double, split string, fold int")
+    plan = ModelPlan("binary_classification", "label", TWO, Preprocessing(missing_strategy="drop"))
+    made = make_features(df, F.col("split") == "train", plan, {"x": "numeric"})
+    fitted = [x for x, _, split, _ in rows if x is not None and split == "train"]
+    assert made.rows.count() == 60 and made.count == made.training().count() == len(fitted)
+    tested = sorted(r["features"][0] for r in made.rows.where("split = 'test'").collect())
+    assert tested == sorted(float(np.median(fitted)) if x is None else x for x, _, split, _ in rows if split == "test")
