@@ -4,6 +4,9 @@ Members are parted around pivots, and every part again, until a leaf holds at mo
 pivot. A query searches its own leaf first, which bounds its k-th distance; by the triangle inequality only nodes that reach into that bound are entered.
 The nearest of the leaves that remain are searched next, the others only if the better bound still lets them in. Equal vectors are searched once; a leaf
 that cannot be parted, and the queries of a leaf, are cut in blocks, so a dense place or a vector repeated by a third of the rows spreads over many tasks.
+
+Where bounds prune little (many dimensions), the leaves that remain are searched in packs, so that vectors are copied to few blocks. Vectors never leave the JVM more
+than once per query; inside a block a matrix product finds the pairs that may be near enough, with its rounding error allowed for, and only their distances are taken.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from tablewright.runtime import attach_lookup, cut_lineage
 
 #: Members of a leaf, pivots of a node, levels of a tree, leaves that are searched together after the own one.
 BLOCK_ROWS, FAN, MAX_LEVELS, NEXT_LEAVES = 2000, 32, 12, 4
+#: Leaves of a query, on average, beyond which they are searched in packs of ``PACK`` times ``BLOCK_ROWS`` members.
+MANY_LEAVES, PACK = 8, 4
+#: Distances of a step inside a block, and queries whose leaves are listed together.
+STEP, LISTED = 1 << 20, 1000
 #: Bytes of pivots that are broadcast. A tree stops growing there; its leaves are then cut in blocks, and searches stay exact.
 TREE_BYTES = 128 << 20
 _SLACK = 1e-9
@@ -38,6 +45,57 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_distances(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The distances between ``a[rows]`` and ``b[columns]``, by differences as well."""
+    out = np.empty(len(rows))
+    step = max(1, 4 * STEP // max(1, a.shape[1]))
+    for start in range(0, len(rows), step):
+        diff = a[rows[start : start + step]] - b[columns[start : start + step]]
+        out[start : start + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray, limit: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a``, rows of ``b`` and their distance: for every row of ``a`` the ``keep`` nearest of ``b``, earlier ones first among equals.
+
+    Pairs beyond ``limit`` may be left out. Squared distances from a matrix product choose the pairs to look at: what they may be wrong by is added to what they are
+    compared with.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = b.mean(axis=0)
+        near_a, near_b = a - centre, b - centre
+        square_a, square_b = np.einsum("ij,ij->i", near_a, near_a), np.einsum("ij,ij->i", near_b, near_b)
+    plain = not (np.isfinite(square_a).all() and np.isfinite(square_b).all())
+    limit = np.where(np.isnan(limit), np.inf, limit)
+    found = []
+    for start in range(0, len(a), max(1, STEP // len(b))):
+        part = slice(start, start + max(1, STEP // len(b)))
+        if plain:
+            d = _distances(a[part], b)
+            columns = np.argsort(d, axis=1, kind="stable")[:, :keep]
+            rows = np.repeat(np.arange(len(d)), columns.shape[1])
+            found.append((rows + start, columns.ravel(), d[rows, columns.ravel()]))
+            continue
+        squares = near_a[part] @ near_b.T
+        squares *= -2
+        squares += square_b
+        squares += square_a[part, None]
+        wrong = (8 * a.shape[1] + 64) * np.finfo(float).eps * (square_a[part] + square_b.max())
+        most = (limit[part] * (1 + _SLACK) + _SLACK) ** 2 + wrong
+        near = squares <= most[:, None]
+        many = np.flatnonzero(near.sum(axis=1) > 2 * keep)
+        if len(many) and len(b) > keep:
+            most[many] = np.minimum(most[many], np.partition(squares[many], keep - 1, axis=1)[:, keep - 1] + 2 * wrong[many])
+            near[many] = squares[many] <= most[many, None]
+        rows, columns = np.nonzero(near)
+        d = _pair_distances(a[part], b, rows, columns)
+        order = np.lexsort((columns, d, rows))
+        rows, columns, d = rows[order], columns[order], d[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < keep
+        found.append((rows[first] + start, columns[first], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class PivotTree:
     """Nodes by number: pivots of their children, and of every child the farthest member and how many there are."""
 
@@ -93,6 +151,19 @@ class PivotTree:
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return (*(np.concatenate(x) for x in zip(*(found or [empty]))), looked)
 
+    def packs(self) -> dict[int, int]:
+        """Every leaf's pack: leaves that lie side by side in the tree, with ``PACK * BLOCK_ROWS`` members or a single leaf."""
+        out, pack, held, stack = {}, 0, 0, [0]
+        while stack:
+            node = stack.pop()
+            if node in self.children:
+                stack += reversed(self.children[node].tolist())
+                continue
+            if held and held + self.size[node] > PACK * BLOCK_ROWS:
+                pack, held = pack + 1, 0
+            out[node], held = pack, held + self.size[node]
+        return out
+
 
 def _routed(df: DataFrame, tree, id_type: str, keep: int = 1, only: set[int] | None = None) -> DataFrame:
     """``id, vec, cell, to_pivot, bound``: the leaf of every vector of ``id, vec``, or of those that come to the leaves ``only``."""
@@ -109,7 +180,8 @@ def _routed(df: DataFrame, tree, id_type: str, keep: int = 1, only: set[int] | N
 def grow_tree(members: DataFrame, id_type: str):
     """The metric tree of distinct vectors ``id, vec``, broadcast: leaves of at most ``BLOCK_ROWS`` members, as far as ``TREE_BYTES`` of pivots go.
 
-    A level is one scan that counts the members of each new leaf, and one that draws ``FAN`` pivots, by hash, of each leaf that holds too many.
+    A level is one scan that counts the members of each new leaf, and one that draws pivots, by hash, of each leaf that holds too many: ``FAN``, or as many as
+    leave about half of ``BLOCK_ROWS`` for each, so that leaves are never more than members over a part of ``BLOCK_ROWS``.
     """
     context, tree = members.sparkSession.sparkContext, PivotTree()
     tree.size[0], width = members.agg(F.count("*"), F.max(F.size("vec"))).first()
@@ -122,10 +194,10 @@ def grow_tree(members: DataFrame, id_type: str):
         leaf = Window.partitionBy("cell").orderBy(F.xxhash64("vec"), "id")
         drawn = _routed(members, context.broadcast(tree), id_type, only=wide).withColumn("place", F.row_number().over(leaf)).where(F.col("place") <= FAN)
         pivots: dict[int, list] = {}
-        for r in drawn.select("cell", "vec").collect():
+        for r in drawn.orderBy("cell", "place").select("cell", "vec").collect():
             pivots.setdefault(r["cell"], []).append(r["vec"])
         for node, rows in pivots.items():
-            tree.split(node, np.array(rows, dtype=float))
+            tree.split(node, np.array(rows[: max(2, -(-2 * tree.size[node] // BLOCK_ROWS))], dtype=float))
         fresh = {c for node in pivots for c in tree.children[node].tolist()}
         counted = _routed(members, context.broadcast(tree), id_type, only=fresh).groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius"))
         wide = set()
@@ -136,21 +208,22 @@ def grow_tree(members: DataFrame, id_type: str):
     return context.broadcast(tree)
 
 
-def _block_search(queries: DataFrame, members: DataFrame, keep: int, id_type: str) -> DataFrame:
-    """Top ``keep`` members for each query in every (cell, block) it visits, merged per query.
+def _block_search(queries: DataFrame, members: DataFrame, keep: int, id_type: str, block_rows: int | None = None) -> DataFrame:
+    """Top ``keep`` members for each query in every (cell, block) it visits, those beyond its limit left out where it has one.
 
-    ``queries`` has (id, vec, cell), ``members`` has (id, vec, cell). Member blocks and query blocks hold about
-    ``BLOCK_ROWS`` rows, whatever the size of the cell.
+    ``queries`` has (id, vec, cell, limit), ``members`` has (id, vec, cell). Member blocks and query blocks hold about
+    ``block_rows`` rows, whatever the size of the cell.
     """
-    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    loads = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("loads"))
+    block_rows = block_rows or BLOCK_ROWS
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    loads = queries.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("loads"))
     # One row per leaf, as the tree itself.
     grid = F.broadcast(sizes.join(loads, "cell"))
     q = (
         queries.join(grid, "cell")
         .withColumn("load", F.pmod(F.xxhash64("id"), F.col("loads")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", "block", "load", "id", "vec")
+        .select("cell", "block", "load", "id", "vec", F.col("limit").cast("double").alias("limit"))
     )
     m = (
         members.join(grid, "cell")
@@ -164,10 +237,9 @@ def _block_search(queries: DataFrame, members: DataFrame, keep: int, id_type: st
             return pd.DataFrame({"id": left["id"][:0], "other": left["id"][:0], "distance": np.empty(0)})
         right = right.sort_values("id", kind="stable")
         ids, other = left["id"].to_numpy(), right["id"].to_numpy()
-        d = _distances(np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()))
-        order = np.argsort(d, axis=1, kind="stable")[:, :keep]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        return pd.DataFrame({"id": ids[rows], "other": other[order.ravel()], "distance": d[rows, order.ravel()]})
+        limit = left["limit"].to_numpy(dtype=float, na_value=np.nan)
+        rows, columns, d = _near_pairs(np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()), limit, keep)
+        return pd.DataFrame({"id": ids[rows], "other": other[columns], "distance": d})
 
     keys = ["cell", "block", "load"]
     return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(
@@ -181,28 +253,36 @@ def _top(pairs: DataFrame, keep: int) -> DataFrame:
 
 
 def _visits(queries: DataFrame, tree, id_type: str) -> DataFrame:
-    """``id, vec, cell, least, place, looked`` for queries ``id, vec, cell, limit``: other leaves than ``cell`` that may hold a member within the limit.
+    """``id, vec, visits, looked`` for queries ``id, vec, cell, limit``: other leaves than ``cell`` that may hold a member within the limit.
 
-    ``place`` orders a query's leaves by the least distance of a member in them; ``looked`` are pivots that were compared for the batch, in its first row.
+    ``visits`` are structs of ``cell``, its ``pack`` and ``least``, the least distance of a member in it, nearest first; ``looked`` are pivots that were compared for
+    some queries, in their first row. A query's vector stands once beside all its leaves.
     """
 
+    packs = tree.value.packs()
+
     def other_leaves(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            vectors = np.stack(pdf["vec"].to_numpy())
-            row, leaf, least, looked = tree.value.leaves_within(vectors, pdf["limit"].to_numpy(dtype=float))
-            other = leaf != pdf["cell"].to_numpy()[row]
-            row, leaf, least = row[other], leaf[other], least[other]
-            order = np.lexsort((leaf, least, row))
-            row, leaf, least = row[order], leaf[order], least[order]
-            first = np.searchsorted(row, np.arange(len(pdf)))
-            out = pd.DataFrame({"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "cell": leaf, "least": least, "place": np.arange(len(row)) - first[row], "looked": 0})
-            if len(out):
-                out.loc[0, "looked"] = looked
-            yield out
+        for whole in batches:
+            for start in range(0, len(whole), LISTED):
+                pdf = whole.iloc[start : start + LISTED]
+                vectors = np.stack(pdf["vec"].to_numpy())
+                row, leaf, least, looked = tree.value.leaves_within(vectors, pdf["limit"].to_numpy(dtype=float))
+                other = leaf != pdf["cell"].to_numpy()[row]
+                row, leaf, least = row[other], leaf[other], least[other]
+                order = np.lexsort((leaf, least, row))
+                row, leaf, least = row[order], leaf[order], least[order]
+                pack = np.fromiter((packs[x] for x in leaf.tolist()), np.int64, len(leaf))
+                cuts = np.searchsorted(row, np.arange(1, len(pdf)))
+                yield pd.DataFrame({
+                    "id": pdf["id"].to_numpy(), "vec": pdf["vec"].to_numpy(), "leaf": _pieces(leaf, cuts), "pack": _pieces(pack, cuts), "least": _pieces(least, cuts),
+                    "looked": np.where(np.arange(len(pdf)) == 0, looked, 0)})
+
+    found = queries.select("id", "vec", "cell", "limit").mapInPandas(other_leaves, f"id {id_type}, vec array<double>, leaf array<bigint>, pack array<bigint>, least array<double>, looked bigint")
+    return found.select("id", "vec", F.arrays_zip(F.col("leaf").alias("cell"), "pack", "least").alias("visits"), "looked")
 
-    return queries.select("id", "vec", "cell", "limit").mapInPandas(other_leaves, f"id {id_type}, vec array<double>, cell bigint, least double, place bigint, looked bigint")
+
+def _pieces(values: np.ndarray, cuts: np.ndarray) -> pd.Series:
+    return pd.Series(np.split(values, cuts), dtype=object)
 
 
 def _search(queries: DataFrame, members: DataFrame, keep: int, id_type: str) -> DataFrame:
@@ -212,21 +292,33 @@ def _search(queries: DataFrame, members: DataFrame, keep: int, id_type: str) ->
     if not tree.value.children:
         # New names keep the two sides of a self-join apart.
         q, m = (df.select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.lit(0).cast("bigint").alias("cell")) for df in (queries, members))
-        return _top(_block_search(q, m, keep, id_type), keep)
+        return _top(_block_search(q.withColumn("limit", F.lit(None).cast("double")), m, keep, id_type), keep)
     m = cut_lineage(_routed(members, tree, id_type).select("id", "vec", "cell"))
     q = cut_lineage(_routed(queries, tree, id_type, keep).select("id", "vec", "cell", "bound"))
-    found = cut_lineage(_top(_block_search(q.select("id", "vec", "cell"), m, keep, id_type), keep))
+    found = cut_lineage(_top(_block_search(q.select("id", "vec", "cell", F.col("bound").alias("limit")), m, keep, id_type), keep))
     reach = lambda rows: rows.groupBy("id").agg(F.when(F.count("*") >= keep, F.max("distance")).alias("reach"))
-    visits = cut_lineage(_visits(q.join(reach(found), "id", "left").withColumn("limit", F.least("bound", "reach")), tree, id_type))
-    leaf = ["id", "vec", "cell"]
-    found = _top(found.unionByName(_block_search(visits.where(F.col("place") < NEXT_LEAVES).select(leaf), m, keep, id_type)), keep)
-    later = visits.where(F.col("place") >= NEXT_LEAVES)
+    limited = q.join(reach(found), "id", "left").withColumn("limit", F.least("bound", "reach"))
+    visits = cut_lineage(_visits(limited, tree, id_type).join(limited.select("id", "limit"), "id"))
+    leaf = lambda some: F.explode(F.transform(some, lambda v: v["cell"])).alias("cell")
+    found = _top(found.unionByName(_block_search(visits.select("id", "vec", leaf(F.slice("visits", 1, NEXT_LEAVES)), "limit"), m, keep, id_type)), keep)
+    later = visits.where(F.size("visits") > NEXT_LEAVES)
     if later.isEmpty():
         return found
     found = cut_lineage(found)
-    inside = F.col("reach").isNull() | (F.col("least") <= F.col("reach") * (1 + _SLACK) + _SLACK)
-    rest = later.join(reach(found), "id", "left").where(inside).select(leaf)
-    return _top(found.unionByName(_block_search(rest, m, keep, id_type)), keep)
+    near = lambda v: F.col("reach").isNull() | (v["least"] <= F.col("reach") * (1 + _SLACK) + _SLACK)
+    rest = later.join(reach(found), "id", "left").select(
+        "id", "vec", F.filter(F.slice("visits", NEXT_LEAVES + 1, F.size("visits")), near).alias("visits"), F.least("limit", "reach").alias("limit"))
+    rest = cut_lineage(rest.where(F.size("visits") > 0))
+    asked, leaves = rest.agg(F.count("*"), F.coalesce(F.sum(F.size("visits")), F.lit(0))).first()
+    if leaves <= MANY_LEAVES * asked:
+        return _top(found.unionByName(_block_search(rest.select("id", "vec", leaf(F.col("visits")), "limit"), m, keep, id_type)), keep)
+    # One row per leaf, as the tree itself.
+    packs = members.sparkSession.createDataFrame(list(tree.value.packs().items()), "cell bigint, pack bigint")
+    packed = m.join(F.broadcast(packs), "cell").select("id", "vec", F.col("pack").alias("cell"))
+    asking = rest.select("id", "vec", F.explode(F.array_distinct(F.transform("visits", lambda v: v["pack"]))).alias("cell"), "limit")
+    # A pack may hold leaves that were searched before.
+    pairs = found.unionByName(_block_search(asking, packed, keep, id_type, PACK * BLOCK_ROWS))
+    return _top(pairs.groupBy("id", "other").agg(F.min("distance").alias("distance")), keep)
 
 
 def search_effort(points: DataFrame, key: str, vec: Column, k: int) -> DataFrame:
@@ -243,10 +335,11 @@ def search_effort(points: DataFrame, key: str, vec: Column, k: int) -> DataFrame
     sizes = m.groupBy("cell").agg(F.count("*").alias("n"))
     own = m.join(F.broadcast(sizes), "cell").agg(F.sum("n").alias("own"), F.count_distinct("cell").alias("leaves"), F.count("*").alias("members"))
     own_leaf = [m.select(*[F.col(c).alias(c) for c in ("id", "vec", "cell")]) for _ in range(2)]
-    found = _top(_block_search(*own_leaf, keep, id_type), keep)
+    found = _top(_block_search(own_leaf[0].withColumn("limit", F.lit(None).cast("double")), own_leaf[1], keep, id_type), keep)
     reach = found.groupBy("id").agg(F.when(F.count("*") >= keep, F.max("distance")).alias("reach"))
-    visits = _visits(m.join(reach, "id", "left").withColumn("limit", F.least("bound", "reach")), tree, id_type)
-    others = visits.join(F.broadcast(sizes), "cell").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("looked"), F.lit(0))).first()
+    visits = cut_lineage(_visits(m.join(reach, "id", "left").withColumn("limit", F.least("bound", "reach")), tree, id_type))
+    leaves = visits.select(F.explode("visits").alias("v")).select("v.cell").join(F.broadcast(sizes), "cell")
+    others = (*leaves.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first(), visits.agg(F.coalesce(F.sum("looked"), F.lit(0))).first()[0])
     return own.select(
         "members", "leaves", (F.col("members") + F.lit(others[1])).alias("visits"), F.lit(others[2]).alias("pivots_compared"),
         (F.col("own") + F.lit(others[0])).alias("members_compared"))

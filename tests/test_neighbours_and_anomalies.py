@@ -83,6 +83,43 @@ def test_a_tree_that_may_not_grow_is_still_exact(spark, points, monkeypatch):
     _check(found, _brute(points, points, 7, True))
 
 
+def _wide(spark, monkeypatch):
+    """Vectors whose bounds prune nothing, and leaves so small that every query has dozens."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    return np.random.default_rng(4).normal(size=(900, 24))
+
+
+def test_a_query_with_many_leaves_carries_its_vector_once(spark, monkeypatch):
+    x = _wide(spark, monkeypatch)
+    points = _frame(spark, x).select("id", "vec")
+    tree = N.grow_tree(points, "bigint")
+    assert len(tree.value.packs()) <= 5 * len(x) / N.BLOCK_ROWS  # leaves follow the members, not the fan
+    routed = N._routed(points, tree, "bigint", 7).withColumn("limit", F.lit(100.0))
+    visits = N._visits(routed, tree, "bigint").select("id", "vec", F.size("visits").alias("n")).collect()
+    assert len(visits) == len(x) and min(r["n"] for r in visits) > 30
+
+
+def test_leaves_searched_in_packs_are_exact(spark, monkeypatch):
+    x = _wide(spark, monkeypatch)
+    _check(N.nearest_neighbours(_frame(spark, x), None, "id", F.col("vec"), 7), _brute(x, x, 7, True))
+    q = x[::3] + 0.01
+    _check(N.nearest_neighbours(_frame(spark, q), _frame(spark, x), "id", F.col("vec"), 5), _brute(x, q, 5, False))
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-6, 1e6), (1e160, 0.0)])
+def test_near_pairs_of_a_block_are_those_of_all_distances(scale, offset):
+    rng = np.random.default_rng(8)
+    b = rng.integers(0, 4, size=(300, 3)) * scale + offset
+    a = np.vstack([b[:40], rng.random((40, 3)) * 4 * scale + offset])
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = N._distances(a, b)
+    want = np.argsort(d, axis=1, kind="stable")[:, :9]
+    with np.errstate(over="ignore", invalid="ignore"):
+        rows, columns, found = N._near_pairs(a, b, np.full(len(a), np.nan), 9)
+    assert np.array_equal(columns.reshape(len(a), 9), want)
+    assert np.array_equal(found, d[rows, columns])
+
+
 def test_effort_of_a_query_does_not_grow_with_the_table(spark, monkeypatch):
     """Distances per query, over tables of 1, 4 and 16 times as many vectors of the plane."""
     monkeypatch.setattr(N, "BLOCK_ROWS", 100)
