@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.numeric import as_number, is_numeric, numeric_columns, present, quoted
-from tablewright.operators.gram import pair_correlations
+from tablewright.operators.gram import BLOCK_COLUMNS, pair_correlations
 from tablewright.operators.order_stats import exact_quantiles
-from tablewright.operators.ranking_values import tie_ranks
+from tablewright.operators.ranking_values import running_totals
 from tablewright.runtime import attach_lookup, cut_lineage, spread
 
 # Fixed values.
@@ -42,26 +42,34 @@ def pearson_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return _pairwise_corr(df.select(*[as_number(df, c).alias(c) for c in columns]), columns)
 
 
-def _ranked(df: DataFrame, groups: list[list[str]], rows: int) -> list[DataFrame]:
-    """For each group of columns, their tie-averaged ranks over the rows where all of the group are present.
+def _ranked(df: DataFrame, groups: list[list[str]], rows: int) -> tuple[DataFrame, dict[str, tuple[int, str]]]:
+    """Rows of tie-averaged ranks, and the group and column of each of its columns: ranks over the rows where all of a group are present, else NULL.
 
-    Ranks are found per distinct value, for all groups in one scan, and looked up by the rows. ``rows`` is the number of rows of ``df``.
+    A column's values are counted once, for each of the groups it is in, by one scan for all columns, and its ranks in all of them are looked up by one join.
+    ``rows`` is the number of rows of ``df``.
     """
-    df, cells, number = spread(df, rows), [], {}
+    df = spread(df, rows)
+    whole = [reduce(lambda a, b: a & b, [quoted(c).isNotNull() for c in columns]) for columns in groups]
+    within: dict[str, list[int]] = {}
     for g, columns in enumerate(groups):
-        whole = reduce(lambda a, b: a & b, [quoted(c).isNotNull() for c in columns])
         for c in columns:
-            number[g, c] = len(cells)
-            cells.append(F.struct(F.lit(len(cells)).alias("__c"), F.when(whole, quoted(c).cast("double")).alias("__v")))
-    ranks = cut_lineage(tie_ranks(df.select(F.inline(F.array(*cells))), "__v", ("__c",)))
-    out = []
-    for g, columns in enumerate(groups):
-        part = df.select(*[quoted(c) for c in columns]).dropna()
-        for i, c in enumerate(columns):
-            one = ranks.where(F.col("__c") == number[g, c]).select(F.col("__v").alias(c), "n", F.col("rank").alias(f"__rank{i}"))
-            part = attach_lookup(part, one, [c], rows, "n")
-        out.append(part.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)]))
-    return out
+            within.setdefault(c, []).append(g)
+    slots = [f"__n{j}" for j in range(max(map(len, within.values())))]
+    inside = lambda c, j: whole[within[c][j]].cast("int") if j < len(within[c]) else F.lit(0)
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("__c"), quoted(c).cast("double").alias("__v"), *[inside(c, j).alias(n) for j, n in enumerate(slots)]) for i, c in enumerate(within)])
+    counts = df.select(F.inline(cells)).where(F.col("__v").isNotNull()).groupBy("__c", "__v").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in slots])
+    ranks = cut_lineage(running_totals(counts, "__v", slots, ("__c",)))
+    out, names = df, {}
+    # Rows without a value are dealt out by the others of their values, as they find nothing.
+    gap = F.pmod(F.xxhash64(*[quoted(c) for c in within]), F.lit(4096)).cast("int") + 1
+    for i, (c, own) in enumerate(within.items()):
+        found = [((F.col(f"{n}_before") + (F.col(n) + 1) / 2).cast("double")).alias(f"__r{g}_{i}") for n, g in zip(slots, own)]
+        one = ranks.where(F.col("__c") == i).select(F.col("__v").alias(f"__v{i}"), F.lit(0).alias("__gap"), "n", *found)
+        keyed = out.withColumns({f"__v{i}": quoted(c).cast("double"), "__gap": F.when(quoted(c).isNull(), gap).otherwise(0)})
+        out = attach_lookup(keyed, one, [f"__v{i}", "__gap"], rows, "n").drop(f"__v{i}", "__gap")
+        names |= {f"__r{g}_{i}": (g, c) for g in own}
+    return out.select(*[F.when(whole[g], F.col(r)).alias(r) for r, (g, _) in names.items()]), names
 
 
 def spearman_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -80,7 +88,26 @@ def spearman_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFram
     groups += [[a, b] for a, b in combinations(columns, 2) if a not in full or b not in full]
     if not groups:
         return df.sparkSession.createDataFrame([], _PAIRS)
-    return reduce(DataFrame.unionAll, [_pairwise_corr(ranked, group) for ranked, group in zip(_ranked(numbers, groups, rows), groups)])
+    ranked, names = _ranked(numbers, groups, rows)
+    # Columns without gaps in one scan, the pairs with gaps by as many as share a block of columns.
+    at = {place: r for r, place in names.items()}
+    scans = [[at[g, c] for g in part for c in groups[g]] for part in _scans(groups)]
+    ranked = cut_lineage(ranked) if len(scans) > 1 else ranked
+    place = df.sparkSession.createDataFrame([(r, g, c) for r, (g, c) in names.items()], "r string, g int, c string")
+    side = lambda s: F.broadcast(place.select(F.col("r").alias(f"col_{s}"), F.col("g").alias(f"g_{s}"), F.col("c").alias(f"c_{s}")))
+    pairs = reduce(DataFrame.unionAll, [_pairwise_corr(ranked, scan) for scan in scans]).join(side("a"), "col_a").join(side("b"), "col_b").where("g_a = g_b")
+    return pairs.select(F.col("c_a").alias("col_a"), F.col("c_b").alias("col_b"), "correlation")
+
+
+def _scans(groups: list[list[str]]) -> list[list[int]]:
+    """Groups whose pairs are taken from one scan: together at most a block of columns, or a single group."""
+    out, held = [], 0
+    for g, columns in enumerate(groups):
+        if not out or held + len(columns) > BLOCK_COLUMNS:
+            out, held = [*out, []], 0
+        out[-1].append(g)
+        held += len(columns)
+    return out
 
 
 def high_pairs(matrix: DataFrame, limit: float = HIGH_CORRELATION) -> DataFrame:
@@ -223,16 +250,17 @@ def target_rank_correlation(df: DataFrame, target: str, features: list[str]) ->
     if not features or df.where(y.isNotNull()).limit(6).count() <= 5:
         return df.sparkSession.createDataFrame([], schema)
     numbers = df.select(y.alias("__y"), *[as_number(df, c).alias(c) for c in features])
-    out = None
     full = numbers.agg(
         F.count("*").alias("rows"), F.count("__y").alias("y"), *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(features)]
     ).first()
     whole = [c for i, c in enumerate(features) if full[f"n{i}"] == full["rows"] == full["y"]]
     groups = ([["__y", *whole]] if whole else []) + [["__y", c] for c in features if c not in whole]
-    for ranked, (_, *named) in zip(_ranked(numbers, groups, full["rows"]), groups):
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.abs(F.col(f"r{i}")).alias("spearman_corr")) for i, c in enumerate(named)])
-        one = ranked.agg(*[F.corr("__y", quoted(c)).alias(f"r{i}") for i, c in enumerate(named)]).select(F.inline(cells))
-        out = one if out is None else out.unionAll(one)
+    ranked, names = _ranked(numbers, groups, full["rows"])
+    at = {place: r for r, place in names.items()}
+    # A pair's ranks are NULL on the rows that are not its own.
+    found = [(c, F.abs(F.corr(at[g, "__y"], at[g, c]))) for g, (_, *named) in enumerate(groups) for c in named]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"r{i}").alias("spearman_corr")) for i, (c, _) in enumerate(found)])
+    out = ranked.agg(*[r.alias(f"r{i}") for i, (_, r) in enumerate(found)]).select(F.inline(cells))
     return out.withColumn("spearman_corr", F.nanvl("spearman_corr", F.lit(None).cast("double")))
 
 

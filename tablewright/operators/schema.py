@@ -16,9 +16,12 @@ from tablewright.functions.text import (
     matches,
     word_count,
 )
+from tablewright.runtime import bounded_parts
 
 # Samples shown, and limits of the type decision, which looks at all values.
 SHOWN_SAMPLES = 3
+#: Cells whose values a task counts, and classes of keys that each name a smallest one.
+COUNTED_CELLS, KEY_CLASSES = 1_000_000, 16
 PHONE_MIN_SAMPLE = 3
 HIGH_CARDINALITY_RATIO = 0.80
 TEXT_WORDS = 5
@@ -38,13 +41,12 @@ def _as_text(df: DataFrame, name: str) -> Column:
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, value, n)`` over all columns: one shuffle of values already counted per task.
 
-    Long strings stand as their digest.
+    Long strings stand as their digest. A task counts a bounded number of cells, so that mostly different values do not fill its memory.
     """
     columns = columns or df.columns
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), text_key(_as_text(df, c)).alias("value")) for c in columns]
-    )
-    return df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    keyed = bounded_parts(df.select(*[text_key(_as_text(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]), df.count(), COUNTED_CELLS)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("value")) for i, c in enumerate(columns)])
+    return keyed.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
 def column_counts(df: DataFrame) -> DataFrame:
@@ -59,10 +61,15 @@ def column_counts(df: DataFrame) -> DataFrame:
 def first_values(df: DataFrame, key: str, size: int = SHOWN_SAMPLES) -> DataFrame:
     """``(column_name, values)``: the first non-null values of each column in key order.
 
-    One scan; every task sends on at most ``size`` rows per column.
+    Two scans. The first takes, per column, the smallest key of every class of keys: ``size`` of these bound the keys of the rows wanted, so the second orders
+    only a few rows. A column with fewer classes has no bound.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in df.columns])
-    rows = df.select(quoted(key).alias("__key"), F.inline(cells)).where(F.col("value").isNotNull())
+    k = quoted(key)
+    least = df.groupBy(F.pmod(F.xxhash64(k), F.lit(KEY_CLASSES)).alias("__class")).agg(*[F.min(F.when(present(df, c), k)).alias(f"__k{i}") for i, c in enumerate(df.columns)])
+    bounds = least.agg(*[F.get(F.sort_array(F.collect_list(f"__k{i}")), F.lit(size - 1)).alias(f"__b{i}") for i in range(len(df.columns))])
+    early = lambda i: F.coalesce(k <= F.col(f"__b{i}"), F.lit(True))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(early(i), _as_text(df, c)).alias("value")) for i, c in enumerate(df.columns)])
+    rows = df.crossJoin(F.broadcast(bounds)).select(k.alias("__key"), F.inline(cells)).where(F.col("value").isNotNull())
     place = F.row_number().over(Window.partitionBy("column_name").orderBy("__key", "value"))
     kept = rows.withColumn("place", place).where(F.col("place") <= size)
     ordered = F.sort_array(F.collect_list(F.struct("place", "value")))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # cores and kept between scans; a larger one is scanned again.
 BROADCAST_ROWS = 100_000
 KEPT_CELLS = 50_000_000
+# Cells of a part where a task holds all of its rows.
+PART_CELLS = 4_000_000
 
 _local_roots: dict[str, str] = {}
 
@@ -112,6 +114,12 @@ def reread(df: DataFrame, rows: int):
         kept.unpersist()
 
 
+def bounded_parts(df: DataFrame, rows: int, part_cells: int | None = None) -> DataFrame:
+    """``df`` in parts of bounded size, for steps whose tasks hold their rows; a file's own parts may be row groups of any size. A table of one part stays as it is."""
+    parts = -(-rows * max(len(df.columns), 1) // (part_cells or PART_CELLS))
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else df
+
+
 def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A small table over all cores, for heavy work per row; a large one keeps the partitions of its scan.
 

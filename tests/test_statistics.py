@@ -1,5 +1,7 @@
 """Order statistics, profile, schema and association against NumPy and by their limits."""
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,8 +14,10 @@ from tablewright.operators import metrics as M
 from tablewright.operators import neighbour_information as NI
 from tablewright.operators import order_stats as O
 from tablewright.operators import profile as P
+from tablewright.operators import schema as S
 from tablewright.operators.ranking_values import tie_ranks
 from tablewright.operators.schema import drop_identifiers, identifier_columns, infer_schema, tag_columns
+from tablewright.runtime import bounded_parts
 
 
 @pytest.fixture(scope="module")
@@ -334,3 +338,44 @@ def test_neighbour_information_edges(spark):
     assert NI.neighbour_mutual_information(spark.createDataFrame([], schema), "id", "y").where("mi_score > 0").count() == 0
     by_class = NI.neighbour_mutual_information(spark.createDataFrame(rows, schema).withColumn("y", F.col("y") % 2), "id", "y").collect()
     assert {r["column_name"] for r in by_class} == {"x", "c", "only", "a.b"}
+
+
+def test_ranks_of_a_column_are_looked_up_once_for_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame(np.round(rng.normal(size=(400, 4)), 1), columns=list("abcd"))
+    frame.loc[rng.random(400) < 0.2, "b"] = np.nan
+    frame.loc[rng.random(400) < 0.3, "d"] = np.nan
+    asked = []
+    attach = A.attach_lookup
+    monkeypatch.setattr(A, "attach_lookup", lambda rows, table, on, *rest: asked.append(on) or attach(rows, table, on, *rest, broadcast_rows=1))
+    monkeypatch.setattr(A, "BLOCK_COLUMNS", 4)  # several scans
+    found = {(r["col_a"], r["col_b"]): r["correlation"] for r in A.spearman_matrix(spark.createDataFrame(frame)).collect()}
+    want = {(a, b): frame[[a, b]].dropna().rank().corr().loc[a, b] for a, b in combinations("abcd", 2)}
+    assert len(asked) == 4
+    assert set(found) == set(want)
+    assert all(abs(found[pair] - want[pair]) < 1e-9 for pair in want)
+
+
+def test_counting_tasks_hold_a_bounded_number_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "COUNTED_CELLS", 100)
+    df = spark.range(0, 1000, 1, 1).selectExpr("id", "concat('v', id % 700) AS text")
+    counts = S.value_counts(df)
+    assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().toString()
+    assert counts.where("column_name = 'text'").count() == 700
+
+
+def test_first_values_order_only_early_rows_and_keep_ties(spark):
+    rows = [(i // 2, None if i < 20 else f"x{i % 2}", f"y{i}") for i in range(2000)] + [(None, "first", None)]
+    df = spark.createDataFrame(rows, "k int, late string, y string")
+    found = {r["column_name"]: r["values"] for r in S.first_values(df, "k").collect()}
+    assert found["late"] == ["first", "x0", "x1"]
+    assert found["y"] == ["y0", "y1", "y2"]
+    assert found["k"] == ["0", "0", "1"]
+    few = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, "b")], "k int, v string")
+    assert {r["column_name"]: r["values"] for r in S.first_values(few, "k").collect()} == {"k": ["1", "1", "2"], "v": ["a", "a", "b"]}
+
+
+def test_large_tables_come_in_bounded_parts(spark):
+    one = spark.range(0, 1000, 1, 1)
+    assert bounded_parts(one, 1000, 20).rdd.getNumPartitions() == 50
+    assert bounded_parts(one, 1000, 1000).rdd.getNumPartitions() == 1
