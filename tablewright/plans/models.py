@@ -142,8 +142,9 @@ def build_estimator(
         model = cls(**common, maxDepth=int(p.get("max_depth") or DEEPEST), minInstancesPerNode=_least_leaf(p), seed=seed)
     elif family == "random_forest":
         cls = RandomForestRegressor if regression else RandomForestClassifier
+        # With node numbers kept, tasks of a level need not be sent all trees grown so far; the trees are the same.
         model = cls(
-            **common, numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth") or DEEPEST),
+            **common, cacheNodeIds=True, numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth") or DEEPEST),
             minInstancesPerNode=_least_leaf(p),
             featureSubsetStrategy=str(p.get("max_features", "auto")), seed=seed,
         )

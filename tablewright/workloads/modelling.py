@@ -23,7 +23,7 @@ from tablewright.plans import training as TR
 from tablewright.plans.models import build_estimator
 from tablewright.plans.refinement import refine
 from tablewright.plans.spec import Candidate, Evaluation, Features, ModelPlan
-from tablewright.runtime import cut_lineage, scratch_path, spread
+from tablewright.runtime import KEPT_CELLS, bounded_parts, cut_lineage, scratch_path, spread
 from tablewright.streaming.scoring import score_stream, start_scoring
 from tablewright.workloads.registry import Tables, digest_sql, query
 
@@ -81,7 +81,11 @@ def _line_vectors(t: Tables) -> DataFrame:
 
 
 def _fit_regression(t: Tables, library: str, **params) -> DataFrame:
-    split = cut_lineage(S.hash_split(spread(_line_vectors(t)), ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month"]))
+    lines = _line_vectors(t)
+    rows = lines.count()
+    # MLlib's trees keep a partition's rows as one cached block.
+    lines = bounded_parts(lines, rows) if rows * len(lines.columns) > KEPT_CELLS else spread(lines, rows)
+    split = cut_lineage(S.hash_split(lines, ["l_quantity", "l_discount", "l_tax", "l_linenumber", "month"]))
     train = split.where("split = 'train'")
     rows, std = train.agg(F.count("*"), F.stddev_pop("label")).first()
     stages = build_estimator(Candidate(library, library, params=params), "regression", rows, label_std=std)
