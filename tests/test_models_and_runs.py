@@ -459,3 +459,17 @@ def test_csv_without_line_breaks_is_split(spark, tmp_path):
     assert readers.read_table(spark, broken, schema="k long, s string").first()["s"] == "a\nb"
     with pytest.raises(Exception):
         readers.read_table(spark, broken, schema="k long, s string", line_breaks=False).collect()
+
+
+def test_trees_of_a_large_table_train_on_bounded_parts(spark, sf_dir, monkeypatch):
+    from tablewright import runtime
+    from tablewright.workloads import modelling as W
+    from tablewright.workloads.registry import QUERIES
+
+    parts, cut = [], W.cut_lineage
+    monkeypatch.setattr(W, "KEPT_CELLS", 1000)
+    monkeypatch.setattr(runtime, "PART_CELLS", 2000)
+    monkeypatch.setattr(W, "cut_lineage", lambda df: parts.append(df.rdd.getNumPartitions()) or cut(df))
+    assert QUERIES["model_gradient_boosting"](spark, sf_dir).count() == 3
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert parts[0] >= rows * 9 // 2000
