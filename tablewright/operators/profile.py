@@ -18,9 +18,12 @@ from tablewright.functions.numeric import (
     quoted,
 )
 from tablewright.operators.order_stats import (
+    ACCURACY,
     FETCH_ROWS,
-    bracket_aggs,
+    Sketch,
+    bracket_scan,
     brackets_of,
+    counted_in_packs,
     interpolated,
     quantile_ranks,
     ranked_values,
@@ -64,16 +67,17 @@ PROFILE_SCHEMA = T.StructType(
 )
 
 
-def column_statistics(df: DataFrame) -> list[dict]:
-    """One record per column, by four scans whatever the number of rows: moments and sketches; quantiles; counts beyond their limits and sketches of the
+def column_statistics(df: DataFrame, stored: bool = False) -> list[dict]:
+    """One record per column, by four steps whatever the number of rows: moments and sketches; quantiles; counts beyond their limits and sketches of the
     distances from the median; the median of those. A fifth is needed by columns with values so near the modified z limit that only the exact median tells.
 
-    Each scan reads every column once with map-side aggregation; scalars and a bounded number of values per column come back, and go
-    into the next scan as literals.
+    A step is one scan of every column with map-side aggregation. Of a ``stored`` table, whose columns are read apart at no cost (files, with expressions
+    on their columns, or kept rows), a step reads each column up to three times instead: plain numbers are taken a few columns at a time, as Spark compiles few
+    aggregates far better than many. Scalars and a bounded number of values per column come back, and go into the next step as literals.
     """
     rows = df.count()
     with reread(df.select(*[_prepared(df, f) for f in df.schema.fields]), rows) as kept:
-        return _column_statistics(kept, rows)
+        return _column_statistics(kept, rows, stored or kept is not df and kept.is_cached)
 
 
 def _prepared(df: DataFrame, field: T.StructField) -> Column:
@@ -84,31 +88,34 @@ def _prepared(df: DataFrame, field: T.StructField) -> Column:
     return (F.to_json(c) if isinstance(field.dataType, T.MapType) else c).alias(field.name)
 
 
-def _column_statistics(df: DataFrame, rows: int) -> list[dict]:
+def _column_statistics(df: DataFrame, rows: int, stored: bool = False) -> list[dict]:
     numeric = numeric_columns(df)
-    exprs = {c: as_number(df, c) for c in numeric}
+    # Prepared columns hold no NaN.
+    exprs = {c: quoted(c).cast("double") for c in numeric}
     points = sketch_points(QUARTILES)
-    # Rows of (column number, value): the moments stay one short code path however wide the table is.
-    x = F.col("x")
-    moments = [
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), *sketch_aggs(x, points),
-    ]
-    first = {}
-    for start in range(0, len(numeric), COLUMNS_PER_SCAN):
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), exprs[c].alias("x")) for c in numeric[start:start + COLUMNS_PER_SCAN]])
-        first |= {r["c"]: r for r in df.select(F.inline(cells)).groupBy("c").agg(*moments).collect()}
-    sketches = {c: sketch_of(r, points) for c, r in first.items()}
+    moments = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "g1": F.skewness, "g2": F.kurtosis}
+    if stored:
+        numbers = counted_in_packs(df, [{f"{k}{i}": f(exprs[c]) for k, f in moments.items()} for i, c in enumerate(numeric)])
+        first = {c: {k: numbers[f"{k}{i}"] for k in moments} | {"n": int(numbers[f"n{i}"])} for i, c in enumerate(numeric)}
+        sketches = _sketches(df, exprs, {c: (r["n"], r["min"], r["max"]) for c, r in first.items()}, points)
+    else:
+        # Rows of (column name, value): the moments stay one short code path however wide the table is.
+        x, first = F.col("x"), {}
+        for start in range(0, len(numeric), COLUMNS_PER_SCAN):
+            cells = F.array(*[F.struct(F.lit(c).alias("c"), exprs[c].alias("x")) for c in numeric[start:start + COLUMNS_PER_SCAN]])
+            aggs = [*[f(x).alias(k) for k, f in moments.items()], *sketch_aggs(x, points)]
+            first |= {r["c"]: r for r in df.select(F.inline(cells)).groupBy("c").agg(*aggs).collect()}
+        sketches = {c: sketch_of(r, points) for c, r in first.items()}
     brackets = [b for c, s in sketches.items() for b in brackets_of(c, s, quantile_ranks(s.rows, QUARTILES))]
     others = [f for f in df.schema.fields if f.name not in numeric]
-    aggs = bracket_aggs(brackets, exprs)
+    aggs = []
     for i, f in enumerate(others):
         c = quoted(f.name)
         aggs += [F.count(c).alias(f"n{i}"), F.min(c).eqNullSafe(F.max(c)).alias(f"flat{i}")]
-    row = df.agg(*aggs).first() if aggs else None
+    row = bracket_scan(df, brackets, exprs, others=aggs, stored=stored)
     flat = {f.name: (row[f"n{i}"], row[f"flat{i}"]) for i, f in enumerate(others)}
-    found, left = resolved(row, brackets, sketches) if brackets else ({}, [])
-    found = ranked_values(df, exprs, sketches, {}, found, left)
+    found, left = resolved(row, brackets, sketches)
+    found = ranked_values(df, exprs, sketches, {}, found, left, stored)
     quantiles = {c: interpolated(c, s.rows, QUARTILES, found) for c, s in sketches.items()}
 
     records = []
@@ -143,42 +150,51 @@ def _column_statistics(df: DataFrame, rows: int) -> list[dict]:
     names = [r["column_name"] for r in filled]
     distance = {r["column_name"]: F.abs(exprs[r["column_name"]] - F.lit(r["median"])) for r in filled}
     middle = sketch_points([0.5])
-    aggs = []
+    groups = []
     for i, r in enumerate(filled):
         c = exprs[r["column_name"]]
-        aggs.append(F.count_if((c < r["iqr_lower"]) | (c > r["iqr_upper"])).alias(f"iqr{i}"))
+        groups.append({f"iqr{i}": F.count_if((c < r["iqr_lower"]) | (c > r["iqr_upper"]))})
         if r["std"] and r["num_rows"] - r["missing_count"] > 5:
-            aggs.append(F.count_if(F.abs((c - r["mean"]) / r["std"]) > ZSCORE_LIMIT).alias(f"z{i}"))
-        aggs += sketch_aggs(distance[r["column_name"]], middle, str(i))
-    third = df.agg(*aggs).first().asDict()
-    sketches = {c: sketch_of(third, middle, str(i)) for i, c in enumerate(names)}
+            groups[-1][f"z{i}"] = F.count_if(F.abs((c - r["mean"]) / r["std"]) > ZSCORE_LIMIT)
+        if stored:
+            groups[-1] |= {f"near{i}": F.min(distance[r["column_name"]]), f"far{i}": F.max(distance[r["column_name"]])}
+    if stored:
+        third = counted_in_packs(df, groups)
+        ends = {r["column_name"]: (r["num_rows"] - r["missing_count"], third[f"near{i}"], third[f"far{i}"]) for i, r in enumerate(filled)}
+        sketches = _sketches(df, distance, ends, middle)
+    else:
+        counts = [a.alias(k) for g in groups for k, a in g.items()]
+        third = df.agg(*counts, *[a for i, c in enumerate(names) for a in sketch_aggs(distance[c], middle, str(i))]).first().asDict()
+        sketches = {c: sketch_of(third, middle, str(i)) for i, c in enumerate(names)}
     brackets = [b for c, s in sketches.items() for b in brackets_of(c, s, quantile_ranks(s.rows, [0.5]))]
     # A MAD lies in its brackets, so distances well beyond what the widest allows are over the limit, and those within the narrowest are not.
     reach = {c: (min(b.low for b in brackets if b.name == c), max(b.high for b in brackets if b.name == c)) for c in names}
     scale = MODIFIED_ZSCORE_LIMIT / MODIFIED_ZSCORE_FACTOR
     bands = {c: (low * scale * (1 - 1e-9), high * scale * (1 + 1e-9)) for c, (low, high) in reach.items()}
-    over = [F.count_if(distance[c] > bands[c][1]).alias(f"over{i}") for i, c in enumerate(names)]
-    near = [F.count_if((distance[c] >= bands[c][0]) & (distance[c] <= bands[c][1])).alias(f"near{i}") for i, c in enumerate(names)]
-    fourth = df.agg(*bracket_aggs(brackets, distance), *over, *near).first()
+    beyond = {c: {
+        f"over{i}": F.count_if(distance[c] > bands[c][1]), f"near{i}": F.count_if((distance[c] >= bands[c][0]) & (distance[c] <= bands[c][1])),
+    } for i, c in enumerate(names)}
+    fourth = bracket_scan(df, brackets, distance, beyond, stored=stored)
     found, left = resolved(fourth, brackets, sketches)
-    found = ranked_values(df, distance, sketches, {}, found, left)
+    found = ranked_values(df, distance, sketches, {}, found, left, stored)
     modified = lambda d, r: MODIFIED_ZSCORE_FACTOR * d / r["mad"]
     open_columns = []
     for i, r in enumerate(filled):
         c, n = r["column_name"], r["num_rows"] - r["missing_count"]
         r["mad"] = interpolated(c, n, [0.5], found)[0]
-        for rule, count in (("iqr", third[f"iqr{i}"]), ("zscore", third.get(f"z{i}", 0))):
+        for rule, count in (("iqr", int(third[f"iqr{i}"])), ("zscore", int(third.get(f"z{i}", 0)))):
             r[f"{rule}_outliers_count"], r[f"{rule}_outliers_pct"] = count, 100.0 * count / n
         if not r["mad"] or n <= 5:
             continue
         k = next(k for k, b in enumerate(brackets) if b.name == c)
         if brackets[k].rows == n <= FETCH_ROWS:  # all distances are here
             ends = [(brackets[k].low, fourth[f"low_b{k}"])] + ([(brackets[k].high, fourth[f"high_b{k}"])] if brackets[k].high > brackets[k].low else [])
-            r["modified_zscore_outliers_count"] = sum(m for d, m in ends if modified(d, r) > MODIFIED_ZSCORE_LIMIT) + sum(modified(d, r) > MODIFIED_ZSCORE_LIMIT for d in fourth[f"held_b{k}"] or [])
+            held = fourth.get(f"held_b{k}") or []
+            r["modified_zscore_outliers_count"] = int(sum(m for d, m in ends if modified(d, r) > MODIFIED_ZSCORE_LIMIT)) + sum(modified(d, r) > MODIFIED_ZSCORE_LIMIT for d in held)
         elif fourth[f"near{i}"]:
             open_columns.append(r)
         else:
-            r["modified_zscore_outliers_count"] = fourth[f"over{i}"]
+            r["modified_zscore_outliers_count"] = int(fourth[f"over{i}"])
     if open_columns:
         fifth = df.agg(*[F.count_if(modified(distance[r["column_name"]], r) > MODIFIED_ZSCORE_LIMIT).alias(f"m{i}") for i, r in enumerate(open_columns)]).first()
         for i, r in enumerate(open_columns):
@@ -188,9 +204,19 @@ def _column_statistics(df: DataFrame, rows: int) -> list[dict]:
     return records
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """The column profile as a table with one row per column of ``df``."""
-    return profile_table(df, column_statistics(df))
+def _sketches(df: DataFrame, exprs: dict[str, Column], ends: dict[str, tuple], points: tuple[float, ...]) -> dict[str, Sketch]:
+    """Sketches of columns whose count, least and largest value are known; a column of few rows needs no points."""
+    at: dict[str, list[float]] = {}
+    large = [c for c in exprs if ends[c][0] > FETCH_ROWS]
+    for start in range(0, len(large), COLUMNS_PER_SCAN):
+        some = large[start : start + COLUMNS_PER_SCAN]
+        at |= zip(some, df.agg(*[F.percentile_approx(exprs[c], F.array(*map(F.lit, points)), F.lit(ACCURACY)) for c in some]).first())
+    return {c: Sketch(*ends[c], points, tuple(at.get(c) or ())) for c in exprs}
+
+
+def profile_columns(df: DataFrame, stored: bool = False) -> DataFrame:
+    """The column profile as a table with one row per column of ``df``; ``stored`` as in ``column_statistics``."""
+    return profile_table(df, column_statistics(df, stored))
 
 
 def profile_table(df: DataFrame, records: list[dict]) -> DataFrame:

@@ -155,7 +155,7 @@ FROM s JOIN o USING (column_name)"""
 
 def profile_report(df: DataFrame) -> DataFrame:
     r = lambda c, name=None: (F.round(c, 6) + 0.0).alias(name or c)
-    return P.profile_columns(df).where("is_numeric").select(
+    return P.profile_columns(df, stored=True).where("is_numeric").select(
         "column_name", "missing_count", r("missing_pct"), "zero_variance", r("skewness"), r("kurtosis"), (F.round("mean", 7) + 0.0).alias("mean"), r("std"),
         r("mad"), r("min", "min_value"), r("max", "max_value"), r("p25"), r("p75"), r("iqr_lower"), r("iqr_upper"),
         F.col("iqr_outliers_count").alias("iqr_count"), r("iqr_outliers_pct", "iqr_pct"),

@@ -39,7 +39,7 @@ def _events(t: Tables) -> DataFrame:
 
 
 def _profile(t: Tables) -> DataFrame:
-    return P.profile_columns(_events(t))
+    return P.profile_columns(_events(t), stored=True)
 
 
 def _short(risks: DataFrame) -> DataFrame:

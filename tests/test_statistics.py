@@ -128,6 +128,42 @@ def test_profile_scans_its_table_four_times(spark, values):
         assert 3 * n < read.value <= (4 if n == 2000 else 5) * n, read.value / n
 
 
+def test_a_stored_table_has_the_same_profile(spark, monkeypatch):
+    """Numbers by packs of columns, for rows that are collected whole, by brackets and by brackets that are sketched again."""
+    df = spark.range(4000).select(
+        (F.randn(1) * 3).alias("a"), F.when(F.col("id") % 7 > 0, F.exp(F.randn(2))).alias("b"), (F.col("id") % 5).alias("few"), F.lit(2.0).alias("flat"),
+        F.lit(None).cast("double").alias("none"), F.lit("x").alias("s")).persist()
+    for fetch in (20_000, 1000, 3):
+        monkeypatch.setattr(O, "FETCH_ROWS", fetch)
+        monkeypatch.setattr(P, "FETCH_ROWS", fetch)
+        plain, stored = (P._column_statistics(df, 4000, stored) for stored in (False, True))
+        for one, other in zip(plain, stored, strict=True):
+            for k, v in one.items():
+                assert type(v) is type(other[k]), (one["column_name"], k)
+                assert v == (pytest.approx(other[k], rel=1e-12, nan_ok=True) if isinstance(v, float) else other[k]), (one["column_name"], k)
+    df.unpersist()
+
+
+def test_counts_are_compiled_a_few_at_a_time(spark, monkeypatch):
+    df = spark.range(100).select(*[(F.col("id") * k).alias(f"c{k}") for k in range(40)])
+    groups = [{f"{f}{k}": getattr(F, f)(f"c{k}") for f in ("min", "max", "sum", "count", "avg")} for k in range(40)]
+    sizes, plain = [], type(df).agg
+
+    def agg(self, *columns):
+        sizes.append(str(columns[0]).count("CAST"))
+        return plain(self, *columns)
+
+    monkeypatch.setattr(type(df), "agg", agg)
+    found = O.counted_in_packs(df, groups)
+    assert len(sizes) == 20 and found == {f"{f}{k}": float(v) for k in range(40) for f, v in (("min", 0), ("max", 99 * k), ("sum", 4950 * k), ("count", 100), ("avg", 49.5 * k))}
+
+
+def test_equal_ends_of_a_bracket_hold_nothing_inside():
+    brackets = [O.Bracket("x", 2.0, 2.0, 1e6, {5}), O.Bracket("x", 2.0, 3.0, 1e6, {9})]
+    assert [len(c) for c in O.bracket_counts(brackets, {"x": F.lit(1.0)})] == [2, 4]
+    assert list(O.bracket_held(brackets, {"x": F.lit(1.0)})) == ["held_b1"]
+
+
 def test_profile_of_tiny_and_empty_frames(spark):
     empty = spark.createDataFrame([], "x double, s string")
     rows = {r["column_name"]: r for r in P.profile_columns(empty).collect()}
