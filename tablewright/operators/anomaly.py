@@ -14,7 +14,7 @@ from tablewright.functions.hashing import uniform_from_key
 from tablewright.functions.numeric import as_number, numeric_columns, quoted
 from tablewright.operators.neighbours import local_outlier_factor
 from tablewright.operators.order_stats import exact_quantiles
-from tablewright.runtime import spread
+from tablewright.runtime import cut_lineage, spread
 
 # Fixed values.
 TREES = 50
@@ -139,7 +139,8 @@ def detect_anomalies(df: DataFrame, key: str, target: str | None = None, min_row
     columns = usable_columns(df, (key, target))
     if len(columns) < 2 or df.limit(min_rows).count() < min_rows:
         return None
-    points = median_filled(df, key, columns)
+    # Read by both detectors, several times each.
+    points = cut_lineage(spread(median_filled(df, key, columns)))
     forest = isolation_scores(points, key, grow_forest(points, key))
     factors = local_outlier_factor(points, key, F.col("vec"), NEIGHBOURS, LOF_LIMIT)
     return forest.join(factors, key).select(

@@ -175,3 +175,20 @@ def test_forest_samples_are_bounded(spark):
     df = spark.range(20000).select("id", F.array(F.rand(1), F.rand(2)).alias("vec"))
     nodes = AN.grow_forest(df, "id", trees=5).toPandas()
     assert nodes["tree"].nunique() == 5 and (nodes["psi"] == 256).all()
+
+
+def test_rows_of_a_single_part_are_scored_by_all_cores(spark, monkeypatch):
+    """A file of one row group would be scored, and searched for neighbours, by one task."""
+    parts, plain = [], {name: getattr(AN, name) for name in ("isolation_scores", "local_outlier_factor")}
+
+    def counted(name):
+        def call(points, *args):
+            parts.append(points.rdd.getNumPartitions())
+            return plain[name](points, *args)
+        return call
+
+    for name in plain:
+        monkeypatch.setattr(AN, name, counted(name))
+    df = spark.range(300).select("id", F.randn(1).alias("x"), F.randn(2).alias("y")).coalesce(1)
+    assert AN.detect_anomalies(df, "id").count() == 300
+    assert parts == [spark.sparkContext.defaultParallelism] * 2 and parts[0] > 1
