@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.tables import checked_broadcast, cuts, stored
+from tablewright.llm.tables import ORDER_BITS, checked_broadcast, cuts, stored
 
 #: Bits of a place: the dimension's value, then the text, then the row.
 VALUE_BITS, TEXT_BITS, ROW_BITS = 20, 22, 18
@@ -38,6 +38,11 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64(text), F.lit(1 << TEXT_BITS)).alias("text_code"), row.alias("row_code"))
 
 
+def _of_node(values: dict[int, int], shards: int, otherwise: int, kind: str) -> Column:
+    """What ``values`` has for the node of a row."""
+    return F.element_at(F.array(*[F.lit(values.get(k, otherwise)).cast(kind) for k in range(shards)]), F.col("_first") + 1)
+
+
 def kd_shards(rows: DataFrame, shards: int, dimensions: list[str]) -> DataFrame:
     """``rows`` with ``shard`` 0 to ``shards - 1``, whose sums of ``size`` are near equal.
 
@@ -48,32 +53,32 @@ def kd_shards(rows: DataFrame, shards: int, dimensions: list[str]) -> DataFrame:
     histograms. An empty table stays empty; with fewer rows than shards some shards are empty.
     """
     filled = rows.withColumns({d: F.coalesce(d, F.lit(-1.0)).cast("double") for d in dimensions})
-    spans = filled.agg(*[F.struct(F.min(d).alias("low"), F.max(d).alias("high")).alias(d) for d in dimensions]).first()
+    spans = filled.agg(*[F.struct(F.min(d).alias("low"), F.max(d).alias("high")).alias(d) for d in dimensions], F.count("*").alias("_rows")).first()
+    levels = (shards - 1).bit_length() if spans["_rows"] else 0
     spans = {d: (spans[d]["low"] or 0.0, spans[d]["high"] or 0.0) for d in dimensions}
     value = {d: F.floor((F.col(d) - low) / (high - low) * ((1 << VALUE_BITS) - 1)).cast("bigint") if high > low else F.lit(0).cast("bigint")
              for d, (low, high) in spans.items()}
     placed = filled.withColumns({"_first": F.lit(0), "_count": F.lit(shards)})
-    while True:
+    # Each level halves what a node stands for; after the last one every node is a shard.
+    for _ in range(levels):
         open_rows = placed.where("_count > 1")
         width = [F.struct((F.max(value[d]) - F.min(value[d])).alias("width"), F.lit(-k).alias("at")) for k, d in enumerate(dimensions)]
         widest = (F.greatest(*width) if len(width) > 1 else width[0])["at"]
-        nodes = open_rows.groupBy("_first", "_count").agg(F.sum("size").alias("_bytes"), (-widest).alias("_axis"))
-        nodes = stored(nodes.withColumn("_left", (F.col("_count") / 2).cast("int")))
-        if nodes.isEmpty():
-            break
-        axis = reduce(lambda c, k: c.when(F.col("_axis") == k, value[dimensions[k]]), range(1, len(dimensions)),
-                      F.when(F.col("_axis") == 0, value[dimensions[0]]))
-        place = F.shiftleft(axis, TEXT_BITS + ROW_BITS) + F.shiftleft(F.col("text_code"), ROW_BITS) + F.col("row_code")
-        group = F.col("_first").cast("string")
-        at = open_rows.join(checked_broadcast(nodes.drop("_count")), "_first").select(group.alias("group"), place.alias("place"), "size")
-        ends = cuts(at, nodes.select(group.alias("group"), (F.col("_bytes") * F.col("_left") / F.col("_count")).alias("budget")), CLOSE)
-        known = checked_broadcast(stored(nodes.join(ends.withColumn("_first", F.col("group").cast("int")), "_first").select("_first", "_axis", "_left", "last")))
-        right = F.col("last").isNotNull() & (place > F.col("last"))
-        # A node is known by its first shard; nodes that stand for one shard are not in ``known``.
-        moved = placed.join(known, "_first", "left").withColumn("_right", right)
-        placed = stored(moved.select(
-            *filled.columns, (F.col("_first") + F.when(F.col("_right"), F.col("_left")).otherwise(0)).alias("_first"),
-            F.when(F.col("_left").isNull(), F.col("_count")).when(F.col("_right"), F.col("_count") - F.col("_left")).otherwise(F.col("_left")).alias("_count")))
+        # Fewer nodes than shards: their numbers come to the driver and stand in the rows' expressions, so that no scan needs a look-up.
+        nodes = open_rows.groupBy("_first", "_count").agg(F.sum("size").alias("_bytes"), (-widest).alias("_axis")).collect()
+        left = {n["_first"]: n["_count"] // 2 for n in nodes}
+        axis = _of_node({n["_first"]: n["_axis"] for n in nodes}, shards, 0, "int")
+        along = reduce(lambda c, k: c.when(axis == k, value[dimensions[k]]), range(1, len(dimensions)), F.when(axis == 0, value[dimensions[0]]))
+        place = F.shiftleft(along, TEXT_BITS + ROW_BITS) + F.shiftleft(F.col("text_code"), ROW_BITS) + F.col("row_code")
+        budgets = [(str(n["_first"]), n["_bytes"] * left[n["_first"]] / n["_count"]) for n in nodes]
+        ends = cuts(open_rows.select(F.col("_first").cast("string").alias("group"), place.alias("place"), "size"),
+                    rows.sparkSession.createDataFrame(budgets, "group string, budget double"), CLOSE).collect()
+        # A node is known by its first shard; those that stand for one shard stay whole.
+        right = place > _of_node({int(e["group"]): e["last"] for e in ends}, shards, (1 << ORDER_BITS) - 1, "bigint")
+        half = _of_node(left, shards, 0, "int")
+        placed = stored(placed.select(
+            *filled.columns, (F.col("_first") + F.when(right, half).otherwise(0)).alias("_first"),
+            F.when(half == 0, F.col("_count")).when(right, F.col("_count") - half).otherwise(half).alias("_count")))
     return placed.withColumnRenamed("_first", "shard").drop("_count")
 
 

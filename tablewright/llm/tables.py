@@ -58,20 +58,24 @@ def cuts(rows: DataFrame, budgets: DataFrame, close: float = 0.0) -> DataFrame:
     few = checked_broadcast(found) is not found
     beside = F.broadcast if few else (lambda table: table)
     over, under = F.col("below") + F.col("inside") - F.col("budget"), F.col("budget") - F.col("below")
+    # A group that never passes its budget ends there, with every place before the cut.
+    top = {"bucket": 0, "below": 0.0, "inside": 0.0, "low": (1 << ORDER_BITS) - 1, "high": (1 << ORDER_BITS) - 1, "more": False}
     for shift in range(ORDER_BITS - STEP_BITS, -1, -STEP_BITS):
-        open_groups = beside(found.where("more").select("group", "budget", F.col("bucket").alias("prefix"), F.col("below").alias("had")))
-        near = rows.select("group", "size", "place", F.shiftright("place", shift).alias("bucket")).join(open_groups.select("group", "prefix"), "group")
+        # The groups are looked up once a round; their budgets travel with the sums, since a broadcast stays with the driver for long.
+        open_groups = found.where("more").select("group", "budget", F.col("bucket").alias("prefix"), F.col("below").alias("had"))
+        near = rows.select("group", "size", "place", F.shiftright("place", shift).alias("bucket")).join(beside(open_groups), "group")
         sums = near.where(F.shiftright("bucket", STEP_BITS) == F.col("prefix")).groupBy("group", "bucket").agg(
-            F.sum("size").cast("double").alias("inside"), F.min("place").alias("low"), F.max("place").alias("high"))
+            F.sum("size").cast("double").alias("inside"), F.min("place").alias("low"), F.max("place").alias("high"),
+            F.min("budget").alias("budget"), F.min("had").alias("had"))
         run = Window.partitionBy("group").orderBy("bucket")
-        total = sums.join(open_groups, "group").withColumn("below", F.col("had") + F.sum("inside").over(run) - F.col("inside"))
-        at = total.where(F.col("below") + F.col("inside") > F.col("budget")).groupBy("group").agg(
-            F.min_by(F.struct("budget", "bucket", "below", "inside", "low", "high"), "bucket").alias("at")).select("group", "at.*")
-        at = at.withColumn("more", (F.col("low") < F.col("high")) & (F.col("inside") > F.lit(close) * F.col("budget")))
-        # A group that never passes its budget ends here, with every place before the cut.
-        top = {"bucket": 0, "below": 0.0, "inside": 0.0, "low": (1 << ORDER_BITS) - 1, "high": (1 << ORDER_BITS) - 1, "more": False}
-        left = found.where("more").select("group", F.col("budget").alias("had")).join(beside(at), "group", "left").select(
-            "group", F.col("had").alias("budget"), *[F.coalesce(c, F.lit(v).cast(found.schema[c].dataType)).alias(c) for c, v in top.items()])
+        total = sums.withColumn("below", F.col("had") + F.sum("inside").over(run) - F.col("inside"))
+        more = (F.col("low") < F.col("high")) & (F.col("inside") > F.lit(close) * F.col("budget"))
+        passed = total.withColumn("more", more).where(F.col("below") + F.col("inside") > F.col("budget"))
+        first = passed.select("group", "budget", F.struct("bucket", "below", "inside", "low", "high", "more").alias("at"))
+        # Every open group has a row of its own, so that none is lost.
+        left = first.unionByName(open_groups.select("group", "budget"), allowMissingColumns=True).groupBy("group").agg(
+            F.min("budget").alias("budget"), F.min("at").alias("at"))
+        left = left.select("group", "budget", *[F.coalesce(F.col("at")[c], F.lit(v).cast(found.schema[c].dataType)).alias(c) for c, v in top.items()])
         found = stored(found.where("not more").unionByName(left), "cuts")
         if found.where("more").isEmpty():
             break

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import repeats
+from tablewright.llm import repeats, sharding, tables
 from tablewright.llm.decontamination import clean_documents, matches
 from tablewright.llm.extraction import main_text
 from tablewright.llm.mixing import apply_mix, mix_documents
@@ -91,6 +91,23 @@ def test_shards(docs, none, rows):
     assert sum(r["size"] for r in out) == sum(len((r[1] or "").encode()) + 1 for r in rows)
 
 
+def test_shards_need_few_broadcasts(docs, monkeypatch, capsys):
+    """Every broadcast stays with the driver for long: one a round of a cut and one for the slots, however many scans there are."""
+    plans = []
+
+    def shown(df):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return df
+
+    for module in (sharding, tables):
+        monkeypatch.setattr(module, "stored", lambda df, name="step", write=module.stored: write(shown(df), name))
+    shown(shard_documents(docs)).collect()
+    rounds = sum("Window" in p and "place" in p for p in plans)
+    assert 3 <= rounds <= 3 * 4
+    assert sum(p.count("BroadcastExchange") for p in plans) <= rounds + 1
+
+
 def test_shards_are_even(spark):
     same = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', CAST(50 + id % 40 AS int)) AS text", "IF(id % 3 = 0, 'hot', CAST(id % 50 AS string)) AS source", "CAST(NULL AS string) AS lang")
     sums = [r["n"] for r in shard_documents(same).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
