@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from tablewright.llm.suffixes import array, suffix_order
 from tablewright.llm.tables import checked_broadcast, stored
 from tablewright.llm.words import mixed, text_slices
+from tablewright.runtime import small_batches
 
 #: Bytes of a string that may not occur twice.
 LENGTH = 400
 #: Text of a shard, also the most of one key, whose strings are compared by their hashes if it has more; ids that may be broadcast.
 SHARD_BYTES, FOUND_ROWS = 1 << 20, 500_000
+#: Bytes whose starts are hashed at once (a text is not cut), and bytes of pieces or texts that a task gives out at once.
+HASHED_BYTES, GIVEN_BYTES = 1 << 18, 4 << 20
 #: Between strings of a shard; no UTF-8 text has this byte.
 GAP = 0xFF
 
@@ -78,14 +81,14 @@ def stretches(named: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, _, data, offsets in text_slices(batch.column(1), 2 << 20):
+            for begin, _, data, offsets in text_slices(batch.column(1), HASHED_BYTES):
                 if len(data) < length:
                     continue
                 (keys, hashes), counts = string_keys(data, length), np.maximum(np.diff(offsets) - length + 1, 0)
                 valid = np.zeros(len(data) + 1, np.int8)
                 np.add.at(valid, offsets[:-1][counts > 0], 1)
                 np.add.at(valid, (offsets[:-1] + counts)[counts > 0], -1)
-                valid = np.cumsum(valid[:len(keys)]).astype(bool)
+                valid = np.cumsum(valid[:len(keys)], dtype=np.int8).astype(bool)
                 fresh = np.ones(len(keys), bool)
                 fresh[1:] = keys[1:] != keys[:-1]
                 fresh[offsets[:-1][offsets[:-1] < len(keys)]] = True
@@ -119,7 +122,7 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
                     digest.append(w["digest"])
                     piece.append(data[w["at"]:w["at"] + w["starts"] + length - 1])
                     held += len(piece[-1])
-                if held > 8 << 20:
+                if held > GIVEN_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((shard, key, digest, piece), schema.types)], schema=schema)
                     shard, key, digest, piece, held = [], [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((shard, key, digest, piece), schema.types)], schema=schema)
@@ -209,8 +212,8 @@ def string_repeats(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k, piece in enumerate(batch.column(3)):
                 data = np.frombuffer(piece.as_py(), np.uint8)
-                for a in range(0, len(data) - length + 1, 1 << 19):
-                    part = data[a:a + (1 << 19) + length - 1]
+                for a in range(0, len(data) - length + 1, HASHED_BYTES):
+                    part = data[a:a + HASHED_BYTES + length - 1]
                     one, two = string_hashes(part, length, 1), string_hashes(part, length, 2)
                     row = pa.array(np.full(len(one), k))
                     yield pa.RecordBatch.from_arrays([batch.column(1).take(row), batch.column(2).take(row), pa.array(np.arange(a, a + len(one), dtype=np.int32)),
@@ -272,16 +275,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows that are equal in id and text repeat each other, and each has its row.
     """
     named = _named(docs)
-    spans = repeated_spans(named.select("name", "text"), length)
+    with small_batches(docs.sparkSession):
+        spans = stored(repeated_spans(named.select("name", "text"), length), "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, spans in zip(batch.column(1), batch.column(2)):
+            out: list[list] = [[], [], [], [], [], []]
+            held = 0
+            for doc, text, spans in zip(batch.column(0), batch.column(1), batch.column(2)):
                 data, at, kept, removed = text.as_py().encode(), 0, [], 0
                 merged: list[list[int]] = []
-                for low, high in sorted((s["low"], s["high"]) for s in spans.as_py() or []):
+                for low, high in sorted((s["low"], s["high"]) for s in spans.as_py()):
                     if merged and low <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], high)
                     else:
@@ -290,17 +295,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(data[at:low])
                     at, removed = high, removed + high - low
                 rest = b"".join([*kept, data[at:]])
-                for column, value in zip(out, (len(data), removed, len(merged), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"))):
+                for column, value in zip(out, (doc.as_py(), len(data), removed, len(merged), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, schema.types[1:]))], schema=schema)
-
-    spans = stored(spans, "spans")
-    with_spans = checked_broadcast(spans.select("name"), FOUND_ROWS)
-    # Texts without any span stay where they are.
-    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    alone = named.join(with_spans, "name", "left_anti").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", none)
-    moved = named.join(with_spans, "name", "left_semi").join(spans, "name").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "spans")
-    return alone.unionByName(moved).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+                held += len(rest)
+                if held > GIVEN_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+                    out, held = [[], [], [], [], [], []], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+
+    with_spans, doc_id = checked_broadcast(spans.select("name"), FOUND_ROWS), F.col("doc_id").cast("bigint").alias("doc_id")
+    # Texts without any span stay where they are, and as they are.
+    none = F.lit(0).cast("bigint")
+    alone = named.join(with_spans, "name", "left_anti").select(
+        doc_id, F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
+    moved = named.join(with_spans, "name", "left_semi").join(spans, "name").select(doc_id, "text", "spans")
+    return alone.unionByName(moved.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"))
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:

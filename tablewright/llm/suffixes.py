@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes up to which an array or a queue stays in memory; tuples that are sorted at once.
-MEMORY_BYTES, BLOCK = 64 << 20, 1 << 20
+MEMORY_BYTES, BLOCK = 64 << 20, 1 << 16
 #: Packed columns of a tuple's tail.
 COLUMNS = 2
 
@@ -20,6 +20,11 @@ def array(length: int, kind: type) -> np.ndarray:
     return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(length,))
 
 
+def _places(length: int) -> type:
+    """The type of places in ``length`` symbols, with room for sums of a place and a number of shared bytes."""
+    return np.int32 if length < 1 << 30 else np.int64
+
+
 class Queue:
     """A priority queue of tuples that spills sorted runs and gives all tuples back, smallest first, in blocks.
 
@@ -38,10 +43,17 @@ class Queue:
             self.runs.append(on_disk)
 
     def _sorted(self) -> list[np.ndarray]:
-        columns = [np.concatenate(c) for c in zip(*self.held)]
-        order = np.lexsort(columns[-2::-1])
+        # One column at a time, so that a second copy of all is never held.
+        columns = []
+        for c in range(len(self.held[0])):
+            columns.append(np.concatenate([part[c] for part in self.held]))
+            for part in self.held:
+                part[c] = None
         self.held, self.bytes = [], 0
-        return [c[order] for c in columns]
+        order = np.lexsort(columns[-2::-1])
+        for c in range(len(columns)):
+            columns[c] = columns[c][order]
+        return columns
 
     def blocks(self) -> Iterator[list[np.ndarray]]:
         if self.held:
@@ -205,7 +217,8 @@ def _sort(text: np.ndarray, top: int, starts: np.ndarray, base: np.ndarray, most
     stops = _left_most(text)
     tails = _Tails(text, stops, top)
     inner = stops[:-1]  # the end itself is the smallest suffix
-    names, order, common = array(len(stops), np.int64), array(len(stops), np.int64), array(len(stops), np.uint16)
+    kind = _places(len(base))
+    names, order, common = array(len(stops), kind), array(len(stops), kind), array(len(stops), np.uint16)
 
     # Names of the pieces between left-most positions.
     queue = Queue()
@@ -215,7 +228,7 @@ def _sort(text: np.ndarray, top: int, starts: np.ndarray, base: np.ndarray, most
     if len(long):
         long_name[long] = tails.long_order(inner[long], stops[long + 1], None)
     for at in _blocks(len(inner)):
-        queue.push([*tails.packed(inner[at], stops[lengths_end[at]]), long_name[at], at])
+        queue.push([*tails.packed(inner[at], stops[lengths_end[at]]), long_name[at], at.astype(kind)])
     names[len(stops) - 1] = 0
     name, before = 0, None
     for *key, at in queue.blocks():
@@ -226,7 +239,7 @@ def _sort(text: np.ndarray, top: int, starts: np.ndarray, base: np.ndarray, most
         name, before = name + int(fresh.sum()), [c[-1] for c in key]
 
     # Their order: at once if the names differ, else by sorting the text of names.
-    origin = array(len(stops), np.int64)
+    origin = array(len(stops), kind)
     origin[:] = starts[stops]
     if name == len(inner):
         order[names] = np.arange(len(stops))
@@ -235,7 +248,7 @@ def _sort(text: np.ndarray, top: int, starts: np.ndarray, base: np.ndarray, most
             common[at + 1] = _shared(base, origin[order[at]], origin[order[at + 1]], most)
     else:
         order, common = _sort(names, name, origin, base, most)
-    rank = array(len(stops), np.int64)
+    rank = array(len(stops), kind)
     rank[order] = np.arange(len(stops))
 
     # From it the order of all suffixes: tuples of tail and rank, out of the queue in order.
@@ -248,8 +261,8 @@ def _sort(text: np.ndarray, top: int, starts: np.ndarray, base: np.ndarray, most
         last = np.array(rank[end])
         a, b = np.searchsorted(long, [at[0], at[-1] + 1])
         last[long[a:b] - at[0]] = long_rank[a:b]
-        queue.push([*tails.packed(at, stops[end]), last, at])
-    out, shared = array(length, np.int64), array(length, np.uint16)
+        queue.push([*tails.packed(at, stops[end]), last, at.astype(kind)])
+    out, shared = array(length, kind), array(length, np.uint16)
     out[0], shared[0], filled, before = length - 1, 0, 1, None
     for *key, at in queue.blocks():
         end = tails.ends(at)
@@ -276,7 +289,7 @@ def suffix_order(base: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     text[len(base)] = 0
     padded = array(len(base) + 1 + 8, np.uint8)
     padded[:len(base)], padded[len(base):] = base, 0
-    starts = array(len(base) + 1, np.int64)
+    starts = array(len(base) + 1, _places(len(base)))
     for at in _blocks(len(base) + 1):
         starts[at] = at
     order, shared = _sort(text, 256, starts, padded, most)

@@ -17,6 +17,9 @@ KEPT_CELLS = 50_000_000
 # Cells of a part where a task holds all of its rows.
 PART_CELLS = 4_000_000
 
+# Bytes of long rows that go to a Python worker at once: Spark holds such a batch off its heap more than once, and the worker holds it as well.
+BATCH_BYTES = 4 << 20
+
 _local_roots: dict[str, str] = {}
 
 
@@ -97,6 +100,18 @@ def attach_lookup(
     return hot_rows.unionByName(cold_rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Steps that are run inside send long rows to Python workers ``BATCH_BYTES`` at a time; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextmanager
 def reread(df: DataFrame, rows: int):
     """``df`` for work that passes over it several times.

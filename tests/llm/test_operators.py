@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,8 +24,9 @@ from tablewright.llm.repeats import without_repeats
 from tablewright.llm.rule_ensemble import good_documents, score_documents
 from tablewright.llm.secret_scan import scan_documents
 from tablewright.llm.sharding import shard_documents
+from tablewright.llm.suffixes import suffix_order
 from tablewright.llm.warc import archive_pages, page_records, read_warc, write_warc
-from tablewright.runtime import scratch_path
+from tablewright.runtime import scratch_path, small_batches
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, place int"
 RNG = random.Random(1)
@@ -281,6 +285,44 @@ def test_a_passage_in_many_documents_is_no_large_shard(spark, monkeypatch):
     assert max(sizes, default=0) <= 12_000
 
 
+def _peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1] / (1 << 20)
+    tracemalloc.stop()
+    return peak
+
+
+class _Worker:
+    """Hands out the function that a step runs in its tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_task_of_repeated_strings_holds_little():
+    rng = random.Random(8)
+    texts = [prose(400, rng) for _ in range(900)]
+    batch = pa.record_batch([pa.array([b"%d" % k for k in range(len(texts))]), pa.array(texts)], names=["name", "text"])
+    assert batch.nbytes > 2 << 20
+    assert _peak_mb(lambda: sum(b.num_rows for b in repeats.stretches(_Worker(), 400)(iter([batch])))) < 40
+    base = np.frombuffer("".join(texts)[:1 << 20].encode(), np.uint8)
+    assert len(base) == 1 << 20 and _peak_mb(lambda: suffix_order(base, 400)) < 110
+
+
+def test_long_rows_go_to_workers_in_small_batches(spark):
+    df = spark.range(600).repartition(1).selectExpr("id", "repeat('long text ', 2000) AS text")
+    rows = lambda: df.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches), "n bigint").agg(F.max("n")).first()[0]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    with small_batches(spark):
+        assert rows() < 300
+    assert spark.conf.get(name, None) == before and rows() == 600
+
+
 def test_benchmark_passages(spark, docs, none, rows):
     item = prose(40)
     w = item.split()
