@@ -64,7 +64,8 @@ class NeighboursModel(Model, _NeighbourParams, MLReadable, MLWritable):
                 "key", (F.array_position("_chances", F.array_max("_chances")) - 1).cast("double").alias(self.getPredictionCol()), array_to_vector("_chances").alias(self.getProbabilityCol()))
         else:
             found = votes.groupBy("key").agg(share(F.col("label")).alias(self.getPredictionCol()))
-        return rows.join(found.withColumnRenamed("key", "_knn_row"), "_knn_row", "left").drop("_knn_row")
+        # Written once: every metric reads the scored rows, and none searches again.
+        return cut_lineage(rows.join(found.withColumnRenamed("key", "_knn_row"), "_knn_row", "left").drop("_knn_row"))
 
     def write(self) -> MLWriter:
         return _MembersWriter(self)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import metrics as M
 from tablewright.operators.features import FITTED, encode_label, feature_names, label_table
 from tablewright.operators.split import assign_folds, forward_folds, quota_split, sequential_split
+from tablewright.plans.knn_model import NeighboursModel
 from tablewright.plans.models import balanced_weights, build_estimator
 from tablewright.plans.routing import complete, feature_stages
 from tablewright.plans.spec import Candidate, ModelPlan
@@ -44,6 +45,7 @@ class Experiment:
     fold_models: list[PipelineModel] = field(default_factory=list)
     error: str | None = None
     hyperparams: dict = field(default_factory=dict)
+    scored: dict[int | str, DataFrame] = field(default_factory=dict, repr=False)  # fold or split -> rows that a search has scored, for the ensemble
 
     def cv(self, metric: str) -> tuple[float, float]:
         """Mean and population deviation of a fold metric."""
@@ -166,6 +168,14 @@ def _fit(features: FeatureSet, plan: ModelPlan, candidate: Candidate, classes: i
     return Pipeline(stages=stages).fit(features.training())
 
 
+def _scored(result: Experiment, model: PipelineModel, rows: DataFrame, part: int | str) -> DataFrame:
+    """Scored rows; those of a search are stored, and kept by the fold or split they are of."""
+    scored = model.transform(rows)
+    if isinstance(model.stages[-1], NeighboursModel):
+        result.scored[part] = scored
+    return scored
+
+
 def train_candidate(
     folds: list[FeatureSet], final: FeatureSet, plan: ModelPlan, candidate: Candidate, classes: int, seed: int = 42
 ) -> Experiment:
@@ -178,12 +188,12 @@ def train_candidate(
     try:
         for i, features in enumerate(folds):
             model = _fit(features, plan, candidate, classes, seed)
-            result.fold_metrics.append(_fold_scores(model.transform(held_out(features, i)), plan))
+            result.fold_metrics.append(_fold_scores(_scored(result, model, held_out(features, i), i), plan))
             result.fold_models.append(model)
         result.estimator = _fit(final, plan, candidate, classes, seed)
         result.model = PipelineModel(stages=[*final.transforms.stages, *result.estimator.stages])
         for split in ("val", "train"):
-            scored = result.estimator.transform(final.rows.where(F.col("split") == split))
+            scored = _scored(result, result.estimator, final.rows.where(F.col("split") == split), split)
             result.metrics[split] = evaluate(scored, plan, classes)
         result.importances = importances(result.estimator, final.names)
         result.status = "success"
@@ -279,20 +289,22 @@ def hard_vote(predictions: list[Column], weights: list[float]) -> Column:
     return -F.array_max(totals)["c"]
 
 
-def vote(df: DataFrame, models: list[PipelineModel], weights: list[float], is_classification: bool) -> DataFrame:
+def vote(df: DataFrame, models: list[PipelineModel], weights: list[float], is_classification: bool, known: dict[int, DataFrame] | None = None) -> DataFrame:
     """Scores rows with all members and combines them: soft vote, hard vote, or weighted mean.
 
-    Members run one after the other over the same rows, so no join is needed to bring them together.
+    Members run one after the other over the same rows, so no join is needed to bring them together. They start from the
+    first of ``known``, which are the rows as members, by number, have scored them already.
     """
-    base, probabilities, predictions = list(df.columns), [], []
-    for i, model in enumerate(models):
-        scored = model.transform(df)
+    base, first, found = list(df.columns), min(known or {}, default=None), set()
+    for i in sorted(range(len(models)), key=lambda i: i != first):
+        scored = known[i] if i == first else models[i].transform(df)
         keep = {f"__pred{i}": F.col("prediction")}
         if "probability" in scored.columns:
             keep[f"__prob{i}"] = vector_to_array("probability")
-            probabilities.append(F.col(f"__prob{i}"))
-        predictions.append(F.col(f"__pred{i}"))
+            found.add(i)
         df = scored.select(*base, *[c for c in df.columns if c.startswith("__p")], *[e.alias(n) for n, e in keep.items()])
+    predictions = [F.col(f"__pred{i}") for i in range(len(models))]
+    probabilities = [F.col(f"__prob{i}") for i in sorted(found)]
     if not is_classification:
         total = reduce(lambda a, b: a + b, [p * F.lit(w) for p, w in zip(predictions, weights)])
         return df.select(*base, (total / F.lit(sum(weights))).alias("prediction"))
@@ -329,17 +341,22 @@ def add_ensemble(
     result = Experiment(ENSEMBLE_NAME, "ensemble", "success", hyperparams={"weights": dict(weights)})
     for i, features in enumerate(folds):
         members = [by_name[n].fold_models[i] for n, _ in weights]
-        scored = vote(held_out(features, i), members, w, plan.is_classification)
+        scored = vote(held_out(features, i), members, w, plan.is_classification, _known(by_name, weights, i))
         result.fold_metrics.append(_fold_scores(scored, plan))
     members = [by_name[n].estimator for n, _ in weights]
     for split in ("val", "train"):
-        scored = vote(final.rows.where(F.col("split") == split), members, w, plan.is_classification)
+        scored = vote(final.rows.where(F.col("split") == split), members, w, plan.is_classification, _known(by_name, weights, split))
         result.metrics[split] = evaluate(scored, plan, classes)
     result.importances = weights
     result.duration_seconds = time.perf_counter() - start
     return result
 
 
+def _known(by_name: dict[str, Experiment], weights: list[tuple[str, float]], part: int | str) -> dict[int, DataFrame]:
+    """Rows of a fold or split that members of an ensemble have scored and stored, by the member's number."""
+    return {k: by_name[n].scored[part] for k, (n, _) in enumerate(weights) if part in by_name[n].scored}
+
+
 def evaluate_on_test(results: list[Experiment], final: FeatureSet, plan: ModelPlan, classes: int) -> None:
     """Test metrics of every model; they come after cross-validation and have no part in choosing the winner."""
     test = final.rows.where("split = 'test'")
@@ -348,11 +365,11 @@ def evaluate_on_test(results: list[Experiment], final: FeatureSet, plan: ModelPl
         if r.status != "success":
             continue
         if r.estimator is not None:
-            scored = r.estimator.transform(test)
+            scored = _scored(r, r.estimator, test, "test")
         else:
             weights = r.hyperparams["weights"]
             members = [by_name[n].estimator for n in weights]
-            scored = vote(test, members, list(weights.values()), plan.is_classification)
+            scored = vote(test, members, list(weights.values()), plan.is_classification, _known(by_name, list(weights.items()), "test"))
         r.metrics["test"] = evaluate(scored, plan, classes)
 
 
