@@ -96,6 +96,28 @@ def test_neighbours_as_a_stage(spark, separable):
     assert np.allclose([r["prediction"] for r in numbers], (weights * z[order]).sum(axis=1) / weights.sum(axis=1))
 
 
+def test_neighbours_are_searched_once_for_a_set_of_rows(spark, separable, monkeypatch):
+    searched, search = [], NeighboursModel._transform
+
+    def watched(self, df):
+        scored = search(self, df)
+        searched.append(scored)
+        return scored
+
+    monkeypatch.setattr(NeighboursModel, "_transform", watched)
+    near, linear = Candidate("Near", "KNeighborsClassifier"), Candidate("Linear", "LogisticRegression")
+    plan = ModelPlan("binary_classification", "y", (linear, near), features=Features(categorical_strategy="freq_enc"), evaluation=Evaluation(n_folds=2))
+    prepared = TR.prepare_features(separable, plan, TYPES, ["x1", "x2", "s"])
+    results = TR.run_prepared(prepared, plan)
+    assert [r.status for r in results] == ["success"] * 3 and len(searched) == 5
+    # The scored rows are read, not found again.
+    assert all("ExistingRDD" in plan and "Join" not in plan and "Python" not in plan for plan in (df._jdf.queryExecution().executedPlan().toString() for df in searched))
+    weights, rows = results[-1].hyperparams["weights"], prepared.final.rows.where("split = 'test'")
+    members = [next(r.estimator for r in results if r.model_name == n) for n in weights]
+    plain = TR.evaluate(TR.vote(rows, members, list(weights.values()), True), plan, 2)
+    assert plain == pytest.approx(results[-1].metrics["test"])
+
+
 def test_forward_folds_fit_nothing_of_the_future(spark, separable):
     plan = ModelPlan(
         "regression", "z", (Candidate("Ridge", "Ridge"), Candidate("Tree", "DecisionTreeRegressor", params={"max_depth": 3})),
