@@ -5,8 +5,10 @@ pivot. A query searches its own leaf first, which bounds its k-th distance; by t
 The nearest of the leaves that remain are searched next, the others only if the better bound still lets them in. Equal vectors are searched once; a leaf
 that cannot be parted, and the queries of a leaf, are cut in blocks, so a dense place or a vector repeated by a third of the rows spreads over many tasks.
 
-Where bounds prune little (many dimensions), the leaves that remain are searched in packs, so that vectors are copied to few blocks. Vectors never leave the JVM more
-than once per query; inside a block a matrix product finds the pairs that may be near enough, with its rounding error allowed for, and only their distances are taken.
+Where bounds prune little (many dimensions), the leaves that remain are searched in packs: queries and members are stored once, thousands to a row, and every block
+of queries meets the packs it has to see one after the other, with the best so far as its bound. So neither copies of vectors nor lists of leaves are written for every
+pair of blocks, and what is stored grows with the rows. Inside a block a matrix product finds the pairs that may be near enough, with its rounding error allowed for, and
+only their distances are taken.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.runtime import attach_lookup, cut_lineage
+from tablewright.runtime import attach_lookup, cut_lineage, small_batches
 
 #: Members of a leaf, pivots of a node, levels of a tree, leaves that are searched together after the own one.
 BLOCK_ROWS, FAN, MAX_LEVELS, NEXT_LEAVES = 2000, 32, 12, 4
 #: Leaves of a query, on average, beyond which they are searched in packs of ``PACK`` times ``BLOCK_ROWS`` members.
 MANY_LEAVES, PACK = 8, 4
+#: Bytes of the vectors in a stored block, of the members that a task keeps beside its queries, and tasks for each core.
+STORED_BYTES, HELD_BYTES, TASKS = 8 << 20, 64 << 20, 4
 #: Distances of a step inside a block, and queries whose leaves are listed together.
 STEP, LISTED = 1 << 20, 1000
 #: Bytes of pivots that are broadcast. A tree stops growing there; its leaves are then cut in blocks, and searches stay exact.
@@ -65,6 +69,8 @@ def _near_pairs(a: np.ndarray, b: np.ndarray, limit: np.ndarray, keep: int) -> t
         centre = b.mean(axis=0)
         near_a, near_b = a - centre, b - centre
         square_a, square_b = np.einsum("ij,ij->i", near_a, near_a), np.einsum("ij,ij->i", near_b, near_b)
+        # One product gives the square of a member less twice its product with the query.
+        near_a, near_b = np.column_stack([near_a * -2, np.ones(len(a))]), np.column_stack([near_b, square_b])
     plain = not (np.isfinite(square_a).all() and np.isfinite(square_b).all())
     limit = np.where(np.isnan(limit), np.inf, limit)
     found = []
@@ -77,17 +83,14 @@ def _near_pairs(a: np.ndarray, b: np.ndarray, limit: np.ndarray, keep: int) -> t
             found.append((rows + start, columns.ravel(), d[rows, columns.ravel()]))
             continue
         squares = near_a[part] @ near_b.T
-        squares *= -2
-        squares += square_b
-        squares += square_a[part, None]
         wrong = (8 * a.shape[1] + 64) * np.finfo(float).eps * (square_a[part] + square_b.max())
-        most = (limit[part] * (1 + _SLACK) + _SLACK) ** 2 + wrong
+        most = (limit[part] * (1 + _SLACK) + _SLACK) ** 2 + wrong - square_a[part]
         near = squares <= most[:, None]
-        many = np.flatnonzero(near.sum(axis=1) > 2 * keep)
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * keep)
         if len(many) and len(b) > keep:
             most[many] = np.minimum(most[many], np.partition(squares[many], keep - 1, axis=1)[:, keep - 1] + 2 * wrong[many])
             near[many] = squares[many] <= most[many, None]
-        rows, columns = np.nonzero(near)
+        rows, columns = np.divmod(np.flatnonzero(near), len(b))
         d = _pair_distances(a[part], b, rows, columns)
         order = np.lexsort((columns, d, rows))
         rows, columns, d = rows[order], columns[order], d[order]
@@ -252,15 +255,13 @@ def _top(pairs: DataFrame, keep: int) -> DataFrame:
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep).drop("rn")
 
 
-def _visits(queries: DataFrame, tree, id_type: str) -> DataFrame:
-    """``id, vec, visits, looked`` for queries ``id, vec, cell, limit``: other leaves than ``cell`` that may hold a member within the limit.
+def _visits(queries: DataFrame, tree, id_type: str, first: int = 0, end: int | None = None) -> DataFrame:
+    """``id, vec, cell, limit, visits, leaves, looked`` for queries ``id, vec, cell, limit``: other leaves than ``cell`` that may hold a member within the limit.
 
-    ``visits`` are structs of ``cell``, its ``pack`` and ``least``, the least distance of a member in it, nearest first; ``looked`` are pivots that were compared for
-    some queries, in their first row. A query's vector stands once beside all its leaves.
+    ``visits`` are structs of ``cell`` and ``least``, the least distance of a member in it, nearest first, from place ``first`` to before ``end``; ``leaves`` counts all of
+    them; ``looked`` are pivots that were compared for some queries, in their first row. A query's vector stands once beside all its leaves.
     """
 
-    packs = tree.value.packs()
-
     def other_leaves(batches):
         for whole in batches:
             for start in range(0, len(whole), LISTED):
@@ -271,14 +272,17 @@ def _visits(queries: DataFrame, tree, id_type: str) -> DataFrame:
                 row, leaf, least = row[other], leaf[other], least[other]
                 order = np.lexsort((leaf, least, row))
                 row, leaf, least = row[order], leaf[order], least[order]
-                pack = np.fromiter((packs[x] for x in leaf.tolist()), np.int64, len(leaf))
+                leaves = np.bincount(row, minlength=len(pdf))
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = (place >= first) & (place < (len(row) if end is None else end))
+                row, leaf, least = row[kept], leaf[kept], least[kept]
                 cuts = np.searchsorted(row, np.arange(1, len(pdf)))
-                yield pd.DataFrame({
-                    "id": pdf["id"].to_numpy(), "vec": pdf["vec"].to_numpy(), "leaf": _pieces(leaf, cuts), "pack": _pieces(pack, cuts), "least": _pieces(least, cuts),
-                    "looked": np.where(np.arange(len(pdf)) == 0, looked, 0)})
+                yield pdf.assign(
+                    leaf=_pieces(leaf, cuts).to_numpy(), least=_pieces(least, cuts).to_numpy(), leaves=leaves, looked=np.where(np.arange(len(pdf)) == 0, looked, 0))
 
-    found = queries.select("id", "vec", "cell", "limit").mapInPandas(other_leaves, f"id {id_type}, vec array<double>, leaf array<bigint>, pack array<bigint>, least array<double>, looked bigint")
-    return found.select("id", "vec", F.arrays_zip(F.col("leaf").alias("cell"), "pack", "least").alias("visits"), "looked")
+    found = queries.select("id", "vec", "cell", F.col("limit").cast("double").alias("limit")).mapInPandas(
+        other_leaves, f"id {id_type}, vec array<double>, cell bigint, limit double, leaf array<bigint>, least array<double>, leaves bigint, looked bigint")
+    return found.select("id", "vec", "cell", "limit", F.arrays_zip(F.col("leaf").alias("cell"), "least").alias("visits"), "leaves", "looked")
 
 
 def _pieces(values: np.ndarray, cuts: np.ndarray) -> pd.Series:
@@ -298,27 +302,110 @@ def _search(queries: DataFrame, members: DataFrame, keep: int, id_type: str) ->
     found = cut_lineage(_top(_block_search(q.select("id", "vec", "cell", F.col("bound").alias("limit")), m, keep, id_type), keep))
     reach = lambda rows: rows.groupBy("id").agg(F.when(F.count("*") >= keep, F.max("distance")).alias("reach"))
     limited = q.join(reach(found), "id", "left").withColumn("limit", F.least("bound", "reach"))
-    visits = cut_lineage(_visits(limited, tree, id_type).join(limited.select("id", "limit"), "id"))
-    leaf = lambda some: F.explode(F.transform(some, lambda v: v["cell"])).alias("cell")
-    found = _top(found.unionByName(_block_search(visits.select("id", "vec", leaf(F.slice("visits", 1, NEXT_LEAVES)), "limit"), m, keep, id_type)), keep)
-    later = visits.where(F.size("visits") > NEXT_LEAVES)
+    visits = cut_lineage(_visits(limited, tree, id_type, end=NEXT_LEAVES))
+    leaf = F.explode(F.transform("visits", lambda v: v["cell"])).alias("cell")
+    found = _top(found.unionByName(_block_search(visits.select("id", "vec", leaf, "limit"), m, keep, id_type)), keep)
+    later = visits.where(F.col("leaves") > NEXT_LEAVES)
     if later.isEmpty():
         return found
     found = cut_lineage(found)
-    near = lambda v: F.col("reach").isNull() | (v["least"] <= F.col("reach") * (1 + _SLACK) + _SLACK)
-    rest = later.join(reach(found), "id", "left").select(
-        "id", "vec", F.filter(F.slice("visits", NEXT_LEAVES + 1, F.size("visits")), near).alias("visits"), F.least("limit", "reach").alias("limit"))
-    rest = cut_lineage(rest.where(F.size("visits") > 0))
-    asked, leaves = rest.agg(F.count("*"), F.coalesce(F.sum(F.size("visits")), F.lit(0))).first()
+    # A smaller limit leaves the first of the leaves, in the same order, so those that were searched come first again.
+    closer = later.join(reach(found), "id", "left").select("id", "vec", "cell", F.least("limit", "reach").alias("limit"))
+    rest = cut_lineage(_visits(closer, tree, id_type, end=0).where(F.col("leaves") > NEXT_LEAVES).select("id", "vec", "cell", "limit", "leaves"))
+    asked, leaves = rest.agg(F.count("*"), F.coalesce(F.sum(F.col("leaves") - NEXT_LEAVES), F.lit(0))).first()
+    if not asked:
+        return found
     if leaves <= MANY_LEAVES * asked:
-        return _top(found.unionByName(_block_search(rest.select("id", "vec", leaf(F.col("visits")), "limit"), m, keep, id_type)), keep)
+        others = cut_lineage(_visits(rest, tree, id_type, first=NEXT_LEAVES))
+        return _top(found.unionByName(_block_search(others.select("id", "vec", leaf, "limit"), m, keep, id_type)), keep)
+    # Packs hold the leaves that were searched before as well, so these queries are answered by their packs alone.
+    pairs = _pack_search(rest, m, tree, keep, id_type, asked)
+    return _top(found.join(rest.select("id"), "id", "left_anti").unionByName(pairs), keep)
+
+
+def _pack_search(queries: DataFrame, members: DataFrame, tree, keep: int, id_type: str, asked: int) -> DataFrame:
+    """``(id, other, distance)``: of queries ``id, vec, cell, limit`` and members ``id, vec, cell`` the nearest within the limit, at most ``keep`` from each part of the members.
+
+    Both sides are stored once, as rows of many vectors. A task reads its queries and one part of the members, which are as many as ``HELD_BYTES`` asks for, and
+    searches a pack after the other, so a query's limit falls as it goes.
+    """
+    spark = members.sparkSession
+    cores, width = spark.sparkContext.defaultParallelism, 8 * max(1, next(iter(tree.value.pivots.values())).shape[1])
+    rows = max(1, min(PACK * BLOCK_ROWS, STORED_BYTES // width))
+    pack_of = tree.value.packs()
     # One row per leaf, as the tree itself.
-    packs = members.sparkSession.createDataFrame(list(tree.value.packs().items()), "cell bigint, pack bigint")
-    packed = m.join(F.broadcast(packs), "cell").select("id", "vec", F.col("pack").alias("cell"))
-    asking = rest.select("id", "vec", F.explode(F.array_distinct(F.transform("visits", lambda v: v["pack"]))).alias("cell"), "limit")
-    # A pack may hold leaves that were searched before.
-    pairs = found.unionByName(_block_search(asking, packed, keep, id_type, PACK * BLOCK_ROWS))
-    return _top(pairs.groupBy("id", "other").agg(F.min("distance").alias("distance")), keep)
+    packs = F.broadcast(spark.createDataFrame(list(pack_of.items()), "cell bigint, pack bigint"))
+
+    def blocks(df: DataFrame, size: int) -> DataFrame:
+        df = df.join(packs, "cell")
+        cut = F.broadcast(df.groupBy("pack").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
+        return df.join(cut, "pack").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def pack_members(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        return pd.DataFrame({"pack": [key[0]], "others": [pdf["id"].tolist()], "members": [np.stack(pdf["vec"].to_numpy()).tobytes()]})
+
+    def pack_queries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors, limit = np.stack(pdf["vec"].to_numpy()), pdf["limit"].to_numpy(dtype=float)
+        asks = np.zeros((len(pdf), max(pack_of.values()) + 1), bool)
+        for start in range(0, len(pdf), LISTED):
+            part = slice(start, start + LISTED)
+            row, leaf, _, _ = tree.value.leaves_within(vectors[part], limit[part])
+            asks[row + start, np.fromiter((pack_of[x] for x in leaf.tolist()), np.int64, len(leaf))] = True
+        asked_for = np.flatnonzero(asks.any(axis=0))
+        return pd.DataFrame({
+            "home": [key[0]], "load": [key[1]], "ids": [pdf["id"].tolist()], "vectors": [vectors.tobytes()], "limits": [limit.tobytes()],
+            "packs": [asked_for.tolist()], "asks": [np.packbits(asks[:, asked_for], axis=0).tobytes()]})
+
+    def nearest(batches):
+        best = None
+        for pdf in batches:
+            for pair in pdf.itertuples(index=False):
+                if best is None or best.block != (pair.home, pair.load):
+                    if best is not None:
+                        yield best.frame()
+                    best = _Best(pair, keep)
+                best.add(pair)
+        if best is not None:
+            yield best.frame()
+
+    size = min(rows, max(-(-asked // (TASKS * cores)), BLOCK_ROWS // 4))
+    left = blocks(queries.select("id", "vec", "cell", "limit"), size).groupBy("pack", "block").applyInPandas(
+        pack_queries, f"home bigint, load int, ids array<{id_type}>, vectors binary, limits binary, packs array<bigint>, asks binary")
+    right = blocks(members, rows).groupBy("pack", "block").applyInPandas(pack_members, f"pack bigint, others array<{id_type}>, members binary")
+    left = cut_lineage(left.repartition(max(1, min(-(-asked // size), 2 * TASKS * cores))))
+    right = cut_lineage(right.repartition(-(-sum(tree.value.size[c] for c in pack_of) * width // HELD_BYTES) or 1))
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.array_contains("packs", F.col("pack")))
+    with small_batches(spark):
+        return cut_lineage(pairs.mapInPandas(nearest, f"id {id_type}, other {id_type}, distance double"))
+
+
+class _Best:
+    """The nearest members so far of a block of queries: flat arrays in the order of query, distance and member."""
+
+    def __init__(self, pair, keep: int) -> None:
+        self.block, self.keep, self.packs = (pair.home, pair.load), keep, list(pair.packs)
+        self.ids, self.limit = np.asarray(pair.ids), np.frombuffer(pair.limits).copy()
+        self.vectors = np.frombuffer(pair.vectors).reshape(len(self.ids), -1)
+        asks = np.frombuffer(pair.asks, np.uint8).reshape(-1, len(self.packs))
+        self.asks = np.unpackbits(asks, axis=0, count=len(self.ids)).astype(bool)
+        self.row, self.other, self.distance = np.zeros(0, np.int64), np.asarray(pair.others)[:0], np.zeros(0)
+
+    def add(self, pair) -> None:
+        asking, others = np.flatnonzero(self.asks[:, self.packs.index(pair.pack)]), np.asarray(pair.others)
+        rows, columns, distance = _near_pairs(self.vectors[asking], np.frombuffer(pair.members).reshape(len(others), -1), self.limit[asking], self.keep)
+        if not len(rows):
+            return
+        row, other, distance = (np.concatenate(x) for x in ((self.row, asking[rows]), (self.other, others[columns]), (self.distance, distance)))
+        place = other if other.dtype.kind in "iu" else pd.factorize(other, sort=True)[0]
+        order = np.lexsort((place, distance, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < self.keep]
+        self.row, self.other, self.distance = row[order], other[order], distance[order]
+        last = np.flatnonzero(np.arange(len(order)) - np.searchsorted(self.row, self.row) == self.keep - 1)
+        self.limit[self.row[last]] = np.fmin(self.limit[self.row[last]], self.distance[last])
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"id": self.ids[self.row], "other": self.other, "distance": self.distance})
 
 
 def search_effort(points: DataFrame, key: str, vec: Column, k: int) -> DataFrame:

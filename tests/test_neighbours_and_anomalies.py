@@ -106,6 +106,39 @@ def test_leaves_searched_in_packs_are_exact(spark, monkeypatch):
     _check(N.nearest_neighbours(_frame(spark, q), _frame(spark, x), "id", F.col("vec"), 5), _brute(x, q, 5, False))
 
 
+def test_a_search_that_prunes_nothing_stores_rows_and_no_pairs(spark, monkeypatch):
+    """Neither lists of leaves nor copies of vectors for every block that a query has to see."""
+    x = _wide(spark, monkeypatch)
+    listed, copies, cut, search = [], [], N.cut_lineage, N._block_search
+
+    def stored(df):
+        out = cut(df)
+        if "visits" in out.columns:
+            listed.append(out.agg(F.max(F.size("visits"))).first()[0])
+        return out
+
+    def searched(queries, *args):
+        copies.append(queries.count())
+        return search(queries, *args)
+
+    monkeypatch.setattr(N, "cut_lineage", stored)
+    monkeypatch.setattr(N, "_block_search", searched)
+    assert N.nearest_neighbours(_frame(spark, x), None, "id", F.col("vec"), 7).count() == 7 * len(x)
+    assert listed and max(listed) <= N.NEXT_LEAVES and sum(copies) <= (1 + N.NEXT_LEAVES) * len(x)
+
+
+@pytest.mark.parametrize("held", [1 << 30, 20_000])
+def test_packs_keep_the_order_of_keys_among_equal_distances(spark, monkeypatch, held):
+    """Keys are texts, many distances are equal, and members are searched in one part or several."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(N, "HELD_BYTES", held)
+    monkeypatch.setattr(N, "STORED_BYTES", 50 * 8 * 24)
+    x = np.round(np.random.default_rng(5).normal(size=(600, 24)))
+    df = _frame(spark, x).select(F.format_string("%04d", "id").alias("id"), "vec")
+    found = N.nearest_neighbours(df, None, "id", F.col("vec"), 6)
+    _check(found.select(F.col("id").cast("int"), F.col("neighbour").cast("int"), "distance", "rank"), _brute(x, x, 6, True))
+
+
 @pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-6, 1e6), (1e160, 0.0)])
 def test_near_pairs_of_a_block_are_those_of_all_distances(scale, offset):
     rng = np.random.default_rng(8)
