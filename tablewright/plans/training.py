@@ -31,7 +31,7 @@ WORKERS = 4
 
 @dataclass
 class Experiment:
-    """Outcome of one candidate; a failure is recorded here and never raised."""
+    """Outcome of one candidate. One that is refused is recorded here; a failure of the work itself is raised."""
 
     model_name: str
     library: str
@@ -161,11 +161,14 @@ def make_features(folded: DataFrame, fitted_on: Column, plan: ModelPlan, types:
     return FeatureSet(transforms, rows, names, fitted_on, count, std or 1.0, weight)
 
 
-def _fit(features: FeatureSet, plan: ModelPlan, candidate: Candidate, classes: int, seed: int) -> PipelineModel:
-    stages = build_estimator(
+def _stages(features: FeatureSet, plan: ModelPlan, candidate: Candidate, classes: int, seed: int) -> list:
+    return build_estimator(
         candidate, plan.task_type, features.count, classes, features.label_std, features.weight, seed
     )
-    return Pipeline(stages=stages).fit(features.training())
+
+
+def _fit(features: FeatureSet, plan: ModelPlan, candidate: Candidate, classes: int, seed: int) -> PipelineModel:
+    return Pipeline(stages=_stages(features, plan, candidate, classes, seed)).fit(features.training())
 
 
 def _scored(result: Experiment, model: PipelineModel, rows: DataFrame, part: int | str) -> DataFrame:
@@ -181,28 +184,40 @@ def train_candidate(
 ) -> Experiment:
     """Cross-validation on train and validation rows, a fit on train rows, and metrics of both splits.
 
-    ``folds[i]`` has its transforms fitted without fold i, so nothing of a held-out fold is seen before it is scored.
+    ``folds[i]`` has its transforms fitted without fold i, so nothing of a held-out fold is seen before it is scored. A candidate whose library or parameters are refused
+    is recorded as failed and does not stop the others. A fit or a search that breaks down is raised: tables without its rows would look like a whole result.
     """
     result = Experiment(candidate.name, candidate.library, hyperparams=dict(candidate.params))
     start = time.perf_counter()
     try:
-        for i, features in enumerate(folds):
-            model = _fit(features, plan, candidate, classes, seed)
-            result.fold_metrics.append(_fold_scores(_scored(result, model, held_out(features, i), i), plan))
-            result.fold_models.append(model)
-        result.estimator = _fit(final, plan, candidate, classes, seed)
-        result.model = PipelineModel(stages=[*final.transforms.stages, *result.estimator.stages])
-        for split in ("val", "train"):
-            scored = _scored(result, result.estimator, final.rows.where(F.col("split") == split), split)
-            result.metrics[split] = evaluate(scored, plan, classes)
-        result.importances = importances(result.estimator, final.names)
-        result.status = "success"
-    except Exception as problem:  # a candidate must not stop the others
+        _stages(final, plan, candidate, classes, seed)
+    except (ValueError, TypeError) as problem:
         result.status, result.error = "failed", f"{type(problem).__name__}: {problem}"[:500]
+        result.duration_seconds = time.perf_counter() - start
+        return result
+    for i, features in enumerate(folds):
+        model = _fit(features, plan, candidate, classes, seed)
+        result.fold_metrics.append(_fold_scores(_scored(result, model, held_out(features, i), i), plan))
+        result.fold_models.append(model)
+    result.estimator = _fit(final, plan, candidate, classes, seed)
+    result.model = PipelineModel(stages=[*final.transforms.stages, *result.estimator.stages])
+    for split in ("val", "train"):
+        scored = _scored(result, result.estimator, final.rows.where(F.col("split") == split), split)
+        result.metrics[split] = evaluate(scored, plan, classes)
+    result.importances = importances(result.estimator, final.names)
+    result.status = "success"
     result.duration_seconds = time.perf_counter() - start
     return result
 
 
+def all_trained(results: list[Experiment]) -> list[Experiment]:
+    """The results, if none failed: for tables that have to hold every candidate."""
+    failed = [f"{r.model_name}: {r.error}" for r in results if r.status != "success"]
+    if failed:
+        raise RuntimeError(f"not all candidates were trained; {'; '.join(failed)}")
+    return results
+
+
 def held_out(features: FeatureSet, fold: int) -> DataFrame:
     return features.rows.where((F.col("split") != "test") & (F.col("fold") == fold))
 
@@ -465,7 +480,7 @@ def model_size_kb(spark: SparkSession, path: str) -> float:
 
 
 __all__ = [
-    "ENSEMBLE_NAME", "Experiment", "FeatureSet", "add_ensemble", "batch_score", "cv_summary", "ensemble_weights",
+    "ENSEMBLE_NAME", "Experiment", "FeatureSet", "add_ensemble", "all_trained", "batch_score", "cv_summary", "ensemble_weights",
     "evaluate", "evaluate_on_test", "experiment_tables", "hard_vote", "importances",
     "inference_latency_ms", "make_features", "model_size_kb", "prepare", "run_experiments", "soft_vote", "train_all", "train_candidate",
     "vote",

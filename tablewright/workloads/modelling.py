@@ -55,7 +55,7 @@ def experiment_metrics(t: Tables) -> DataFrame:
     """Three candidates, neighbours among them, and their ensemble: split, folds, fits, metrics per split, as one metric table."""
     plan = _plan(*_TWO, Candidate("Neighbours", "sklearn.neighbors.KNeighborsClassifier"), handle_imbalance=True)
     results, _ = TR.run_experiments(_labelled_documents(t), plan, _TYPES, list(_TYPES))
-    _, log = TR.experiment_tables(t.spark, "documents", results)
+    _, log = TR.experiment_tables(t.spark, "documents", TR.all_trained(results))
     return log
 
 
@@ -65,7 +65,7 @@ def experiment_winner(t: Tables) -> DataFrame:
     types = {"c_nationkey": "numeric", "c_acctbal": "numeric"}
     plan = _plan(*_TWO, target="c_mktsegment", task="multiclass_classification")
     results, _ = TR.run_experiments(t("customer"), plan, types, list(types), with_ensemble=False)
-    models, log = TR.experiment_tables(t.spark, "customer", results)
+    models, log = TR.experiment_tables(t.spark, "customer", TR.all_trained(results))
     cv = TR.cv_summary(log).where("metric_name = 'f1_macro'").join(models, ["run_id", "model_name"])
     return R.select_winners(cv).select("run_id", "model_name", "runner_up_name", "is_tie")
 
@@ -215,7 +215,7 @@ def refined_model(t: Tables) -> DataFrame:
     forest = Candidate("Forest", "RandomForestClassifier", params={"n_estimators": 5})
     plan = _plan(forest, Candidate("Bayes", "GaussianNB"), target="toxic", primary_metric="f1")
     prepared = TR.prepare_features(_labelled_documents(t), plan, _TYPES, list(_TYPES))
-    results = TR.run_prepared(prepared, plan, with_ensemble=False)
+    results = TR.all_trained(TR.run_prepared(prepared, plan, with_ensemble=False))
     found = refine(t.spark, "documents", results, "Forest", prepared, plan)
     tried = found.lineage.where("outcome = 'tried'").groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_list("parameter")), ",").alias("tried"))
     return t.spark.createDataFrame([("documents", "Forest")], "run_id string, model_name string").join(found.verdict, ["run_id", "model_name"], "left").join(tried, "run_id", "left")

@@ -77,6 +77,28 @@ def test_experiment_beats_the_majority_and_failures_are_recorded(spark, separabl
     assert scored.where("abs(probability_no + probability_yes - 1) > 1e-9").count() == 0
 
 
+def test_a_candidate_that_breaks_down_is_no_result(spark, separable, monkeypatch):
+    """A search that fails is raised, as the metric table would look whole without its rows; a refused candidate is recorded, and counts as missing where all are asked for."""
+    search = NeighboursModel._transform
+
+    def broken(self, df):
+        raise OSError("no space left on device")
+
+    linear, near = Candidate("Linear", "LogisticRegression"), Candidate("Near", "KNeighborsClassifier")
+    plan = ModelPlan("binary_classification", "y", (linear, near), features=Features(categorical_strategy="freq_enc"), evaluation=Evaluation(n_folds=2))
+    prepared = TR.prepare_features(separable, plan, TYPES, ["x1", "x2", "s"])
+    monkeypatch.setattr(NeighboursModel, "_transform", broken)
+    with pytest.raises(OSError, match="no space left"):
+        TR.train_candidate(prepared.folds, prepared.final, plan, near, 2)
+    with pytest.raises(OSError, match="no space left"):
+        TR.run_prepared(prepared, plan)
+    monkeypatch.setattr(NeighboursModel, "_transform", search)
+    refused = TR.train_candidate(prepared.folds, prepared.final, plan, Candidate("Odd", "NoSuchModel"), 2)
+    assert refused.status == "failed" and "NoSuchModel" in refused.error
+    with pytest.raises(RuntimeError, match="Odd: ValueError"):
+        TR.all_trained([refused])
+
+
 def test_neighbours_as_a_stage(spark, separable):
     """Classes, chances and numbers as the joins give them; saved and loaded; rows keep their other columns."""
     rows = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(separable.withColumn("label", (F.col("y") == "yes").cast("double")))
