@@ -66,10 +66,10 @@ def first_values(df: DataFrame, key: str, size: int = SHOWN_SAMPLES) -> DataFram
     """
     k = quoted(key)
     least = df.groupBy(F.pmod(F.xxhash64(k), F.lit(KEY_CLASSES)).alias("__class")).agg(*[F.min(F.when(present(df, c), k)).alias(f"__k{i}") for i, c in enumerate(df.columns)])
-    bounds = least.agg(*[F.get(F.sort_array(F.collect_list(f"__k{i}")), F.lit(size - 1)).alias(f"__b{i}") for i in range(len(df.columns))])
-    early = lambda i: F.coalesce(k <= F.col(f"__b{i}"), F.lit(True))
+    bounds = least.agg(F.struct(*[F.get(F.sort_array(F.collect_list(f"__k{i}")), F.lit(size - 1)).alias(f"__b{i}") for i in range(len(df.columns))])).scalar()
+    early = lambda i: F.coalesce(k <= F.col("__bounds")[f"__b{i}"], F.lit(True))
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(early(i), _as_text(df, c)).alias("value")) for i, c in enumerate(df.columns)])
-    rows = df.crossJoin(F.broadcast(bounds)).select(k.alias("__key"), F.inline(cells)).where(F.col("value").isNotNull())
+    rows = df.withColumn("__bounds", bounds).select(k.alias("__key"), F.inline(cells)).where(F.col("value").isNotNull())
     place = F.row_number().over(Window.partitionBy("column_name").orderBy("__key", "value"))
     kept = rows.withColumn("place", place).where(F.col("place") <= size)
     ordered = F.sort_array(F.collect_list(F.struct("place", "value")))
