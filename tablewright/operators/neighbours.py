@@ -318,9 +318,9 @@ def _search(queries: DataFrame, members: DataFrame, keep: int, id_type: str) ->
     if leaves <= MANY_LEAVES * asked:
         others = cut_lineage(_visits(rest, tree, id_type, first=NEXT_LEAVES))
         return _top(found.unionByName(_block_search(others.select("id", "vec", leaf, "limit"), m, keep, id_type)), keep)
-    # Packs hold the leaves that were searched before as well, so these queries are answered by their packs alone.
-    pairs = _pack_search(rest, m, tree, keep, id_type, asked)
-    return _top(found.join(rest.select("id"), "id", "left_anti").unionByName(pairs), keep)
+    # A pack may hold leaves that were searched before. One shuffle by query serves both steps.
+    pairs = found.unionByName(_pack_search(rest, m, tree, keep, id_type, asked)).repartition("id")
+    return _top(pairs.groupBy("id", "other").agg(F.min("distance").alias("distance")), keep)
 
 
 def _pack_search(queries: DataFrame, members: DataFrame, tree, keep: int, id_type: str, asked: int) -> DataFrame:
@@ -339,11 +339,14 @@ def _pack_search(queries: DataFrame, members: DataFrame, tree, keep: int, id_typ
     def blocks(df: DataFrame, size: int) -> DataFrame:
         df = df.join(packs, "cell")
         cut = F.broadcast(df.groupBy("pack").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
-        return df.join(cut, "pack").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        # Members without a key have blocks of their own, as whole numbers beside gaps would come to Python as floats.
+        block = F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("vec"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return df.join(cut, "pack").withColumn("block", block.cast("int"))
 
     def pack_members(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        return pd.DataFrame({"pack": [key[0]], "others": [pdf["id"].tolist()], "members": [np.stack(pdf["vec"].to_numpy()).tobytes()]})
+        others = [None] * len(pdf) if key[1] < 0 else pdf["id"].tolist()
+        return pd.DataFrame({"pack": [key[0]], "others": [others], "members": [np.stack(pdf["vec"].to_numpy()).tobytes()]})
 
     def pack_queries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         vectors, limit = np.stack(pdf["vec"].to_numpy()), pdf["limit"].to_numpy(dtype=float)
@@ -370,7 +373,8 @@ def _pack_search(queries: DataFrame, members: DataFrame, tree, keep: int, id_typ
             yield best.frame()
 
     size = min(rows, max(-(-asked // (TASKS * cores)), BLOCK_ROWS // 4))
-    left = blocks(queries.select("id", "vec", "cell", "limit"), size).groupBy("pack", "block").applyInPandas(
+    # Queries without a key are left out: rows without one have no neighbours.
+    left = blocks(queries.where(F.col("id").isNotNull()).select("id", "vec", "cell", "limit"), size).groupBy("pack", "block").applyInPandas(
         pack_queries, f"home bigint, load int, ids array<{id_type}>, vectors binary, limits binary, packs array<bigint>, asks binary")
     right = blocks(members, rows).groupBy("pack", "block").applyInPandas(pack_members, f"pack bigint, others array<{id_type}>, members binary")
     left = cut_lineage(left.repartition(max(1, min(-(-asked // size), 2 * TASKS * cores))))
@@ -389,10 +393,12 @@ class _Best:
         self.vectors = np.frombuffer(pair.vectors).reshape(len(self.ids), -1)
         asks = np.frombuffer(pair.asks, np.uint8).reshape(-1, len(self.packs))
         self.asks = np.unpackbits(asks, axis=0, count=len(self.ids)).astype(bool)
-        self.row, self.other, self.distance = np.zeros(0, np.int64), np.asarray(pair.others)[:0], np.zeros(0)
+        self.row, self.other, self.distance = np.zeros(0, np.int64), self.ids[:0], np.zeros(0)
 
     def add(self, pair) -> None:
         asking, others = np.flatnonzero(self.asks[:, self.packs.index(pair.pack)]), np.asarray(pair.others)
+        if pd.isna(others[0]):
+            others = np.full(len(others), None, object)
         rows, columns, distance = _near_pairs(self.vectors[asking], np.frombuffer(pair.members).reshape(len(others), -1), self.limit[asking], self.keep)
         if not len(rows):
             return

@@ -139,6 +139,18 @@ def test_packs_keep_the_order_of_keys_among_equal_distances(spark, monkeypatch,
     _check(found.select(F.col("id").cast("int"), F.col("neighbour").cast("int"), "distance", "rank"), _brute(x, x, 6, True))
 
 
+def test_packs_take_a_key_that_is_null(spark, monkeypatch):
+    """As a search of a single block does."""
+    x = _wide(spark, monkeypatch)[:500]
+    df = _frame(spark, x).select(F.when(F.col("id") != 7, F.col("id")).alias("id"), "vec")
+    rows = []
+    for leaf in (20, 10**6):
+        monkeypatch.setattr(N, "BLOCK_ROWS", leaf)
+        found = N.nearest_neighbours(df, None, "id", F.col("vec"), 6)
+        rows.append(sorted((r["id"], r["rank"], r["neighbour"]) for r in found.where("id IS NOT NULL").collect()))
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {*range(500)} - {7}
+
+
 @pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-6, 1e6), (1e160, 0.0)])
 def test_near_pairs_of_a_block_are_those_of_all_distances(scale, offset):
     rng = np.random.default_rng(8)
